@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilespark.llm import chat, mixing
+from tilespark.llm import chat, mixing, multi_index, warc
 
-MODULES = (mixing, chat)
+MODULES = (multi_index, warc, mixing, chat)
 
 
 def queries() -> dict:
