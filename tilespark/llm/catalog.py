@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilespark.llm import chat, mixing, multi_index, warc
+from tilespark.llm import bpe, chat, mixing, multi_index, warc
 
-MODULES = (multi_index, warc, mixing, chat)
+MODULES = (multi_index, warc, bpe, mixing, chat)
 
 
 def queries() -> dict:
