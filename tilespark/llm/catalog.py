@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilespark.llm import bpe, chat, mixing, multi_index, warc
+from tilespark.llm import bpe, chat, language, mixing, multi_index, warc
 
-MODULES = (multi_index, warc, bpe, mixing, chat)
+MODULES = (multi_index, warc, bpe, mixing, chat, language)
 
 
 def queries() -> dict:
