@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilespark.llm import bpe, chat, language, mixing, multi_index, simhash, warc
+from tilespark.llm import bpe, chat, language, mixing, multi_index, neardup, simhash, warc
 
-MODULES = (multi_index, warc, simhash, bpe, mixing, chat, language)
+MODULES = (multi_index, warc, simhash, neardup, bpe, mixing, chat, language)
 
 
 def queries() -> dict:

@@ -61,7 +61,7 @@ def table_bytes(df: DataFrame) -> int:
     """Bytes on disk of a table written by :func:`materialize` (compressed Parquet)."""
     spark = df.sparkSession
     total = 0
-    for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:  # a projection of it reads the same files
         target = spark._jvm.org.apache.hadoop.fs.Path(p)
         total += target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
     return total
