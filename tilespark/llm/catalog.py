@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilespark.llm import bpe, chat, language, mixing, multi_index, neardup, repeats, simhash, warc
+from tilespark.llm import bpe, chat, language, mixing, multi_index, neardup, quality, repeats, simhash, warc
 
-MODULES = (multi_index, warc, simhash, neardup, repeats, bpe, mixing, chat, language)
+MODULES = (multi_index, warc, simhash, neardup, repeats, quality, bpe, mixing, chat, language)
 
 
 def queries() -> dict:
