@@ -40,6 +40,8 @@ GRAM, SHARD_BYTES, HOT, PIECE_BYTES = 40, 2_000_000, 8_000, 1_000_000
 #: Stands behind every cell in a shard; no UTF-8 text holds it.
 SEPARATOR = 0xFF
 NO_ID = -(1 << 63)
+#: How the cells wanted of a document are packed.
+WANTED = np.dtype([("key", "<i8"), ("anchor", "<i8"), ("hot", "?"), ("first", "<i8"), ("many", "<i4")])
 
 _rng = np.random.default_rng(19700101)
 _BYTES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
@@ -183,14 +185,15 @@ def _shard_spans(length: int):
         text = np.full(sizes.sum(), SEPARATOR, dtype=np.uint8)
         for p, b in zip(parts, begin.tolist(), strict=True):
             text[b : b + len(p)] = p
+        # suffixes that begin a window of their cell; what runs over a separator is no string of a document
+        ends = np.repeat(begin + sizes - 1, sizes)
+        windows = np.arange(len(text)) + length <= ends
         order = suffix_array(text, length)
+        order = order[windows[order]]
         same = common_prefixes(text, order, length) >= length
         twice = same | np.concatenate([same[1:], [False]])
         places = np.sort(order[twice].astype(np.int64))
         owner = np.searchsorted(begin, places, side="right") - 1
-        # equal prefixes that run over a separator are no strings of a document
-        whole = places + length <= begin[owner] + sizes[owner] - 1
-        places, owner = places[whole], owner[whole]
         if not len(places):
             return _spans([], [], [], [])
         opens = np.flatnonzero(np.concatenate([[True], (np.diff(places) > 1) | (np.diff(owner) > 0)]))
@@ -230,26 +233,37 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     first, many = F.shiftright("at", 20), F.col("at").bitwiseAND(F.lit((1 << 20) - 1))
     copied = materialize(counted.filter("n > 1").select("id", "key", first.alias("start"), (first + many + (length - 1)).alias("end")), "copied")
     one_each = join_small(counted.filter(F.col("chosen") == occurrence), mixed, "anchor", "inner").dropDuplicates(["anchor", "cell"])
-    borders = materialize(one_each.select("id", "key", "anchor", "kinds", "n", first.alias("first"), many.alias("many")), "borders")
+    borders = one_each.select("id", "key", "anchor", "kinds", first.alias("first"), many.alias("many"))
 
     # the bytes of those cells, from the documents that have them
-    wanted = borders.groupBy("id").agg(F.collect_list(F.struct("key", "anchor", "kinds", "n", "first", "many")).alias("wanted"))
+    wanted = borders.groupBy("id").agg(F.collect_list(F.struct("key", "anchor", (F.col("kinds") > HOT).alias("hot"), "first", "many")).alias("w"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("w")
+            inner, cut = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            rows = np.zeros(len(inner), dtype=WANTED)
+            for c in WANTED.names:
+                rows[c] = inner.field(c).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "wanted"])
+
+    wanted = wanted.mapInArrow(pack, "id long, wanted binary")
     wanted = materialize(wanted, "wanted")
     keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
     holders = join_small(keyed, wanted, "id", "inner").select("doc_id", "text", "wanted")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "key", "anchor", "kinds", "n", "first", "bytes"]
-        types = [pa.int64()] * 6 + [pa.binary()]
+        names = ["id", "key", "anchor", "hot", "first", "bytes"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
         for batch in batches:
             rows, held = [], 0
             for run in _texts(batch):
                 for i, doc_id, raw in run:
                     key = row_key(doc_id, raw)
-                    for w in batch.column("wanted")[i].as_py():
-                        if w["key"] == key:
-                            part = raw[w["first"] : w["first"] + w["many"] + length - 1]
-                            rows.append((NO_ID if doc_id is None else doc_id, key, w["anchor"], w["kinds"], w["n"], w["first"], part))
+                    for k, anchor, is_hot, first, n in np.frombuffer(batch.column("wanted")[i].as_py(), dtype=WANTED).tolist():
+                        if k == key:
+                            part = raw[first : first + n + length - 1]
+                            rows.append((NO_ID if doc_id is None else doc_id, key, anchor, is_hot, first, part))
                             held += len(part)
                     if held > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -258,9 +272,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     # repeated rows hold a cell twice: it is one place
-    parts = holders.mapInArrow(take, "id long, key long, anchor long, kinds long, n long, first long, bytes binary")
+    parts = holders.mapInArrow(take, "id long, key long, anchor long, hot boolean, first long, bytes binary")
     parts = materialize(parts, "parts")
-    usual = parts.filter(F.col("kinds") <= HOT)
+    usual = parts.filter(~F.col("hot"))
     size = usual.agg(F.sum(F.length("bytes"))).collect()[0][0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     # a cell found twice in one place stands once; repeated rows were counted before and are settled
@@ -269,7 +283,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     sorted_out = dealt.select("shard", "id", "key", "first", "bytes").mapInArrow(_shard_spans(length), "id long, key long, start long, end long")
     spans = copied.unionByName(sorted_out)
 
-    hot = parts.filter(F.col("kinds") > HOT)
+    hot = parts.filter("hot")
     if hot.limit(1).count():
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,10 +320,23 @@ def without_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None
     carry = carry if carry is not None else ["doc_id"]
     spans = repeated_spans(docs, length)
     # at most the spans of one document meet here, a bounded share of its own length
-    per_doc = materialize(spans.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end")).alias("s")), "spans")
-    per_id = materialize(per_doc.groupBy("id").agg(F.collect_list(F.struct("key", "s")).alias("spans")), "spans-by-id")
+    collected = spans.groupBy("id").agg(F.collect_list(F.struct("key", "start", "end")).alias("s"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("s")
+            inner, cut = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            rows = np.stack([inner.field(c).to_numpy() for c in ("key", "start", "end")], axis=1) if len(inner) else np.zeros((0, 3), dtype=np.int64)
+            packed = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                own = rows[a:b]
+                runs = [(np.full((len(m), 1), k), m) for k in np.unique(own[:, 0]) for m in [merged(own[own[:, 0] == k, 1:])]]
+                packed.append(np.concatenate([np.concatenate(r, axis=1) for r in runs]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["_id", "_spans"])
+
+    per_id = materialize(collected.mapInArrow(pack, "_id long, _spans binary"), "spans")
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    joined = join_small(keyed, per_id.withColumnRenamed("id", "_id").withColumnRenamed("spans", "_spans"), "_id", "left")
+    joined = join_small(keyed, per_id, "_id", "left")
     names = list(dict.fromkeys([*carry, "doc_id", "text"]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,11 +345,10 @@ def without_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None
                 out = []
                 for i, doc_id, raw in run:
                     found = batch.column("_spans")[i].as_py()
-                    own = []
+                    runs = []
                     if found:
-                        key = row_key(doc_id, raw)
-                        own = [(x["start"], x["end"]) for f in found if f["key"] == key for x in f["s"]]
-                    runs = merged(np.array(own, dtype=np.int64)).tolist() if own else []
+                        all_runs = np.frombuffer(found, dtype=np.int64).reshape(-1, 3)
+                        runs = all_runs[all_runs[:, 0] == row_key(doc_id, raw), 1:].tolist()
                     edges = [0, *[e for r in runs for e in r], len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     removed = len(raw) - len(kept)

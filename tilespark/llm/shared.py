@@ -67,7 +67,7 @@ def table_bytes(df: DataFrame) -> int:
     return total
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str, limit: int = 32 << 20) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on, how: str, limit: int = 8 << 20) -> DataFrame:
     """Join with a materialised side: broadcast only when its measured size is within ``limit``, else by shuffle."""
     if table_bytes(small) <= limit:
         small = F.broadcast(small)

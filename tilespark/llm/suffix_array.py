@@ -44,34 +44,51 @@ def _prefix_hashes(text: np.ndarray, depth: int) -> np.ndarray:
     return (sums[depth : depth + len(text)] - sums[: len(text)]) * np.multiply.accumulate(down)
 
 
+def _uneven(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether each group (numbered from 0, its members adjacent) holds different values."""
+    n = np.bincount(group)
+    return np.bincount(group[values != values[np.cumsum(n) - n][group]], minlength=len(n)) > 0
+
+
 def sort_directly(text: np.ndarray, at: np.ndarray, depth: int, eights: np.ndarray) -> np.ndarray:
-    """``at`` ordered by the first ``depth`` bytes of their suffixes (rounded up to eights).
+    """``at`` ordered by the first ``depth`` bytes of their suffixes, at least.
 
-    Sorted by eight bytes; groups of equals go on with the next eight, unless the hashes of all ``depth`` bytes agree within the group.
+    Sorted by eight bytes; groups of equals go on with the following bytes, eight at a time. Hashes tell beforehand which groups differ
+    within the next 32 bytes, and which differ within the depth at all; the others are passed over.
     """
-    order = at[np.argsort(eights[at], kind="stable")]
+    order = at[np.argsort(eights[at])].astype(np.int64)
     if len(order) < 2:
-        return order
-    hashes = _prefix_hashes(text, depth)
+        return order.astype(np.int32)
+    whole, stride = _prefix_hashes(text, depth), _prefix_hashes(text, 32)
+    last = len(text) - 1
     keys = eights[order]
-    group = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
+    opens = np.concatenate([[True], keys[1:] != keys[:-1]])
     todo = np.arange(len(order))
-    for done in range(8, depth, 8):
-        # groups of more than one whose members differ somewhere within the depth
-        _, first, inverse, n = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
-        h = hashes[order[todo]]
-        odd = np.bincount(inverse, weights=(h != h[first][inverse]), minlength=len(n)) > 0
-        keep = odd[inverse] & (n[inverse] > 1)
-        todo, group = todo[keep], inverse[keep]
+    for block in range(8, depth, 32):
+        group = np.cumsum(opens) - 1
+        keep = _uneven(whole[order[todo]], group)[group]
+        todo, opens, group = todo[keep], opens[keep], group[keep]
         if not len(todo):
             break
-        places = order[todo].astype(np.int64) + done
-        k = np.where(places < len(text), eights[np.minimum(places, len(text) - 1)], U(0))
-        by = np.lexsort((k, group))
-        order[todo] = order[todo][by]
-        k, group = k[by], group[by]
-        group = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]) | (group[1:] != group[:-1]))])
-    return order
+        group = np.cumsum(opens) - 1
+        # behind the end all hashes agree with those at the end, which differ from any other place's
+        part = np.flatnonzero(_uneven(stride[np.minimum(order[todo] + block, last)], group)[group])
+        places, starts = order[todo[part]], opens[part]
+        for done in range(block, min(block + 32, depth), 8):
+            if not len(part):
+                break
+            inner = np.cumsum(starts) - 1
+            k = np.where(places + done <= last, eights[np.minimum(places + done, last)], U(0))
+            some = np.flatnonzero(_uneven(k, inner)[inner])
+            if not len(some):
+                continue
+            by = np.lexsort((k[some], inner[some]))
+            places[some] = places[some][by]
+            k[some] = k[some][by]
+            starts[1:] |= k[1:] != k[:-1]
+        order[todo[part]] = places
+        opens[part] = starts
+    return order.astype(np.int32)
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
