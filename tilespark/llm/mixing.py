@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilespark.llm.shared import word_count
+from tilespark.llm.shared import join_small, materialize, word_count
 
 #: Groups into which a (source, size class) pair is dealt by hash, so that no single group grows with a hot source.
 SALTS = 64
@@ -39,8 +39,8 @@ def _size_class(size: Column) -> Column:
 def source_targets(sized: DataFrame, max_repeat: int = 3) -> DataFrame:
     """Per source: ``source_size`` and ``target``; one row per source, so the unpartitioned windows run over a tiny table.
 
-    The level at which targets stop growing is found in closed form: with sources ordered by cap over weight, the first k are capped
-    exactly if the level computed from the rest exceeds their cap over weight.
+    The level at which targets stop growing is found in closed form: with sources ordered by cap over weight, the first k are capped, and k is the
+    first for which the level computed from the rest does not exceed the next cap over weight; later ones only have lower levels.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_code_point = Window.orderBy(F.col("source").isNull(), F.col("source"))
@@ -53,7 +53,7 @@ def source_targets(sized: DataFrame, max_repeat: int = 3) -> DataFrame:
     total, weights = F.sum("source_size").over(everything), F.sum("weight").over(everything)
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (weights - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     levelled = weighted.withColumn("level", level)
-    final = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    final = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     return levelled.select(
         "source",
         F.col("source_size").cast("long").alias("source_size"),
@@ -95,9 +95,10 @@ def mix(docs: DataFrame, seed: int = 7, max_repeat: int = 3) -> DataFrame:
     Rows travel with their texts only if they are drawn at least once: the draw is made on lean rows and joined back by id. Rows that
     share one id are drawn together, as often as the largest of their draws.
     """
-    drawn = copies(docs, seed, max_repeat).groupBy(F.col("doc_id").alias("_id")).agg(F.max("n_copies").alias("_copies"))
-    joined = docs.join(drawn.filter("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    drawn = copies(docs, seed, max_repeat).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("n_copies").alias("__mix_copies"))
+    drawn = materialize(drawn.filter("__mix_copies > 0"), "drawn")
+    joined = join_small(docs, drawn, docs["doc_id"].eqNullSafe(F.col("__mix_id")), "inner")
+    return joined.select(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias("__mix_copy")).drop("__mix_copy")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,7 @@ levels AS (
   FROM ratios WINDOW w AS (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, source_size,
-    least(CAST(cap AS DOUBLE), weight * coalesce((SELECT min(level) FROM levels WHERE level <= ratio), 0)) AS target FROM levels),
+    least(CAST(cap AS DOUBLE), weight * coalesce((SELECT max(level) FROM levels WHERE level <= ratio), 0)) AS target FROM levels),
 keyed AS (
   SELECT *, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS k,
     md5('7/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest,
