@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilespark.llm.shared import materialize, remove
+from tilespark.llm.shared import materialize, remove, with_fields
 
 #: Distinct words that are sent to every task at most: 4 million words take about 130 MB.
 HEAD = 4_000_000
@@ -166,8 +166,6 @@ def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: lis
     table = word_table(docs, definition)
     words = Head(table, head)
     whole, shipped = words.whole, spark.sparkContext.broadcast((words, definition))
-    fields = [docs.schema[c] for c in carry]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Of every row: its batch and number, and per word (how many ids, the ids, the pieces), or None."""
@@ -224,7 +222,7 @@ def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: lis
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     if whole:
         remove(table)
-        return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(finish, f"{ddl}, n_tokens long, {names[0]} string, {names[1]} string")
+        return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(finish, with_fields(docs, carry, f"n_tokens long, {names[0]} string, {names[1]} string"))
 
     def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of known words as strings, with the unknown word that follows each run."""
@@ -247,7 +245,7 @@ def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: lis
         yield from rows_out(known(batches), make, ["_n", "_ids", "_decoded", "_missing"], [pa.list_(pa.int64()), strings, strings, strings])
 
     runs = materialize(
-        docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(holes, f"{ddl}, _n array<long>, _ids array<string>, _decoded array<string>, _missing array<string>").withColumn("_row", F.expr("uuid()")), "bpe-runs"
+        docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(holes, with_fields(docs, carry, "_n array<long>, _ids array<string>, _decoded array<string>, _missing array<string>")).withColumn("_row", F.expr("uuid()")), "bpe-runs"
     )
     vocabulary = spark.createDataFrame(list(enumerate(splitter(definition).pieces())), "id int, piece string")  # a fixed size
     at = runs.select("_row", F.posexplode("_missing").alias("_at", "word"))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What separates words, for contracts that define them as runs of other characters.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -81,3 +82,8 @@ def word_count(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def with_fields(df: DataFrame, carry: list[str], more: str) -> T.StructType:
+    """The schema of ``carry`` as in ``df``, followed by the fields that ``more`` (DDL) declares; any name is possible."""
+    return T.StructType([df.schema[c] for c in carry] + T.StructType.fromDDL(more).fields)
