@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm.shared import join_small, materialize, partitions
+from tilespark.llm.shared import join_small, materialize, partitions, remove, with_fields
 from tilespark.llm.shingles import mix
 from tilespark.llm.suffix_array import common_prefixes, suffix_array
 
 U = np.uint64
 #: Bytes hashed for an anchor; bytes of a shard, about; different cells of one anchor that go to a shard at most; bytes hashed at a time.
-GRAM, SHARD_BYTES, HOT, PIECE_BYTES = 40, 2_000_000, 8_000, 1_000_000
+GRAM, SHARD_BYTES, HOT, PIECE_BYTES = 40, 1_000_000, 4_000, 1_000_000
 #: Stands behind every cell in a shard; no UTF-8 text holds it.
 SEPARATOR = 0xFF
 NO_ID = -(1 << 63)
@@ -225,7 +225,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(docs.mapInArrow(_find_cells(length), "id long, key long, at long, anchor long, cell long"), "cells")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    again = materialize(join_small(found, materialize(anchors, "anchors"), "anchor", "inner"), "cells-again")
+    again = materialize(found.join(materialize(anchors, "anchors"), "anchor"), "cells-again")
+    remove(found)
     occurrence = F.xxhash64("id", "key", "at")
     kinds = materialize(again.groupBy("anchor", "cell").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("chosen")), "kinds")
     mixed = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "mixed")
@@ -250,7 +251,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     wanted = wanted.mapInArrow(pack, "id long, wanted binary")
     wanted = materialize(wanted, "wanted")
     keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    holders = join_small(keyed, wanted, "id", "inner").select("doc_id", "text", "wanted")
+    holders = keyed.join(wanted, "id").select("doc_id", "text", "wanted")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "key", "anchor", "hot", "first", "bytes"]
@@ -358,8 +359,8 @@ def without_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None
                 made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, *made], [*carry, "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"])
 
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.select(*names, "_spans").mapInArrow(cut, f"{ddl}, n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digests else 'kept'} string")
+    fields = with_fields(docs, carry, f"n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digests else 'kept'} string")
+    return joined.select(*names, "_spans").mapInArrow(cut, fields)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
