@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm.shared import materialize
+from tilespark.llm.shared import materialize, with_fields
 from tilespark.llm.shingles import word_hashes
 
 #: Documents the scorer is trained on at most; hashed word features; score from which a document is rejected.
-FIT_ROWS, WIDTH, REJECT = 24_000, 1 << 17, 0.5
+FIT_ROWS, WIDTH, REJECT = 16_000, 1 << 17, 0.5
 GOOD, BAD = 1, 2
 
 # Abusive words and frequent function words of the languages served.
@@ -147,27 +147,31 @@ class LabelModel:
         return 1 / (1 + np.exp(-((v == BAD) @ odds[:, 1] - (v == GOOD) @ odds[:, 0])))
 
 
-def features(stats: np.ndarray, words: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Columns and values of each row: hashed words, scaled by the root of their number, and one bucket of each statistic."""
+def features(stats: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of each row: hashed words, then one bucket of each statistic; see :func:`values`."""
     scale = np.array([40, 20, 40, 40, 20, 15, 3, 20, 1, 0, 20, 20])
     b = np.floor(np.log2(1 + stats * scale) * 3)
     b[:, 9] = np.floor(np.log2(1 + stats[:, 9]))
-    b = np.minimum(b, BUCKETS - 1).astype(np.int64) + WIDTH + BUCKETS * np.arange(len(STATISTICS))
-    out = []
-    for i, w in enumerate(words):
-        at = np.unique((w % np.uint64(WIDTH)).astype(np.int64))
-        out.append((np.concatenate([at, b[i]]), np.concatenate([np.full(len(at), 1 / np.sqrt(max(1, len(at)))), np.ones(b.shape[1])])))
-    return out
+    b = (np.minimum(b, BUCKETS - 1) + WIDTH + BUCKETS * np.arange(len(STATISTICS))).astype(np.int32)
+    return [np.concatenate([np.unique((w % np.uint64(WIDTH)).astype(np.int32)), b[i]]) for i, w in enumerate(words)]
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, weight: np.ndarray, visits: int = 200_000, ridge: float = 1e-4) -> np.ndarray:
+def values(row: np.ndarray) -> np.ndarray:
+    """Values of a row's columns: words share a length of one, statistics count one each."""
+    n = len(row) - len(STATISTICS)
+    x = np.ones(len(row))
+    x[:n] = 1 / np.sqrt(max(1, n))
+    return x
+
+
+def train(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, visits: int = 200_000, ridge: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels by adaptive gradient steps; the last weight is the bias."""
     w, seen = np.zeros(WIDTH + BUCKETS * len(STATISTICS) + 1, dtype=np.float64), np.full(WIDTH + BUCKETS * len(STATISTICS) + 1, 1e-3)
     rng = np.random.default_rng(3)
     for _ in range(min(60, max(8, visits // len(rows)))):
         for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
-            n = np.array([len(rows[i][0]) for i in batch])
-            at, x = np.concatenate([rows[i][0] for i in batch]), np.concatenate([rows[i][1] for i in batch])
+            n = np.array([len(rows[i]) for i in batch])
+            at, x = np.concatenate([rows[i] for i in batch]), np.concatenate([values(rows[i]) for i in batch])
             owner = np.repeat(np.arange(len(batch)), n)
             p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, weights=w[at] * x, minlength=len(batch)) + w[-1], -30, 30)))
             slope = (p - target[batch]) * weight[batch] / len(batch)
@@ -204,9 +208,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in _pieces(batch):
             rows = features(*measure(texts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("bad").slice(first, len(texts)), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["bad", "at", "x"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("bad").slice(first, len(texts)), pa.array([r.tobytes() for r in rows], pa.binary())], ["bad", "row"])
 
 
 class Classifier:
@@ -220,7 +222,7 @@ class Classifier:
         stats, words = measure(texts)
         if self.weights is None:
             return np.zeros(len(texts)), np.zeros(len(texts))
-        z = np.array([float(self.weights[at] @ x) for at, x in features(stats, words)]) + float(self.weights[-1])
+        z = np.array([float(self.weights[at] @ values(at)) for at in features(stats, words)]) + float(self.weights[-1])
         return self.model.posterior(votes(stats)), 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -250,11 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame | None) -> Classifier:
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     ids = whole.join(F.broadcast(known), "votes").filter(F.col("doc_id").isNotNull() & (chance < F.col("share"))).select("doc_id", "bad").limit(2 * FIT_ROWS)
     ids = materialize(ids.dropDuplicates(["doc_id"]), "sample")  # bounded by FIT_ROWS, about
-    sample = docs.join(F.broadcast(ids), "doc_id").mapInArrow(_extract, "bad double, at array<int>, x array<double>").toArrow()
-    rows = [(np.array(a), np.array(x)) for a, x in zip(sample.column("at").to_pylist(), sample.column("x").to_pylist(), strict=True)]
+    sample = docs.join(F.broadcast(ids), "doc_id").mapInArrow(_extract, "bad double, row binary").toArrow()
+    rows = [np.frombuffer(r, dtype=np.int32) for r in sample.column("row").to_pylist()]
     if not rows:
         return Classifier(None, None)
-    target = np.array(sample.column("bad").to_pylist())
+    target = sample.column("bad").to_numpy()
     # good documents stand for more than bad ones: the scorer sees them in their true proportion, softened
     weight = np.where(target >= 0.5, 1.0, min(4.0, max(1.0, share[0] / share[1])))
     return Classifier(model, train(rows, target, weight))
@@ -272,8 +274,7 @@ def classify(docs: DataFrame, classifier: Classifier, carry: list[str] | None =
                 own = [batch.column(c).slice(first, len(texts)) for c in carry]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(weak), pa.array(score), pa.array(score >= REJECT)], [*carry, "weak_label", "score", "rejected"])
 
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, f"{ddl}, weak_label double, score double, rejected boolean")
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, with_fields(docs, carry, "weak_label double, score double, rejected boolean"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
