@@ -72,7 +72,7 @@ def clip_counts(spark, sf_dir):
 def clip_report(spark, sf_dir):
     """A line of text per clip."""
     d = scoring.detection(_boxes(spark, sf_dir))
-    return d.select("clip_id", F.format_string("P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn)", "precision", "recall", "f1", "tp", "fp", "fn").alias("line"))
+    return d.select("clip_id", F.format_string("P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn)", *[F.bround(c, 3) for c in ("precision", "recall", "f1")], "tp", "fp", "fn").alias("line"))
 
 
 def _rounded(df):
@@ -238,7 +238,7 @@ ORACLE = {
         "clip_counts": """SELECT clip_id, count(DISTINCT frame) AS frames, count(DISTINCT track_id) FILTER (side = 'gt' AND NOT ignore) AS gt_tracks, count(DISTINCT track_id) FILTER (ignore) AS ignore_tracks, count(*) FILTER (side = 'gt' AND NOT ignore) AS gt_boxes,
           count(DISTINCT track_id) FILTER (side = 'pred') AS pred_tracks, count(*) FILTER (side = 'pred') AS pred_boxes FROM {boxes} b WHERE EXISTS (SELECT 1 FROM {boxes} x WHERE x.side = 'gt' AND x.clip_id = b.clip_id AND x.frame = b.frame) GROUP BY clip_id""",
         "clip_report": f"""WITH {_NEAR}, c AS (SELECT clip_id, coalesce(tp, 0) AS tp, n_pred - coalesce(tp, 0) AS fp, n_gt - coalesce(tp, 0) AS fn FROM n LEFT JOIN tp USING (clip_id))
-          SELECT clip_id, printf('P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn)', tp / CAST(tp + fp AS DOUBLE), tp / CAST(tp + fn AS DOUBLE), 2.0e0 * tp / (2 * tp + fp + fn), tp, fp, fn) AS line FROM c""",
+          SELECT clip_id, printf('P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn)', round_even(tp / CAST(tp + fp AS DOUBLE), 3), round_even(tp / CAST(tp + fn AS DOUBLE), 3), round_even(2.0e0 * tp / (2 * tp + fp + fn), 3), tp, fp, fn) AS line FROM c""",
         "seam_flags": f"WITH {_TILED} SELECT frame_id, tile, x1, y1, x2, y2, CAST(CAST(sl AS INT) AS VARCHAR) || '0' || CAST(CAST(sr AS INT) AS VARCHAR) || '0' AS seams FROM flagged",
         "seam_duplicates": f"""WITH {_TILED} SELECT frame_id, tile, x1, x2 FROM flagged d WHERE (sl OR sr) AND EXISTS (SELECT 1 FROM cut o WHERE o.frame_id = d.frame_id AND o.tile <> d.tile AND {_AREA.format("o")} > {_AREA.format("d")}
           AND greatest(0, least(d.x2, o.x2) - greatest(d.x1, o.x1)) * greatest(0, least(d.y2, o.y2) - greatest(d.y1, o.y1)) / ({_AREA.format("d")}) >= 0.6)""",
