@@ -4,7 +4,7 @@ Texts are normalised and split into words by the rules in the tokenizer's own fi
 distinct word is encoded once, and the ids are joined back at each word's position. Decoding joins ids to pieces.
 
 The joins are dictionary joins where the sizes are bounded: the pieces (the vocabulary, a fixed size) and the ``head`` most frequent distinct
-words are sent to the tasks as sorted arrays of 128-bit word hashes with packed ids. Words outside the head, which only exist
+words are sent to the tasks as sorted arrays of 96-bit word hashes with packed ids. Words outside the head, which only exist
 where a corpus has more than ``head`` distinct words, are holes at their positions: (row, position, word) rows are joined to
 the word table by shuffle and filled in by row. Both ways give the same result; texts themselves are never shuffled.
 
@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilespark.llm.shared import materialize, remove, with_fields
+from tilespark.llm.shared import bounded_batches, materialize, remove, with_fields
 
-#: Distinct words that are sent to every task at most: 4 million words take about 130 MB.
+#: Distinct words that are sent to every task at most: 4 million words take about 100 MB.
 HEAD = 4_000_000
 #: Counted words a task holds before it hands them on.
-COUNTER_WORDS = 400_000
+COUNTER_WORDS = 150_000
 #: Words a task remembers from batch to batch.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 60_000
 
 
 class Splitter:
@@ -48,7 +48,7 @@ class Splitter:
 
     def __init__(self, definition: str):
         spec = json.loads(definition)
-        self.tokenizer = Tokenizer.from_str(definition)
+        self._definition, self._tokenizer = definition, None
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"]
         if kinds != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in split] != ["Split", "ByteLevel"] or not split[0]["invert"]:
@@ -56,8 +56,17 @@ class Splitter:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self._words = regex.compile(split[0]["pattern"]["Regex"])
+        by_id = {i: p for p, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self._pieces = [by_id.get(i) for i in range(max(by_id) + 1)]
         self._plain = re.compile("[\x00-įı-ɏ‐-‧‰-⁞₠-₿]*")
 
+    @property
+    def tokenizer(self) -> Tokenizer:
+        """The library's tokenizer, made when it is first needed: tasks that only look words up do without."""
+        if self._tokenizer is None:
+            self._tokenizer = Tokenizer.from_str(self._definition)
+        return self._tokenizer
+
     def normalise(self, part: str) -> str:
         if part.isascii():
             return part.lower()
@@ -83,7 +92,7 @@ class Splitter:
         return [i for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word) for i in (t.id for t in self.tokenizer.model.tokenize(piece))]
 
     def pieces(self) -> list[str]:
-        return [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        return self._pieces
 
 
 _splitters: dict[str, Splitter] = {}
@@ -132,16 +141,18 @@ def word_table(docs: DataFrame, definition: str) -> DataFrame:
 
 
 class Head:
-    """Sorted hashes and packed ids of the most frequent words."""
+    """Sorted hashes (96 bits) and packed ids of the most frequent words."""
 
     def __init__(self, table: DataFrame, head: int):
         n = table.count()
         self.whole = n <= head
         rows = table if self.whole else table.orderBy(F.desc("n"), "word").limit(head)
         got = rows.select("h1", "h2", "ids").toArrow().combine_chunks()  # head rows at most
-        h1, h2 = got.column("h1").to_numpy(), got.column("h2").to_numpy()
+        h1, h2 = got.column("h1").to_numpy(), got.column("h2").to_numpy().astype(np.int32)
         lengths = got.column("ids").combine_chunks().value_lengths().to_numpy() if len(h1) else np.zeros(0, np.int64)
-        flat = got.column("ids").combine_chunks().flatten().to_numpy().astype(np.int32) if len(h1) else np.zeros(0, np.int32)
+        flat = got.column("ids").combine_chunks().flatten().to_numpy() if len(h1) else np.zeros(0, np.int32)
+        del got
+        flat = flat.astype(np.uint16 if flat.size and flat.max() < 1 << 16 else np.int32)
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         order = np.lexsort((h2, h1))
         self.h1, self.h2, self.at, self.n, self.ids = h1[order], h2[order], starts[order].astype(np.int32), lengths[order].astype(np.int32), flat
@@ -152,17 +163,18 @@ class Head:
             return [None] * len(words)
         h = np.frombuffer(b"".join(map(_hash, words)), dtype=np.int64).reshape(-1, 2)
         at = np.minimum(np.searchsorted(self.h1, h[:, 0]), len(self.h1) - 1)
-        found = (self.h1[at] == h[:, 0]) & (self.h2[at] == h[:, 1])
+        found = (self.h1[at] == h[:, 0]) & (self.h2[at] == h[:, 1].astype(np.int32))
         return [self.ids[s : s + n] if ok else None for ok, s, n in zip(found.tolist(), self.at[at].tolist(), self.n[at].tolist(), strict=True)]
 
 
-def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: list[str] | None = None, digests: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: list[str] | None = None, digests: bool = False, decoded: bool = True) -> DataFrame:
     """Each row's ids and decoded text: ``n_tokens, ids, decoded`` behind the columns in ``carry``.
 
     ``ids`` are decimal ids joined by one space and ``decoded`` is the text of the pieces. With ``digests`` both are replaced by their
-    SHA-256, ``ids_sha256, decoded_sha256``, before they leave the task.
+    SHA-256, ``ids_sha256, decoded_sha256``, before they leave the task; without ``decoded`` that column stays empty.
     """
     spark, carry = docs.sparkSession, carry if carry is not None else ["doc_id"]
+    bounded_batches(spark)
     table = word_table(docs, definition)
     words = Head(table, head)
     whole, shipped = words.whole, spark.sparkContext.broadcast((words, definition))
@@ -186,7 +198,7 @@ def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: lis
                     cache.clear()
                 new = list({w for r in rows for w in r if w not in cache})
                 for w, ids in zip(new, head_words.ids_of(new), strict=True):
-                    cache[w] = None if ids is None else (len(ids), " ".join(map(str, ids.tolist())), " ".join([pieces[i] for i in ids.tolist()]))
+                    cache[w] = None if ids is None else (len(ids), " ".join(map(str, ids.tolist())), " ".join([pieces[i] for i in ids.tolist()]) if decoded else "")
                 for k, r in enumerate(rows):
                     yield batch, first + k, r, [cache[w] for w in r]
 
@@ -213,8 +225,8 @@ def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: lis
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(_, got):
             got = [g for g in got if g[0]]
-            n, ids, decoded = sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
-            return (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()) if digests else (n, ids, decoded)
+            n, ids, said = sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]) if decoded else ""
+            return (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()) if digests else (n, ids, said)
 
         names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
         yield from rows_out(known(batches), make, names, [pa.int64(), pa.string(), pa.string()])
@@ -228,18 +240,18 @@ def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: lis
         """Runs of known words as strings, with the unknown word that follows each run."""
 
         def make(r, got):
-            runs, ids, decoded, n, missing = [], [], [], 0, []
+            runs, ids, said, n, missing = [], [], [], 0, []
             for w, g in zip(r, got, strict=True):
                 if g is None:
-                    runs.append((n, " ".join(ids), " ".join(decoded)))
+                    runs.append((n, " ".join(ids), " ".join(said)))
                     missing.append(w)
-                    ids, decoded, n = [], [], 0
+                    ids, said, n = [], [], 0
                 elif g[0]:
                     n += g[0]
                     ids.append(g[1])
-                    decoded.append(g[2])
-            runs.append((n, " ".join(ids), " ".join(decoded)))
-            return [x[0] for x in runs], [x[1] for x in runs], [x[2] for x in runs], missing
+                    said.append(g[2])
+            runs.append((n, " ".join(ids), " ".join(said)))
+            return [x[0] for x in runs], [x[1] for x in runs], [x[2] if decoded else "" for x in runs], missing
 
         strings = pa.list_(pa.string())
         yield from rows_out(known(batches), make, ["_n", "_ids", "_decoded", "_missing"], [pa.list_(pa.int64()), strings, strings, strings])
@@ -249,7 +261,6 @@ def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: lis
     )
     vocabulary = spark.createDataFrame(list(enumerate(splitter(definition).pieces())), "id int, piece string")  # a fixed size
     at = runs.select("_row", F.posexplode("_missing").alias("_at", "word"))
-    table = table.withColumn("_any", F.size("ids"))
     tokens = at.join(table, "word").select("_row", "_at", F.posexplode_outer("ids").alias("_k", "id")).join(F.broadcast(vocabulary), "id", "left")
     filled = tokens.groupBy("_row", "_at").agg(F.array_sort(F.collect_list(F.struct("_k", "id", "piece"))).alias("t"))
     filled = filled.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "t"))).alias("f"))
@@ -273,7 +284,7 @@ def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: lis
         F.coalesce("f", F.expr("array()").cast("array<struct<_at:int,t:array<struct<_k:int,id:int,piece:string>>>>")), F.lit(0).cast("long"), lambda a, x: a + F.size(F.filter(x["t"], lambda y: y["id"].isNotNull()))
     )
     shown = lambda c: F.sha2(c.cast("binary"), 256) if digests else c
-    return joined.select(*carry, n.alias("n_tokens"), shown(one("id")).alias(names[0]), shown(one("piece")).alias(names[1]))
+    return joined.select(*carry, n.alias("n_tokens"), shown(one("id")).alias(names[0]), (shown(one("piece")) if decoded else F.lit("")).alias(names[1]))
 
 
 def decode(encoded: DataFrame, definition: str) -> DataFrame:

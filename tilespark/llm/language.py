@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilespark.llm.shared import bounded_batches, join_small, materialize
+
 #: Characters told apart, the most frequent of the landmarks; the others share one code.
 ALPHABET = 127
 
@@ -109,18 +111,22 @@ def fit(docs: DataFrame, per_language: int = 800, longest: int = 50_000) -> Stri
     """Fit on learning rows of ``docs`` (``doc_id, text, lang``): ``per_language`` of each language at most, none of more than
     ``longest`` characters, which bounds what the driver holds."""
     usable = ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(1, longest)
-    rows = docs.filter(usable).select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
-    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.filter(usable).withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # rows are chosen by language and hash alone; texts only meet the few that are chosen
+    lean = rows.select("lang", "h")
+    n = materialize(lean.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     # hashes below a level that leaves about twice the rows wanted of each language, so that no language's rows meet in one task
     level = F.lit(2.0 * per_language) / F.col("n") * F.lit(2.0**64) - F.lit(2.0**63)
-    few = rows.join(n, "lang").filter((F.col("n") <= 2 * per_language) | (F.col("h").cast("double") <= level))
-    number = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    found = few.withColumn("k", number).filter(F.col("k") <= per_language).select("lang", "k", "text").toPandas().sort_values(["lang", "k"])
+    few = join_small(lean, n, "lang", "inner").filter((F.col("n") <= 2 * per_language) | (F.col("h").cast("double") <= level)).distinct()
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = materialize(few.withColumn("k", number).filter(F.col("k") <= per_language).select("lang", "h"), "chosen")
+    found = join_small(rows.select("lang", "h", "text"), chosen, ["lang", "h"], "inner").toPandas().sort_values(["lang", "h", "text"])
     return StringKernel(found["text"].tolist(), found["lang"].tolist()) if len(found) else None
 
 
 def predict(docs: DataFrame, model: StringKernel | None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row; only the text is looked at."""
+    bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

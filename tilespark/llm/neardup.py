@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.llm.components import Forest, connected_components
-from tilespark.llm.shared import join_small, materialize, partitions
+from tilespark.llm.shared import bounded_batches, join_small, materialize, partitions
 from tilespark.llm.shingles import band_keys, bands_for, shingle_sets, sketches
 
 #: Hashes a block holds, about; a component up to this size is searched in one go. Texts hashed at a time, in characters.
-BLOCK_HASHES, PIECE_CHARS = 250_000, 1_000_000
+BLOCK_HASHES, PIECE_CHARS = 250_000, 400_000
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
@@ -43,7 +43,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
         t = column[i].as_py()
         texts.append(t)
         chars += len(t or "")
-        if chars > PIECE_CHARS:
+        if chars > PIECE_CHARS or len(texts) >= 1000:
             yield first, texts
             texts, first, chars = [], i + 1, 0
     if texts:
@@ -153,6 +153,7 @@ def _search(percent: int):
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lean = materialize(signatures(docs, k, percent / 100), "signatures")
     with_set = lean.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm.shared import materialize, with_fields
+from tilespark.llm.shared import bounded_batches, materialize, with_fields
 from tilespark.llm.shingles import word_hashes
 
 #: Documents the scorer is trained on at most; hashed word features; score from which a document is rejected.
@@ -190,7 +190,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
         t = batch.column("text")[i].as_py()
         texts.append(t)
         chars += len(t or "")
-        if chars > 1_000_000:
+        if chars > 400_000 or len(texts) >= 2000:
             yield first, texts
             texts, first, chars = [], i + 1, 0
     if texts:
@@ -229,6 +229,7 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame | None) -> Classifier:
     """Votes of all rows of ``docs`` (``doc_id, text``), the label model over them, and the scorer."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     voted = materialize(docs.mapInArrow(_vote, "doc_id long, votes long"), "votes")
     given = F.lit(0)
@@ -265,6 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame | None) -> Classifier:
 def classify(docs: DataFrame, classifier: Classifier, carry: list[str] | None = None) -> DataFrame:
     """``weak_label, score, rejected`` behind the columns in ``carry``."""
     carry = carry if carry is not None else ["doc_id"]
+    bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm.shared import join_small, materialize, partitions, remove, with_fields
+from tilespark.llm.shared import bounded_batches, join_small, materialize, partitions, remove, with_fields
 from tilespark.llm.shingles import mix
 from tilespark.llm.suffix_array import common_prefixes, suffix_array
 
 U = np.uint64
 #: Bytes hashed for an anchor; bytes of a shard, about; different cells of one anchor that go to a shard at most; bytes hashed at a time.
-GRAM, SHARD_BYTES, HOT, PIECE_BYTES = 40, 1_000_000, 4_000, 1_000_000
+GRAM, SHARD_BYTES, HOT, PIECE_BYTES = 40, 500_000, 4_000, 400_000
 #: Stands behind every cell in a shard; no UTF-8 text holds it.
 SEPARATOR = 0xFF
 NO_ID = -(1 << 63)
@@ -222,6 +222,7 @@ def _shard_spans(length: int):
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """``id, key, start, end``: spans of bytes to remove, as they are found (they may overlap); ``id`` is doc_id, or NO_ID for null."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(docs.mapInArrow(_find_cells(length), "id long, key long, at long, anchor long, cell long"), "cells")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")

@@ -87,3 +87,10 @@ def partitions(spark: SparkSession) -> int:
 def with_fields(df: DataFrame, carry: list[str], more: str) -> T.StructType:
     """The schema of ``carry`` as in ``df``, followed by the fields that ``more`` (DDL) declares; any name is possible."""
     return T.StructType([df.schema[c] for c in carry] + T.StructType.fromDDL(more).fields)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of documents are long: Python gets them ``rows`` at a time, unless the session has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))

@@ -26,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: U, n: int) -> np.ndarray:
     key = int(base)
     if key not in _powers or len(_powers[key]) < n:
-        p = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        p = np.full(max(n, 1 << 19), base, dtype=np.uint64)
         p[0] = 1
         _powers[key] = np.multiply.accumulate(p)
     return _powers[key][:n]

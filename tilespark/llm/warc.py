@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm.shared import new_path
+from tilespark.llm.shared import bounded_batches, new_path
 
 #: Fixed values of the Zstandard formats.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEKABLE_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -181,6 +181,7 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archive(records: DataFrame, path: str) -> None:
     """Write bundles below ``path``, one file each."""
+    bounded_batches(records.sparkSession)
     bundles = records.mapInArrow(_bundles, "bundle binary").select(F.col("bundle").cast("string").alias("value"))
     # the separator behind a row is the footer's magic number, taken byte by byte
     bundles.write.option("lineSep", FOOTER.decode("iso-8859-1")).option("encoding", "iso-8859-1").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
