@@ -31,9 +31,9 @@ def _unit(value: Column, seed: int) -> Column:
 
 
 def _size_class(size: Column) -> Column:
-    """Classes of sizes that share the number of decimal digits and the leading digit."""
+    """Classes of sizes that share the number of decimal digits and the two leading digits: sizes in a class differ by a tenth at most."""
     digits = F.length(size.cast("string"))
-    return digits * 10 + F.substring(size.cast("string"), 1, 1).cast("int")
+    return digits * 100 + F.substring(size.cast("string"), 1, 2).cast("int")
 
 
 def source_targets(sized: DataFrame, max_repeat: int = 3) -> DataFrame:
@@ -124,7 +124,7 @@ targets AS (
 keyed AS (
   SELECT *, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS k,
     md5('7/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest,
-    len(CAST(size AS VARCHAR)) * 10 + CAST(substr(CAST(size AS VARCHAR), 1, 1) AS INT) AS class FROM sized),
+    len(CAST(size AS VARCHAR)) * 100 + CAST(substr(CAST(size AS VARCHAR), 1, 2) AS INT) AS class FROM sized),
 salted AS (SELECT *, CAST('0x' || substr(digest, 1, 2) AS INT) % 64 AS salt FROM keyed),
 ranked AS (
   SELECT doc_id, size, k, source,
