@@ -35,7 +35,7 @@ HEAD = 4_000_000
 #: Counted words a task holds before it hands them on.
 COUNTER_WORDS = 150_000
 #: Words a task remembers from batch to batch.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 120_000
 
 
 class Splitter:
@@ -157,14 +157,17 @@ class Head:
         order = np.lexsort((h2, h1))
         self.h1, self.h2, self.at, self.n, self.ids = h1[order], h2[order], starts[order].astype(np.int32), lengths[order].astype(np.int32), flat
 
-    def ids_of(self, words: list[str]) -> list[np.ndarray | None]:
+    def ids_of(self, words: list[str]) -> list[list[int] | None]:
         """Ids of each word, None for words outside the head."""
         if not len(self.h1) or not words:
             return [None] * len(words)
         h = np.frombuffer(b"".join(map(_hash, words)), dtype=np.int64).reshape(-1, 2)
         at = np.minimum(np.searchsorted(self.h1, h[:, 0]), len(self.h1) - 1)
         found = (self.h1[at] == h[:, 0]) & (self.h2[at] == h[:, 1].astype(np.int32))
-        return [self.ids[s : s + n] if ok else None for ok, s, n in zip(found.tolist(), self.at[at].tolist(), self.n[at].tolist(), strict=True)]
+        n = np.where(found, self.n[at], 0)
+        ends = np.cumsum(n)
+        flat = self.ids[np.repeat(self.at[at] - ends + n, n) + np.arange(n.sum())].tolist()
+        return [flat[e - k : e] if ok else None for ok, e, k in zip(found.tolist(), ends.tolist(), n.tolist(), strict=True)]
 
 
 def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: list[str] | None = None, digests: bool = False, decoded: bool = True) -> DataFrame:
@@ -184,6 +187,7 @@ def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: lis
         head_words, text = shipped.value
         split = splitter(text)
         pieces = split.pieces()
+        numbers = [str(i) for i in range(len(pieces))]
         cache: dict[str, tuple | None] = {}
         for batch in batches:
             column, at = batch.column("text"), 0
@@ -198,7 +202,7 @@ def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: lis
                     cache.clear()
                 new = list({w for r in rows for w in r if w not in cache})
                 for w, ids in zip(new, head_words.ids_of(new), strict=True):
-                    cache[w] = None if ids is None else (len(ids), " ".join(map(str, ids.tolist())), " ".join([pieces[i] for i in ids.tolist()]) if decoded else "")
+                    cache[w] = None if ids is None else (len(ids), " ".join([numbers[i] for i in ids]), " ".join([pieces[i] for i in ids]) if decoded else "")
                 for k, r in enumerate(rows):
                     yield batch, first + k, r, [cache[w] for w in r]
 
