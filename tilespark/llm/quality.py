@@ -119,10 +119,10 @@ def pattern(v: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Accuracies of labellers, each vote counting by the odds that its labeller is right when it votes so.
+    """Accuracies of labellers, each of whose votes is right with one chance, whatever the document's class.
 
-    Expectation: a document's chance of being bad from the odds of its votes. Maximisation: a labeller's accuracy for a vote is the mean chance that
-    the vote was right. Labellers correct each other where they overlap; one that nobody contradicts keeps what it starts with.
+    Expectation: a document's chance of being bad from the odds of its votes. Maximisation: a labeller's accuracy is the mean chance that its
+    votes were right. Labellers correct each other where they overlap; one that nobody contradicts keeps what it starts with.
     """
 
     #: Accuracy at the start, and how many documents (as a share of all) that counts for.
@@ -130,21 +130,18 @@ class LabelModel:
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 100):
         v = patterns[:, None] // 3 ** np.arange(labellers) % 3
-        self.accuracy = np.full((labellers, 2), self.START)  # of good votes, of bad votes
+        self.accuracy = np.full(labellers, self.START)
         pseudo = self.PRIOR * counts.sum() + 1
         for _ in range(rounds):
-            bad = self.posterior(v)
-            right = np.stack([1 - bad, bad], axis=1) * counts[:, None]
-            for k in range(labellers):
-                for y, vote in enumerate((GOOD, BAD)):
-                    voted = v[:, k] == vote
-                    share = (right[voted, y].sum() + pseudo * self.START) / (counts[voted].sum() + pseudo)
-                    self.accuracy[k, y] = np.clip(share, 0.5, 0.999)
+            bad = self.posterior(v)[:, None]
+            right = np.where(v == BAD, bad, np.where(v == GOOD, 1 - bad, 0)) * counts[:, None]
+            voted = (v != 0) * counts[:, None]
+            self.accuracy = np.clip((right.sum(0) + pseudo * self.START) / (voted.sum(0) + pseudo), 0.5, 0.999)
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         """Chance of being bad given votes (a row each, as many columns as labellers or the first of them)."""
         odds = np.log(self.accuracy / (1 - self.accuracy))[: v.shape[1]]
-        return 1 / (1 + np.exp(-((v == BAD) @ odds[:, 1] - (v == GOOD) @ odds[:, 0])))
+        return 1 / (1 + np.exp(-((v == BAD) @ odds - (v == GOOD) @ odds)))
 
 
 def features(stats: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
