@@ -175,6 +175,23 @@ def test_search_within_radius(spark, radius):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_neighbours_are_named(spark, docs):
+    rng = np.random.default_rng(8)
+    words = [f"term{i}" for i in range(5_000)]
+    rows = []
+    for i in range(1, 41):
+        text = [words[j] for j in rng.integers(0, 5_000, (100, 200, 500, 1000)[i % 4])]
+        rows.append((100 * i, " ".join(text)))
+        text[int(rng.integers(1, len(text) - 1))] = "changed"
+        rows.append((100 * i + 1, " ".join(text)))
+    rows += [(r.doc_id + 10_000_000, r.text) for r in docs.collect() if r.doc_id is not None] + [(None, rows[0][1]), (7, rows[0][1])]
+    got = Counter(map(tuple, simhash.neighbours(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 100 == 0).collect()))
+    prints = [(i, int(fingerprint(t), 16)) for i, t in rows]
+    want = {(i, j, (a ^ b).bit_count()) for i, a in prints if i is not None and i % 100 == 0 for j, b in prints if j != i and (a ^ b).bit_count() <= simhash.RADIUS}
+    assert got == Counter(want)
+    assert sum((100 * i, 100 * i + 1) in {x[:2] for x in got} for i in range(1, 41)) >= 38
+
+
 # token ids
 
 

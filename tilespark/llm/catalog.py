@@ -13,3 +13,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+
+
+def more() -> dict:
+    """Queries beside the ten operators."""
+    return dict(simhash.MORE)

@@ -11,6 +11,10 @@ Searching within a Hamming radius r cuts the fingerprint into r + 1 blocks; two
 for every block, led by that block, all of them are found by equality on (table, block). A pair is reported by the first table that holds it.
 Equal fingerprints are one entry with a count.
 
+One changed word moves about 10 of 128 bits in a text of 100 words, and fewer in longer ones, so near copies are looked for within ``RADIUS`` bits. There
+blocks that agree would be too short to tell anything apart; of 8 blocks of 16 bits one differs by one bit at most, so a query asks every
+table for its block and the 16 blocks a bit away.
+
 Defined cases: null text is empty; words are separated by space and 0x09-0x0D; equal texts have equal fingerprints; repeated rows are rows of their
 own; null ids come after all others; a single document is its own next; an empty table gives an empty result; other columns are ignored,
 whatever their names.
@@ -32,6 +36,8 @@ CHUNK = 16_000
 BUCKET_ROWS, BUCKETS = 2_000, 65_536
 FIELDS = 0x0001000100010001
 HALVES = 0x0000FFFF0000FFFF
+#: Bits within which near copies are looked for, and blocks of a fingerprint then; a block may differ in RADIUS // WIDE_BLOCKS bits.
+RADIUS, WIDE_BLOCKS = 15, 8
 EMPTY = " \t\n\x0b\f\r"
 
 
@@ -114,6 +120,24 @@ def search(queries: DataFrame, entries: DataFrame, radius: int = 3) -> DataFrame
     return q.join(e, (q["t"] == e["t"]) & (q["key"] == e["key"]) & near & first).select("qa", "qb", "fa", "fb", "n")
 
 
+def search_wide(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """``qa, qb, fa, fb, distance``: all distinct entries (``fa, fb``) within ``RADIUS`` bits of each distinct query (``qa, qb``)."""
+    block = lambda a, b, k: F.shiftrightunsigned(a if k < 4 else b, 48 - 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    apart = lambda k: F.bit_count(block("qa", "qb", k).bitwiseXOR(block("fa", "fb", k)))
+    flips = F.array(*[F.lit(x) for x in (0, *(1 << i for i in range(16)))])
+
+    def tables(rows: DataFrame, a: str, b: str) -> DataFrame:
+        led = F.array(*[F.struct(F.lit(k).alias("t"), block(a, b, k).alias("key")) for k in range(WIDE_BLOCKS)])
+        return rows.select(a, b, F.explode(led).alias("_e")).select(a, b, "_e.t", "_e.key")
+
+    q = tables(queries.select("qa", "qb").distinct(), "qa", "qb").select("qa", "qb", "t", "key", F.explode(flips).alias("_flip"))
+    q = q.select("qa", "qb", "t", F.col("key").bitwiseXOR(F.col("_flip")).alias("key"))
+    e = tables(entries.select("fa", "fb").distinct(), "fa", "fb")
+    distance = F.bit_count(F.col("qa").bitwiseXOR(F.col("fa"))) + F.bit_count(F.col("qb").bitwiseXOR(F.col("fb")))
+    first = reduce(lambda x, y: x & y, [(q["t"] <= k) | (apart(k) > 1) for k in range(WIDE_BLOCKS)])
+    return q.join(e, (q["t"] == e["t"]) & (q["key"] == e["key"]) & (distance <= RADIUS) & first).select("qa", "qb", "fa", "fb", distance.alias("distance"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows of ``doc_id, text`` with the text of the next document (descending doc_id, the first after the last).
 
@@ -177,5 +201,25 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def neighbours(docs: DataFrame, asked: Column) -> DataFrame:
+    """``doc_id, near_id, distance``: for each id that is asked for, the ids of all other documents whose fingerprints are within ``RADIUS`` bits.
+
+    An id that rows repeat is named once for every distance at which it is found. A document without an id is found, as null, and never asked for.
+    """
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_n", F.monotonically_increasing_id())
+    prints = materialize(fingerprints(numbered, ["doc_id", "_n"]).select("doc_id", "fa", "fb").distinct(), "prints")
+    wanted = prints.filter(F.col("doc_id").isNotNull() & asked).select("doc_id", F.col("fa").alias("qa"), F.col("fb").alias("qb"))
+    hits = search_wide(wanted, prints)
+    found = prints.withColumnRenamed("doc_id", "near_id").join(hits, ["fa", "fb"])
+    return wanted.join(found, ["qa", "qb"]).filter(~F.col("doc_id").eqNullSafe(F.col("near_id"))).select("doc_id", "near_id", "distance").distinct()
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near copies of every hundredth id."""
+    return neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), F.col("doc_id") % 100 == 0)
+
+
 QUERIES = {"op3_simhash": op3_simhash}
+#: Registered beside the ten operators.
+MORE = {"op3_neighbours": op3_neighbours}
 ORACLE: dict[str, str] = {}
