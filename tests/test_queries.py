@@ -1,5 +1,6 @@
 """Every registered query of the library's own families against its SQL, and the entry module with and without the optional part."""
 
+import os
 import subprocess
 import sys
 from collections import Counter
@@ -151,3 +152,15 @@ def test_stream_of_acquisitions(spark, tmp_path):
     stream = spark.readStream.schema("clip_id int, frame int, object_id int").parquet(f"{tmp_path}/seen")
     got = windows.run_to_end(windows.acquisitions(stream, 5), "append", "acquired").collect()
     assert sorted((r.object_id, r.acquired_frame, r.track_id) for r in got) == [(5, 5, 1), (6, 10, 2), (7, 15, 3)]
+
+
+def test_streams_lose_nothing_in_any_order_of_files(spark, tmp_path):
+    n = 24
+    (tmp_path / "events.parquet").mkdir()
+    for i in range(n):  # the newest event in the oldest file, then back and forth
+        day = n - i if i % 3 else i
+        df = spark.sql(f"SELECT CAST({i} AS LONG) AS event_id, TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval({2 * day}, {i % 3}) AS ts, CAST(1 AS LONG) AS user_id, 'a' AS event_type, 1.0D AS value, '' AS props")
+        df.toPandas().astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet" / f"{i:02}.parquet")
+        os.utime(tmp_path / "events.parquet" / f"{i:02}.parquet", (1_700_000_000 + 60 * i,) * 2)
+    assert sum(r.n for r in windows.stream_sessions(spark, str(tmp_path)).collect()) == n
+    assert sum(r.n for r in windows.stream_windows(spark, str(tmp_path)).collect()) == n
