@@ -71,6 +71,17 @@ def test_pixel_rule(spark):
         assert r.got == r.want and r.ok == (r.want is None)
 
 
+def test_duplicates_are_verified_and_never_chained(spark):
+    value = lambda x, y: (x * 7 + y * 13 + x * y) % 101
+    # number, group, corner and size; 9 is the original of its crop 2, whose crop is 17; 30 is a copy of 9; 5 lies inside with another pixel; 21 is of another group
+    rasters = [(9, "g", 10, 20, 8, 8), (2, "g", 12, 21, 5, 6), (17, "g", 13, 23, 3, 3), (30, "g", 10, 20, 8, 8), (5, "g", 11, 22, 4, 4), (21, "h", 12, 21, 5, 6), (40, "g", 10, 20, 4, 8)]
+    pixels = [(i, x, y, value(x0 + x, y0 + y) + (i == 5 and x == y == 2)) for i, _, x0, y0, w, h in rasters for x in range(w) for y in range(h)]
+    pixels = [(i, x, y, None if (i, x, y) == (40, 1, 1) else v) for i, x, y, v in pixels]
+    r = spark.createDataFrame(rasters, "raster_id int, grid string, x0 int, y0 int, width int, height int")
+    got = inventory.duplicates(r, spark.createDataFrame(pixels, "raster_id int, x int, y int, b1 long"))
+    assert {x.raster_id: x.duplicate_of for x in got.collect()} == {2: 9, 17: 9, 30: 9}
+
+
 def test_order_of_reasons(spark):
     r = lambda p, geo, dup, gsd: spark.range(1).select(inventory.index_reason(F.lit(p).cast("string"), F.lit(geo), F.lit(dup), F.lit(gsd))).collect()[0][0]
     assert r("too_few_bands", False, True, 9.0) == "too_few_bands" and r(None, False, True, 9.0) == "not_georeferenced"

@@ -45,6 +45,18 @@ def same_pixels(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
     return at.join(outer, ["out_raster_id", "ox", "oy"], "left").groupBy("in_raster_id", "out_raster_id").agg(F.count(F.lit(1)).alias("pixels"), F.bool_and(F.coalesce(F.col("v") == F.col("w"), F.lit(False))).alias("same"))
 
 
+def duplicates(rasters: DataFrame, pixels: DataFrame) -> DataFrame:
+    """``raster_id, duplicate_of``: rasters whose pixels all lie in a larger one of their group (of equal sizes: one of a smaller id).
+
+    The original is the largest that is not itself a duplicate. Lying inside with equal pixels is transitive, so one that no raster holds is always among
+    a duplicate's verified holders, and no chain has to be followed.
+    """
+    held = same_pixels(contained(rasters), pixels).filter("same").select(F.col("in_raster_id").alias("raster_id"), "out_raster_id")
+    ends = held.join(held.select(F.col("raster_id").alias("out_raster_id")).distinct(), "out_raster_id", "left_anti")
+    area = rasters.select(F.col("raster_id").alias("out_raster_id"), (F.col("width").cast("long") * F.col("height")).alias("area"))
+    return ends.join(area, "out_raster_id").groupBy("raster_id").agg(F.min(F.struct((-F.col("area")).alias("a"), F.col("out_raster_id").alias("id"))).alias("first")).select("raster_id", F.col("first.id").alias("duplicate_of"))
+
+
 def tree_digest(files: DataFrame, path: str, facts: list[str]) -> DataFrame:
     """One digest of a tree: of the digests of 256 path groups, each over its files in order; no task holds the whole list."""
     line = F.concat_ws("|", F.col(path).cast("string"), *[F.col(c).cast("string") for c in facts])

@@ -152,6 +152,16 @@ def equal_pixels(spark, sf_dir):
     return inventory.same_pixels(pairs, p)
 
 
+def raster_duplicates(spark, sf_dir):
+    """Every raster with the original that it copies or is cropped from, verified pixel by pixel, and why it is not indexed."""
+    s = table(spark, sf_dir, "scenes").withColumn("kind", g.crs_kind(F.col("crs")))
+    s = s.select(F.col("scene_id").alias("raster_id"), "kind", F.round(F.col("px") * g.scale_correction(F.col("kind"), F.col("lat")), 9).alias("gsd"))
+    r = _rasters(spark, sf_dir).join(s, "raster_id").join(pixel_rule(spark, sf_dir).select("raster_id", F.col("reason").alias("pixel")), "raster_id", "left")
+    found = inventory.duplicates(r.filter("pixel IS NULL AND kind <> 'none'"), table(spark, sf_dir, "pixels"))
+    reason = inventory.index_reason(F.col("pixel"), F.col("kind") != "none", F.col("duplicate_of").isNotNull(), F.col("gsd"))
+    return r.join(found, "raster_id", "left").select("raster_id", "duplicate_of", reason.alias("reason"))
+
+
 def path_keys(spark, sf_dir):
     """Path keys, areas and dates from paths with either separator."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(".\\area"), (F.col("p_partkey") % 5).cast("string"), F.lit("//"), F.col("p_brand"), F.lit("\\2024-01-0"), (1 + F.col("p_partkey") % 9).cast("string"), F.when(F.col("p_size") % 2 == 0, ".TIF").otherwise(".jp2")).alias("path"))
@@ -161,7 +171,7 @@ def path_keys(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (tile_plan, tile_counts, tile_id_roundtrip, valid_tiles, overlap_tile_origins, sample_windows, check_offsets, read_amplification, tile_bbox_mercator, shared_edges, basemap_blocks, nodata_by_tile, pixel_rule, band_distinct_levels, inventory_counts, gsd_by_crs, geodesic_check, content_duplicates, tree_digest, contained_rasters, equal_pixels, path_keys)
+    for f in (tile_plan, tile_counts, tile_id_roundtrip, valid_tiles, overlap_tile_origins, sample_windows, check_offsets, read_amplification, tile_bbox_mercator, shared_edges, basemap_blocks, nodata_by_tile, pixel_rule, band_distinct_levels, inventory_counts, gsd_by_crs, geodesic_check, content_duplicates, tree_digest, contained_rasters, equal_pixels, raster_duplicates, path_keys)
 }
 
 _SCALED = "scaled AS (SELECT *, unnest([448, 224, 112]) AS scale FROM {scenes})"
@@ -226,6 +236,16 @@ ORACLE = {
           WHERE a.width * a.height < b.width * b.height OR (a.width * a.height = b.width * b.height AND a.raster_id > b.raster_id)""",
         "equal_pixels": """SELECT a.raster_id AS in_raster_id, CAST(a.raster_id + 1 AS INT) AS out_raster_id, count(*) AS pixels, bool_and(coalesce(a.b1 = b.b1, false)) AS same
           FROM {pixels} a LEFT JOIN {pixels} b ON b.raster_id = a.raster_id + 1 AND a.x = b.x AND a.y = b.y GROUP BY 1, 2""",
+        "raster_duplicates": f"""WITH {_LEVELS}, k AS (SELECT *, {_KIND} AS kind FROM {{scenes}}),
+          r AS (SELECT p_partkey AS raster_id, p_brand || '/' || p_size AS grid, p_partkey % 7 * 64 AS x0, p_partkey % 5 * 64 AS y0, p_partkey % 11 * 64 + 128 AS width, p_partkey % 13 * 64 + 128 AS height, kind, levels.reason AS pixel,
+            round(CASE kind WHEN 'mercator' THEN px * cos(radians(lat)) WHEN 'projected' THEN px END, 9) AS gsd FROM {{part}} JOIN k ON scene_id = p_partkey LEFT JOIN levels ON levels.raster_id = p_partkey),
+          c AS (SELECT * FROM r WHERE pixel IS NULL AND kind <> 'none'),
+          pairs AS (SELECT a.raster_id AS i, b.raster_id AS o, a.x0 - b.x0 AS dx, a.y0 - b.y0 AS dy, b.width * b.height AS area FROM c a JOIN c b ON a.grid = b.grid AND a.x0 >= b.x0 AND a.y0 >= b.y0 AND a.x0 + a.width <= b.x0 + b.width AND a.y0 + a.height <= b.y0 + b.height
+            WHERE a.width * a.height < b.width * b.height OR (a.width * a.height = b.width * b.height AND a.raster_id > b.raster_id)),
+          held AS (SELECT i, o, area FROM pairs JOIN {{pixels}} p ON p.raster_id = i LEFT JOIN {{pixels}} q ON q.raster_id = o AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY i, o, area HAVING bool_and(coalesce(p.b1 = q.b1, false))),
+          one AS (SELECT i, arg_min(o, (-area, o)) AS duplicate_of FROM held WHERE o NOT IN (SELECT i FROM held) GROUP BY i)
+          SELECT raster_id, duplicate_of, CASE WHEN pixel IS NOT NULL THEN pixel WHEN kind = 'none' THEN 'not_georeferenced' WHEN duplicate_of IS NOT NULL THEN 'duplicate'
+            WHEN gsd IS NULL OR NOT gsd BETWEEN 0.05 AND 0.15 THEN 'gsd_out_of_range' END AS reason FROM r LEFT JOIN one ON i = raster_id""",
         "path_keys": """WITH k AS (SELECT p_partkey, 'area' || p_partkey % 5 || '/' || p_brand || '/2024-01-0' || (1 + p_partkey % 9) || CASE WHEN p_size % 2 = 0 THEN '.TIF' ELSE '.jp2' END AS key, 'area' || p_partkey % 5 AS aoi, p_size, '2024-01-0' || (1 + p_partkey % 9) AS d FROM {part})
           SELECT p_partkey, key, aoi, CASE WHEN p_size % 2 = 0 THEN d ELSE 'unknown' END AS acq_date FROM k""",
     }.items()
