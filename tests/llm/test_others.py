@@ -184,6 +184,21 @@ def test_pipeline_stages(spark, odd_docs, no_docs, tmp_path):
         assert "ids" in docs.columns and docs.count() == before.count()
 
 
+def test_pipeline_decodes(spark, odd_docs):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    from tilespark.llm import bpe
+
+    t = Tokenizer.from_str(bpe.default_definition())
+    want = Counter()
+    for r in odd_docs.collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids
+        want[(r.doc_id, r.source, len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False))] += 1
+    out = p.encode(spark, odd_docs, "")
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids", "decoded"] and Counter(map(tuple, out.collect())) == want
+
+
 def test_pipeline_near_duplicates_keep_one(spark, odd_docs):
     import corpus_pipeline as p
 
