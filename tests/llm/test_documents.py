@@ -276,6 +276,22 @@ def test_language(spark, docs):
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, rows))
 
 
+@pytest.mark.parametrize(("table", "columns"), [(language.TABLE, language.COLUMNS), (0, 0), (0, language.COLUMNS)])
+def test_languages_in_scripts_above_3000(monkeypatch, table, columns):
+    monkeypatch.setattr(language, "TABLE", table)
+    monkeypatch.setattr(language, "COLUMNS", columns)
+    rng = np.random.default_rng(6)
+    ranges = {"zh": (0x4E00, 0x4F00), "zz": (0x4F00, 0x5000), "ja": (0x3041, 0x3090), "ko": (0xAC00, 0xAD00), "xx": (0x20000, 0x20100)}
+    say = lambda lo, hi: " ".join("".join(chr(int(x)) for x in rng.integers(lo, hi, 5)) for _ in range(30))
+    learn = [(x, say(*r)) for x, r in ranges.items() for _ in range(60)]
+    model = language.StringKernel([t for _, t in learn], [x for x, _ in learn])
+    held = [(x, say(*r)) for x, r in ranges.items() for _ in range(20)]
+    found, _ = model.predict([t for _, t in held])
+    assert sum(a == b for a, (b, _) in zip(found, held, strict=True)) >= 98
+    plain = [{c.lower() for c in t if c.isalpha()} for _, t in held]
+    assert all(len(model._held(t)) >= len(p) for (_, t), p in zip(held, plain, strict=True))
+
+
 def test_language_without_learning_rows(spark, no_docs, odd_docs):
     assert language.fit(no_docs) is None and language.predict(no_docs, None).collect() == []
     assert {r.lang_pred for r in language.predict(odd_docs, None).collect()} == {"und"}

@@ -5,7 +5,8 @@ hold, over the root of the product of their numbers. ``landmarks`` texts, chosen
 times the inverse root of the kernel among them), and one ridge regression per language is fitted on it (one versus rest).
 
 Scoring a batch is a product of two matrices: presence of n-grams in the batch's texts by presence of n-grams in the landmarks, then by the
-coefficients. N-grams are those of the landmarks, a bounded number; whole texts are read.
+coefficients. N-grams are those of the landmarks, a bounded number; whole texts are read. Every letter of the landmarks has a code of its own, in any script.
+Scripts with many letters have too many n-grams for matrices: then n-grams are looked up by bisection and matches are counted by lists of the landmarks that hold each.
 
 Fitting takes ``per_language`` learning rows of every language at most, those with the smallest hash of their id: a bounded sample. Everything else
 (the languages, the rows scored) covers all rows.
@@ -17,6 +18,7 @@ result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tilespark.llm.shared import bounded_batches, join_small, materialize
 
-#: Characters told apart, the most frequent of the landmarks; the others share one code.
-ALPHABET = 127
+#: Numbers of n-grams that a dense table can hold (more are sorted), and columns that a dense matrix can have (more are listed).
+TABLE, COLUMNS = 4_000_000, 65_536
 
 
 def held_out(doc_id: Column) -> Column:
@@ -37,16 +39,15 @@ def held_out(doc_id: Column) -> Column:
 def _codes(text: str, table: np.ndarray) -> np.ndarray:
     """Small codes of the lower-cased characters, runs of anything but letters being one space (code 0)."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = table[np.minimum(points, len(table) - 1)]
+    c = table[points]
     keep = np.ones(len(c), dtype=bool)
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
     return np.concatenate([[0], c[keep], [0]])
 
 
-def _grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the 1-, 2- and 3-grams at every place; an n-gram's number tells its length too."""
+def _grams(codes: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the 1-, 2- and 3-grams at every place, of ``wide`` codes; an n-gram's number tells its length too."""
     c = codes.astype(np.int64)
-    wide = ALPHABET + 2
     two = c[:-1] * wide + c[1:]
     return c, wide + two, wide + wide * wide + two[:-1] * wide + c[2:]
 
@@ -56,52 +57,82 @@ class StringKernel:
 
     def __init__(self, texts: list[str], languages: list[str], landmarks: int = 160, ridge: float = 1e-3):
         self.languages = sorted(set(languages))
-        joined = "".join(t.lower() for t in texts)
-        points, n = np.unique(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)
-        letters = np.array([chr(p).isalpha() for p in points.tolist()], dtype=bool)
-        frequent = points[letters][np.argsort(-n[letters], kind="stable")][:ALPHABET]
-        # code 0: not a letter; 1: any other letter
-        self.table = np.zeros(0x3000, dtype=np.int16)
-        self.table[[p for p in range(len(self.table)) if chr(p).isalpha()]] = 1
-        self.table[-1] = 1
-        inside = frequent[frequent < len(self.table) - 1]
-        self.table[inside] = 2 + np.arange(len(inside))
-        self.column = np.full((ALPHABET + 2) ** 3 + (ALPHABET + 2) ** 2 + ALPHABET + 2, -1, dtype=np.int32)
         by = {x: [t for t, y in zip(texts, languages, strict=True) if y == x] for x in self.languages}
         each = max(1, landmarks // max(1, len(by)))
         marks = [t for x in self.languages for t in by[x][:each]]
-        seen = np.unique(np.concatenate([np.unique(np.concatenate(_grams(_codes(t, self.table)))) for t in marks]))
-        self.column[seen] = np.arange(len(seen))
-        self.width = len(seen)
-        self.marks = self._presence(marks)
-        self.mark_norm = np.sqrt(np.maximum(self.marks.sum(1), 1))
-        k_mm = self._kernel(self.marks)
+        points = np.unique(np.frombuffer("".join(t.lower() for t in marks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+        letters = [p for p in points.tolist() if chr(p).isalpha()]
+        # code 0: not a letter; 1: a letter that no landmark has
+        self.table = np.zeros(sys.maxunicode + 1, dtype=np.int32)
+        self.table[[p for p in range(len(self.table)) if chr(p).isalpha()]] = 1
+        self.table[letters] = 2 + np.arange(len(letters))
+        self.wide = len(letters) + 2
+        self.seen = np.unique(np.concatenate([np.unique(np.concatenate(_grams(_codes(t, self.table), self.wide))) for t in marks]))
+        self.column = None
+        size = self.wide**3 + self.wide**2 + self.wide
+        if size <= TABLE:
+            self.column = np.full(size, -1, dtype=np.int32)
+            self.column[self.seen] = np.arange(len(self.seen))
+        self.width = len(self.seen)
+        self.n_marks, self.listed = len(marks), self.width > COLUMNS
+        if self.listed:
+            held = [self._held(t) for t in marks]
+            self.mark_norm = np.sqrt(np.maximum([len(h) for h in held], 1)).astype(np.float32)
+            at = np.concatenate(held)
+            self.holders = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])[np.argsort(at, kind="stable")]
+            self.ends = np.cumsum(np.bincount(at, minlength=self.width))
+        else:
+            self.marks = self._presence(marks)
+            self.mark_norm = np.sqrt(np.maximum(self.marks.sum(1), 1))
+        k_mm = self._kernel(marks)
         values, vectors = np.linalg.eigh(k_mm.astype(np.float64))
         good = values > 1e-6 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        x = np.concatenate([self._kernel(self._presence(texts[i : i + 256])) for i in range(0, len(texts), 256)]).astype(np.float64) @ root
+        x = np.concatenate([self._kernel(texts[i : i + 256]) for i in range(0, len(texts), 256)]).astype(np.float64) @ root
         x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
         y = np.array([[1.0 if a == b else -1.0 for b in self.languages] for a in languages])
         w = np.linalg.solve(x1.T @ x1 + ridge * len(x) * np.eye(x1.shape[1]), x1.T @ y)
         self.weights, self.bias = (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32)
 
+    def _columns(self, text: str) -> Iterator[np.ndarray]:
+        """Columns of the n-grams of a text that landmarks have, with repeats."""
+        codes = _codes(text, self.table)
+        for lo in range(0, max(1, len(codes) - 2), 1 << 20):  # long texts in pieces that overlap by two characters
+            for g in _grams(codes[lo : lo + (1 << 20) + 2], self.wide):
+                if self.column is not None:
+                    at = self.column[g]
+                    yield at[at >= 0]
+                else:
+                    at = np.minimum(np.searchsorted(self.seen, g), self.width - 1)
+                    yield at[self.seen[at] == g]
+
+    def _held(self, text: str) -> np.ndarray:
+        return np.unique(np.concatenate([np.unique(at) for at in self._columns(text)]))
+
     def _presence(self, texts: list[str]) -> np.ndarray:
         p = np.zeros((len(texts), self.width), dtype=np.float32)
         for i, t in enumerate(texts):
-            codes = _codes(t, self.table)
-            for lo in range(0, max(1, len(codes) - 2), 1 << 20):  # long texts in pieces that overlap by two characters
-                for g in _grams(codes[lo : lo + (1 << 20) + 2]):
-                    at = self.column[g]
-                    p[i, at[at >= 0]] = 1
+            for at in self._columns(t):
+                p[i, at] = 1
         return p
 
-    def _kernel(self, presence: np.ndarray) -> np.ndarray:
-        n = np.sqrt(np.maximum(presence.sum(1), 1))
-        return (presence @ self.marks.T) / n[:, None] / self.mark_norm[None, :]
+    def _kernel(self, texts: list[str]) -> np.ndarray:
+        if not self.listed:
+            presence = self._presence(texts)
+            both, n = presence @ self.marks.T, presence.sum(1)
+        else:
+            both, n = np.zeros((len(texts), self.n_marks), dtype=np.float32), np.zeros(len(texts), dtype=np.float32)
+            for i, t in enumerate(texts):
+                at = self._held(t)
+                n[i] = len(at)
+                k = self.ends[at] - np.where(at > 0, self.ends[at - 1], 0)
+                stops = np.cumsum(k)
+                both[i] = np.bincount(self.holders[np.repeat(self.ends[at] - stops, k) + np.arange(k.sum())], minlength=self.n_marks)
+        return both / np.sqrt(np.maximum(n, 1))[:, None] / self.mark_norm[None, :]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score is the best regression's share after a soft maximum."""
-        f = self._kernel(self._presence(texts)) @ self.weights + self.bias
+        f = self._kernel(texts) @ self.weights + self.bias
         e = np.exp(4.0 * (f - f.max(1, keepdims=True)).astype(np.float64))
         best = f.argmax(1)
         return [self.languages[b] for b in best.tolist()], e[np.arange(len(f)), best] / e.sum(1)
