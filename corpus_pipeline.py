@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tilespark.llm import bpe, mixing, neardup, quality, repeats
 from tilespark.llm.shared import join_small, materialize
 
-#: SQL cannot express the classifier or the tokenizer; tests compare every stage with a brute-force version.
+#: SQL cannot express the classifier or the tokenizer. Tests compare the operators, and the last stage, with brute force; of the other stages they check columns, counts and single cases.
 ORACLE_SQL = None
 
 
