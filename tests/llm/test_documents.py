@@ -195,17 +195,18 @@ def test_neighbours_are_named(spark, docs):
 # token ids
 
 
-@pytest.mark.parametrize("head", [bpe.HEAD, 40])
-def test_bpe(docs, head):
+@pytest.mark.parametrize("words", [bpe.BLOCK_WORDS, 40])
+def test_bpe(docs, words, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", words)
     definition = bpe.default_definition()
     t = Tokenizer.from_str(definition)
     want = Counter()
     for r in docs.collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids
         want[(r.doc_id, len(ids), sha(" ".join(map(str, ids)).encode()), sha(t.decode(ids, skip_special_tokens=False).encode()))] += 1
-    assert Counter(map(tuple, bpe.encode_decode(docs, definition, head=head, digests=True).collect())) == want
+    assert Counter(map(tuple, bpe.encode_decode(docs, definition, digests=True).collect())) == want
 
 
 def test_bpe_of_nothing_and_decode(spark, no_docs):

@@ -1,12 +1,14 @@
 """BPE encoding and decoding with a table of distinct words.
 
-Texts are normalised and split into words by the rules in the tokenizer's own file. Words are counted per task and then over all texts, every
-distinct word is encoded once, and the ids are joined back at each word's position. Decoding joins ids to pieces.
+Texts are normalised and split into words by the rules in the tokenizer's own file. Texts are taken in blocks, and a block keeps each of its words once:
+its texts become arrays of numbers into the block's list of words. From there on everything is a join, at every size:
 
-The joins are dictionary joins where the sizes are bounded: the pieces (the vocabulary, a fixed size) and the ``head`` most frequent distinct
-words are sent to the tasks as sorted arrays of 96-bit word hashes with packed ids. Words outside the head, which only exist
-where a corpus has more than ``head`` distinct words, are holes at their positions: (row, position, word) rows are joined to
-the word table by shuffle and filled in by row. Both ways give the same result; texts themselves are never shuffled.
+1. the lists of all blocks give the table of distinct words, each of which is encoded once;
+2. ids of a distinct word are joined to the vocabulary (id to piece, a table of fixed size), which decodes it;
+3. (block, position, word) rows meet ids and pieces by word, and go back to their block, where position k of the list stands for every k in its texts.
+
+A block's list is bounded in words, so tasks hold some tens of megabytes whatever the corpus; a word occurs once a block at most, so that no word, however
+frequent, is more than one row of each block's list; neither texts nor their numbers are shuffled: blocks are written in buckets, and lists come to them.
 
 Defined cases: null text is empty (no ids); texts of any length are taken whole; repeated rows are encoded each; an empty
 table gives an empty result; other columns are ignored unless named in ``carry``.
@@ -18,24 +20,24 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilespark.llm.shared import bounded_batches, materialize, remove, with_fields
+from tilespark.llm.shared import bounded_batches, materialize_buckets, with_fields
 
-#: Distinct words that are sent to every task at most: 4 million words take about 100 MB.
-HEAD = 4_000_000
-#: Counted words a task holds before it hands them on.
-COUNTER_WORDS = 150_000
-#: Words a task remembers from batch to batch.
-CACHE_WORDS = 120_000
+#: A block of texts is closed at so many distinct words, characters or texts.
+BLOCK_WORDS, BLOCK_CHARS, BLOCK_TEXTS = 400_000, 32_000_000, 50_000
+#: Words with ids that a task packs at a time; characters of output it makes at a time.
+PACKED_WORDS, OUT_CHARS = 200_000, 4_000_000
 
 
 class Splitter:
@@ -55,7 +57,11 @@ class Splitter:
             raise ValueError("this kind of tokenizer file is not known here")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self._words = regex.compile(split[0]["pattern"]["Regex"])
+        pattern = split[0]["pattern"]["Regex"]
+        self._words = regex.compile(pattern)
+        # lower-case ASCII texts go by the quicker engine where the pattern's only classes are letters and numbers, in brackets
+        plain = re.sub(r"\[(\^\\s)?((?:\\p\{[LN]\})+)\]", lambda m: f"[{m[1] or ''}{m[2]}]".replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), pattern)
+        self._ascii = None if r"\p" in plain else re.compile(plain, re.ASCII)
         by_id = {i: p for p, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
         self._pieces = [by_id.get(i) for i in range(max(by_id) + 1)]
         self._plain = re.compile("[\x00-įı-ɏ‐-‧‰-⁞₠-₿]*")
@@ -79,12 +85,15 @@ class Splitter:
         if not text:
             return []
         if "<|" not in text:
-            return self._words.findall(self.normalise(text))
+            return self._split(self.normalise(text))
         found: list[str] = []
         for k, part in enumerate(self._special.split(text)):
-            found += [" " + part] if k % 2 else self._words.findall(self.normalise(part))
+            found += [" " + part] if k % 2 else self._split(self.normalise(part))
         return found
 
+    def _split(self, part: str) -> list[str]:
+        return (self._ascii if self._ascii and part.isascii() else self._words).findall(part)
+
     def encode(self, word: str) -> list[int]:
         """Ids of one distinct word."""
         if word.startswith(" "):
@@ -106,189 +115,174 @@ def splitter(definition: str) -> Splitter:
     return _splitters[key]
 
 
-def _hash(word: str) -> bytes:
-    return hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes, compressed: the upper planes are nearly empty."""
+    return pa.compress(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _renumbered(flat: np.ndarray, words: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """Frequent words get small numbers and words of like frequency stand in their own order: both pack well."""
+    listed, n = pa.array(words, pa.string()), np.bincount(flat, minlength=len(words))
+    place = np.empty(len(words), dtype=np.int32)
+    place[np.argsort(-n, kind="stable")] = np.arange(len(words))
+    order = pc.sort_indices(pa.table({"tier": (place > 255).astype(np.int8) + (place > 65_535), "word": listed}), [("tier", "ascending"), ("word", "ascending")])
+    place[order.to_numpy()] = np.arange(len(words))
+    return place[flat], listed.take(order)
+
+
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view(np.int32).ravel() if n else np.zeros(0, np.int32)
+
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-def word_table(docs: DataFrame, definition: str) -> DataFrame:
-    """``word, n, ids, h1, h2`` of every distinct word: counted per task, summed, encoded once."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = splitter(definition), Counter()
+def _unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all().combine_chunks()
+
+
+def blocks_of(docs: DataFrame, definition: str, carry: list[str]) -> DataFrame:
+    """One row of every block, in buckets by block: ``block, rows`` (the columns in ``carry`` with each text's number of words, packed), ``codes`` (the numbers
+    of its texts' words, packed) and ``words``, its list."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, block = splitter(definition), TaskContext.get().partitionId() << 32
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        parts, codes, lengths, chars = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
-            return b
+            rows = pa.Table.from_batches(parts).append_column("_n", pa.array(lengths, pa.int32()))
+            flat, words = _renumbered(np.concatenate(codes), list(number))
+            lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            columns = [pa.array([block]), pa.array([_packed(rows)], pa.binary()), pa.array([_planes(flat)], pa.binary()), lists]
+            return pa.RecordBatch.from_arrays(columns, ["block", "rows", "codes", "words"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                counts.update(split.words(text.as_py()))
-                if len(counts) > COUNTER_WORDS:
+            own, text, first = batch.drop_columns(["_text"]), batch.column("_text"), 0
+            for i in range(batch.num_rows):
+                t = text[i].as_py()
+                words = split.words(t)
+                codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                lengths.append(len(words))
+                chars += len(t or "")
+                if len(number) >= BLOCK_WORDS or chars >= BLOCK_CHARS or len(lengths) >= BLOCK_TEXTS:
+                    parts.append(own.slice(first, i + 1 - first))
                     yield out()
-        yield out()
+                    number.clear()
+                    parts, codes, lengths, chars, first, block = [], [], [], 0, i + 1, block + 1
+            if first < batch.num_rows:
+                parts.append(own.slice(first))
+        if parts:
+            yield out()
+
+    # names of carried columns are set aside: any may clash
+    lean = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(carry)], F.lit(True).alias("_row"), F.col("text").alias("_text"))
+    return materialize_buckets(lean.mapInArrow(code, "block long, rows binary, codes binary, words array<string>"), "bpe-blocks", "block")
+
+
+def word_table(words: DataFrame, definition: str) -> DataFrame:
+    """``word, ids, said`` of every distinct word of ``words``: encoded once, decoded by a join of its ids to their pieces."""
+    spark = words.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(definition)
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            hashes = np.frombuffer(b"".join(map(_hash, words)), dtype=np.int64).reshape(-1, 2)
-            ids = pa.array([split.encode(w) for w in words], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), ids, pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())], ["word", "n", "ids", "h1", "h2"])
-
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return materialize(counted.mapInArrow(encode, "word string, n long, ids array<int>, h1 long, h2 long"), "bpe-words")
-
-
-class Head:
-    """Sorted hashes (96 bits) and packed ids of the most frequent words."""
-
-    def __init__(self, table: DataFrame, head: int):
-        n = table.count()
-        self.whole = n <= head
-        rows = table if self.whole else table.orderBy(F.desc("n"), "word").limit(head)
-        got = rows.select("h1", "h2", "ids").toArrow().combine_chunks()  # head rows at most
-        h1, h2 = got.column("h1").to_numpy(), got.column("h2").to_numpy().astype(np.int32)
-        lengths = got.column("ids").combine_chunks().value_lengths().to_numpy() if len(h1) else np.zeros(0, np.int64)
-        flat = got.column("ids").combine_chunks().flatten().to_numpy() if len(h1) else np.zeros(0, np.int32)
-        del got
-        flat = flat.astype(np.uint16 if flat.size and flat.max() < 1 << 16 else np.int32)
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        order = np.lexsort((h2, h1))
-        self.h1, self.h2, self.at, self.n, self.ids = h1[order], h2[order], starts[order].astype(np.int32), lengths[order].astype(np.int32), flat
-
-    def ids_of(self, words: list[str]) -> list[list[int] | None]:
-        """Ids of each word, None for words outside the head."""
-        if not len(self.h1) or not words:
-            return [None] * len(words)
-        h = np.frombuffer(b"".join(map(_hash, words)), dtype=np.int64).reshape(-1, 2)
-        at = np.minimum(np.searchsorted(self.h1, h[:, 0]), len(self.h1) - 1)
-        found = (self.h1[at] == h[:, 0]) & (self.h2[at] == h[:, 1].astype(np.int32))
-        n = np.where(found, self.n[at], 0)
-        ends = np.cumsum(n)
-        flat = self.ids[np.repeat(self.at[at] - ends + n, n) + np.arange(n.sum())].tolist()
-        return [flat[e - k : e] if ok else None for ok, e, k in zip(found.tolist(), ends.tolist(), n.tolist(), strict=True)]
-
-
-def encode_decode(docs: DataFrame, definition: str, head: int = HEAD, carry: list[str] | None = None, digests: bool = False, decoded: bool = True) -> DataFrame:
+            ids = pa.array([split.encode(w) for w in batch.column("word").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), ids], ["word", "ids"])
+
+    pieces = splitter(definition).pieces()
+    if any("\n" in p for p in pieces if p):
+        raise ValueError("pieces that hold a line break are not known here")
+    vocabulary = spark.createDataFrame(list(enumerate(pieces)), "id int, piece string")  # a fixed size
+    # from here on by hash of the word: tokens of a word are put together, and the word is joined, without another shuffle
+    encoded = words.select("word").distinct().mapInArrow(encode, "word string, ids array<int>").repartition("word")
+    tokens = encoded.select("word", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(vocabulary), "id", "left")
+    in_order = tokens.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece")))).alias("t"))
+    joined = lambda c: F.array_join(F.transform("t", lambda x: x[c].cast("string")), " ")
+    return in_order.select("word", joined("id").alias("ids"), joined("piece").alias("said"))
+
+
+def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one block that a task holds, in one row."""
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks().sort_by([("block", "ascending"), ("k", "ascending")])
+        block, k = table.column("block").to_numpy(), table.column("k").to_numpy()
+        cuts = np.concatenate([np.flatnonzero(np.diff(block, prepend=block[0] - 1)), [len(block)]])
+        texts = [pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), table.column(c).combine_chunks()), "\n") for c in ("ids", "said")]
+        packed = []
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            steps = np.diff(k[a:b], prepend=np.int32(0))
+            packed.append(_packed(pa.table({"n": [len(steps)], "k": pa.array([_planes(steps)], pa.binary()), "ids": texts[0].slice(i, 1), "said": texts[1].slice(i, 1)})))
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(packed, pa.binary())], ["block", "part"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= PACKED_WORDS:
+            yield out()
+            held, n = [], 0
+    if held:
+        yield out()
+
+
+def _list(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word of a block's list: how many ids, the ids, the pieces."""
+    k, ids, said = [np.zeros(0, np.int32)], [], []
+    for raw in parts:
+        row = _unpacked(raw).to_pylist()[0]
+        k.append(np.cumsum(_from_planes(row["k"], row["n"]), dtype=np.int32))
+        ids += row["ids"].split("\n")
+        said += row["said"].split("\n")
+    n = np.array([x.count(" ") + 1 if x else 0 for x in ids], dtype=np.int32)
+    order = np.argsort(np.concatenate(k))
+    return n[order], np.array(ids, dtype=object)[order], np.array(said, dtype=object)[order]
+
+
+def encode_decode(docs: DataFrame, definition: str, carry: list[str] | None = None, digests: bool = False) -> DataFrame:
     """Each row's ids and decoded text: ``n_tokens, ids, decoded`` behind the columns in ``carry``.
 
     ``ids`` are decimal ids joined by one space and ``decoded`` is the text of the pieces. With ``digests`` both are replaced by their
-    SHA-256, ``ids_sha256, decoded_sha256``, before they leave the task; without ``decoded`` that column stays empty.
+    SHA-256, ``ids_sha256, decoded_sha256``, before they leave the task.
     """
-    spark, carry = docs.sparkSession, carry if carry is not None else ["doc_id"]
-    bounded_batches(spark)
-    table = word_table(docs, definition)
-    words = Head(table, head)
-    whole, shipped = words.whole, spark.sparkContext.broadcast((words, definition))
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Of every row: its batch and number, and per word (how many ids, the ids, the pieces), or None."""
-        head_words, text = shipped.value
-        split = splitter(text)
-        pieces = split.pieces()
-        numbers = [str(i) for i in range(len(pieces))]
-        cache: dict[str, tuple | None] = {}
-        for batch in batches:
-            column, at = batch.column("text"), 0
-            while at < batch.num_rows:
-                rows, chars, first = [], 0, at
-                while at < batch.num_rows and chars < 4_000_000:
-                    t = column[at].as_py()
-                    chars += len(t or "")
-                    rows.append(split.words(t))
-                    at += 1
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                new = list({w for r in rows for w in r if w not in cache})
-                for w, ids in zip(new, head_words.ids_of(new), strict=True):
-                    cache[w] = None if ids is None else (len(ids), " ".join([numbers[i] for i in ids]), " ".join([pieces[i] for i in ids]) if decoded else "")
-                for k, r in enumerate(rows):
-                    yield batch, first + k, r, [cache[w] for w in r]
-
-    def rows_out(source, make, names: list[str], types: list) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        picked: list[tuple] = []
-        held = 0
-
-        def out() -> pa.RecordBatch:
-            own = [pa.array([b.column(c)[i].as_py() for b, i in picked], f.type) for c, f in zip(carry, [picked[0][0].schema.field(c) for c in carry], strict=True)]
-            return pa.RecordBatch.from_arrays(own + [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], carry + names)
-
-        for batch, i, r, got in source:
-            made = make(r, got)
-            rows.append(made)
-            picked.append((batch, i))
-            held += sum(len(x) for x in made if isinstance(x, str | list))
-            if len(rows) >= 2000 or held > 4_000_000:
-                yield out()
-                rows, picked, held = [], [], 0
-        if rows:
-            yield out()
+    carry = carry if carry is not None else ["doc_id"]
+    bounded_batches(docs.sparkSession)
+    blocks = blocks_of(docs, definition, carry)
+    entries = blocks.select("block", F.posexplode("words").alias("k", "word"))
+    found = entries.join(word_table(entries, definition), "word").select("block", "k", "ids", "said")
+    lists = found.mapInArrow(_pack_words, "block long, part binary").groupBy("block").agg(F.collect_list("part").alias("parts"))  # the list of one block
+    met = blocks.select("block", "rows", "codes").join(lists, "block", "left")
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def make(_, got):
-            got = [g for g in got if g[0]]
-            n, ids, said = sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]) if decoded else ""
-            return (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()) if digests else (n, ids, said)
-
-        names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
-        yield from rows_out(known(batches), make, names, [pa.int64(), pa.string(), pa.string()])
-
-    names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    if whole:
-        remove(table)
-        return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(finish, with_fields(docs, carry, f"n_tokens long, {names[0]} string, {names[1]} string"))
-
-    def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of known words as strings, with the unknown word that follows each run."""
-
-        def make(r, got):
-            runs, ids, said, n, missing = [], [], [], 0, []
-            for w, g in zip(r, got, strict=True):
-                if g is None:
-                    runs.append((n, " ".join(ids), " ".join(said)))
-                    missing.append(w)
-                    ids, said, n = [], [], 0
-                elif g[0]:
-                    n += g[0]
-                    ids.append(g[1])
-                    said.append(g[2])
-            runs.append((n, " ".join(ids), " ".join(said)))
-            return [x[0] for x in runs], [x[1] for x in runs], [x[2] if decoded else "" for x in runs], missing
-
-        strings = pa.list_(pa.string())
-        yield from rows_out(known(batches), make, ["_n", "_ids", "_decoded", "_missing"], [pa.list_(pa.int64()), strings, strings, strings])
-
-    runs = materialize(
-        docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(holes, with_fields(docs, carry, "_n array<long>, _ids array<string>, _decoded array<string>, _missing array<string>")).withColumn("_row", F.expr("uuid()")), "bpe-runs"
-    )
-    vocabulary = spark.createDataFrame(list(enumerate(splitter(definition).pieces())), "id int, piece string")  # a fixed size
-    at = runs.select("_row", F.posexplode("_missing").alias("_at", "word"))
-    tokens = at.join(table, "word").select("_row", "_at", F.posexplode_outer("ids").alias("_k", "id")).join(F.broadcast(vocabulary), "id", "left")
-    filled = tokens.groupBy("_row", "_at").agg(F.array_sort(F.collect_list(F.struct("_k", "id", "piece"))).alias("t"))
-    filled = filled.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "t"))).alias("f"))
-    joined = runs.join(filled, "_row", "left")
-    one = lambda what: F.array_join(
-        F.filter(
-            F.flatten(
-                F.transform(
-                    "_n",
-                    lambda _, k: F.array(
-                        F.get("_ids" if what == "id" else "_decoded", k),
-                        F.array_join(F.transform(F.filter(F.get("f", k)["t"], lambda x: x["id"].isNotNull()), lambda x: x[what].cast("string")), " "),
-                    ),
-                )
-            ),
-            lambda x: x.isNotNull() & (x != ""),
-        ),
-        " ",
-    )
-    n = F.aggregate("_n", F.lit(0).cast("long"), lambda a, x: a + x) + F.aggregate(
-        F.coalesce("f", F.expr("array()").cast("array<struct<_at:int,t:array<struct<_k:int,id:int,piece:string>>>>")), F.lit(0).cast("long"), lambda a, x: a + F.size(F.filter(x["t"], lambda y: y["id"].isNotNull()))
-    )
-    shown = lambda c: F.sha2(c.cast("binary"), 256) if digests else c
-    return joined.select(*carry, n.alias("n_tokens"), shown(one("id")).alias(names[0]), (shown(one("piece")) if decoded else F.lit("")).alias(names[1]))
+        shown = (lambda s: hashlib.sha256(s.encode()).hexdigest()) if digests else (lambda s: s)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, parts = _unpacked(batch.column("rows")[i].as_py()), batch.column("parts")[i].as_py()
+                n, ids, said = _list(parts or [])
+                cuts = np.concatenate([[0], np.cumsum(rows.column("_n").to_numpy())])
+                flat = _from_planes(batch.column("codes")[i].as_py(), int(cuts[-1]))
+                made, first, chars = [], 0, 0
+                for k in range(rows.num_rows):
+                    own = flat[cuts[k] : cuts[k + 1]]
+                    own = own[n[own] > 0]
+                    x, y = " ".join(ids[own].tolist()), " ".join(said[own].tolist())
+                    made.append((int(n[own].sum()), shown(x), shown(y)))
+                    chars += len(made[-1][1]) + len(made[-1][2])
+                    if chars >= OUT_CHARS or k + 1 == rows.num_rows:
+                        kept = [rows.column(f"c{c}").slice(first, k + 1 - first).combine_chunks() for c in range(len(carry))]
+                        columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                        yield pa.RecordBatch.from_arrays(kept + columns, carry + names)
+                        made, first, chars = [], k + 1, 0
+
+    return met.select("rows", "codes", "parts").mapInArrow(finish, with_fields(docs, carry, f"n_tokens long, {names[1]} string, {names[2]} string"))
 
 
 def decode(encoded: DataFrame, definition: str) -> DataFrame:
