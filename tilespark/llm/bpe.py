@@ -35,7 +35,7 @@ from tokenizers import Tokenizer
 from tilespark.llm.shared import bounded_batches, materialize_buckets, with_fields
 
 #: A block of texts is closed at so many distinct words, characters or texts.
-BLOCK_WORDS, BLOCK_CHARS, BLOCK_TEXTS = 400_000, 32_000_000, 50_000
+BLOCK_WORDS, BLOCK_CHARS, BLOCK_TEXTS = 400_000, 24_000_000, 50_000
 #: Words with ids that a task packs at a time; characters of output it makes at a time.
 PACKED_WORDS, OUT_CHARS = 200_000, 4_000_000
 
@@ -115,23 +115,28 @@ def splitter(definition: str) -> Splitter:
     return _splitters[key]
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers as four planes of bytes, compressed: the upper planes are nearly empty."""
-    return pa.compress(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+def _planes(numbers: np.ndarray) -> list[bytes]:
+    """Numbers (int32) as four planes of bytes, each compressed: the upper planes are nearly empty."""
+    raw = numbers.view(np.uint8)
+    return [pa.compress(raw[i::4].tobytes(), codec="zstd", asbytes=True) for i in range(4)]
 
 
-def _renumbered(flat: np.ndarray, words: list[str]) -> tuple[np.ndarray, pa.Array]:
-    """Frequent words get small numbers and words of like frequency stand in their own order: both pack well."""
-    listed, n = pa.array(words, pa.string()), np.bincount(flat, minlength=len(words))
+def _from_planes(planes: list[bytes], n: int) -> np.ndarray:
+    numbers = np.empty(n, dtype=np.int32)
+    for i, plane in enumerate(planes):
+        numbers.view(np.uint8)[i::4] = np.frombuffer(pa.decompress(plane, n, codec="zstd"), np.uint8) if n else 0
+    return numbers
+
+
+def _renumber(flat: np.ndarray, words: pa.Array) -> pa.Array:
+    """Frequent words get small numbers, in place, and words of like frequency stand in their own order: both pack well."""
+    n = np.bincount(flat, minlength=len(words))
     place = np.empty(len(words), dtype=np.int32)
     place[np.argsort(-n, kind="stable")] = np.arange(len(words))
-    order = pc.sort_indices(pa.table({"tier": (place > 255).astype(np.int8) + (place > 65_535), "word": listed}), [("tier", "ascending"), ("word", "ascending")])
+    order = pc.sort_indices(pa.table({"tier": (place > 255).astype(np.int8) + (place > 65_535), "word": words}), [("tier", "ascending"), ("word", "ascending")])
     place[order.to_numpy()] = np.arange(len(words))
-    return place[flat], listed.take(order)
-
-
-def _from_planes(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view(np.int32).ravel() if n else np.zeros(0, np.int32)
+    np.take(place, flat, out=flat)
+    return words.take(order)
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -157,9 +162,12 @@ def blocks_of(docs: DataFrame, definition: str, carry: list[str]) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             rows = pa.Table.from_batches(parts).append_column("_n", pa.array(lengths, pa.int32()))
-            flat, words = _renumbered(np.concatenate(codes), list(number))
+            flat, words = np.concatenate(codes), pa.array(number, pa.string(), size=len(number))
+            codes.clear()
+            number.clear()
+            words = _renumber(flat, words)
             lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-            columns = [pa.array([block]), pa.array([_packed(rows)], pa.binary()), pa.array([_planes(flat)], pa.binary()), lists]
+            columns = [pa.array([block]), pa.array([_packed(rows)], pa.binary()), pa.array([_planes(flat)], pa.list_(pa.binary())), lists]
             return pa.RecordBatch.from_arrays(columns, ["block", "rows", "codes", "words"])
 
         for batch in batches:
@@ -171,22 +179,24 @@ def blocks_of(docs: DataFrame, definition: str, carry: list[str]) -> DataFrame:
                 lengths.append(len(words))
                 chars += len(t or "")
                 if len(number) >= BLOCK_WORDS or chars >= BLOCK_CHARS or len(lengths) >= BLOCK_TEXTS:
-                    parts.append(own.slice(first, i + 1 - first))
+                    parts.append(own.take(np.arange(first, i + 1)))
                     yield out()
-                    number.clear()
-                    parts, codes, lengths, chars, first, block = [], [], [], 0, i + 1, block + 1
+                    parts, lengths, chars, first, block = [], [], 0, i + 1, block + 1
             if first < batch.num_rows:
-                parts.append(own.slice(first))
+                parts.append(own.take(np.arange(first, batch.num_rows)))  # a copy: a slice would hold the texts
         if parts:
             yield out()
 
     # names of carried columns are set aside: any may clash
     lean = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(carry)], F.lit(True).alias("_row"), F.col("text").alias("_text"))
-    return materialize_buckets(lean.mapInArrow(code, "block long, rows binary, codes binary, words array<string>"), "bpe-blocks", "block")
+    return materialize_buckets(lean.mapInArrow(code, "block long, rows binary, codes array<binary>, words array<string>"), "bpe-blocks", "block")
 
 
 def word_table(words: DataFrame, definition: str) -> DataFrame:
-    """``word, ids, said`` of every distinct word of ``words``: encoded once, decoded by a join of its ids to their pieces."""
+    """``word, ids, said`` of every distinct word of ``words`` (``block, k, word``): encoded once, decoded by a join of its ids to their pieces.
+
+    A word's first place is found as well, only so that this reads the very rows that the ids are joined to: they are shuffled once.
+    """
     spark = words.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +210,8 @@ def word_table(words: DataFrame, definition: str) -> DataFrame:
         raise ValueError("pieces that hold a line break are not known here")
     vocabulary = spark.createDataFrame(list(enumerate(pieces)), "id int, piece string")  # a fixed size
     # from here on by hash of the word: tokens of a word are put together, and the word is joined, without another shuffle
-    encoded = words.select("word").distinct().mapInArrow(encode, "word string, ids array<int>").repartition("word")
+    first = words.groupBy("word").agg(F.min(F.struct("block", "k")).alias("first"))
+    encoded = first.mapInArrow(encode, "word string, ids array<int>").repartition("word")
     tokens = encoded.select("word", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(vocabulary), "id", "left")
     in_order = tokens.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece")))).alias("t"))
     joined = lambda c: F.array_join(F.transform("t", lambda x: x[c].cast("string")), " ")
@@ -218,8 +229,8 @@ def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), table.column(c).combine_chunks()), "\n") for c in ("ids", "said")]
         packed = []
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            steps = np.diff(k[a:b], prepend=np.int32(0))
-            packed.append(_packed(pa.table({"n": [len(steps)], "k": pa.array([_planes(steps)], pa.binary()), "ids": texts[0].slice(i, 1), "said": texts[1].slice(i, 1)})))
+            steps = np.diff(k[a:b], prepend=np.int32(0)).astype(np.int32)
+            packed.append(_packed(pa.table({"n": [len(steps)], "k": pa.array([_planes(steps)], pa.list_(pa.binary())), "ids": texts[0].slice(i, 1), "said": texts[1].slice(i, 1)})))
         return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(packed, pa.binary())], ["block", "part"])
 
     for batch in batches:
@@ -255,7 +266,7 @@ def encode_decode(docs: DataFrame, definition: str, carry: list[str] | None = No
     carry = carry if carry is not None else ["doc_id"]
     bounded_batches(docs.sparkSession)
     blocks = blocks_of(docs, definition, carry)
-    entries = blocks.select("block", F.posexplode("words").alias("k", "word"))
+    entries = blocks.select("block", F.posexplode("words").alias("k", "word")).filter(F.col("word").isNotNull()).repartition("word")
     found = entries.join(word_table(entries, definition), "word").select("block", "k", "ids", "said")
     lists = found.mapInArrow(_pack_words, "block long, part binary").groupBy("block").agg(F.collect_list("part").alias("parts"))  # the list of one block
     met = blocks.select("block", "rows", "codes").join(lists, "block", "left")
