@@ -16,10 +16,14 @@ their names. One output row is one conversation, so a conversation has to fit in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
+#: Code points of a stretch of a formatted string, when spans are cut from it.
+STRETCH = 1024
 MARKER_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -40,58 +44,48 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, also where ``then`` uses it inside a lambda of its own."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def running_sum(values: Column, chunk: int = 64) -> Column:
+    """The sums of an array's first 1, 2, ... values: within chunks, then over chunks, so that no long array is copied value by value."""
+    appended = lambda xs: F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    chunks = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(chunk)), lambda i: appended(F.slice(v, i, chunk)))
+    raised = lambda inner, outer: F.flatten(F.transform(inner, lambda c, k: let(F.get(outer, k), lambda base: F.transform(F.slice(c, 2, chunk), lambda x: x + base))))
+    totals = lambda inner: appended(F.transform(inner, lambda c: F.element_at(c, -1)))
+    return let(values, lambda v: let(chunks(v), lambda inner: let(totals(inner), lambda outer: raised(inner, outer))))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """``conv_id, formatted, loss_spans`` from rows of ``conv_id, turn, role, text``.
 
     ``loss_spans`` are (start, length) pairs counted in code points, of escaped assistant texts, in order.
     """
-    turn = F.struct(
-        F.col("turn").alias("turn"),
-        escape_role(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
-        escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
-    )
-    sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    turn = F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    collected = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    escaped = F.transform("turns", lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    sorted_turns = collected.select("conv_id", escaped.alias("turns"))
     # a turn opens a block unless the turn before has its role; blocks are then slices between openings
-    n = F.size("turns")
-    opens = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
-    with_opens = sorted_turns.withColumn("opens", opens)
-    blocks = F.transform(
+    is_first = lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"])
+    with_opens = sorted_turns.withColumn("opens", F.filter(F.sequence(F.lit(1), F.size("turns")), is_first))
+    head = lambda role: F.concat(F.lit(START), role, F.lit("\n"))
+    rendered = F.transform(
         "opens",
-        lambda i, k: F.struct(
-            F.element_at("turns", i)["role"].alias("role"),
-            F.transform(
-                F.slice("turns", i, F.coalesce(F.get("opens", k + 1), F.size("turns") + 1) - i),
-                lambda t: t["text"],
-            ).alias("texts"),
+        lambda i, k: F.concat(
+            head(F.element_at("turns", i)["role"]),
+            F.array_join(F.transform(F.slice("turns", i, F.coalesce(F.get("opens", k + 1), F.size("turns") + 1) - i), lambda t: t["text"]), SEP),
+            F.lit(END),
         ),
     )
-    with_blocks = with_opens.select("conv_id", blocks.alias("blocks"))
-    head = lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"))
-    rendered = F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], SEP), F.lit(END)))
-    with_text = with_blocks.withColumn("rendered", rendered)
-    # where each block begins, then where each text begins inside its block
-    starts = F.aggregate(
-        F.col("rendered"),
-        F.array(F.lit(0).cast("long")),
-        lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(r))),
-    )
-    with_starts = with_text.withColumn("starts", starts)
-    spans = F.flatten(
-        F.transform(
-            "blocks",
-            lambda b, k: F.when(
-                b["role"] == "assistant",
-                F.transform(
-                    b["texts"],
-                    lambda t, j: F.struct(
-                        (F.get("starts", k) + F.length(head(b)) + F.aggregate(F.slice(b["texts"], 1, j), F.lit(0).cast("long"), lambda s, x: s + F.length(x) + len(SEP))).alias("start"),
-                        F.length(t).cast("long").alias("length"),
-                    ),
-                ),
-            ).otherwise(F.array().cast("array<struct<start:bigint,length:bigint>>")),
-        )
-    )
-    return with_starts.select("conv_id", F.array_join("rendered", "").alias("formatted"), spans.alias("loss_spans"))
+    # what stands before a text since the text before it, then where each text begins
+    lead = lambda t, i: F.when(is_first(i + 1), F.when(i > 0, len(END)).otherwise(0) + F.length(head(t["role"]))).otherwise(len(SEP))
+    steps = F.transform("turns", lambda t, i: F.struct(lead(t, i).cast("long").alias("lead"), F.length(t["text"]).cast("long").alias("length")))
+    with_steps = with_opens.select("conv_id", "turns", F.array_join(rendered, "").alias("formatted"), steps.alias("steps"))
+    with_ends = with_steps.withColumn("ends", running_sum(F.transform("steps", lambda x: x["lead"] + x["length"])))
+    placed = F.zip_with("turns", F.zip_with("steps", "ends", lambda x, e: F.struct((e - x["length"]).alias("start"), x["length"].alias("length"))), lambda t, x: F.when(t["role"] == "assistant", x))
+    return with_ends.select("conv_id", "formatted", F.filter(placed, lambda x: x.isNotNull()).alias("loss_spans"))
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
@@ -109,7 +103,13 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int"))))
+    # a span is cut from the few stretches of the string that hold it: no string is walked from its start for every span
+    def cut(stretches: Column, span: Column) -> Column:
+        first, last = (F.floor(x / STRETCH).cast("int") for x in (span["start"], span["start"] + span["length"]))
+        return F.substring(F.array_join(F.slice(stretches, first + 1, last - first + 1), ""), (span["start"] % STRETCH + 1).cast("int"), span["length"].cast("int"))
+
+    stretches = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    loss = let(stretches, lambda st: F.transform("loss_spans", lambda s: unescape(cut(st, s))))
     return formatted.select("conv_id", turns.alias("turns"), F.array_join(loss, "").alias("loss_text"), "formatted")
 
 
