@@ -5,13 +5,12 @@ Every source gets a share of all words: weights 1, 2, 3, 1, ... over the sources
 appear ``target / source_size`` times. Documents are put in order within their source, the expected copies are added up along that
 order from one offset per source, and a document is emitted once for every integer the running sum crosses.
 
-The order inside a source is (size class, salt, size, hash, id): it stratifies by size, which keeps the words taken near the target, and
-the (class, salt) groups are small enough to number in one task each even if a source holds a third of all rows. Only ids, sizes and
-sources are shuffled, never texts.
+The order inside a source is (size class, salt, size, hash of id and text): it stratifies by size, which keeps the words taken near the target, and
+the (class, salt) groups are small enough to number in one task each even if a source holds a third of all rows. Only hashes, ids, sizes and
+sources are shuffled, never texts (but those of rows that repeat others entirely).
 
 Defined cases: null text or text without words has size 0 and may be drawn (it adds no words); a source whose documents are all of
-size 0 has target 0 and takes nothing; null source is a source of its own, last; repeated rows are separate documents; null ids are
-ordered like any other value; an empty table gives an empty result; other columns are carried through untouched by :func:`mix`.
+size 0 has target 0 and takes nothing; null source is a source of its own, last; repeated rows are separate documents, and so are rows that share an id or have none; an empty table gives an empty result; other columns are carried through untouched by :func:`mix`.
 """
 
 from __future__ import annotations
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tilespark.llm.shared import join_small, materialize, word_count
 
-#: Groups into which a (source, size class) pair is dealt by hash, so that no single group grows with a hot source.
-SALTS = 64
+#: Groups into which a (source, size class) pair is dealt by hash: of a source, some 100,000 groups.
+SALTS = 256
 
 
 def _unit(value: Column, seed: int) -> Column:
@@ -64,15 +63,16 @@ def source_targets(sized: DataFrame, max_repeat: int = 3) -> DataFrame:
 def copies(docs: DataFrame, seed: int = 7, max_repeat: int = 3, carry: list[str] | None = None) -> DataFrame:
     """``doc_id, source, size, source_size, target, n_copies`` (plus ``carry``) for every row of ``docs``."""
     carry = carry or []
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_text"), *carry)
     # null sources are joined and grouped through a key that no real source has
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     keyed = (
         sized.withColumn("_key", key)
-        .withColumn("_digest", F.md5(F.concat(F.lit(f"{seed}/"), ident).cast("binary")))
+        .withColumn("_digest", F.md5(F.concat(F.lit(f"{seed}/"), ident, F.lit("/"), F.col("_text")).cast("binary")))
         .withColumn("_class", _size_class(F.col("size")))
         .withColumn("_salt", F.conv(F.substring("_digest", 1, 2), 16, 10).cast("int") % SALTS)
+        .drop("_text")
     )
     targets = source_targets(sized, max_repeat).withColumn("_key", key).drop("source")
     groups = keyed.groupBy("_key", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"))
@@ -92,13 +92,24 @@ def copies(docs: DataFrame, seed: int = 7, max_repeat: int = 3, carry: list[str]
 def mix(docs: DataFrame, seed: int = 7, max_repeat: int = 3) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as it is drawn, all columns kept.
 
-    Rows travel with their texts only if they are drawn at least once: the draw is made on lean rows and joined back by id. Rows that
-    share one id are drawn together, as often as the largest of their draws.
+    Rows travel with their texts only if they are drawn at least once: the draw is made on lean rows and joined back by a hash of the whole row (two of 64 bits).
+    Rows that are equal in everything are interchangeable: one of them is emitted as often as all of them are drawn together.
     """
-    drawn = copies(docs, seed, max_repeat).groupBy(F.col("doc_id").alias("__mix_id")).agg(F.max("n_copies").alias("__mix_copies"))
-    drawn = materialize(drawn.filter("__mix_copies > 0"), "drawn")
-    joined = join_small(docs, drawn, docs["doc_id"].eqNullSafe(F.col("__mix_id")), "inner")
-    return joined.select(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias("__mix_copy")).drop("__mix_copy")
+    named = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    # maps have no hash of their own
+    parts = [F.to_json(F.struct(F.col(n))) if "map<" in k else F.col(n) for n, (_, k) in zip(named, docs.dtypes, strict=True)]
+    keyed = docs.select(*[F.col(n).alias(f"c{i}") for i, n in enumerate(named)], *[F.xxhash64(F.lit(k), *[F.isnull(p) for p in parts], *parts).alias(f"_mix_{k}") for k in (1, 2)])
+    keys = ["_mix_1", "_mix_2"]
+    at = {c: F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "source", "text")}
+    drawn = copies(keyed.select(*at.values(), *keys), seed, max_repeat, carry=keys)
+    drawn = materialize(drawn.groupBy(*keys).agg(F.sum("n_copies").cast("int").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows")).filter("_mix_copies > 0"), "drawn")
+    single = join_small(keyed, drawn.filter("_mix_rows = 1").drop("_mix_rows"), keys, "inner")
+    several = join_small(keyed, drawn.filter("_mix_rows > 1").drop("_mix_rows"), keys, "inner")
+    own = [f"c{i}" for i in range(len(named))]
+    # one of equal rows, chosen before anything is shuffled
+    one = several.groupBy(*keys, "_mix_copies").agg(F.first(F.struct(*own)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in own], "_mix_copies")
+    emitted = single.select(*own, "_mix_copies").unionByName(one).select(*own, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+    return emitted.select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns, strict=True)])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +119,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS text_md5 FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighted AS (
   SELECT source, source_size, 3 * source_size AS cap,
@@ -123,9 +134,9 @@ targets AS (
     least(CAST(cap AS DOUBLE), weight * coalesce((SELECT max(level) FROM levels WHERE level <= ratio), 0)) AS target FROM levels),
 keyed AS (
   SELECT *, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS k,
-    md5('7/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest,
+    md5('7/' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || text_md5) AS digest,
     len(CAST(size AS VARCHAR)) * 100 + CAST(substr(CAST(size AS VARCHAR), 1, 2) AS INT) AS class FROM sized),
-salted AS (SELECT *, CAST('0x' || substr(digest, 1, 2) AS INT) % 64 AS salt FROM keyed),
+salted AS (SELECT *, CAST('0x' || substr(digest, 1, 2) AS INT) AS salt FROM keyed),
 ranked AS (
   SELECT doc_id, size, k, source,
     row_number() OVER (PARTITION BY k ORDER BY class, salt, size, digest, doc_id) AS r,
