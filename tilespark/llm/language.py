@@ -8,8 +8,8 @@ Scoring a batch is a product of two matrices: presence of n-grams in the batch's
 coefficients. N-grams are those of the landmarks, a bounded number; whole texts are read. Every letter of the landmarks has a code of its own, in any script.
 Scripts with many letters have too many n-grams for matrices: then n-grams are looked up by bisection and matches are counted by lists of the landmarks that hold each.
 
-Fitting takes ``per_language`` learning rows of every language at most, those with the smallest hash of their id: a bounded sample. Everything else
-(the languages, the rows scored) covers all rows.
+Fitting takes ``per_language`` learning rows of every language at most, those with the smallest hash of id and text, and of these as many as keep within
+the language's share of ``characters``: a bounded sample, however many rows share an id or have none. Everything else (the languages, the rows scored) covers all rows.
 
 Defined cases: null text, and text without letters, is ``und`` with score 0; rows without lang are not learnt from; null ids are learnt from (their remainder is
 that of the empty string) and scored; without any learning rows every text is ``und``; repeated rows are scored each; an empty table gives an empty
@@ -138,20 +138,28 @@ class StringKernel:
         return [self.languages[b] for b in best.tolist()], e[np.arange(len(f)), best] / e.sum(1)
 
 
-def fit(docs: DataFrame, per_language: int = 800, longest: int = 50_000) -> StringKernel | None:
-    """Fit on learning rows of ``docs`` (``doc_id, text, lang``): ``per_language`` of each language at most, none of more than
-    ``longest`` characters, which bounds what the driver holds."""
-    usable = ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(1, longest)
-    rows = docs.filter(usable).withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    # rows are chosen by language and hash alone; texts only meet the few that are chosen
-    lean = rows.select("lang", "h")
-    n = materialize(lean.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+def sample(docs: DataFrame, per_language: int = 800, characters: int = 64_000_000) -> DataFrame:
+    """``lang, h, text``: the learning rows of ``docs`` (``doc_id, text, lang``) that are fitted on: ``per_language`` of each language and
+    ``characters`` over all languages at most, which bounds what the driver holds; a text longer than its language's share is not learnt from."""
+    usable = ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)
+    rows = docs.filter(usable).select("lang", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("h"), F.length("text").alias("size"), "text")
+    # rows are chosen by language, hash and length alone; texts only meet the few that are chosen
+    lean = rows.select("lang", "h", "size")
+    n = materialize(lean.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages")
+    share = characters // max(1, n.count())
     # hashes below a level that leaves about twice the rows wanted of each language, so that no language's rows meet in one task
     level = F.lit(2.0 * per_language) / F.col("n") * F.lit(2.0**64) - F.lit(2.0**63)
-    few = join_small(lean, n, "lang", "inner").filter((F.col("n") <= 2 * per_language) | (F.col("h").cast("double") <= level)).distinct()
-    number = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = materialize(few.withColumn("k", number).filter(F.col("k") <= per_language).select("lang", "h"), "chosen")
-    found = join_small(rows.select("lang", "h", "text"), chosen, ["lang", "h"], "inner").toPandas().sort_values(["lang", "h", "text"])
+    few = join_small(lean.filter(F.col("size") <= share), n, "lang", "inner").filter((F.col("n") <= 2 * per_language) | (F.col("h").cast("double") <= level)).select("lang", "h", "size").distinct()
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    few = few.withColumn("k", F.row_number().over(by_hash)).withColumn("sum", F.sum("size").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = materialize(few.filter((F.col("k") <= per_language) & (F.col("sum") <= share)).select("lang", "h"), "chosen")
+    # equal rows are one
+    return join_small(rows.select("lang", "h", "text"), chosen, ["lang", "h"], "inner").groupBy("lang", "h").agg(F.first("text").alias("text"))
+
+
+def fit(docs: DataFrame, per_language: int = 800, characters: int = 64_000_000) -> StringKernel | None:
+    """Fit on the :func:`sample` of ``docs``."""
+    found = sample(docs, per_language, characters).toPandas().sort_values(["lang", "h"])
     return StringKernel(found["text"].tolist(), found["lang"].tolist()) if len(found) else None
 
 
