@@ -1,4 +1,4 @@
-"""Removal of repeated passages, exact over all documents, with suffix arrays.
+"""Removal of repeated passages over all documents, with suffix arrays.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts anywhere else. What cannot be part of such a string is
 put aside before anything is sorted:
@@ -13,10 +13,12 @@ put aside before anything is sorted:
 4. An anchor with more than ``HOT`` different cells would make its shard unbounded: its windows are counted one by one, by
    128-bit hash, in an aggregation over all tasks. That is exact as well.
 
-Runs of removed bytes are joined back to the documents by id.
+Documents are told apart by a hash of id and text, and runs of removed bytes are joined back by it: rows that share an id, or have none, do not meet.
+
+Cells and windows are equal by hash here (64 bits within an anchor's 64, and 128 bits), borders by their bytes: that is exact up to collisions of hashes.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all; a row repeated with the same id and text repeats everything in it; rows with
-one id and different texts are different documents; null ids are an id like any other; an empty table gives an empty result; other
+one id and different texts are different documents, those without an id too; an empty table gives an empty result; other
 columns are ignored unless carried.
 """
 
@@ -41,7 +43,7 @@ GRAM, SHARD_BYTES, HOT, PIECE_BYTES = 40, 500_000, 4_000, 400_000
 SEPARATOR = 0xFF
 NO_ID = -(1 << 63)
 #: How the cells wanted of a document are packed.
-WANTED = np.dtype([("key", "<i8"), ("anchor", "<i8"), ("hot", "?"), ("first", "<i8"), ("many", "<i4")])
+WANTED = np.dtype([("anchor", "<i8"), ("hot", "?"), ("first", "<i8"), ("many", "<i4")])
 
 _rng = np.random.default_rng(19700101)
 _BYTES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
@@ -106,20 +108,22 @@ def cells(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) ->
     return doc, first - starts[doc], many, grams[a], cell
 
 
-def row_key(doc_id: int | None, text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8, key=str(doc_id).encode()).digest(), "little", signed=True)
+def _own_names(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Id, text and the hash that tells documents apart, behind carried columns; names set apart from any that documents have."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(*carry, F.coalesce(doc_id, F.lit(NO_ID)).alias("_doc"), F.xxhash64(doc_id, text).alias("_doc_key"), text.alias("_doc_text"))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int | None, bytes]]]:
-    """(row, id, bytes) of a batch in runs of bounded size; a text longer than that is a run of its own."""
+def _texts(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """(row, id, key, bytes) of a batch in runs of bounded size; a text longer than that is a run of its own."""
     run, held = [], 0
-    ids, column = batch.column("doc_id").to_pylist(), batch.column("text")
+    ids, keys, column = batch.column("_doc").to_pylist(), batch.column("_doc_key").to_pylist(), batch.column("_doc_text")
     for i in range(batch.num_rows):
         raw = (column[i].as_py() or "").encode("utf-8")
         if held + len(raw) > PIECE_BYTES and run:
             yield run
             run, held = [], 0
-        run.append((i, ids[i], raw))
+        run.append((i, ids[i], keys[i], raw))
         held += len(raw)
     if run:
         yield run
@@ -135,15 +139,14 @@ def _find_cells(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in _texts(batch):
-                rows = [r for r in rows if len(r[2]) >= length]
+                rows = [r for r in rows if len(r[3]) >= length]
                 if not rows:
                     continue
-                if max(len(r[2]) for r in rows) >= 1 << 24:  # the place of an anchor has 24 bits
+                if max(len(r[3]) for r in rows) >= 1 << 24:  # the place of an anchor has 24 bits
                     yield from _long_cells(rows, length)
                     continue
-                ids = np.array([NO_ID if r[1] is None else r[1] for r in rows], dtype=np.int64)
-                keys = np.array([row_key(r[1], r[2]) for r in rows], dtype=np.int64)
-                doc, first, many, anchor, cell = cells(*_joined([r[2] for r in rows]), length)
+                ids, keys = (np.array([r[c] for r in rows], dtype=np.int64) for c in (1, 2))
+                doc, first, many, anchor, cell = cells(*_joined([r[3] for r in rows]), length)
                 yield _cell_rows(ids[doc], keys[doc], first, many, anchor, cell)
 
     return run
@@ -158,8 +161,8 @@ def _long_cells(rows, length: int) -> Iterator[pa.RecordBatch]:
     """Texts of 16 MB or more in stretches of windows; a cell cut by a stretch's border is found in two parts, which only matters to how it is
     grouped: borders are placed where an anchor changes."""
     step = 1 << 23
-    for _, i, raw in rows:
-        ids, keys, lo = NO_ID if i is None else i, row_key(i, raw), 0
+    for _, ids, keys, raw in rows:
+        lo = 0
         while lo + length <= len(raw):
             part = np.frombuffer(raw, dtype=np.uint8)[lo : lo + step]
             _, first, many, anchor, cell = cells(part, np.array([0]), np.array([len(part)]), length)
@@ -220,10 +223,10 @@ def _shard_spans(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """``id, key, start, end``: spans of bytes to remove, as they are found (they may overlap); ``id`` is doc_id, or NO_ID for null."""
+    """``id, key, start, end``: spans of bytes to remove, as they are found (they may overlap); ``id`` is doc_id, or NO_ID for null, ``key`` the hash of id and text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _own_names(docs, [])
     found = materialize(docs.mapInArrow(_find_cells(length), "id long, key long, at long, anchor long, cell long"), "cells")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     again = materialize(found.join(materialize(anchors, "anchors"), "anchor"), "cells-again")
@@ -238,7 +241,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     borders = one_each.select("id", "key", "anchor", "kinds", first.alias("first"), many.alias("many"))
 
     # the bytes of those cells, from the documents that have them
-    wanted = borders.groupBy("id").agg(F.collect_list(F.struct("key", "anchor", (F.col("kinds") > HOT).alias("hot"), "first", "many")).alias("w"))
+    wanted = borders.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", (F.col("kinds") > HOT).alias("hot"), "first", "many")).alias("w"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,12 +250,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             rows = np.zeros(len(inner), dtype=WANTED)
             for c in WANTED.names:
                 rows[c] = inner.field(c).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "wanted"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array([rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["_doc", "_doc_key", "wanted"])
 
-    wanted = wanted.mapInArrow(pack, "id long, wanted binary")
-    wanted = materialize(wanted, "wanted")
-    keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
-    holders = keyed.join(wanted, "id").select("doc_id", "text", "wanted")
+    wanted = materialize(wanted.mapInArrow(pack, "_doc long, _doc_key long, wanted binary"), "wanted")
+    holders = docs.join(wanted, ["_doc", "_doc_key"]).select("_doc", "_doc_key", "_doc_text", "wanted")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "key", "anchor", "hot", "first", "bytes"]
@@ -260,13 +261,11 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
         for batch in batches:
             rows, held = [], 0
             for run in _texts(batch):
-                for i, doc_id, raw in run:
-                    key = row_key(doc_id, raw)
-                    for k, anchor, is_hot, first, n in np.frombuffer(batch.column("wanted")[i].as_py(), dtype=WANTED).tolist():
-                        if k == key:
-                            part = raw[first : first + n + length - 1]
-                            rows.append((NO_ID if doc_id is None else doc_id, key, anchor, is_hot, first, part))
-                            held += len(part)
+                for i, doc_id, key, raw in run:
+                    for anchor, is_hot, first, n in np.frombuffer(batch.column("wanted")[i].as_py(), dtype=WANTED).tolist():
+                        part = raw[first : first + n + length - 1]
+                        rows.append((doc_id, key, anchor, is_hot, first, part))
+                        held += len(part)
                     if held > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                         rows, held = [], 0
@@ -321,36 +320,26 @@ def without_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None
     """
     carry = carry if carry is not None else ["doc_id"]
     spans = repeated_spans(docs, length)
-    # at most the spans of one document meet here, a bounded share of its own length
-    collected = spans.groupBy("id").agg(F.collect_list(F.struct("key", "start", "end")).alias("s"))
+    # the spans of one document meet here, each once however many rows repeat it: a bounded share of its own length
+    collected = spans.groupBy("id", "key").agg(F.collect_set(F.struct("start", "end")).alias("s"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("s")
             inner, cut = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            rows = np.stack([inner.field(c).to_numpy() for c in ("key", "start", "end")], axis=1) if len(inner) else np.zeros((0, 3), dtype=np.int64)
-            packed = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                own = rows[a:b]
-                runs = [(np.full((len(m), 1), k), m) for k in np.unique(own[:, 0]) for m in [merged(own[own[:, 0] == k, 1:])]]
-                packed.append(np.concatenate([np.concatenate(r, axis=1) for r in runs]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["_id", "_spans"])
-
-    per_id = materialize(collected.mapInArrow(pack, "_id long, _spans binary"), "spans")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    joined = join_small(keyed, per_id, "_id", "left")
-    names = list(dict.fromkeys([*carry, "doc_id", "text"]))
+            rows = np.stack([inner.field(c).to_numpy() for c in ("start", "end")], axis=1) if len(inner) else np.zeros((0, 2), dtype=np.int64)
+            packed = [merged(rows[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(packed, pa.binary())], ["_doc", "_doc_key", "_doc_spans"])
+
+    per_row = materialize(collected.mapInArrow(pack, "_doc long, _doc_key long, _doc_spans binary"), "spans")
+    joined = join_small(_own_names(docs, carry), per_row, ["_doc", "_doc_key"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in _texts(batch):
                 out = []
-                for i, doc_id, raw in run:
-                    found = batch.column("_spans")[i].as_py()
-                    runs = []
-                    if found:
-                        all_runs = np.frombuffer(found, dtype=np.int64).reshape(-1, 3)
-                        runs = all_runs[all_runs[:, 0] == row_key(doc_id, raw), 1:].tolist()
+                for i, _, _, raw in run:
+                    runs = np.frombuffer(batch.column("_doc_spans")[i].as_py() or b"", dtype=np.int64).reshape(-1, 2).tolist()
                     edges = [0, *[e for r in runs for e in r], len(raw)]
                     kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     removed = len(raw) - len(kept)
@@ -361,7 +350,7 @@ def without_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None
                 yield pa.RecordBatch.from_arrays([*columns, *made], [*carry, "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"])
 
     fields = with_fields(docs, carry, f"n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digests else 'kept'} string")
-    return joined.select(*names, "_spans").mapInArrow(cut, fields)
+    return joined.select(*carry, "_doc", "_doc_key", "_doc_text", "_doc_spans").mapInArrow(cut, fields)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
