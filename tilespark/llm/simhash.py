@@ -16,7 +16,7 @@ blocks that agree would be too short to tell anything apart; of 8 blocks of 16 b
 table for its block and the 16 blocks a bit away.
 
 Defined cases: null text is empty; words are separated by space and 0x09-0x0D; equal texts have equal fingerprints; repeated rows are rows of their
-own; null ids come after all others; a single document is its own next; an empty table gives an empty result; other columns are ignored,
+own; null ids come after all others, in descending order of a hash of their text; a single document is its own next; an empty table gives an empty result; other columns are ignored,
 whatever their names.
 """
 
@@ -141,29 +141,43 @@ def search_wide(queries: DataFrame, entries: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows of ``doc_id, text`` with the text of the next document (descending doc_id, the first after the last).
 
-    Ids are cut into buckets at ids that occur, taken from approximate quantiles. The row whose id is a bucket's upper bound also goes to
-    the bucket above, as a ghost behind that bucket's last row, and the largest id to the lowest bucket; with this one shuffle every row meets its next. Ghosts are kept,
-    marked by ``_ghost``; ``_seq`` numbers a bucket's rows in order.
+    Ids are cut into buckets at ids that occur, taken from approximate quantiles, and rows without an id likewise by a hash of their text. The row that is a
+    bucket's upper bound also goes to the bucket above, as a ghost behind that bucket's last row, and the last of all to the lowest bucket; with this one shuffle
+    every row meets its next. Ghosts are kept, marked by ``_ghost``; ``_seq`` numbers a bucket's rows in order.
     """
-    # only ids are read here
-    n = docs.agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("top")).collect()[0]
-    buckets = max(1, min(BUCKETS, -(-n["n"] // BUCKET_ROWS)))
-    inner = [i / buckets for i in range(1, buckets)]
-    bounds = sorted({*(docs.agg(F.percentile_approx("doc_id", inner).alias("b")).collect()[0]["b"] or []), n["top"]} - {None}) if inner else [x for x in [n["top"]] if x is not None]
-    rows_of = [bounds[i : i + 256] for i in range(0, len(bounds), 256)] or [[0]]
-    two_level = F.from_json(F.lit(json.dumps(rows_of)), "array<array<bigint>>")
-    heads = F.from_json(F.lit(json.dumps([r[-1] for r in rows_of])), "array<bigint>")
-    row = F.size(F.filter(heads, lambda b: b < F.col("doc_id")))
-    placed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.when(F.col("doc_id").isNotNull(), row), F.lit(0)).alias("_row"))
-    inside = F.get(two_level, F.col("_row"))
-    own = F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("_row") * 256 + F.size(F.filter(inside, lambda b: b < F.col("doc_id")))).cast("int")
-    placed = placed.withColumn("_own", own)
-    is_bound = F.coalesce(F.get(F.get(two_level, F.col("_row")), F.col("_own") % 256) == F.col("doc_id"), F.lit(False))
+    nobody = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit(""))))
+    ranked = docs.select("doc_id", "text", nobody.alias("_h"))
+    # only ids and hashes are gathered here
+    n = ranked.agg(F.count("doc_id").alias("ids"), F.max("doc_id").alias("top_id"), F.count("_h").alias("nulls"), F.max("_h").alias("top_null")).collect()[0]
+
+    def bucket(column: str, bounds: list[int]) -> tuple[Column, Column]:
+        """The number of the bucket that holds a value, and whether the value is its bound."""
+        rows_of = [bounds[i : i + 256] for i in range(0, len(bounds), 256)] or [[0]]
+        levels = F.from_json(F.lit(json.dumps(rows_of)), "array<array<bigint>>")
+        row = F.size(F.filter(F.from_json(F.lit(json.dumps([r[-1] for r in rows_of])), "array<bigint>"), lambda b: b < F.col(column)))
+        inside = F.get(levels, row)
+        place = F.size(F.filter(inside, lambda b: b < F.col(column)))
+        return row * 256 + place, F.get(inside, place) == F.col(column)  # null where the value is
+
+    def bounds_of(column: str, rows: int, top: int | None) -> list[int]:
+        if not rows:
+            return []
+        buckets = max(1, min(BUCKETS, -(-rows // BUCKET_ROWS)))
+        inner = [i / buckets for i in range(1, buckets)]
+        near = sorted({*(ranked.agg(F.percentile_approx(column, inner, max(10_000, 4 * buckets)).alias("b")).collect()[0]["b"] if inner else []), top})
+        # quantiles are rounded to doubles: the largest value at or below each is one that occurs
+        return sorted(r["b"] for r in ranked.filter(F.col(column).isNotNull()).groupBy(bucket(column, near)[0]).agg(F.max(column).alias("b")).collect())
+
+    of_nulls, of_ids = bounds_of("_h", n["nulls"], n["top_null"]), bounds_of("doc_id", n["ids"], n["top_id"])
+    bounds = of_nulls + of_ids
+    (null_at, null_bound), (id_at, id_bound) = bucket("_h", of_nulls), bucket("doc_id", of_ids)
+    is_null = F.col("doc_id").isNull()
+    placed = ranked.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), "_h", F.when(is_null, null_at).otherwise(id_at + len(of_nulls)).cast("int").alias("_own"), F.coalesce(F.when(is_null, null_bound).otherwise(id_bound), F.lit(False)).alias("_bound"))
     above = F.when(F.col("_own") + 1 < len(bounds), F.col("_own") + 1).otherwise(F.lit(0))
     here = F.struct(F.col("_own").alias("b"), F.lit(0).alias("g"))
-    to = F.when(is_bound, F.array(here, F.struct(above.alias("b"), F.lit(1).alias("g")))).otherwise(F.array(here))
-    dealt = placed.select("doc_id", "text", F.explode(to).alias("_to")).select("doc_id", "text", F.col("_to.b").alias("_bucket"), F.col("_to.g").alias("_ghost"))
-    order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc_nulls_last("doc_id"), F.desc("text"))
+    to = F.when(F.col("_bound"), F.array(here, F.struct(above.alias("b"), F.lit(1).alias("g")))).otherwise(F.array(here))
+    dealt = placed.select("doc_id", "text", "_h", F.explode(to).alias("_to")).select("doc_id", "text", "_h", F.col("_to.b").alias("_bucket"), F.col("_to.g").alias("_ghost"))
+    order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc_nulls_last("doc_id"), F.desc("_h"), F.desc("text"))
     return dealt.select("*", F.lead("text").over(order).alias("next_text"), F.row_number().over(order).alias("_seq"))
 
 
