@@ -93,6 +93,17 @@ def test_repeats(docs, monkeypatch, hot):
     assert Counter(map(tuple, repeats.without_repeats(docs, digests=True).collect())) == want
 
 
+def test_repeats_without_ids(spark):
+    passage = "".join(chr(97 + i * 7 % 26) for i in range(13)) * 1
+    long = " ".join(f"{passage}{i}" for i in range(40))
+    rows = [(None if i % 2 else 4, f"begin {i * i} {long if i % 3 == 0 else ' '.join(f'own{i}x{j}' for j in range(120))} end {i * i * 7}") for i in range(300)]
+    out = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), carry=["doc_id"])
+    got = Counter((r.n_removed > 0, r.n_spans) for r in out.collect())
+    assert got == Counter({(True, 1): 100, (False, 0): 200})
+    groups = repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("id", "key").count().collect()
+    assert len(groups) == 100
+
+
 def test_repeats_of_nothing(no_docs):
     assert repeats.without_repeats(no_docs).collect() == []
 
@@ -136,7 +147,8 @@ def fingerprint(text):
 def test_simhash(spark, docs, monkeypatch, tmp_path):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 20)
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""), reverse=True)
+    nobody = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), seed=42) + (1 << 63)) % (1 << 64)
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, nobody(r.text) if r.doc_id is None else r.doc_id, r.text or ""), reverse=True)
     likeness = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 128
     prints = [fingerprint(r.text) for r in rows]
     count = Counter(prints)
@@ -160,6 +172,14 @@ def test_simhash_of_nothing_and_of_one(spark, no_docs, tmp_path):
     assert [r.near_next for r in simhash.op3_simhash(spark, f"{tmp_path}/one").collect()] == [1.0]
 
 
+def test_simhash_without_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 20)
+    spark.range(300).selectExpr("CAST(NULL AS BIGINT) doc_id", "concat('text ', id, ' of nobody ', id % 7) text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = simhash.op3_simhash(spark, str(tmp_path)).collect()
+    assert len(rows) == 300 and all(r.near_next is not None and r.doc_id is None for r in rows)
+    assert max(r["count"] for r in simhash.with_next(spark.read.parquet(f"{tmp_path}/documents.parquet")).groupBy("_bucket").count().collect()) <= 60
+
+
 @pytest.mark.parametrize("radius", [1, 3, 5])
 def test_search_within_radius(spark, radius):
     rng = np.random.default_rng(radius)
@@ -252,6 +272,16 @@ def test_mixing_comes_near_its_targets(spark):
     assert mixed.columns == rows.columns and mixed.count() == mixing.copies(rows).agg(F.sum("n_copies")).collect()[0][0]
 
 
+def test_mixing_without_ids(spark):
+    rows = spark.range(4000).selectExpr("IF(id % 3 = 0, id, NULL) doc_id", "concat(repeat('w ', 5 + CAST(id % 40 AS INT)), IF(id % 5 = 0, 'same', CAST(id AS STRING))) text", "IF(id % 4 = 0, 'a', 'b') source", "map('k', id % 2) extra")
+    drawn = mixing.copies(rows).groupBy("source").agg(F.sum(F.col("n_copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
+    mixed = mixing.mix(rows)
+    got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    for r in drawn:
+        assert abs(r.taken / r.target - 1) < 0.02 and got[r.source] == r.taken
+    assert mixed.columns == rows.columns and mixed.drop("extra").exceptAll(rows.drop("extra").crossJoin(spark.range(3)).drop("id")).count() == 0
+
+
 def test_mixing_of_nothing(no_docs):
     assert mixing.copies(no_docs).collect() == [] and mixing.mix(no_docs).collect() == []
 
@@ -293,6 +323,23 @@ def test_languages_in_scripts_above_3000(monkeypatch, table, columns):
     assert all(len(model._held(t)) >= len(p) for (_, t), p in zip(held, plain, strict=True))
 
 
+def test_language_sample_is_bounded(spark):
+    # thousands of rows without an id, or with one id, in a language; texts longer than the bound
+    rows = spark.range(6000).selectExpr("IF(id % 2 = 0, NULL, 3) doc_id", "concat('text number ', id, repeat(' more of it', CAST(id % 9 AS INT))) text", "IF(id % 3 = 0, 'en', 'de') lang")
+    long = spark.range(2).selectExpr("100 + id doc_id", "repeat('lang ', 50000) text", "'fr' lang")
+    everything = rows.unionByName(rows).unionByName(long)
+    got = language.sample(everything, per_language=50, characters=60_000).collect()
+    n = Counter(r.lang for r in got)
+    assert n["en"] == n["de"] == 50 and "fr" not in n and len({(r.lang, r.text) for r in got}) == 100
+    assert sum(len(r.text) for r in language.sample(everything, per_language=50, characters=3_000).collect()) <= 3_000
+    rng = np.random.default_rng(1)
+    say = lambda letters: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(30))
+    docs = spark.createDataFrame([(None, say("abcdef"), "xx") for _ in range(300)] + [(3, say("defghi"), "yy") for _ in range(300)], "doc_id long, text string, lang string")
+    rows = language.predict(docs, language.fit(docs, per_language=60)).collect()
+    truth = {r.text: r.lang for r in docs.collect()}
+    assert len(rows) == 600 and sum(r.lang_pred == ("xx" if r.doc_id is None else "yy") for r in rows) >= 590 and len(truth) == 600
+
+
 def test_language_without_learning_rows(spark, no_docs, odd_docs):
     assert language.fit(no_docs) is None and language.predict(no_docs, None).collect() == []
     assert {r.lang_pred for r in language.predict(odd_docs, None).collect()} == {"und"}

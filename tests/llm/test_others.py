@@ -140,15 +140,35 @@ def test_chat_round_trip(spark):
         grouped.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
     assert back.keys() == grouped.keys()
     for c, turns in grouped.items():
-        turns.sort(key=lambda x: (x[0], x[1], x[2].replace("\\", "\\\\").encode(), x[3].encode()))
-        assert sorted((t.role, t.text) for t in back[c].turns) == sorted(x[2:] for x in turns)
-        if len({x[:2] for x in turns}) == len(turns):
-            assert [(t.role, t.text) for t in back[c].turns] == [x[2:] for x in turns]
-            assert back[c].loss_text == "".join(x[3] for x in turns if x[2] == "assistant")
+        turns.sort(key=lambda x: (x[0], x[1], x[2].encode(), x[3].encode()))
+        assert [(t.role, t.text) for t in back[c].turns] == [x[2:] for x in turns]
+        assert back[c].loss_text == "".join(x[3] for x in turns if x[2] == "assistant")
     merged = chat.format_conversations(df).filter("conv_id = 50").collect()[0].formatted
     assert merged.count("<|im_start|>") == 1 and merged.count("<|im_sep|>") == 2
 
 
+def test_chat_takes_time_in_proportion_to_turns(spark):
+    import time
+
+    def seconds(n):
+        text = F.concat(F.lit("é"), F.repeat(F.lit("word "), (F.col("id") % 60).cast("int")), F.lit("<|"))
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+        began = time.perf_counter()
+        out = chat.parse_conversations(chat.format_conversations(rows)).collect()[0]
+        took = time.perf_counter() - began
+        assert out.loss_text == "".join("é" + "word " * (i % 60) + "<|" for i in range(n) if i % 3)
+        return took
+
+    seconds(500)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.2)
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 5, 64, 65, 200):
+        got = spark.range(1).select(chat.running_sum(F.array(*[F.lit(i % 7) for i in range(n)]).cast("array<bigint>")).alias("s")).collect()[0].s
+        assert got == np.cumsum([i % 7 for i in range(n)]).tolist()
+
+
 def test_chat_of_nothing(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.parse_conversations(chat.format_conversations(none)).collect() == []
