@@ -60,11 +60,34 @@ def test_association_stays_while_it_overlaps(spark):
 
 def test_ignored_region(spark):
     b = frame(spark, TRUTH, lane("gt", 9, 5, range(5), ignore=True), lane("pred", 11, 0, range(5)), lane("pred", 12, 1, range(5)), lane("pred", 13, 5, range(5)))
-    assert scoring.suppressed(b, scoring.matches(b)).count() == 5
+    assert scoring.suppressed(b).count() == 5
     d, m, _ = all_metrics(b)
     assert d.fp == 0 and m.mota == 1.0
 
 
+def test_unlabelled_frames_do_not_count(spark):
+    # one object annotated on one frame; predictions go on where nobody looked
+    b = frame(spark, lane("gt", 1, 0, [0]), lane("pred", 11, 0, range(3)), lane("pred", 12, 4, [1, 2]))
+    d, m, i = all_metrics(b)
+    assert (d.tp, d.fp, d.fn) == (1, 0, 0) and (m.fp, m.mota) == (0, 1.0) and (i.idfp, i.idf1) == (0, 1.0)
+    # declared frames are exhaustively labelled: what is predicted there counts, also without any truth
+    declared = spark.createDataFrame([(1, 0), (1, 1)], "clip_id int, frame int")
+    assert scoring.detection(b, frames=declared).collect()[0].fp == 2
+    m, i = scoring.clear_mot(b, frames=declared).collect()[0], scoring.idf1(b, frames=declared).collect()[0]
+    assert (m.fp, m.mota, i.idfp) == (2, -1.0, 2)
+    # and fewer frames than were annotated
+    whole = frame(spark, lane("gt", 1, 0, range(5)), lane("pred", 11, 0, range(2)))
+    assert scoring.detection(whole, frames=declared).collect()[0].fn == 0 and scoring.detection(whole).collect()[0].fn == 3
+    assert scoring.grounding(whole, frames=declared).collect()[0].grounded
+
+
+def test_clutter_beside_a_match(spark):
+    b = frame(spark, TRUTH, lane("pred", 11, 0, range(5), 1), lane("pred", 12, 1, range(5)), lane("pred", 40, 0, [2], 3))
+    d, m, i = all_metrics(b)
+    assert (d.tp, d.fp, d.fn, m.fp, m.id_switches, i.idfp) == (10, 1, 0, 1, 0, 1)
+    assert {(r.gt_id, r.pred_id, r.frames) for r in scoring.cooccurrence(b).collect()} == {(1, 11, 5), (2, 12, 5), (1, 40, 1)}
+
+
 @pytest.mark.parametrize(("window", "grounded"), [(5, True), (2, False)])
 def test_late_acquisition(spark, window, grounded):
     b = frame(spark, lane("gt", 1, 0, range(8)), lane("pred", 11, 0, range(3, 8), acquired=3))

@@ -20,13 +20,14 @@ def iou_pairs(spark, sf_dir):
 
 
 def matched_boxes(spark, sf_dir):
-    found = scoring.matches(_boxes(spark, sf_dir))
+    """Frames where two objects and two predictions overlap each other."""
+    found = scoring.matches(table(spark, sf_dir, "crowd"))
     return found.groupBy("clip_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("iou"), 6).alias("total"))
 
 
 def ignore_suppression(spark, sf_dir):
     b = _boxes(spark, sf_dir)
-    return scoring.suppressed(b, scoring.matches(b)).groupBy("clip_id").agg(F.count(F.lit(1)).alias("suppressed"))
+    return scoring.suppressed(b).groupBy("clip_id").agg(F.count(F.lit(1)).alias("suppressed"))
 
 
 def detection_prf(spark, sf_dir):
@@ -59,20 +60,31 @@ def clip_pooling(spark, sf_dir):
 
 
 def clip_counts(spark, sf_dir):
-    """Labelled frames, tracks and boxes per clip."""
+    """Labelled frames, tracks and boxes per clip; boxes that an ignored region excuses are counted apart."""
     b = _boxes(spark, sf_dir)
     on = lambda c: F.when(c, F.col("track_id"))
     gt, ignored = (F.col("side") == "gt") & ~F.col("ignore"), F.col("ignore")
-    return scoring.labelled(b).groupBy("clip_id").agg(
+    hidden = scoring.suppressed(b).groupBy("clip_id").agg(F.count(F.lit(1)).alias("pred_boxes_suppressed"))
+    counts = scoring.labelled(b).groupBy("clip_id").agg(
         F.countDistinct("frame").alias("frames"), F.countDistinct(on(gt)).alias("gt_tracks"), F.countDistinct(on(ignored)).alias("ignore_tracks"), F.count_if(gt).alias("gt_boxes"),
         F.countDistinct(on(F.col("side") == "pred")).alias("pred_tracks"), F.count_if(F.col("side") == "pred").alias("pred_boxes"),
     )
+    joined = counts.join(hidden, "clip_id", "left").withColumn("pred_boxes_suppressed", F.coalesce("pred_boxes_suppressed", F.lit(0)))
+    return joined.withColumn("pred_boxes", F.col("pred_boxes") - F.col("pred_boxes_suppressed"))
 
 
 def clip_report(spark, sf_dir):
-    """A line of text per clip."""
-    d = scoring.detection(_boxes(spark, sf_dir))
-    return d.select("clip_id", F.format_string("P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn)", *[F.bround(c, 3) for c in ("precision", "recall", "f1")], "tp", "fp", "fn").alias("line"))
+    """What a person reads of each clip: grounding, detection and tracking, a line each."""
+    b = _boxes(spark, sf_dir)
+    d, m, i, g_ = scoring.detection(b), scoring.clear_mot(b), scoring.idf1(b), scoring.clip_grounding(scoring.grounding(b))
+    joined = g_.join(d, "clip_id").join(m.select("clip_id", "mota", "motp", "id_switches"), "clip_id").join(i.select("clip_id", "idf1"), "clip_id")
+    three = lambda *names: [F.bround(c, 3) for c in names]
+    lines = (
+        F.format_string("grounding %d/%d (%d of %d late)", "grounded", "total", "late_grounded", "late_total"),
+        F.format_string("P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn, %d suppressed)", *three("precision", "recall", "f1"), "tp", "fp", "fn", "suppressed"),
+        F.format_string("MOTA %.3f IDF1 %.3f MOTP %.3f switches %d", *three("mota", "idf1", "motp"), "id_switches"),
+    )
+    return joined.select("clip_id", F.concat_ws("\n", *lines).alias("report"))
 
 
 def _rounded(df):
@@ -187,27 +199,30 @@ QUERIES = {
 }
 
 _IOU = "(least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / (200 - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)))"
-_NEAR = f"""near AS (SELECT a.clip_id, a.frame, a.track_id AS gt_id, a.ignore, b.track_id AS pred_id, a.acquired_frame, {_IOU} AS iou FROM {{boxes}} a JOIN {{boxes}} b
+_LABELLED = "lab AS (SELECT * FROM {boxes} WHERE (clip_id, frame) IN (SELECT (clip_id, frame) FROM {boxes} WHERE side = 'gt'))"
+_NEAR = f"""{_LABELLED}, near AS (SELECT a.clip_id, a.frame, a.track_id AS gt_id, a.ignore, b.track_id AS pred_id, a.acquired_frame, {_IOU} AS iou FROM lab a JOIN lab b
   ON a.clip_id = b.clip_id AND a.frame = b.frame AND a.side = 'gt' AND b.side = 'pred' AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2),
-hits AS (SELECT * FROM near WHERE iou >= 0.5 AND NOT ignore),
+over AS (SELECT * FROM near WHERE iou >= 0.5 AND NOT ignore),
+hits AS (SELECT * FROM over QUALIFY row_number() OVER (PARTITION BY clip_id, frame, gt_id ORDER BY iou DESC) = 1),
 hidden AS (SELECT DISTINCT clip_id, frame, pred_id FROM near WHERE iou >= 0.5 AND ignore),
-seen AS (SELECT * FROM {{boxes}} WHERE (side = 'gt' AND NOT ignore) OR (side = 'pred' AND (clip_id, frame, track_id) NOT IN (SELECT (clip_id, frame, pred_id) FROM hidden))),
+seen AS (SELECT * FROM lab WHERE (side = 'gt' AND NOT ignore) OR (side = 'pred' AND (clip_id, frame, track_id) NOT IN (SELECT (clip_id, frame, pred_id) FROM hidden))),
 n AS (SELECT clip_id, count(*) FILTER (side = 'gt') AS n_gt, count(*) FILTER (side = 'pred') AS n_pred FROM seen GROUP BY clip_id),
 tp AS (SELECT clip_id, count(*) AS tp, avg(iou) AS mean_iou, sum(iou) AS total FROM hits GROUP BY clip_id)"""
 _SWITCH = """latest AS (SELECT *, last_value(pred_id IGNORE NULLS) OVER (PARTITION BY clip_id, gt_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hits),
 sw AS (SELECT clip_id, count(*) FILTER (before IS NOT NULL AND before <> pred_id) AS id_switches FROM latest GROUP BY clip_id)"""
 _MOT = """mot AS (SELECT n.clip_id, round(1 - (n_gt - tp + n_pred - tp + id_switches) / CAST(n_gt AS DOUBLE), 6) AS mota, round(mean_iou, 6) AS motp, id_switches, tp, n_pred - tp AS fp, n_gt - tp AS fn FROM n JOIN tp USING (clip_id) JOIN sw USING (clip_id))"""
-_CO = "co AS (SELECT clip_id, gt_id, pred_id, count(*) AS frames FROM hits GROUP BY 1, 2, 3)"
+_CO = "co AS (SELECT clip_id, gt_id, pred_id, count(*) AS frames FROM over GROUP BY 1, 2, 3)"
 _ID = """best AS (SELECT clip_id, sum(f) AS idtp FROM (SELECT clip_id, gt_id, max(frames) AS f FROM co GROUP BY 1, 2) x GROUP BY clip_id),
 ids AS (SELECT n.clip_id, CAST(idtp AS BIGINT) AS idtp, CAST(n_pred - idtp AS BIGINT) AS idfp, CAST(n_gt - idtp AS BIGINT) AS idfn, round(2 * idtp / CAST(n_gt + n_pred AS DOUBLE), 6) AS idf1, round(idtp / CAST(n_pred AS DOUBLE), 6) AS idp, round(idtp / CAST(n_gt AS DOUBLE), 6) AS idr FROM n JOIN best USING (clip_id))"""
-_GROUND = """acq AS (SELECT clip_id, track_id AS pred_id, min(acquired_frame) AS acquired FROM {boxes} WHERE side = 'pred' GROUP BY 1, 2),
-gt AS (SELECT clip_id, track_id AS gt_id, min(frame) AS first FROM {boxes} WHERE side = 'gt' AND NOT ignore GROUP BY 1, 2),
-pairs AS (SELECT a.clip_id, a.frame, a.track_id AS gt_id, b.track_id AS pred_id, CASE WHEN a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 THEN @IOU@ ELSE 0 END AS iou FROM {boxes} a JOIN {boxes} b
+_GROUND = """glab AS (SELECT * FROM {boxes} WHERE (clip_id, frame) IN (SELECT (clip_id, frame) FROM {boxes} WHERE side = 'gt')),
+acq AS (SELECT clip_id, track_id AS pred_id, min(acquired_frame) AS acquired FROM {boxes} WHERE side = 'pred' GROUP BY 1, 2),
+gt AS (SELECT clip_id, track_id AS gt_id, min(frame) AS first FROM glab WHERE side = 'gt' AND NOT ignore GROUP BY 1, 2),
+pairs AS (SELECT a.clip_id, a.frame, a.track_id AS gt_id, b.track_id AS pred_id, CASE WHEN a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 THEN @IOU@ ELSE 0 END AS iou FROM glab a JOIN glab b
   ON a.clip_id = b.clip_id AND a.frame = b.frame AND a.side = 'gt' AND b.side = 'pred'),
 checked AS (SELECT p.clip_id, p.gt_id, p.pred_id, arg_min(iou, frame) AS iou, any_value(acquired) AS acquired, any_value(first) AS first FROM pairs p JOIN acq USING (clip_id, pred_id) JOIN gt USING (clip_id, gt_id)
-  WHERE frame >= acquired AND acquired <= first + 5 GROUP BY 1, 2, 3),
-found AS (SELECT clip_id, gt_id, min(greatest(0, acquired - first)) AS latency FROM checked WHERE iou >= 0.5 GROUP BY 1, 2),
-g AS (SELECT gt.clip_id, gt.gt_id, first > 5 AS late, latency IS NOT NULL AS grounded, latency FROM gt LEFT JOIN found USING (clip_id, gt_id)),
+  WHERE frame >= acquired AND acquired <= first + 30 GROUP BY 1, 2, 3),
+found AS (SELECT clip_id, gt_id, greatest(0, acquired - first) AS latency FROM checked WHERE iou >= 0.5 QUALIFY row_number() OVER (PARTITION BY clip_id, gt_id ORDER BY iou DESC, pred_id) = 1),
+g AS (SELECT gt.clip_id, gt.gt_id, first > 30 AS late, latency IS NOT NULL AS grounded, latency FROM gt LEFT JOIN found USING (clip_id, gt_id)),
 ground AS (SELECT clip_id, count(*) AS total, count(*) FILTER (grounded) AS grounded, count(*) FILTER (NOT late) AS initial_total, count(*) FILTER (grounded AND NOT late) AS initial_grounded,
   count(*) FILTER (late) AS late_total, count(*) FILTER (grounded AND late) AS late_grounded, CAST(median(latency) AS DOUBLE) AS median_latency, CAST(max(latency) AS BIGINT) AS max_latency FROM g GROUP BY clip_id)""".replace("@IOU@", _IOU)
 _TILED = """d AS (SELECT CAST(clip_id AS BIGINT) * 60 + frame AS frame_id, CAST(gt_id * 120 - 60 AS DOUBLE) AS l, CAST(gt_id * 120 + 12 AS DOUBLE) AS r, dx / 10 AS low FROM {det_boxes} WHERE pred_id IS NOT NULL),
@@ -225,20 +240,30 @@ phases AS (SELECT user_id, phase, any_value(state) AS state, min(frame) AS start
 ORACLE = {
     name: oracle(sql)
     for name, sql in {
-        "iou_pairs": f"WITH {_NEAR} SELECT clip_id, frame, gt_id, pred_id, round(iou, 6) AS iou FROM hits",
-        "matched_boxes": f"WITH {_NEAR} SELECT clip_id, tp AS pairs, round(total, 6) AS total FROM tp",
+        "iou_pairs": f"WITH near AS (SELECT a.clip_id, a.frame, a.track_id AS gt_id, a.ignore, b.track_id AS pred_id, {_IOU} AS iou FROM {{boxes}} a JOIN {{boxes}} b ON a.clip_id = b.clip_id AND a.frame = b.frame AND a.side = 'gt' AND b.side = 'pred' AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2) SELECT clip_id, frame, gt_id, pred_id, round(iou, 6) AS iou FROM near WHERE iou >= 0.5 AND NOT ignore",
+        # lanes apart: two objects and two predictions a lane at most, so a matching is one pair or two
+        "matched_boxes": f"""WITH e AS (SELECT a.clip_id, a.frame, CAST(a.y1 AS INT) AS lane, a.track_id AS g, b.track_id AS p, {_IOU} AS iou FROM {{crowd}} a JOIN {{crowd}} b
+            ON a.clip_id = b.clip_id AND a.frame = b.frame AND a.side = 'gt' AND b.side = 'pred' AND a.y1 = b.y1 AND a.x1 < b.x2 AND b.x1 < a.x2 WHERE {_IOU} >= 0.5),
+          c AS (SELECT clip_id, frame, lane, 1 AS n, iou AS total FROM e UNION ALL SELECT e.clip_id, e.frame, e.lane, 2, e.iou + f.iou FROM e JOIN e f ON e.clip_id = f.clip_id AND e.frame = f.frame AND e.lane = f.lane AND e.g < f.g AND e.p <> f.p),
+          t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY clip_id, frame, lane ORDER BY total DESC) = 1)
+          SELECT clip_id, CAST(sum(n) AS BIGINT) AS pairs, round(sum(total), 6) AS total FROM t GROUP BY clip_id""",
         "ignore_suppression": f"WITH {_NEAR} SELECT clip_id, count(*) AS suppressed FROM hidden GROUP BY clip_id",
-        "detection_prf": f"""WITH {_NEAR}, c AS (SELECT clip_id, coalesce(tp, 0) AS tp, n_pred - coalesce(tp, 0) AS fp, n_gt - coalesce(tp, 0) AS fn, round(coalesce(mean_iou, 0), 6) AS mean_iou FROM n LEFT JOIN tp USING (clip_id))
+        "detection_prf": f"""WITH {_NEAR}, c AS (SELECT clip_id, coalesce(tp, 0) AS tp, n_pred - coalesce(tp, 0) AS fp, n_gt - coalesce(tp, 0) AS fn, (SELECT count(*) FROM hidden h WHERE h.clip_id = n.clip_id) AS suppressed, round(coalesce(mean_iou, 0), 6) AS mean_iou FROM n LEFT JOIN tp USING (clip_id))
           SELECT *, round(tp / CAST(tp + fp AS DOUBLE), 6) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 6) AS recall, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1 FROM c""",
         "clear_mot": f"WITH {_NEAR}, {_SWITCH}, {_MOT} SELECT * FROM mot",
         "idf1_counts": f"WITH {_NEAR}, {_CO} SELECT * FROM co",
         "idf1": f"WITH {_NEAR}, {_CO}, {_ID} SELECT * FROM ids",
         "grounding_recall": f"WITH {_GROUND} SELECT * FROM ground",
         "clip_pooling": f"WITH {_NEAR}, {_SWITCH}, {_MOT}, {_CO}, {_ID}, {_GROUND} SELECT count(*) AS clips, round(sum(grounded) / CAST(sum(ground.total) AS DOUBLE), 6) AS recall, round(avg(1 - (n_gt - tp.tp + n_pred - tp.tp + sw.id_switches) / CAST(n_gt AS DOUBLE)), 6) AS mota, round(avg(2 * idtp / CAST(n_gt + n_pred AS DOUBLE)), 6) AS idf1 FROM ground JOIN n USING (clip_id) JOIN tp USING (clip_id) JOIN sw USING (clip_id) JOIN best USING (clip_id)",
-        "clip_counts": """SELECT clip_id, count(DISTINCT frame) AS frames, count(DISTINCT track_id) FILTER (side = 'gt' AND NOT ignore) AS gt_tracks, count(DISTINCT track_id) FILTER (ignore) AS ignore_tracks, count(*) FILTER (side = 'gt' AND NOT ignore) AS gt_boxes,
-          count(DISTINCT track_id) FILTER (side = 'pred') AS pred_tracks, count(*) FILTER (side = 'pred') AS pred_boxes FROM {boxes} b WHERE EXISTS (SELECT 1 FROM {boxes} x WHERE x.side = 'gt' AND x.clip_id = b.clip_id AND x.frame = b.frame) GROUP BY clip_id""",
-        "clip_report": f"""WITH {_NEAR}, c AS (SELECT clip_id, coalesce(tp, 0) AS tp, n_pred - coalesce(tp, 0) AS fp, n_gt - coalesce(tp, 0) AS fn FROM n LEFT JOIN tp USING (clip_id))
-          SELECT clip_id, printf('P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn)', round_even(tp / CAST(tp + fp AS DOUBLE), 3), round_even(tp / CAST(tp + fn AS DOUBLE), 3), round_even(2.0e0 * tp / (2 * tp + fp + fn), 3), tp, fp, fn) AS line FROM c""",
+        "clip_counts": f"""WITH {_NEAR}, flagged AS (SELECT *, side = 'pred' AND (clip_id, frame, track_id) IN (SELECT (clip_id, frame, pred_id) FROM hidden) AS h FROM lab)
+          SELECT clip_id, count(DISTINCT frame) AS frames, count(DISTINCT track_id) FILTER (side = 'gt' AND NOT ignore) AS gt_tracks, count(DISTINCT track_id) FILTER (ignore) AS ignore_tracks, count(*) FILTER (side = 'gt' AND NOT ignore) AS gt_boxes,
+          count(DISTINCT track_id) FILTER (side = 'pred') AS pred_tracks, count(*) FILTER (side = 'pred' AND NOT h) AS pred_boxes, count(*) FILTER (h) AS pred_boxes_suppressed FROM flagged GROUP BY clip_id""",
+        "clip_report": f"""WITH {_NEAR}, {_SWITCH}, {_MOT}, {_CO}, {_ID}, {_GROUND},
+          c AS (SELECT clip_id, n.n_gt, coalesce(tp, 0) AS tp, n_pred - coalesce(tp, 0) AS fp, n_gt - coalesce(tp, 0) AS fn, (SELECT count(*) FROM hidden h WHERE h.clip_id = n.clip_id) AS suppressed, mean_iou FROM n LEFT JOIN tp USING (clip_id))
+          SELECT clip_id, printf('grounding %d/%d (%d of %d late)', grounded, ground.total, late_grounded, late_total) || chr(10) ||
+            printf('P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn, %d suppressed)', round_even(c.tp / CAST(c.tp + c.fp AS DOUBLE), 3), round_even(c.tp / CAST(c.tp + c.fn AS DOUBLE), 3), round_even(2.0e0 * c.tp / (2 * c.tp + c.fp + c.fn), 3), c.tp, c.fp, c.fn, suppressed) || chr(10) ||
+            printf('MOTA %.3f IDF1 %.3f MOTP %.3f switches %d', round_even(1 - (c.fn + c.fp + sw.id_switches) / CAST(n.n_gt AS DOUBLE), 3), round_even(2 * idtp / CAST(n.n_gt + n.n_pred AS DOUBLE), 3), round_even(c.mean_iou, 3), sw.id_switches) AS report
+          FROM c JOIN n USING (clip_id) JOIN sw USING (clip_id) JOIN best USING (clip_id) JOIN ground USING (clip_id)""",
         "seam_flags": f"WITH {_TILED} SELECT frame_id, tile, x1, y1, x2, y2, CAST(CAST(sl AS INT) AS VARCHAR) || '0' || CAST(CAST(sr AS INT) AS VARCHAR) || '0' AS seams FROM flagged",
         "seam_duplicates": f"""WITH {_TILED} SELECT frame_id, tile, x1, x2 FROM flagged d WHERE (sl OR sr) AND EXISTS (SELECT 1 FROM cut o WHERE o.frame_id = d.frame_id AND o.tile <> d.tile AND {_AREA.format("o")} > {_AREA.format("d")}
           AND greatest(0, least(d.x2, o.x2) - greatest(d.x1, o.x1)) * greatest(0, least(d.y2, o.y2) - greatest(d.y1, o.y1)) / ({_AREA.format("d")}) >= 0.6)""",

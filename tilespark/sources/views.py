@@ -51,12 +51,18 @@ VIEWS = {
         FROM (SELECT CAST(l_orderkey % 50 AS INT) AS clip_id, CAST(CAST(floor(l_orderkey / CAST(50 AS DOUBLE)) AS BIGINT) % 60 AS INT) AS frame,
                 CAST(l_linenumber AS INT) AS gt_id, min(l_suppkey) AS k
               FROM {lineitem} GROUP BY 1, 2, 3) g""",
-    # lane 7 is ignored; lane 6 of the predictions is moved onto lane 7 where it exists
+    # lane 7 is ignored; every twelfth frame has no ground truth: nobody labelled it; now and then clutter lies on lane 2, a track of its own each time
     "boxes": """
-        SELECT clip_id, 'gt' AS side, gt_id AS track_id, gt_id = 7 AS ignore, frame, 0 AS acquired_frame, gx1 AS x1, gy1 AS y1, gx1 + 10 AS x2, gy1 + 10 AS y2 FROM {det_boxes}
-        UNION ALL
-        SELECT clip_id, 'pred' AS side, CAST(pred_id AS INT) AS track_id, false AS ignore, frame, CASE WHEN pred_id > 10 THEN 30 ELSE CAST(3 * (pred_id % 3) AS INT) END AS acquired_frame,
-          gx1 + dx AS x1, gy1 AS y1, gx1 + dx + 10 AS x2, gy1 + 10 AS y2 FROM {det_boxes} WHERE pred_id IS NOT NULL""",
+        SELECT clip_id, CASE k WHEN 0 THEN 'gt' ELSE 'pred' END AS side, CASE k WHEN 0 THEN gt_id WHEN 1 THEN CAST(pred_id AS INT) ELSE 1000 + frame END AS track_id,
+          k = 0 AND gt_id = 7 AS ignore, frame, CASE WHEN k = 0 THEN 0 WHEN k = 2 THEN frame WHEN pred_id > 10 THEN 30 ELSE CAST(3 * (pred_id % 3) AS INT) END AS acquired_frame,
+          gx1 + CASE k WHEN 0 THEN 0 WHEN 1 THEN dx ELSE 3 END AS x1, gy1 AS y1, gx1 + CASE k WHEN 0 THEN 0 WHEN 1 THEN dx ELSE 3 END + 10 AS x2, gy1 + 10 AS y2
+        FROM {det_boxes} d CROSS JOIN (VALUES (0), (1), (2)) AS s(k)
+        WHERE (k = 0 AND frame % 12 <> 11) OR (k = 1 AND pred_id IS NOT NULL) OR (k = 2 AND gt_id = 2 AND frame % 5 = 2)""",
+    # lane 5 lies over lane 4: objects and predictions that overlap each other
+    "crowd": """
+        SELECT clip_id, side, track_id, ignore, frame, acquired_frame, x1 + CASE WHEN y1 = 500 THEN 3 ELSE 0 END AS x1, CASE WHEN y1 = 500 THEN 400 ELSE y1 END AS y1,
+          x2 + CASE WHEN y1 = 500 THEN 3 ELSE 0 END AS x2, CASE WHEN y1 = 500 THEN 410 ELSE y2 END AS y2
+        FROM {boxes} WHERE track_id < 1000 AND NOT ignore""",
     "docs_content": "SELECT doc_id, n_chars, min(doc_id) OVER (PARTITION BY text) AS canonical_id FROM {documents}",
     "phrases": "SELECT DISTINCT p_name AS phrase, 'name' AS category FROM {part} UNION ALL SELECT DISTINCT p_type, 'type' FROM {part}",
     # per user: 30 points moving east at 10 px a frame, then 30 standing still, repeating
