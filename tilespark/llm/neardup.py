@@ -4,10 +4,13 @@
    represented by the smallest id, so that thousands of copies cost as much as one.
 2. Classes that share a band key are candidates. Buckets emit stars (member to least member), never pairs; their components
    hold every pair that shares a key, so links are only to be sought inside candidate components.
-3. Links are confirmed on full sets inside a candidate component. A component that fits in a task is searched there. A larger one is cut into
-   blocks by hash: first each block is searched by itself, and what is linked that way is joined; then whatever lies outside the component's largest part is
-   compared with everything, block by block. Tasks hold two blocks and emit spanning edges, not pairs. Pairs whose link could only repeat a
-   known connection are the ones left out.
+3. Links are confirmed on full sets inside a candidate component. A component that fits in a task is searched there. A larger one is dealt by hash
+   into blocks, twice by different hashes, and each block is searched by itself: that joins what is thickly linked, such as thousands of near-copies.
+4. What then lies in one candidate component but is not connected is compared through its rarest shingles: sets as alike as asked share one of the
+   first ``size - ceil(threshold * size) + 1`` of their shingles, rarest in the component first. Pairs that do, of different parts and of fitting sizes, are
+   confirmed on full sets, each once. A family of texts that share a frame and little else has no such pairs, however large. No pair is lost here.
+
+Tasks emit spanning edges, not pairs, and a pair whose link could only repeat a known connection is not looked at again.
 
 The chance that a pair at the threshold shares no band key is below 1e-6 (see ``bands_for``), and it is only lost if
 no third text connects the two either.
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilespark.llm.components import Forest, connected_components
@@ -32,7 +35,7 @@ from tilespark.llm.shared import bounded_batches, join_small, materialize, parti
 from tilespark.llm.shingles import band_keys, bands_for, shingle_sets, sketches
 
 #: Hashes a block holds, about; a component up to this size is searched in one go. Texts hashed at a time, in characters.
-BLOCK_HASHES, PIECE_CHARS = 250_000, 400_000
+BLOCK_HASHES, PIECE_CHARS = 100_000, 400_000
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str | None]]]:
@@ -73,30 +76,24 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
-def links_within(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of positions (in ``sets``, or in ``sets`` and ``others``) with 100 * intersection >= percent * union.
+def links_within(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of positions with 100 * intersection >= percent * union.
 
     Intersections are counted through an inverted list of hashes: one count of list members for every set.
     """
-    index = others if others is not None else sets
-    sizes = np.array([len(x) for x in index])
-    if not len(sizes) or not len(sets):
+    sizes = np.array([len(x) for x in sets])
+    if not len(sizes):
         return
-    flat, owner = np.concatenate(index), np.repeat(np.arange(len(index)), sizes)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     for i, s in enumerate(sets):
         lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
         n = hi - lo
-        lo, n = lo[n > 0], n[n > 0]
-        if not len(lo):
-            continue
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(index))
-        linked = 100 * both >= percent * (len(s) + sizes - both)
-        linked &= both > 0
-        if others is None:
-            linked[: i + 1] = False
+        both = np.bincount(owner[at], minlength=len(sets))
+        linked = (100 * both >= percent * (len(s) + sizes - both)) & (both > 0)
+        linked[: i + 1] = False
         for j in np.flatnonzero(linked).tolist():
             yield i, j
 
@@ -111,45 +108,78 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _search(percent: int):
-    """A function over rows ``task, side, doc_id, set`` sorted by task: spanning edges of the links of each task.
-
-    Side 0 alone is searched within itself; with a side 1, side 0 is also searched against it.
-    """
+    """A function over rows ``task, doc_id, set`` sorted by task: spanning edges of the links of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(ids: list[list[int]], sets: list[list[np.ndarray]], within: bool) -> list[tuple[int, int]]:
-            forest, found = Forest(), []
-            if within:
-                for i, j in links_within(sets[0], None, percent):
-                    if forest.join(ids[0][i], ids[0][j]):
-                        found.append((ids[0][i], ids[0][j]))
-            if ids[1]:
-                for i, j in links_within(sets[0], sets[1], percent):
-                    if forest.join(ids[0][i], ids[1][j]):
-                        found.append((ids[0][i], ids[1][j]))
-            return found
-
-        task, ids, sets, within, found = None, [[], []], [[], []], True, []
+        def solve(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+            forest = Forest()
+            return [(ids[i], ids[j]) for i, j in links_within(sets, percent) if forest.join(ids[i], ids[j])]
+
+        task, ids, sets, found = None, [], [], []
         for batch in batches:
-            t, side, docs, raw, inner = (batch.column(c) for c in ("task", "side", "doc_id", "set", "within"))
+            t, docs, raw = (batch.column(c) for c in ("task", "doc_id", "set"))
             for i in range(batch.num_rows):
                 if (now := t[i].as_py()) != task:
-                    if task is not None:
-                        found += solve(ids, sets, within)
-                    task, ids, sets, within = now, [[], []], [[], []], inner[i].as_py()
-                k = side[i].as_py()
-                ids[k].append(docs[i].as_py())
-                sets[k].append(_set(raw[i]))
+                    found += solve(ids, sets)
+                    task, ids, sets = now, [], []
+                ids.append(docs[i].as_py())
+                sets.append(_set(raw[i]))
             if len(found) > 100_000:
                 yield _edges(found)
                 found = []
-        if task is not None:
-            found += solve(ids, sets, within)
-        yield _edges(found)
+        yield _edges(found + solve(ids, sets))
+
+    return run
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of each hash of each set."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            h = _set(batch.column("set")[i]).view(np.int64)
+            same = [np.full(len(h), batch.column(c)[i].as_py(), dtype=np.int64) for c in ("component", "label", "giant", "doc_id")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, np.full(len(h), len(h)), h)], ["component", "label", "giant", "doc_id", "size", "h"])
+
+
+def _confirm(percent: int):
+    """A function over rows ``a, b, set_a, set_b``: the pairs that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                x, y = _set(batch.column("set_a")[i]), _set(batch.column("set_b")[i])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    found.append((batch.column("a")[i].as_py(), batch.column("b")[i].as_py()))
+            yield _edges(found)
 
     return run
 
 
+def links_between(sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between sets (``component, label, giant, doc_id, set``) of one component and different labels, found by their rarest hashes.
+
+    ``giant`` is the component's label that is only looked up: its members are not compared with each other, having one label.
+    """
+    hashes = sets.mapInArrow(_hashes, "component long, label long, giant long, doc_id long, size long, h long")
+    often = hashes.groupBy("component", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = hashes.join(often, ["component", "h"])
+    # hashes that nobody shares come first and find nothing: they only use up places
+    mine = Window.partitionBy("doc_id")
+    place = F.row_number().over(mine.orderBy("n", "h")) + F.col("size") - F.count(F.lit(1)).over(mine)
+    needed = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    rare = shared.withColumn("place", place).filter(F.col("place") <= needed).select("component", "h", "doc_id", "label", "size", (F.col("label") == F.col("giant")).alias("g"))
+    rare = materialize(rare, "rare")
+    x, y = rare.filter("NOT g").alias("x"), rare.alias("y")
+    differ = (F.col("x.label") != F.col("y.label")) & (F.col("y.g") | (F.col("x.doc_id") < F.col("y.doc_id")))
+    fit = (100 * F.col("x.size") >= percent * F.col("y.size")) & (100 * F.col("y.size") >= percent * F.col("x.size"))
+    pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.h") == F.col("y.h")) & differ & fit)
+    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id, text``)."""
     spark = docs.sparkSession
@@ -180,49 +210,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     of_reps = of_members.select("doc_id", "component", "blocks", "text").mapInArrow(to_sets, "doc_id long, component long, blocks int, set binary").filter(F.length("set") > 0)
     sets = materialize(of_reps, "sets")
 
-    def searched(rows: DataFrame) -> DataFrame:
-        dealt = rows.select("task", "side", "within", "doc_id", "set").repartition(max(partitions(spark), 2), "task").sortWithinPartitions("task", "side")
+    def searched(rows: DataFrame, seed: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks"))
+        dealt = rows.select(F.concat_ws(":", "component", block).alias("task"), "doc_id", "set").repartition(max(partitions(spark), 2), "task").sortWithinPartitions("task")
         return dealt.mapInArrow(_search(percent), "a long, b long")
 
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    task = lambda *parts: F.concat_ws(":", F.col("component"), *parts)
-    first = sets.select(task(block).alias("task"), F.lit(0).alias("side"), F.lit(True).alias("within"), "doc_id", "set")
-    edges = materialize(searched(first), "links")
+    edges = materialize(searched(sets, 1).unionByName(searched(sets.filter("blocks > 1"), 2)), "links")
     labels = materialize(connected_components(edges), "labels")
 
-    large = sets.filter("blocks > 1")
+    large = sets.filter("blocks > 1").drop("blocks")
     if large.limit(1).count():
-        # the component's largest part against the rest, and the rest against itself
         named = join_small(large, labels.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        parts = materialize(named.groupBy("component", "label").agg(F.sum(F.length("set") / 8).alias("n")), "parts")
-        top = parts.groupBy("component").agg(F.max(F.struct("n", "label")).alias("t"), F.sum("n").alias("all")).select(
-            "component", F.col("t.label").alias("giant"), F.ceil(F.col("t.n") / BLOCK_HASHES).cast("int").alias("g"), F.ceil((F.col("all") - F.col("t.n")) / BLOCK_HASHES).cast("int").alias("r")
-        )
-        top = materialize(top, "giants")
-        sided = join_small(named, top, "component", "inner").filter("r > 0").withColumn("in_giant", F.col("label") == F.col("giant"))
-        h = F.xxhash64("doc_id")
-        mine = F.when(F.col("in_giant"), F.pmod(h, F.col("g"))).otherwise(F.pmod(h, F.col("r"))).cast("int")
-        every = F.sequence(F.lit(0), F.col("r") - 1)
-        # tasks: (i, i) and (i, j) among blocks of the rest, (i, g:j) between a block of the rest and one of the largest part
-        goes = F.when(F.col("in_giant"), F.transform(every, lambda i: F.struct(F.concat_ws(":", i, F.lit("g"), F.col("mine")).alias("t"), F.lit(1).alias("side"), F.lit(False).alias("within")))).otherwise(
-            F.concat(
-                F.transform(
-                    every,
-                    lambda i: F.struct(
-                        F.concat_ws(":", F.least(i, F.col("mine")), F.greatest(i, F.col("mine"))).alias("t"),
-                        F.when(i >= F.col("mine"), 0).otherwise(1).alias("side"),
-                        (i == F.col("mine")).alias("within"),
-                    ),
-                ),
-                F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.concat_ws(":", F.col("mine"), F.lit("g"), j).alias("t"), F.lit(0).alias("side"), F.lit(False).alias("within"))),
-            )
-        )
-        second = sided.withColumn("mine", mine).select("component", "doc_id", "set", F.explode(goes).alias("_g")).select(
-            task(F.col("_g.t")).alias("task"), F.col("_g.side").alias("side"), F.col("_g.within").alias("within"), "doc_id", "set"
-        )
-        more = searched(second)
-        edges = materialize(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
-        labels = materialize(connected_components(edges), "labels")
+        parts = named.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+        several = parts.groupBy("component").agg(F.max(F.struct("n", "label")).alias("t"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        several = materialize(several.select("component", F.col("t.label").alias("giant")), "unsettled")
+        if several.limit(1).count():
+            unsettled = materialize(join_small(named, several, "component", "inner"), "unsettled-sets")
+            edges = materialize(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links_between(unsettled, percent)), "links")
+            labels = materialize(connected_components(edges), "labels")
 
     # a class belongs to its representative's component; most classes are one document that is linked with nothing
     linked = labels.filter("component <> node").select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
