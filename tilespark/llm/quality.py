@@ -1,16 +1,17 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on every document: surface statistics (symbols, capitals, repetition, missing function words, ...), abusive
+Heuristic labellers vote good, bad or nothing on every document: surface statistics (symbols, capitals, repetition, ...), abusive
 words, and the ``labels`` table where it has the document. Expectation-maximisation over all documents estimates, without
 knowing the truth, how often each labellers gives each vote to good and to bad documents. It needs only how often each combination of votes occurs,
 which one aggregation over all rows counts; combinations are few whatever the number of rows.
 
 The posterior of a document's votes is its soft label, and a linear scorer over hashed words and bucketed statistics is trained on a bounded
-sample of them (``FIT_ROWS`` documents, half of them likely bad, chosen by hash of id). The scorer decides: documents that score
+sample of them (about ``FIT_ROWS`` documents, twice that at most, half of them likely bad, chosen and ordered by a hash of id and text, so that scores do not
+depend on how rows are partitioned). The scorer decides: documents that score
 ``REJECT`` or more are rejected. Toxic documents count as bad.
 
 Defined cases: null text is empty; a text without words has no votes and scores by its statistics alone, and is kept unless a label teaches otherwise; missing
-labels and null labels are no vote; several labels of one document count as the worst; null ids have no label; repeated rows are scored each; an empty table gives an
+labels and null labels are no vote; several labels of one document count as the worst; null ids have no label; repeated rows are scored each and learnt from once; an empty table gives an
 empty result (nothing is trained); other columns are ignored, whatever their names.
 """
 
@@ -90,9 +91,10 @@ def measure(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
 def votes(stats: np.ndarray) -> np.ndarray:
     """Votes of the heuristic labellers, a column each: 0 nothing, ``GOOD`` or ``BAD``.
 
-    Each of the first looks for one kind of bad document and is silent otherwise; the last votes good where all of them are silent.
+    Each of the first looks for one kind of bad document and is silent otherwise; the last votes good where all of them are silent. No labeller asks for words of
+    particular languages, but the abusive ones.
     """
-    symbols, capitals, exclamations, bars, neighbours, variety, abuse, function, _, n = (stats[:, k] for k in range(10))
+    symbols, capitals, exclamations, bars, neighbours, variety, abuse, _, _, n = (stats[:, k] for k in range(10))
     found = np.stack(
         [
             symbols > 0.3,
@@ -102,7 +104,6 @@ def votes(stats: np.ndarray) -> np.ndarray:
             (neighbours > 0.2) & (n >= 10),
             (variety < 0.15) & (n >= 50),
             abuse >= 2,
-            (function < 0.02) & (n >= 20),
         ],
         axis=1,
     )
@@ -110,7 +111,7 @@ def votes(stats: np.ndarray) -> np.ndarray:
     return np.concatenate([np.where(found, BAD, 0), np.where(silent, GOOD, 0)[:, None]], axis=1)
 
 
-N_HEURISTICS = 9
+N_HEURISTICS = 8
 
 
 def pattern(v: np.ndarray) -> np.ndarray:
@@ -198,14 +199,16 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in _pieces(batch):
             p = pattern(votes(measure(texts)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(p)], ["doc_id", "votes"])
+            own = [batch.column(c).slice(first, len(texts)) for c in ("doc_id", "h")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(p)], ["doc_id", "h", "votes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in _pieces(batch):
             rows = features(*measure(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("bad").slice(first, len(texts)), pa.array([r.tobytes() for r in rows], pa.binary())], ["bad", "row"])
+            own = [batch.column(c).slice(first, len(texts)) for c in ("h", "bad")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([r.tobytes() for r in rows], pa.binary())], ["h", "bad", "row"])
 
 
 class Classifier:
@@ -227,16 +230,17 @@ def fit(docs: DataFrame, labels: DataFrame | None) -> Classifier:
     """Votes of all rows of ``docs`` (``doc_id, text``), the label model over them, and the scorer."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    voted = materialize(docs.mapInArrow(_vote, "doc_id long, votes long"), "votes")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    docs = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("h"), text.alias("text"))
+    voted = materialize(docs.mapInArrow(_vote, "doc_id long, h long, votes long"), "votes")
     given = F.lit(0)
     if labels is not None:
         worst = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
         voted = voted.join(worst, "doc_id", "left")
         bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
         given = F.when(bad, BAD).when((F.col("quality") == 1) & (F.col("toxic") == 0), GOOD).otherwise(0)
-    whole = voted.select("doc_id", (F.col("votes") + given * 3**N_HEURISTICS).alias("votes"))
-    counted = whole.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** 9 rows at most
+    whole = voted.select("h", (F.col("votes") + given * 3**N_HEURISTICS).alias("votes"))
+    counted = whole.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()  # 3 ** 9 rows at most
     if not counted:
         return Classifier(None, None)
     patterns, n = np.array([r["votes"] for r in counted]), np.array([r["n"] for r in counted], dtype=float)
@@ -247,10 +251,12 @@ def fit(docs: DataFrame, labels: DataFrame | None) -> Classifier:
     sides = [max(1.0, n[posterior >= 0.5].sum()), max(1.0, n[posterior < 0.5].sum())]
     share = [min(1.0, half / s) for s in sides]
     known = spark.createDataFrame([(int(p), float(b), float(share[0] if b >= 0.5 else share[1])) for p, b in zip(patterns, posterior, strict=True)], "votes long, bad double, share double")
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    ids = whole.join(F.broadcast(known), "votes").filter(F.col("doc_id").isNotNull() & (chance < F.col("share"))).select("doc_id", "bad").limit(2 * FIT_ROWS)
-    ids = materialize(ids.dropDuplicates(["doc_id"]), "sample")  # bounded by FIT_ROWS, about
-    sample = docs.join(F.broadcast(ids), "doc_id").mapInArrow(_extract, "bad double, row binary").toArrow()
+    chance = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = whole.join(F.broadcast(known), "votes").filter(chance < F.col("share")).groupBy("h").agg(F.max("bad").alias("bad"))
+    chosen = materialize(chosen.orderBy(F.xxhash64("h"), "h").limit(2 * FIT_ROWS), "sample")  # FIT_ROWS, about
+    # equal rows are one, before anything comes to the driver
+    fitted = docs.join(F.broadcast(chosen), "h").mapInArrow(_extract, "h long, bad double, row binary").groupBy("h", "bad").agg(F.min("row").alias("row"))
+    sample = fitted.toArrow().sort_by("h")
     rows = [np.frombuffer(r, dtype=np.int32) for r in sample.column("row").to_pylist()]
     if not rows:
         return Classifier(None, None)
