@@ -51,6 +51,42 @@ def test_near_duplicates(docs, monkeypatch, k, percent, block):
     assert Counter(map(tuple, neardup.near_duplicates(docs, k, percent).collect())) == want
 
 
+def test_near_duplicates_in_a_family(spark, monkeypatch):
+    # one frame shared by all and half of each text its own: one candidate component, few links, and no pair but those that are nearly linked is looked at
+    monkeypatch.setattr(neardup, "BLOCK_HASHES", 2_000)
+    frame_ = [f"frame{i}" for i in range(60)]
+    looked = []
+    texts = {}
+    for i in range(150):
+        own = [f"own{i}x{j}" for j in range(50)]
+        texts[i] = " ".join(frame_ + own)
+        if i % 10 == 0:
+            texts[1000 + i] = " ".join([*frame_, *own[:-1], "changed"])
+    rows = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    confirm = neardup.links_between
+    monkeypatch.setattr(neardup, "links_between", lambda sets, percent: looked.append(sets.count()) or confirm(sets, percent))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(rows, 3, 85).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i in texts}
+    assert looked and looked[0] > 50
+
+
+def test_links_between_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < keep], rng.integers(0, 2**62, 6).astype(np.uint64)])) for keep in rng.choice([0.7, 0.95, 0.99], 120)]
+    label = rng.integers(0, 12, 120)
+    rows = [(5, int(y), 0, i, x.tobytes()) for i, (x, y) in enumerate(zip(sets, label, strict=True))]
+    df = spark.createDataFrame(rows, "component long, label long, giant long, doc_id long, set binary")
+    want = set()
+    for i in range(120):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if label[i] != label[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                want.add((j, i))
+    got = [tuple(sorted((r.a, r.b))) for r in neardup.links_between(df, 80).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
 def test_near_duplicates_of_nothing(no_docs):
     assert neardup.near_duplicates(no_docs).collect() == []
 
@@ -361,6 +397,44 @@ def test_quality(spark, docs):
     assert not out[7] and not out[11]
 
 
+def test_quality_on_held_out_labels(spark):
+    """Labels of even ids are learnt from, those of odd ids judge: clean documents stay, low quality goes, toxic texts that say something abusive go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = quality.classify(docs, quality.fit(docs, labels.filter("doc_id % 2 = 0")))
+    judged = out.join(labels.filter("doc_id % 2 = 1").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")), "doc_id").join(docs, "doc_id").collect()
+    abusive = {w for w in quality.ABUSE}
+    part = lambda q, t: [r for r in judged if (r.q, r.t) == (q, t)]
+    clean, low = part(1, 0), part(0, 0)
+    toxic = [r for r in part(1, 1) if sum(w.strip(".,!?") in abusive for w in r.text.lower().split()) >= 3]
+    assert len(clean) > 100 and sum(r.rejected for r in clean) <= 0.01 * len(clean)
+    assert len(low) > 15 and sum(r.rejected for r in low) >= 0.95 * len(low)
+    assert len(toxic) > 5 and sum(r.rejected for r in toxic) >= 0.95 * len(toxic)
+
+
+def test_quality_does_not_depend_on_partitions(spark, docs):
+    two = docs.select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scores = [Counter(map(tuple, quality.classify(x, quality.fit(x, labels)).collect())) for x in (two, two.repartition(7), two.orderBy(F.desc("text")))]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_quality_leaves_other_languages_alone(spark, docs):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeiouyäöklmnprstv"), int(rng.integers(3, 11)))) for _ in range(800)]
+    other = spark.createDataFrame([(5000 + i, " ".join(rng.choice(words, 150)).capitalize() + ".") for i in range(40)], "doc_id long, text string")
+    everything = docs.select("doc_id", "text").unionByName(other)
+    out = quality.classify(everything, quality.fit(everything, None)).filter("doc_id >= 5000").collect()
+    assert len(out) == 40 and sum(r.rejected for r in out) == 0
+
+
+def test_quality_learns_from_equal_rows_once(spark):
+    rows = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) doc_id", "IF(id % 2 = 0, 'the same text of nobody in particular', '### $$$ %%% ***') text")
+    c = quality.fit(rows, None)
+    out = {(r.text, r.rejected) for r in quality.classify(rows, c, carry=["text"]).collect()}
+    assert len(out) == 2
+
+
 def test_quality_without_rows(spark, no_docs):
     c = quality.fit(no_docs, None)
     assert quality.classify(no_docs, c).collect() == []
