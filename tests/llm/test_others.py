@@ -63,6 +63,27 @@ def test_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_of_many(spark, clustered):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(10_000, 32))
+    if clustered:
+        x = rng.normal(size=(100, 32))[rng.integers(0, 100, 10_000)] + 0.25 * x
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    index = multi_index.MultiIndex(df)
+    found = {}
+    for r in index.search(index.rows.filter("vec_id % 50 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = []
+    for i in range(0, 10_000, 50):
+        s = u @ u[i]
+        s[i] = -2
+        hits.append(len(set(np.argsort(-s)[:5].tolist()) & found[i]) / 5)
+    assert np.mean(hits) >= 0.9
+    assert index.share < (0.15 if clustered else 0.7)
+
+
 def test_no_vectors_and_one(spark):
     for rows in ([], [(50, [1.0, 2.0])]):
         index = multi_index.MultiIndex(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
