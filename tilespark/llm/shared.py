@@ -16,12 +16,14 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine) a temporary folder is used and recorded in the session.
+    Where the setting is absent and Spark runs on one machine (tests), a temporary folder is used and recorded in the session.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.conf.get("tilespark.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tilespark-")
         spark.conf.set("tilespark.shared.dir", where)
     return where.rstrip("/")
