@@ -54,7 +54,7 @@ sys.path.insert(0, {ROOT!r})
 class Absent(importlib.abc.MetaPathFinder):
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("tilespark.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Absent())
 import __spark_entry__ as e
 q = e.queries()

@@ -19,9 +19,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary folder stands in where that is unset, as in tests."""
+    """A fresh path below ``spark.checkpoint.dir``; a temporary folder stands in where that is unset on one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tilespark.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tilespark-")
         spark.conf.set("tilespark.shared.dir", root)
     return f"{root.rstrip('/')}/tilespark/{name}-{uuid.uuid4().hex}"
