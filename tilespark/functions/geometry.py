@@ -76,7 +76,8 @@ def valid_length(extent: Column, scale: Column, index: Column) -> Column:
 
 def tile_id(aoi: Column, source: Column, date: Column, scale: Column, col: Column, row: Column) -> Column:
     """``aoi::source::date::scale::col::row``, indices padded to five digits and longer where they need more."""
-    return F.concat_ws("::", aoi, source, date, scale.cast("string"), F.format_string("%05d", col), F.format_string("%05d", row))
+    padded = lambda i: F.when(i < 100_000, F.lpad(i.cast("string"), 5, "0")).otherwise(i.cast("string"))
+    return F.concat_ws("::", aoi, source, date, scale.cast("string"), padded(col), padded(row))
 
 
 def starts(extent: Column, tile: int, overlap: float) -> Column:

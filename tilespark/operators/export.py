@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tilespark.functions.vectors import dequantised, largest, projected, quantised
+from tilespark.functions.vectors import dequantised, largest, quantised
 
 
 def second_moment(corpus: DataFrame) -> tuple[np.ndarray, int]:
@@ -40,8 +41,20 @@ def basis(corpus: DataFrame, dim: int) -> np.ndarray:
 
 
 def in_basis(rows: DataFrame, components: np.ndarray) -> DataFrame:
-    matrix = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in components])
-    return rows.withColumn("embedding", projected(F.col("embedding"), matrix))
+    """Coordinates in the basis, by matrix products; the basis is sent to every task once (its size is that of a vector, squared)."""
+    shipped, names = rows.sparkSession.sparkContext.broadcast(np.asarray(components, dtype=np.float64)), rows.columns
+    place = names.index("embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(place).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1)
+                y = x @ shipped.value.T
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1]), pa.int32()), pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([lists if i == place else c for i, c in enumerate(b.columns)], names)
+
+    fields = [T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == "embedding" else f.dataType) for f in rows.schema]
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def coded(rows: DataFrame) -> DataFrame:

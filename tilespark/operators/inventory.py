@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct values per band that imagery must exceed, and ground resolution (metres) that is indexed.
@@ -25,16 +28,30 @@ def index_reason(pixel: Column, georeferenced: Column, duplicate: Column, gsd: C
 
 def copies(rows: DataFrame, ident: str, content: list[str], first: list[Column]) -> DataFrame:
     """``ident, duplicate_of``: rows whose ``content`` an earlier row (in the order of ``first``) has; never chained to another duplicate."""
-    original = F.first(ident).over(Window.partitionBy(*content).orderBy(*first))
-    return rows.withColumn("duplicate_of", F.when(original != F.col(ident), original)).filter("duplicate_of IS NOT NULL").select(ident, "duplicate_of")
+    # the first of each content by partial aggregation, so that thousands of copies never meet in one task
+    original = rows.groupBy(*content).agg(F.min_by(F.col(ident), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(first)])).alias("duplicate_of"))
+    same = [rows[c].eqNullSafe(original[c]) for c in content]
+    joined = rows.join(original, reduce(and_, same)).select(rows[ident], original["duplicate_of"])
+    return joined.filter(F.col("duplicate_of") != F.col(ident))
+
+
+#: Pixels on a side of the squares by which rasters of one grid are brought together.
+SQUARE = 4096
 
 
-def contained(rasters: DataFrame) -> DataFrame:
-    """Pairs of rasters of one group (system, pixel size, bands) of which one lies wholly inside the other at whole-pixel offsets."""
+def contained(rasters: DataFrame, square: int = SQUARE) -> DataFrame:
+    """Pairs of rasters of one group (system, pixel size, bands) of which one lies wholly inside the other at whole-pixel offsets.
+
+    A raster lies where its first pixel does, and is looked for in every square that the other covers: only rasters that share ground meet.
+    """
     a, b = (rasters.select("grid", *[F.col(c).alias(f"{p}_{c}") for c in ("raster_id", "x0", "y0", "width", "height")]) for p in ("in", "out"))
+    cell = lambda x: F.floor(x / square).cast("long")
+    a = a.withColumn("sx", cell(F.col("in_x0"))).withColumn("sy", cell(F.col("in_y0")))
+    covers = lambda c, n: F.sequence(cell(F.col(f"out_{c}")), cell(F.col(f"out_{c}") + F.col(f"out_{n}") - 1))
+    b = b.withColumn("sx", F.explode(covers("x0", "width"))).withColumn("sy", F.explode(covers("y0", "height")))
     inside = (F.col("in_x0") >= F.col("out_x0")) & (F.col("in_y0") >= F.col("out_y0")) & (F.col("in_x0") + F.col("in_width") <= F.col("out_x0") + F.col("out_width")) & (F.col("in_y0") + F.col("in_height") <= F.col("out_y0") + F.col("out_height"))
     smaller = (F.col("in_width") * F.col("in_height") < F.col("out_width") * F.col("out_height")) | ((F.col("in_width") * F.col("in_height") == F.col("out_width") * F.col("out_height")) & (F.col("in_raster_id") > F.col("out_raster_id")))
-    return a.join(b, "grid").filter(inside & smaller).select("in_raster_id", "out_raster_id", (F.col("in_x0") - F.col("out_x0")).alias("dx"), (F.col("in_y0") - F.col("out_y0")).alias("dy"))
+    return a.join(b, ["grid", "sx", "sy"]).filter(inside & smaller).select("in_raster_id", "out_raster_id", (F.col("in_x0") - F.col("out_x0")).alias("dx"), (F.col("in_y0") - F.col("out_y0")).alias("dy"))
 
 
 def same_pixels(pairs: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact search over vectors, scale by scale.
 
 Every vector of the corpus is scored against every query; scales and models are never pooled. Two ways of scoring give the same ranks:
-``expr`` stays inside generated code and is the plan Catalyst can see through; ``arrow`` multiplies matrices and keeps the best ``k`` of each batch, for many
-queries or long vectors. Queries are a small table: its size is checked before it is sent to every task, and beyond the bound it is joined by blocks.
+``scored`` and ``top`` stay inside generated code and are the plan Catalyst can see through; :func:`top_packed` multiplies matrices over a corpus that is packed once
+(:func:`packed`, to be cached or written), for repeated, many or long queries.
 """
 
 from __future__ import annotations
@@ -16,16 +16,22 @@ from pyspark.sql import functions as F
 
 from tilespark.functions.vectors import dot
 
-#: Queries sent to every task at once.
-QUERY_BLOCK = 4096
+#: Queries of a block: sent to every task at once, or met as one row.
+QUERY_BLOCK = 1024
+#: Vectors of a packed row at most.
+PACK = 4096
+#: Single precision is off by less than this for unit vectors: what comes so near to the k-th is scored again in double precision.
+MARGIN = 1e-4
 
 
 def scored(corpus: DataFrame, queries: DataFrame, carry: list[str]) -> DataFrame:
-    """``query_id, *carry, score`` of every vector for every query; the score is rounded so that equal vectors rank by id."""
-    n = queries.count()
+    """``query_id, *carry, score`` of every vector for every query; the score is rounded so that equal vectors rank by id.
+
+    Queries are sent to every task up to ``QUERY_BLOCK`` of them, which a bounded look settles; for more, Spark chooses, and :func:`top_packed` is the better way.
+    """
     asked = queries.select("query_id", F.col("embedding").alias("_q"))
-    asked = F.broadcast(asked) if n <= QUERY_BLOCK else asked
-    return corpus.crossJoin(asked).select("query_id", *carry, F.round(dot(F.col("embedding"), F.col("_q")), 6).alias("score"))
+    few = queries.select("query_id").limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
+    return corpus.crossJoin(F.broadcast(asked) if few else asked).select("query_id", *carry, F.round(dot(F.col("embedding"), F.col("_q")), 6).alias("score"))
 
 
 def top(rows: DataFrame, k: int, within: list[str], tie: str = "vec_id") -> DataFrame:
@@ -34,33 +40,90 @@ def top(rows: DataFrame, k: int, within: list[str], tie: str = "vec_id") -> Data
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def top_by_matrix(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """As :func:`scored` and :func:`top` per (query, scale), by matrix products; queries are taken in blocks."""
-    asked = queries.select("query_id", "embedding").toArrow()
-    ids = asked.column("query_id").to_numpy()
-    if not len(ids):
-        return top(scored(corpus, queries, ["scale", "vec_id"]), k, ["query_id", "scale"])
-    q = np.array(asked.column("embedding").to_pylist(), dtype=np.float64)
-    shipped = corpus.sparkSession.sparkContext.broadcast((ids, q))
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), flat.dtype)
+
+
+def _packer(ident: str, group: str | None):
+    """Rows in matrices of at most ``PACK`` rows: ``group, ids, matrix, kind`` (a NumPy type), one group each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_rows = shipped.value
+        held: dict[int, list] = {}
+
+        def out(g: int) -> pa.RecordBatch:
+            parts = held.pop(g)
+            ids, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([m.dtype.str])], ["group", "ids", "matrix", "kind"])
+
         for b in batches:
             if not b.num_rows:
                 continue
-            v = np.asarray(b.column("embedding").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1)
-            vec, scale = b.column("vec_id").to_numpy(), b.column("scale").to_numpy()
-            for s in np.unique(scale):
-                own = np.flatnonzero(scale == s)
-                score = np.round(q_rows @ v[own].T, 6)
+            m, ids = _matrix(b.column("embedding")), b.column(ident).to_numpy().astype(np.int64)
+            groups = b.column(group).to_numpy() if group else np.zeros(len(ids), dtype=np.int32)
+            for g in np.unique(groups).tolist():
+                own = groups == g
+                held.setdefault(g, []).append((ids[own], m[own]))
+                if sum(len(p[0]) for p in held[g]) >= (PACK if group else QUERY_BLOCK):
+                    yield out(g)
+        for g in list(held):
+            yield out(g)
+
+    return run
+
+
+def packed(corpus: DataFrame) -> DataFrame:
+    """A corpus (``vec_id, scale, embedding``) in matrices, a few rows a task: cache or write it, then ask :func:`top_packed` again and again."""
+    return corpus.select("vec_id", "scale", "embedding").mapInArrow(_packer("vec_id", "scale"), "group int, ids binary, matrix binary, kind string")
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions that may be among the ``k`` best, ties and what single precision may have misplaced included."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - MARGIN)
+
+
+def top_packed(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As :func:`scored` and :func:`top` per (query, scale), by products of packed matrices.
+
+    Queries are packed as well; blocks of them meet the corpus's blocks row by row, and each meeting keeps ``k`` of a query. So neither queries nor hits are ever
+    gathered: one block of queries is broadcast (by Spark, from its size), many are spread.
+    """
+    asked = queries.select("query_id", "embedding").coalesce(1) if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else queries.select("query_id", "embedding")
+    asked = asked.mapInArrow(_packer("query_id", None), "group int, ids binary, matrix binary, kind string").select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("kind").alias("q_kind"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = [np.concatenate([f[c] for f in found]) if found else [] for c in range(4)]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["query_id", "scale", "vec_id", "score"])
+
+        for b in batches:
+            for r in range(b.num_rows):
+                group, ids, matrix, kind, q_ids, q_matrix, q_kind = (b.column(c)[r].as_py() for c in ("group", "ids", "matrix", "kind", "q_ids", "q_matrix", "q_kind"))
+                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                m, q = np.frombuffer(matrix, kind).reshape(len(ids), -1), np.frombuffer(q_matrix, q_kind).reshape(len(q_ids), -1)
+                rough = q.astype(m.dtype) @ m.T
                 for i in range(len(q_ids)):
-                    best = np.lexsort((vec[own], -score[i]))[:k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(best), q_ids[i])), pa.array(np.full(len(best), s)), pa.array(vec[own][best]), pa.array(score[i][best])], ["query_id", "scale", "vec_id", "score"]
-                    )
+                    near = _best(rough[i], k)
+                    exact = np.round(m[near].astype(np.float64) @ q[i].astype(np.float64), 6)
+                    best = near[np.lexsort((ids[near], -exact))[:k]]
+                    score = dict(zip(near.tolist(), exact.tolist(), strict=True))
+                    found.append((np.full(len(best), q_ids[i]), np.full(len(best), group, np.int32), ids[best], np.array([score[x] for x in best.tolist()])))
+                if len(found) > 20_000:
+                    yield out()
+        yield out()
+
+    hits = blocks.crossJoin(asked).mapInArrow(run, "query_id long, scale int, vec_id long, score double")
+    return top(hits, k, ["query_id", "scale"])
 
-    found = corpus.select("vec_id", "scale", "embedding").mapInArrow(run, "query_id long, scale int, vec_id long, score double")
-    return top(found, k, ["query_id", "scale"])
+
+def top_by_matrix(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """:func:`top_packed` of a corpus that is packed on the way."""
+    return top_packed(packed(corpus), queries, k)
 
 
 def scale_summary(rows: DataFrame) -> DataFrame:
@@ -82,10 +145,8 @@ def confidence(summary: DataFrame, background: DataFrame) -> DataFrame:
 
 def isolation(rows: DataFrame, rank: int = 10, multiple: float = 0.75) -> DataFrame:
     """Whether the best score stands out: its distance to the ``rank``-th in deviations exceeds ``multiple``."""
-    order = Window.partitionBy("query_id", "scale").orderBy(F.desc("score"), "vec_id")
-    numbered = rows.withColumn("_k", F.row_number().over(order))
-    g = numbered.groupBy("query_id", "scale").agg(
-        F.count(F.lit(1)).alias("n"), F.max("score").alias("top1"), F.max(F.when(F.col("_k") == rank, F.col("score"))).alias("ref"), F.stddev_pop("score").alias("std")
-    )
+    # the best of each group are found under a group limit, before anything is shuffled; the rest is aggregated
+    ref = top(rows, rank, ["query_id", "scale"]).filter(F.col("rank") == rank).select("query_id", "scale", F.col("score").alias("ref"))
+    g = rows.groupBy("query_id", "scale").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top1"), F.stddev_pop("score").alias("std")).join(ref, ["query_id", "scale"], "left")
     gap = F.when((F.col("n") > rank) & (F.col("std") > 0), (F.col("top1") - F.col("ref")) / F.col("std"))
     return g.select("query_id", "scale", F.round(gap, 6).alias("gap"), F.coalesce(gap > multiple, F.lit(False)).alias("weak"))

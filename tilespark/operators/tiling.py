@@ -10,8 +10,22 @@ from tilespark.functions import geometry as g
 SCALES = (448, 224, 112)
 
 
-def tile_plan(scenes: DataFrame, scales: tuple[int, ...] = SCALES) -> DataFrame:
-    """Every (scene, scale, row, col), padded at the right and bottom edge; ``scenes`` has scene_id, width, height, aoi, acq_date."""
+def tile_plan(scenes: DataFrame, scales: tuple[int, ...] = SCALES, limit: int | None = None) -> DataFrame:
+    """Every (scene, scale, row, col), padded at the right and bottom edge; ``scenes`` has scene_id, width, height, aoi, acq_date.
+
+    With ``limit``, the first so many in the order (area, scale descending, scene, row, column); see :func:`ordered`.
+    """
+    if limit is not None:
+        return ordered(_plan(scenes, scales, "aoi")).limit(limit).drop("aoi")
+    return _plan(scenes, scales)
+
+
+def ordered(plan: DataFrame) -> DataFrame:
+    """A plan (with ``aoi``) in the order in which tiles are embedded: larger tiles first, then scenes, row by row."""
+    return plan.orderBy("aoi", F.desc("scale"), "scene_id", "row_", "col")
+
+
+def _plan(scenes: DataFrame, scales: tuple[int, ...], *more: str) -> DataFrame:
     each = scenes.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales])))
     rows = each.withColumn("row_", F.explode(F.sequence(F.lit(0), g.planned(F.col("height"), F.col("scale")) - 1)))
     cells = rows.withColumn("col", F.explode(F.sequence(F.lit(0), g.planned(F.col("width"), F.col("scale")) - 1)))
@@ -19,7 +33,7 @@ def tile_plan(scenes: DataFrame, scales: tuple[int, ...] = SCALES) -> DataFrame:
     return cells.select(
         "scene_id", "scale", "col", "row_", (F.col("col") * F.col("scale")).alias("px_x"), (F.col("row_") * F.col("scale")).alias("px_y"), w.alias("valid_w"), h.alias("valid_h"),
         ((w < F.col("scale")) | (h < F.col("scale"))).alias("is_edge"),
-        g.tile_id(F.col("aoi"), F.col("scene_id").cast("string"), F.col("acq_date"), F.col("scale"), F.col("col"), F.col("row_")).alias("tile_id"),
+        g.tile_id(F.col("aoi"), F.col("scene_id").cast("string"), F.col("acq_date"), F.col("scale"), F.col("col"), F.col("row_")).alias("tile_id"), *more,
     )
 
 
