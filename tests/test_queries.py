@@ -11,13 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilespark.operators import export, ranking
-from tilespark.plans import exports, layout, search, tracking
+from tilespark.plans import artifacts, exports, layout, search, tracking
 from tilespark.sources import corpus
 from tilespark.streaming import windows
 
 from .conftest import ROOT, SMALL
 
-FAMILIES = (search, layout, tracking, exports, windows)
+FAMILIES = (search, layout, tracking, exports, artifacts, windows)
 QUERIES = {n: f for m in FAMILIES for n, f in m.QUERIES.items()}
 ORACLE = {n: s for m in FAMILIES for n, s in m.ORACLE.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

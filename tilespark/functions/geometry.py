@@ -135,3 +135,24 @@ def read_amplification(offset: Column, window: int, block_w: Column, block_h: Co
     down = F.floor((F.least(offset + window, height) - 1) / block_h) - F.floor(offset / block_h) + 1
     useful = F.least(F.lit(window), width - offset) * F.least(F.lit(window), height - offset)
     return across * down * block_w * block_h / useful.cast("double")
+
+
+def is_georeferenced(crs: Column, transform: Column) -> Column:
+    """A coordinate system and a transform (six numbers) that is not the identity, which stands for none."""
+    identity = F.array(*[F.lit(float(x)) for x in (1, 0, 0, 0, 1, 0)])
+    return F.coalesce(crs.isNotNull() & transform.isNotNull() & (transform.cast("array<double>") != identity), F.lit(False))
+
+
+def utm_lonlat(easting: Column, northing: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of transverse Mercator coordinates in a UTM zone of WGS 84, by the series in the third flattening to its third power (below a millimetre)."""
+    n = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+    radius = EARTH_RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi = (northing - F.when(south, 10_000_000.0).otherwise(0.0)) / (0.9996 * radius)
+    eta = (easting - 500_000.0) / (0.9996 * radius)
+    xi_ = xi - sum((b * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, b in enumerate(beta)), F.lit(0.0))
+    eta_ = eta - sum((b * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, b in enumerate(beta)), F.lit(0.0))
+    chi = F.asin(F.sin(xi_) / F.cosh(eta_))
+    lat = chi + sum((d * F.sin(2 * (j + 1) * chi) for j, d in enumerate(delta)), F.lit(0.0))
+    return F.degrees(F.atan2(F.sinh(eta_), F.cos(xi_))) + zone * 6 - 183, F.degrees(lat)

@@ -103,7 +103,8 @@ def top_packed(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         for b in batches:
             for r in range(b.num_rows):
-                group, ids, matrix, kind, q_ids, q_matrix, q_kind = (b.column(c)[r].as_py() for c in ("group", "ids", "matrix", "kind", "q_ids", "q_matrix", "q_kind"))
+                group, kind, q_kind = (b.column(c)[r].as_py() for c in ("group", "kind", "q_kind"))
+                ids, matrix, q_ids, q_matrix = (b.column(c)[r].as_buffer() for c in ("ids", "matrix", "q_ids", "q_matrix"))
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 m, q = np.frombuffer(matrix, kind).reshape(len(ids), -1), np.frombuffer(q_matrix, q_kind).reshape(len(q_ids), -1)
                 rough = q.astype(m.dtype) @ m.T

@@ -66,3 +66,17 @@ def corners(grid: DataFrame, x0: float, y0: float, px: float) -> DataFrame:
     lat = lambda r: g.mercator_lat(F.lit(y0) - (r * F.col("scale")) * F.lit(px))
     a, b, c, d = lon(F.col("col")), lon(F.col("col") + 1), lat(F.col("row_")), lat(F.col("row_") + 1)
     return grid.select("aoi", "scale", "col", "row_", F.least(a, b).alias("min_lon"), F.least(c, d).alias("min_lat"), F.greatest(a, b).alias("max_lon"), F.greatest(c, d).alias("max_lat"))
+
+
+def valid_counts(pixels: DataFrame, headers: DataFrame, scales: tuple[int, ...] = SCALES, most: float = 0.5) -> DataFrame:
+    """Per raster and scale the three counts that are never the same thing: ``planned`` (padded grid), ``complete`` (whole tiles only) and ``valid``
+    (complete tiles of which less than ``most`` is fill: bands 1 to 3 all zero). ``pixels``: raster_id, x, y, b1, b2, b3, one that is absent being fill."""
+    sized = headers.select("raster_id", "width", "height", F.explode(F.array(*[F.lit(s) for s in scales])).alias("scale"))
+    w, h, x = F.col("width"), F.col("height"), F.col("scale")
+    sized = sized.withColumn("planned", g.planned(w, x) * g.planned(h, x)).withColumn("cols", g.complete(w, x)).withColumn("rows", g.complete(h, x))
+    seen = pixels.filter("b1 <> 0 OR b2 <> 0 OR b3 <> 0").select("raster_id", "x", "y", F.explode(F.array(*[F.lit(s) for s in scales])).alias("scale"))
+    cell = lambda c: F.floor(F.col(c) / F.col("scale")).cast("int")
+    tiles = seen.groupBy("raster_id", "scale", cell("x").alias("col"), cell("y").alias("row_")).agg(F.count(F.lit(1)).alias("n"))
+    good = tiles.filter(1 - F.col("n") / (F.col("scale").cast("double") * F.col("scale")) < most).join(sized.select("raster_id", "scale", "cols", "rows"), ["raster_id", "scale"]).filter("col < cols AND row_ < rows")
+    valid = good.groupBy("raster_id", "scale").agg(F.count(F.lit(1)).alias("valid"))
+    return sized.join(valid, ["raster_id", "scale"], "left").select("raster_id", "scale", "planned", (F.col("cols") * F.col("rows")).alias("complete"), F.coalesce("valid", F.lit(0)).alias("valid"))

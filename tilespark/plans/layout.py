@@ -80,9 +80,30 @@ def basemap_blocks(spark, sf_dir):
 
 
 def nodata_by_tile(spark, sf_dir):
-    """Share of zero pixels of each 16-pixel tile, over the whole tile."""
+    """Share of fill (all three bands zero, or nothing) of each 16-pixel tile, over the whole tile."""
     p = table(spark, sf_dir, "pixels")
-    return p.groupBy("raster_id", F.floor(F.col("x") / 16).cast("int").alias("col"), F.floor(F.col("y") / 16).cast("int").alias("row_")).agg(F.round(1.0 - F.count_if(F.col("b1") != 0) / F.lit(256.0), 6).alias("nodata"))
+    return p.groupBy("raster_id", F.floor(F.col("x") / 16).cast("int").alias("col"), F.floor(F.col("y") / 16).cast("int").alias("row_")).agg(F.round(1.0 - F.count_if("b1 <> 0 OR b2 <> 0 OR b3 <> 0") / F.lit(256.0), 6).alias("nodata"))
+
+
+def scene_valid_counts(spark, sf_dir):
+    """Planned, complete and valid tiles of every raster, of 16, 8 and 4 pixels; rasters end inside their last tiles."""
+    p = table(spark, sf_dir, "pixels")
+    headers = p.select("raster_id").distinct().select("raster_id", (64 - F.col("raster_id") % 7).alias("width"), (64 - F.col("raster_id") % 5).alias("height"))
+    return tiling.valid_counts(p, headers, (16, 8, 4))
+
+
+def first_tiles(spark, sf_dir):
+    """The first thousand tiles in the order in which they are embedded."""
+    return tiling.tile_plan(_scenes(spark, sf_dir), limit=1000).select("scene_id", "scale", "row_", "col")
+
+
+def georeferenced(spark, sf_dir):
+    """Scenes with a coordinate system and a transform; those of the UTM zone with the place of their corner."""
+    s = table(spark, sf_dir, "scenes")
+    transform = F.when(F.col("scene_id") % 5 == 0, F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)])).otherwise(F.array(F.col("px"), F.lit(0.0), F.lit(650000.0), F.lit(0.0), -F.col("px"), F.lit(3500000.0)))
+    lon, lat = g.utm_lonlat(F.lit(650000.0) + F.col("width"), F.lit(3500000.0) - F.col("height"), F.lit(36), F.lit(False))
+    here = F.col("crs").contains("UTM")
+    return s.select("scene_id", g.is_georeferenced(F.col("crs"), transform).alias("georeferenced"), F.when(here, F.round(lon, 9)).alias("lon"), F.when(here, F.round(lat, 9)).alias("lat"))
 
 
 def pixel_rule(spark, sf_dir):
@@ -93,7 +114,8 @@ def pixel_rule(spark, sf_dir):
 def band_distinct_levels(spark, sf_dir):
     """Exact distinct values of every band of every raster."""
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("raster_id"), F.explode(F.array(F.struct(F.lit(1).alias("band"), (F.col("l_partkey") % 101).alias("v")), F.struct(F.lit(2).alias("band"), (F.floor("l_extendedprice") % 90).alias("v")))).alias("p")
+        F.col("l_suppkey").alias("raster_id"), F.explode(F.array(F.struct(F.lit(1).alias("band"), (F.col("l_partkey") % 101).alias("v")), F.struct(F.lit(2).alias("band"), (F.floor("l_extendedprice") % 90).alias("v")),
+            F.struct(F.lit(3).alias("band"), F.when(F.col("l_suppkey") % 3 == 0, F.col("l_orderkey") % 6).otherwise(F.col("l_orderkey") % 97).alias("v")))).alias("p")
     )
     return rows.groupBy("raster_id", F.col("p.band").alias("band")).agg(F.countDistinct("p.v").alias("levels"))
 
@@ -171,7 +193,7 @@ def path_keys(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (tile_plan, tile_counts, tile_id_roundtrip, valid_tiles, overlap_tile_origins, sample_windows, check_offsets, read_amplification, tile_bbox_mercator, shared_edges, basemap_blocks, nodata_by_tile, pixel_rule, band_distinct_levels, inventory_counts, gsd_by_crs, geodesic_check, content_duplicates, tree_digest, contained_rasters, equal_pixels, raster_duplicates, path_keys)
+    for f in (scene_valid_counts, first_tiles, georeferenced, tile_plan, tile_counts, tile_id_roundtrip, valid_tiles, overlap_tile_origins, sample_windows, check_offsets, read_amplification, tile_bbox_mercator, shared_edges, basemap_blocks, nodata_by_tile, pixel_rule, band_distinct_levels, inventory_counts, gsd_by_crs, geodesic_check, content_duplicates, tree_digest, contained_rasters, equal_pixels, raster_duplicates, path_keys)
 }
 
 _SCALED = "scaled AS (SELECT *, unnest([448, 224, 112]) AS scale FROM {scenes})"
@@ -194,6 +216,20 @@ def _amplified(bw: str, bh: str) -> str:
     return f"round({touched('width', bw)} * {touched('height', bh)} * {bw} * {bh} / CAST(least(300, width - 100) * least(300, height - 100) AS DOUBLE), 6)"
 
 
+def _utm_sql() -> str:
+    """The same series, written out."""
+    n = 1 / 298.257223563 / (2 - 1 / 298.257223563)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    terms = lambda c, f, h: " ".join(f"- {b!r}e0 * {f}({2 * j + 2} * xi) * {h}({2 * j + 2} * eta)" if "e-" not in repr(b) else f"- CAST('{b!r}' AS DOUBLE) * {f}({2 * j + 2} * xi) * {h}({2 * j + 2} * eta)" for j, b in enumerate(c))
+    lat = " ".join(f"+ CAST('{d!r}' AS DOUBLE) * sin({2 * j + 2} * chi)" for j, d in enumerate(delta))
+    return f"""WITH e AS (SELECT *, (3500000e0 - height) / {radius!r}e0 AS xi, (150000e0 + width) / {radius!r}e0 AS eta FROM {{scenes}}),
+          f AS (SELECT *, xi {terms(beta, 'sin', 'cosh')} AS xi2, eta {terms(beta, 'cos', 'sinh')} AS eta2 FROM e), c AS (SELECT *, asin(sin(xi2) / cosh(eta2)) AS chi FROM f)
+          SELECT scene_id, crs IS NOT NULL AND scene_id % 5 <> 0 AS georeferenced, CASE WHEN crs LIKE '%UTM%' THEN round(degrees(atan2(sinh(eta2), cos(xi2))) + 33, 9) END AS lon,
+            CASE WHEN crs LIKE '%UTM%' THEN round(degrees(chi {lat}), 9) END AS lat FROM c"""
+
+
 ORACLE = {
     name: oracle(sql)
     for name, sql in {
@@ -203,6 +239,13 @@ ORACLE = {
             string_split(path, '/')[1] AS aoi, regexp_extract(path, '(\\d\\d\\d\\d-\\d\\d-\\d\\d)[.]tif$', 1) AS d FROM c)
           SELECT scene_id, scale, col, row_, col * scale AS px_x, row_ * scale AS px_y, CAST(w AS INT) AS valid_w, CAST(h AS INT) AS valid_h, w < scale OR h < scale AS is_edge,
             concat_ws('::', aoi, CAST(scene_id AS VARCHAR), d, CAST(scale AS VARCHAR), printf('%05d', col), printf('%05d', row_)) AS tile_id FROM v""",
+        "scene_valid_counts": """WITH h AS (SELECT DISTINCT raster_id, CAST(64 - raster_id % 7 AS INT) AS w, CAST(64 - raster_id % 5 AS INT) AS h FROM {pixels}), z AS (SELECT *, unnest([16, 8, 4]) AS scale FROM h),
+          t AS (SELECT p.raster_id, z.scale, x // z.scale AS c, y // z.scale AS r, count(*) AS n FROM {pixels} p JOIN z ON p.raster_id = z.raster_id WHERE (b1 <> 0 OR b2 <> 0 OR b3 <> 0) AND x // z.scale < w // z.scale AND y // z.scale < h // z.scale GROUP BY ALL),
+          v AS (SELECT raster_id, scale, count(*) AS valid FROM t WHERE 1 - n / CAST(scale * scale AS DOUBLE) < 0.5 GROUP BY 1, 2)
+          SELECT z.raster_id, z.scale, CAST(ceil(w / CAST(z.scale AS DOUBLE)) * ceil(h / CAST(z.scale AS DOUBLE)) AS INT) AS planned, CAST((w // z.scale) * (h // z.scale) AS INT) AS complete, coalesce(valid, 0) AS valid FROM z LEFT JOIN v ON v.raster_id = z.raster_id AND v.scale = z.scale""",
+        "first_tiles": f"""WITH {_SCALED}, r AS (SELECT *, unnest(range(0, CAST(ceil(height / CAST(scale AS DOUBLE)) AS INT))) AS r FROM scaled), c AS (SELECT *, unnest(range(0, CAST(ceil(width / CAST(scale AS DOUBLE)) AS INT))) AS c FROM r)
+          SELECT scene_id, scale, CAST(r AS INT) AS row_, CAST(c AS INT) AS col FROM c ORDER BY string_split(path, '/')[1], scale DESC, scene_id, r, c LIMIT 1000""",
+        "georeferenced": _utm_sql(),
         "tile_counts": f"""WITH {_SCALED} SELECT scale, CAST(sum(ceil(width / CAST(scale AS DOUBLE)) * ceil(height / CAST(scale AS DOUBLE))) AS BIGINT) AS planned,
           CAST(sum(floor(width / CAST(scale AS DOUBLE)) * floor(height / CAST(scale AS DOUBLE))) AS BIGINT) AS complete FROM scaled GROUP BY scale""",
         "tile_id_roundtrip": """SELECT concat_ws('::', aoi, 's' || vec_id, acq_date, CAST(scale AS VARCHAR), printf('%05d', col), printf('%05d', row_)) AS tile_id, aoi, 's' || vec_id AS source, acq_date, scale, col, row_,
@@ -217,10 +260,11 @@ ORACLE = {
         "tile_bbox_mercator": f"WITH {_EDGE} SELECT aoi, scale, col, row_, round(min_lon, 9) AS min_lon, round(min_lat, 9) AS min_lat, round(max_lon, 9) AS max_lon, round(max_lat, 9) AS max_lat FROM edge",
         "shared_edges": f"WITH {_EDGE} SELECT a.scale, count(*) AS pairs, count(*) FILTER (a.max_lon = b.min_lon) AS equal FROM edge a JOIN edge b ON a.aoi = b.aoi AND a.scale = b.scale AND a.row_ = b.row_ AND a.col = b.col - 1 GROUP BY a.scale",
         "basemap_blocks": "SELECT raster_id, CAST(floor(x / CAST(8 AS DOUBLE)) AS INT) AS bx, CAST(floor(y / CAST(8 AS DOUBLE)) AS INT) AS by, round(avg(b1), 6) AS mean FROM {pixels} GROUP BY 1, 2, 3",
-        "nodata_by_tile": "SELECT raster_id, CAST(floor(x / CAST(16 AS DOUBLE)) AS INT) AS col, CAST(floor(y / CAST(16 AS DOUBLE)) AS INT) AS row_, round(1 - count(*) FILTER (b1 <> 0) / CAST(256 AS DOUBLE), 6) AS nodata FROM {pixels} GROUP BY 1, 2, 3",
+        "nodata_by_tile": "SELECT raster_id, CAST(floor(x / CAST(16 AS DOUBLE)) AS INT) AS col, CAST(floor(y / CAST(16 AS DOUBLE)) AS INT) AS row_, round(1 - count(*) FILTER (b1 <> 0 OR b2 <> 0 OR b3 <> 0) / CAST(256 AS DOUBLE), 6) AS nodata FROM {pixels} GROUP BY 1, 2, 3",
         "pixel_rule": f"WITH {_LEVELS} SELECT raster_id, is_source, reason FROM levels",
         "band_distinct_levels": """SELECT l_suppkey AS raster_id, 1 AS band, count(DISTINCT l_partkey % 101) AS levels FROM {lineitem} GROUP BY 1
-          UNION ALL SELECT l_suppkey, 2, count(DISTINCT CAST(floor(l_extendedprice) AS BIGINT) % 90) FROM {lineitem} GROUP BY 1""",
+          UNION ALL SELECT l_suppkey, 2, count(DISTINCT CAST(floor(l_extendedprice) AS BIGINT) % 90) FROM {lineitem} GROUP BY 1
+          UNION ALL SELECT l_suppkey, 3, count(DISTINCT CASE WHEN l_suppkey % 3 = 0 THEN l_orderkey % 6 ELSE l_orderkey % 97 END) FROM {lineitem} GROUP BY 1""",
         "inventory_counts": f"WITH {_LEVELS} SELECT coalesce(reason, 'source') AS reason, count(*) AS rasters, min(CASE WHEN band_count = 3 THEN least(d1, d2, d3) ELSE d1 END) AS least, max(d1) AS most FROM levels GROUP BY 1",
         "gsd_by_crs": f"""WITH k AS (SELECT *, {_KIND} AS kind FROM {{scenes}}),
           s AS (SELECT *, round(CASE kind WHEN 'mercator' THEN px * cos(radians(lat)) WHEN 'projected' THEN px END, 9) AS gsd FROM k)

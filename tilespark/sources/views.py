@@ -70,7 +70,7 @@ VIEWS = {
         SELECT user_id, frame, CAST(300 * CAST(floor(frame / CAST(60 AS DOUBLE)) AS BIGINT) + 10 * least(frame % 60, 30) AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y
         FROM (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS frame FROM {events}) e""",
     "pixels": """
-        SELECT CAST(l_suppkey AS INT) AS raster_id, CAST(l_orderkey % 64 AS INT) AS x, CAST(l_partkey % 64 AS INT) AS y, CAST(min(l_quantity) AS BIGINT) % 4 AS b1
+        SELECT CAST(l_suppkey AS INT) AS raster_id, CAST(l_orderkey % 64 AS INT) AS x, CAST(l_partkey % 64 AS INT) AS y, CAST(min(l_quantity) AS BIGINT) % 4 AS b1, CAST(min(l_linenumber) AS BIGINT) % 3 AS b2, min(l_partkey) % 2 AS b3
         FROM {lineitem} GROUP BY 1, 2, 3""",
 }
 
