@@ -37,7 +37,8 @@ def combined_extents(spark, sf_dir):
 
 def export_overlap(spark, sf_dir):
     """Export of codes written, loaded, checked and measured: mean overlap per scale, and over scales."""
-    v, path = _vectors(spark, sf_dir), shared_path(spark, "export")
+    raw = table(spark, sf_dir, "vec_corpus").select(F.concat_ws("::", "aoi", F.col("vec_id").cast("string")).alias("tile_id"), "embedding")
+    v, path = _vectors(spark, sf_dir).drop("embedding").join(raw, "tile_id"), shared_path(spark, "export")
     artifacts.build_export(v, path, path.rsplit("/", 1)[0])
     return artifacts.measured_overlap(v, path, table(spark, sf_dir, "user_queries"))
 
@@ -52,6 +53,7 @@ def background_reload(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (located_corpus, combined_extents, export_overlap, background_reload)}
 
+_TOP = "SELECT query_id, scale, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, scale ORDER BY score DESC, vec_id) AS k FROM {0}) r WHERE k <= 10"
 _IDENT = "aoi || '::' || vec_id"
 ORACLE = {
     name: oracle(sql)
@@ -60,6 +62,13 @@ ORACLE = {
         "combined_extents": """WITH s AS (SELECT aoi, scale, vec_id % 3 AS source, 0.08e0 + vec_id % 3 / 100e0 AS gsd, count(*) AS n FROM {tile_grid} GROUP BY ALL),
           a AS (SELECT aoi, scale, avg(gsd) * scale AS e, sum(n) AS n FROM s GROUP BY aoi, scale)
           SELECT scale, round(sum(e * n) / sum(n), 6) AS extent_m, count(*) AS areas, count(DISTINCT round(e, 6)) > 1 AS differ FROM a GROUP BY scale""",
+        "export_overlap": f"""WITH cs AS (SELECT vec_id, scale, CAST(embedding AS DOUBLE[]) AS e, (SELECT max(list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)))) / 127 FROM {{vec_corpus}}) AS s FROM {{vec_corpus}}),
+          a AS (SELECT query_id, scale, vec_id, round(list_dot_product(e, CAST(q.embedding AS DOUBLE[])), 6) AS score FROM cs, {{user_queries}} q),
+          b AS (SELECT query_id, scale, vec_id, round(list_dot_product(list_transform(e, lambda x: greatest(-127, least(127, round_even(x / s, 0))) * s), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM cs, {{user_queries}} q),
+          ta AS ({_TOP.format("a")}), tb AS ({_TOP.format("b")}),
+          o AS (SELECT ta.query_id, ta.scale, round(count(tb.vec_id) / CAST(count(*) AS DOUBLE), 6) AS overlap FROM ta LEFT JOIN tb ON ta.query_id = tb.query_id AND ta.scale = tb.scale AND ta.vec_id = tb.vec_id GROUP BY 1, 2),
+          p AS (SELECT scale, count(*) AS queries, avg(overlap) AS m FROM o GROUP BY scale)
+          SELECT scale, queries, round(m, 6) AS mean_overlap FROM p UNION ALL SELECT NULL, max(queries), round(avg(m), 6) FROM p""",
         "background_reload": """SELECT query_id, aoi, scale, max(round(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)) AS top1
           FROM {vec_corpus} c, (SELECT query_id, embedding FROM {bg_queries}) q GROUP BY 1, 2, 3""",
     }.items()

@@ -92,10 +92,12 @@ def _rounded(df):
 
 
 def _detections(spark, sf_dir):
-    """Predictions as tile-local boxes of one wide frame for every clip and frame: lanes that reach over x = 448 are cut there and seen whole by the second tile."""
+    """Predictions as tile-local boxes of one wide frame for every clip and frame: lane 4 reaches over x = 448 and is cut there by the first tile.
+    On even frames the second tile sees it whole, on odd ones it is longer and each tile has a part."""
     d = table(spark, sf_dir, "det_boxes").filter("pred_id IS NOT NULL")
     frame = (F.col("clip_id").cast("long") * 60 + F.col("frame")).alias("frame_id")
-    wide = d.select(frame, (F.col("gt_id") * 120 - 60).cast("double").alias("left"), (F.col("gt_id") * 120 + 12).cast("double").alias("right"), (F.col("dx") / 10).alias("low"))
+    longer = F.when((F.col("gt_id") == 4) & (F.col("frame") % 2 == 1), 35).otherwise(0)
+    wide = d.select(frame, (F.col("gt_id") * 120 - 60 - longer).cast("double").alias("left"), (F.col("gt_id") * 120 + 12).cast("double").alias("right"), (F.col("dx") / 10).alias("low"))
     tiles = spark.range(2).select(F.col("id").cast("int").alias("tile"), (F.col("id") * 400).alias("x0"), (F.col("id") * 400 + 448).alias("x1"))
     cut = wide.join(F.broadcast(tiles), (F.col("left") < F.col("x1")) & (F.col("right") > F.col("x0")))
     return cut.select("frame_id", "tile", (F.col("left") - F.col("x0")).alias("x1"), F.col("low").alias("y1"), (F.col("right") - F.col("x0")).alias("x2"), (F.col("low") + 20).alias("y2"), F.lit(1.0).alias("score"))
@@ -225,8 +227,8 @@ found AS (SELECT clip_id, gt_id, greatest(0, acquired - first) AS latency FROM c
 g AS (SELECT gt.clip_id, gt.gt_id, first > 30 AS late, latency IS NOT NULL AS grounded, latency FROM gt LEFT JOIN found USING (clip_id, gt_id)),
 ground AS (SELECT clip_id, count(*) AS total, count(*) FILTER (grounded) AS grounded, count(*) FILTER (NOT late) AS initial_total, count(*) FILTER (grounded AND NOT late) AS initial_grounded,
   count(*) FILTER (late) AS late_total, count(*) FILTER (grounded AND late) AS late_grounded, CAST(median(latency) AS DOUBLE) AS median_latency, CAST(max(latency) AS BIGINT) AS max_latency FROM g GROUP BY clip_id)""".replace("@IOU@", _IOU)
-_TILED = """d AS (SELECT CAST(clip_id AS BIGINT) * 60 + frame AS frame_id, CAST(gt_id * 120 - 60 AS DOUBLE) AS l, CAST(gt_id * 120 + 12 AS DOUBLE) AS r, dx / 10 AS low FROM {det_boxes} WHERE pred_id IS NOT NULL),
-cut AS (SELECT frame_id, CAST(t AS INT) AS tile, greatest(l, t * 400) AS x1, low AS y1, least(r, t * 400 + 448) AS x2, low + 20 AS y2 FROM d, (SELECT unnest([0, 1]) AS t) tt WHERE l < t * 400 + 448 AND r > t * 400),
+_TILED = """d AS (SELECT CAST(clip_id AS BIGINT) * 60 + frame AS frame_id, CAST(gt_id * 120 - 60 - CASE WHEN gt_id = 4 AND frame % 2 = 1 THEN 35 ELSE 0 END AS DOUBLE) AS l, gt_id = 4 AND frame % 2 = 1 AS parted, CAST(gt_id * 120 + 12 AS DOUBLE) AS r, dx / 10 AS low FROM {det_boxes} WHERE pred_id IS NOT NULL),
+cut AS (SELECT frame_id, parted, CAST(t AS INT) AS tile, greatest(l, t * 400) AS x1, low AS y1, least(r, t * 400 + 448) AS x2, low + 20 AS y2 FROM d, (SELECT unnest([0, 1]) AS t) tt WHERE l < t * 400 + 448 AND r > t * 400),
 flagged AS (SELECT *, tile = 1 AND x1 - 400 <= 2 AS sl, tile = 0 AND 448 - x2 <= 2 AS sr FROM cut)"""
 _AREA = "({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1)"
 _PHASES = """p AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY user_id) - 1 AS last FROM {points} WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
@@ -267,6 +269,17 @@ ORACLE = {
         "seam_flags": f"WITH {_TILED} SELECT frame_id, tile, x1, y1, x2, y2, CAST(CAST(sl AS INT) AS VARCHAR) || '0' || CAST(CAST(sr AS INT) AS VARCHAR) || '0' AS seams FROM flagged",
         "seam_duplicates": f"""WITH {_TILED} SELECT frame_id, tile, x1, x2 FROM flagged d WHERE (sl OR sr) AND EXISTS (SELECT 1 FROM cut o WHERE o.frame_id = d.frame_id AND o.tile <> d.tile AND {_AREA.format("o")} > {_AREA.format("d")}
           AND greatest(0, least(d.x2, o.x2) - greatest(d.x1, o.x1)) * greatest(0, least(d.y2, o.y2) - greatest(d.y1, o.y1)) / ({_AREA.format("d")}) >= 0.6)""",
+        # boxes of 10 by 10 in one lane overlap by half where they are 3 apart at most; the further left goes first among predictions
+        "nms": """WITH p AS (SELECT * FROM {boxes} WHERE side = 'pred'),
+          k AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.clip_id = p.clip_id AND q.frame = p.frame AND q.y1 = p.y1 AND q.x1 < p.x1 AND p.x1 - q.x1 <= 3)),
+          g AS (SELECT * FROM {boxes} b WHERE side = 'gt' AND NOT EXISTS (SELECT 1 FROM k WHERE k.clip_id = b.clip_id AND k.frame = b.frame AND k.y1 = b.y1 AND abs(k.x1 - b.x1) <= 3))
+          SELECT CAST(clip_id AS BIGINT) * 60 + frame AS frame_id, x1, y1, x2, y2, CASE side WHEN 'gt' THEN 0.5e0 ELSE 0.9e0 END AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM g) u""",
+        "stitch": f"""WITH {_TILED} SELECT frame_id, x1, y1, x2, y2, 1e0 AS score FROM cut WHERE NOT parted
+          UNION ALL SELECT frame_id, min(x1), min(y1), max(x2), max(y2), 1e0 FROM cut WHERE parted GROUP BY frame_id""",
+        "ground_tiled": f"""WITH {_TILED} SELECT frame_id, l AS x1, low AS y1, least(r, 848) AS x2, low + 20 AS y2, 1e0 AS score FROM d""",
+        "simulated_scene": """WITH a AS (SELECT p_partkey AS actor_id, p_partkey % 100 AS x0, 60 / CAST(p_size + 5 AS DOUBLE) AS first, 80 / CAST(p_size + 5 AS DOUBLE) AS second, 60 / CAST(p_size + 5 AS DOUBLE) + p_size / 10e0 AS leave FROM {part}),
+          f AS (SELECT *, CAST(unnest(range(40)) AS INT) AS frame FROM a)
+          SELECT actor_id, frame, round(x0 + 60 * least(1, frame / 10e0 / first), 6) AS x, round(80 * greatest(0, least(1, (frame / 10e0 - leave) / second)), 6) AS y, CASE WHEN frame / 10e0 >= leave THEN 90e0 ELSE 0e0 END AS heading FROM f""",
         "box_union": "SELECT clip_id, frame, gt_id, gx1 AS x1, gy1 AS y1, gx1 + dx + 10 AS x2, gy1 + 10 AS y2 FROM {det_boxes}",
         "mask_bbox": "SELECT raster_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS pixels FROM {pixels} WHERE b1 = 3 GROUP BY raster_id",
         "trajectory_phases": f"WITH {_PHASES} SELECT * FROM phases",
