@@ -6,9 +6,10 @@
    hold every pair that shares a key, so links are only to be sought inside candidate components.
 3. Links are confirmed on full sets inside a candidate component. A component that fits in a task is searched there. A larger one is dealt by hash
    into blocks, twice by different hashes, and each block is searched by itself: that joins what is thickly linked, such as thousands of near-copies.
-4. What then lies in one candidate component but is not connected is compared through its rarest shingles: sets as alike as asked share one of the
-   first ``size - ceil(threshold * size) + 1`` of their shingles, rarest in the component first. Pairs that do, of different parts and of fitting sizes, are
-   confirmed on full sets, each once. A family of texts that share a frame and little else has no such pairs, however large. No pair is lost here.
+4. What then lies in one candidate component but is not connected is looked at through its rarest shingles: sets as alike as asked share one of the
+   first ``size - ceil(threshold * size) + 1`` of their shingles, rarest in the component first. Only sets that share one with another part can have a link
+   left; a family of texts that share a frame and little else has none, however large. Those sets are searched block by block, the largest part
+   against the others only. No link is lost here.
 
 Tasks emit spanning edges, not pairs, and a pair whose link could only repeat a known connection is not looked at again.
 
@@ -76,24 +77,30 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
-def links_within(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of positions with 100 * intersection >= percent * union.
+def links_within(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of positions (in ``sets``, or in ``sets`` and ``others``) with 100 * intersection >= percent * union.
 
     Intersections are counted through an inverted list of hashes: one count of list members for every set.
     """
-    sizes = np.array([len(x) for x in sets])
-    if not len(sizes):
+    index = others if others is not None else sets
+    sizes = np.array([len(x) for x in index])
+    if not len(sizes) or not len(sets):
         return
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    flat, owner = np.concatenate(index), np.repeat(np.arange(len(index)), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     for i, s in enumerate(sets):
         lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
         n = hi - lo
+        lo, n = lo[n > 0], n[n > 0]
+        if not len(lo):
+            continue
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(sets))
-        linked = (100 * both >= percent * (len(s) + sizes - both)) & (both > 0)
-        linked[: i + 1] = False
+        both = np.bincount(owner[at], minlength=len(index))
+        linked = 100 * both >= percent * (len(s) + sizes - both)
+        linked &= both > 0
+        if others is None:
+            linked[: i + 1] = False
         for j in np.flatnonzero(linked).tolist():
             yield i, j
 
@@ -108,26 +115,41 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _search(percent: int):
-    """A function over rows ``task, doc_id, set`` sorted by task: spanning edges of the links of each task."""
+    """A function over rows ``task, side, doc_id, set`` sorted by task: spanning edges of the links of each task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-            forest = Forest()
-            return [(ids[i], ids[j]) for i, j in links_within(sets, percent) if forest.join(ids[i], ids[j])]
+    Side 0 alone is searched within itself; with a side 1, side 0 is also searched against it.
+    """
 
-        task, ids, sets, found = None, [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(ids: list[list[int]], sets: list[list[np.ndarray]], within: bool) -> list[tuple[int, int]]:
+            forest, found = Forest(), []
+            if within:
+                for i, j in links_within(sets[0], None, percent):
+                    if forest.join(ids[0][i], ids[0][j]):
+                        found.append((ids[0][i], ids[0][j]))
+            if ids[1]:
+                for i, j in links_within(sets[0], sets[1], percent):
+                    if forest.join(ids[0][i], ids[1][j]):
+                        found.append((ids[0][i], ids[1][j]))
+            return found
+
+        task, ids, sets, within, found = None, [[], []], [[], []], True, []
         for batch in batches:
-            t, docs, raw = (batch.column(c) for c in ("task", "doc_id", "set"))
+            t, side, docs, raw, inner = (batch.column(c) for c in ("task", "side", "doc_id", "set", "within"))
             for i in range(batch.num_rows):
                 if (now := t[i].as_py()) != task:
-                    found += solve(ids, sets)
-                    task, ids, sets = now, [], []
-                ids.append(docs[i].as_py())
-                sets.append(_set(raw[i]))
+                    if task is not None:
+                        found += solve(ids, sets, within)
+                    task, ids, sets, within = now, [[], []], [[], []], inner[i].as_py()
+                k = side[i].as_py()
+                ids[k].append(docs[i].as_py())
+                sets[k].append(_set(raw[i]))
             if len(found) > 100_000:
                 yield _edges(found)
                 found = []
-        yield _edges(found + solve(ids, sets))
+        if task is not None:
+            found += solve(ids, sets, within)
+        yield _edges(found)
 
     return run
 
@@ -141,26 +163,16 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, np.full(len(h), len(h)), h)], ["component", "label", "giant", "doc_id", "size", "h"])
 
 
-def _confirm(percent: int):
-    """A function over rows ``a, b, set_a, set_b``: the pairs that are linked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for i in range(batch.num_rows):
-                x, y = _set(batch.column("set_a")[i]), _set(batch.column("set_b")[i])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    found.append((batch.column("a")[i].as_py(), batch.column("b")[i].as_py()))
-            yield _edges(found)
+def searched(rows: DataFrame, percent: int) -> DataFrame:
+    """Spanning edges of the links of each task of ``task, side, within, doc_id, set``."""
+    dealt = rows.select("task", "side", "within", "doc_id", "set").repartition(max(partitions(rows.sparkSession), 2), "task").sortWithinPartitions("task", "side")
+    return dealt.mapInArrow(_search(percent), "a long, b long")
 
-    return run
 
+def possible(sets: DataFrame, percent: int) -> DataFrame:
+    """``doc_id`` of the sets (``component, label, giant, doc_id, set``) that share one of their rarest hashes with a set of another label, as linked sets must.
 
-def links_between(sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links between sets (``component, label, giant, doc_id, set``) of one component and different labels, found by their rarest hashes.
-
-    ``giant`` is the component's label that is only looked up: its members are not compared with each other, having one label.
+    Hashes are counted by partial aggregation and joined back; no pair is made.
     """
     hashes = sets.mapInArrow(_hashes, "component long, label long, giant long, doc_id long, size long, h long")
     often = hashes.groupBy("component", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -169,15 +181,31 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
     mine = Window.partitionBy("doc_id")
     place = F.row_number().over(mine.orderBy("n", "h")) + F.col("size") - F.count(F.lit(1)).over(mine)
     needed = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    rare = shared.withColumn("place", place).filter(F.col("place") <= needed).select("component", "h", "doc_id", "label", "size", (F.col("label") == F.col("giant")).alias("g"))
-    rare = materialize(rare, "rare")
-    x, y = rare.filter("NOT g").alias("x"), rare.alias("y")
-    differ = (F.col("x.label") != F.col("y.label")) & (F.col("y.g") | (F.col("x.doc_id") < F.col("y.doc_id")))
-    fit = (100 * F.col("x.size") >= percent * F.col("y.size")) & (100 * F.col("y.size") >= percent * F.col("x.size"))
-    pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.h") == F.col("y.h")) & differ & fit)
-    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(percent), "a long, b long")
+    rare = materialize(shared.withColumn("place", place).filter(F.col("place") <= needed).select("component", "h", "doc_id", "label"), "rare")
+    met = rare.groupBy("component", "h").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("component", "h")
+    return rare.join(met, ["component", "h"], "left_semi").select("doc_id").distinct()
+
+
+def links_between(sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: edges that span the links between sets (``component, label, giant, doc_id, set``) of one component and different labels.
+
+    Sets that can have such a link are searched block by block: those of the label ``giant``, usually most, against the others only, being linked among
+    themselves. Tasks hold two blocks.
+    """
+    left = materialize(sets.join(materialize(possible(sets, percent), "possible"), "doc_id", "left_semi"), "unsettled-left")
+    sizes = left.groupBy("component").agg(F.sum(F.when(F.col("label") == F.col("giant"), F.length("set") / 8).otherwise(0)).alias("n"), F.sum(F.length("set") / 8).alias("all"))
+    sizes = materialize(sizes.select("component", F.ceil(F.col("n") / BLOCK_HASHES).cast("int").alias("g"), F.ceil((F.col("all") - F.col("n")) / BLOCK_HASHES).cast("int").alias("r")), "blocks")
+    sided = join_small(left, sizes, "component", "inner").filter("r > 0").withColumn("in_giant", F.col("label") == F.col("giant"))
+    h = F.xxhash64("doc_id")
+    mine = F.when(F.col("in_giant"), F.pmod(h, F.greatest("g", F.lit(1)))).otherwise(F.pmod(h, F.col("r"))).cast("int")
+    every = F.sequence(F.lit(0), F.col("r") - 1)
+    # tasks: (i, i) and (i, j) among blocks of the rest, (i, g:j) between a block of the rest and one of the largest part
+    to = lambda name, side, within: F.struct(name.alias("t"), side.alias("side"), within.alias("within"))
+    against = F.when(F.col("g") > 0, F.transform(F.sequence(F.lit(0), F.greatest("g", F.lit(1)) - 1), lambda j: to(F.concat_ws(":", F.col("mine"), F.lit("g"), j), F.lit(0), F.lit(False)))).otherwise(F.array().cast("array<struct<t:string,side:int,within:boolean>>"))
+    among = F.transform(every, lambda i: to(F.concat_ws(":", F.least(i, F.col("mine")), F.greatest(i, F.col("mine"))), F.when(i >= F.col("mine"), 0).otherwise(1), i == F.col("mine")))
+    goes = F.when(F.col("in_giant"), F.transform(every, lambda i: to(F.concat_ws(":", i, F.lit("g"), F.col("mine")), F.lit(1), F.lit(False)))).otherwise(F.concat(among, against))
+    rows = sided.withColumn("mine", mine).select("component", "doc_id", "set", F.explode(goes).alias("_g"))
+    return searched(rows.select(F.concat_ws(":", "component", "_g.t").alias("task"), F.col("_g.side").alias("side"), F.col("_g.within").alias("within"), "doc_id", "set"), percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -210,12 +238,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     of_reps = of_members.select("doc_id", "component", "blocks", "text").mapInArrow(to_sets, "doc_id long, component long, blocks int, set binary").filter(F.length("set") > 0)
     sets = materialize(of_reps, "sets")
 
-    def searched(rows: DataFrame, seed: int) -> DataFrame:
+    def dealt(rows: DataFrame, seed: int) -> DataFrame:
         block = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("blocks"))
-        dealt = rows.select(F.concat_ws(":", "component", block).alias("task"), "doc_id", "set").repartition(max(partitions(spark), 2), "task").sortWithinPartitions("task")
-        return dealt.mapInArrow(_search(percent), "a long, b long")
+        return rows.select(F.concat_ws(":", F.lit(seed), "component", block).alias("task"), F.lit(0).alias("side"), F.lit(True).alias("within"), "doc_id", "set")
 
-    edges = materialize(searched(sets, 1).unionByName(searched(sets.filter("blocks > 1"), 2)), "links")
+    edges = materialize(searched(dealt(sets, 1).unionByName(dealt(sets.filter("blocks > 1"), 2)), percent), "links")
     labels = materialize(connected_components(edges), "labels")
 
     large = sets.filter("blocks > 1").drop("blocks")
