@@ -77,14 +77,43 @@ def test_links_between_are_all_found(spark):
     label = rng.integers(0, 12, 120)
     rows = [(5, int(y), 0, i, x.tobytes()) for i, (x, y) in enumerate(zip(sets, label, strict=True))]
     df = spark.createDataFrame(rows, "component long, label long, giant long, doc_id long, set binary")
-    want = set()
+    root = {("label", int(y)): ("label", int(y)) for y in label}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = 0
     for i in range(120):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
             if label[i] != label[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                want.add((j, i))
-    got = [tuple(sorted((r.a, r.b))) for r in neardup.links_between(df, 80).collect()]
-    assert set(got) == want and len(got) == len(want) > 100
+                linked += 1
+                root[find(("label", int(label[i])))] = find(("label", int(label[j])))
+    want = {frozenset(y for y in range(12) if ("label", y) in root and find(("label", y)) == r) for r in {find(x) for x in root}}
+    # the edges found join the labels that links join, and no others
+    mine = {int(y): int(y) for y in label}
+    for r in neardup.links_between(df, 80).collect():
+        x, y = sets[r.a], sets[r.b]
+        both = len(np.intersect1d(x, y))
+        assert 100 * both >= 80 * (len(x) + len(y) - both)
+        a, b = mine[int(label[r.a])], mine[int(label[r.b])]
+        mine = {k: a if v == b else v for k, v in mine.items()}
+    assert {frozenset(k for k in mine if mine[k] == v) for v in mine.values()} == want and linked > 100
+
+
+@pytest.mark.parametrize("block", [250, 100_000])
+def test_possible_leaves_out_only_what_has_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_HASHES", block)
+    rng = np.random.default_rng(9)
+    frame_ = rng.integers(0, 2**62, 50).astype(np.uint64)
+    own = lambda n: rng.integers(0, 2**62, n).astype(np.uint64)
+    sets = [np.unique(np.concatenate([frame_, own(50)])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([x[:-3], own(3)])) for x in sets[:5]]
+    df = spark.createDataFrame([(5, i, 0, i, x.tobytes()) for i, x in enumerate(sets)], "component long, label long, giant long, doc_id long, set binary")
+    assert {r.doc_id for r in neardup.possible(df, 85).collect()} == {*range(5), *range(60, 65)}
+    assert {tuple(sorted((r.a, r.b))) for r in neardup.links_between(df, 85).collect()} == {(i, 60 + i) for i in range(5)}
 
 
 def test_near_duplicates_of_nothing(no_docs):
