@@ -163,3 +163,17 @@ def test_tiled_detection(spark, size, targets, overlap, stitch, n):
     assert len(found) == n
     if stitch:
         assert sorted((r.x1, r.y1, r.x2, r.y2) for r in found) == sorted(tuple(map(float, t)) for t in targets)
+
+
+def test_what_is_known_of_a_detection_rides_along(spark):
+    tiles = spark.createDataFrame([(1, k, x, 0, x + 448, 448, 848, 448, f"prompt {k}") for k, x in ((0, 0), (1, 400))], "frame_id long, tile int, x0 int, y0 int, x1 int, y1 int, width int, height int, prompt string")
+
+    def find(tile):
+        x1, x2 = max(385, tile["x0"]) - tile["x0"], min(492, tile["x0"] + 448) - tile["x0"]
+        return [{"x1": float(x1), "y1": 5.0, "x2": float(x2), "y2": 25.0, "score": 0.5 + tile["tile"] / 10, "said": tile["prompt"]}]
+
+    hits = tiled.detected(tiles, find, "x1 double, y1 double, x2 double, y2 double, score double, said string")
+    found = tiled.in_frame(hits, tiles.drop("prompt"))
+    assert {(r.said, r.x1, r.x2) for r in found.collect()} == {("prompt 0", 385.0, 448.0), ("prompt 1", 400.0, 492.0)}
+    assert [(r.x1, r.x2, r.said) for r in tiled.reconciled(found).collect()] == [(385.0, 492.0, "prompt 1")]
+    assert {r.said for r in tiled.suppressed(found).collect()} == {"prompt 0", "prompt 1"}

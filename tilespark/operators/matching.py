@@ -91,11 +91,13 @@ def survivors(boxes: np.ndarray, scores: np.ndarray, threshold: float) -> list[i
 class Detections:
     """Detections of one frame: boxes in frame coordinates, scores, the tile and cut sides (left, top, right, bottom) of each."""
 
-    def __init__(self, boxes: np.ndarray, scores: np.ndarray, tiles: np.ndarray, seams: np.ndarray):
+    def __init__(self, boxes: np.ndarray, scores: np.ndarray, tiles: np.ndarray, seams: np.ndarray, source: np.ndarray | None = None):
         self.boxes, self.scores, self.tiles, self.seams = boxes.astype(float), scores.astype(float), tiles, seams.astype(bool)
+        #: The row each comes from: whatever else is known of it rides along.
+        self.source = np.arange(len(boxes)) if source is None else source
 
     def take(self, keep) -> Detections:
-        return Detections(self.boxes[keep], self.scores[keep], self.tiles[keep], self.seams[keep])
+        return Detections(self.boxes[keep], self.scores[keep], self.tiles[keep], self.seams[keep], self.source[keep])
 
     def continues(self, margin: float) -> np.ndarray:
         """continues[i, j]: j carries on what a seam cut off i."""
@@ -125,8 +127,8 @@ class Detections:
             box = np.concatenate([np.minimum(now.boxes[i, :2], now.boxes[j, :2]), np.maximum(now.boxes[i, 2:], now.boxes[j, 2:])])
             lead = first if now.scores[first] >= now.scores[second] else second
             still = (now.seams[i] & (now.boxes[i] == box)) | (now.seams[j] & (now.boxes[j] == box))
-            united = Detections(now.boxes.copy(), now.scores.copy(), now.tiles.copy(), now.seams.copy())
-            united.boxes[i], united.scores[i], united.tiles[i], united.seams[i] = box, now.scores[lead], now.tiles[lead], still
+            united = Detections(now.boxes.copy(), now.scores.copy(), now.tiles.copy(), now.seams.copy(), now.source.copy())
+            united.boxes[i], united.scores[i], united.tiles[i], united.seams[i], united.source[i] = box, now.scores[lead], now.tiles[lead], still, now.source[lead]
             now = united.take(np.arange(len(now.boxes)) != j)
         return now
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tilespark.functions.geometry import area, box, covered, seams, to_frame
 from tilespark.operators.matching import Detections, survivors
@@ -16,13 +21,28 @@ FIELDS = ["x1", "y1", "x2", "y2"]
 def in_frame(detections: DataFrame, tiles: DataFrame, margin: float = 2.0) -> DataFrame:
     """Tile-local boxes moved into the frame, empty ones dropped, with flags for sides cut by an interior tile edge.
 
-    ``detections``: frame_id, tile, x1..y2, score; ``tiles``: frame_id, tile, x0, y0, x1, y1, width, height.
+    ``detections``: frame_id, tile, x1..y2, score and whatever else is known of them, which rides along; ``tiles``: frame_id, tile, x0, y0, x1, y1, width, height.
     """
+    more = [c for c in detections.columns if c not in ("frame_id", "tile", "score", *FIELDS)]
     t = tiles.select("frame_id", "tile", "width", "height", *[F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")])
     joined = detections.join(t, ["frame_id", "tile"]).withColumn("b", to_frame(box(*FIELDS), F.col("t_x0"), F.col("t_y0"), F.col("t_x1") - F.col("t_x0"), F.col("t_y1") - F.col("t_y0")))
     flags = seams(F.col("b"), F.col("t_x0"), F.col("t_y0"), F.col("t_x1"), F.col("t_y1"), F.col("width"), F.col("height"), margin)
     kept = joined.filter((F.col("b.x2") > F.col("b.x1")) & (F.col("b.y2") > F.col("b.y1")))
-    return kept.select("frame_id", "tile", *[F.col(f"b.{c}").alias(c) for c in FIELDS], "score", flags.alias("seams"))
+    return kept.select("frame_id", "tile", *[F.col(f"b.{c}").alias(c) for c in FIELDS], "score", flags.alias("seams"), *more)
+
+
+def detected(tiles: DataFrame, find: Callable[[dict], Iterable[dict]], fields: str = "x1 double, y1 double, x2 double, y2 double, score double") -> DataFrame:
+    """What a caller's detector finds in every tile: ``frame_id, tile`` and ``fields``. ``find`` takes a tile's row (its pixels, its prompt) and names tile-local
+    boxes; it is called a batch of tiles at a time in the tasks that hold them, and loads its model when it is first called."""
+    schema = T.StructType([tiles.schema["frame_id"], tiles.schema["tile"], *T.StructType.fromDDL(fields).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [{"frame_id": t["frame_id"], "tile": t["tile"], **hit} for t in b.to_pylist() for hit in find(t)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
+
+    return tiles.mapInArrow(run, schema)
 
 
 def seam_duplicates(found: DataFrame, contained: float = 0.6) -> DataFrame:
@@ -34,39 +54,36 @@ def seam_duplicates(found: DataFrame, contained: float = 0.6) -> DataFrame:
     return cut.join(other, on, "left_semi")
 
 
-def _frame(rows: pd.DataFrame) -> Detections:
-    ordered = rows.sort_values(["tile", *FIELDS])
-    return Detections(ordered[FIELDS].to_numpy(float), ordered["score"].to_numpy(float), ordered["tile"].to_numpy(), np.array(ordered["seams"].tolist(), dtype=bool).reshape(-1, 4))
-
-
-def _rows(key: tuple, d: Detections) -> pd.DataFrame:
-    out = pd.DataFrame(d.boxes, columns=FIELDS)
-    return out.assign(frame_id=key[0], score=d.scores)[["frame_id", *FIELDS, "score"]]
+def _per_frame(found: DataFrame, settle: Callable[[Detections], Detections]) -> DataFrame:
+    """``frame_id, x1..y2, score`` and extra columns of what is left of each frame's detections, in the order of tile and place."""
+    more = [c for c in found.columns if c not in ("frame_id", "tile", "score", "seams", *FIELDS)]
+    names = ["frame_id", *FIELDS, "score", *more]
 
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values(["tile", *FIELDS])
+        seen = Detections(ordered[FIELDS].to_numpy(float), ordered["score"].to_numpy(float), ordered["tile"].to_numpy(), np.array(ordered["seams"].tolist(), dtype=bool).reshape(-1, 4))
+        left = settle(seen)
+        kept = ordered.iloc[left.source][["frame_id", *more]].reset_index(drop=True)
+        return pd.concat([kept, pd.DataFrame(left.boxes, columns=FIELDS)], axis=1).assign(score=left.scores)[names]
 
-SCHEMA = "frame_id long, x1 double, y1 double, x2 double, y2 double, score double"
+    return found.groupBy("frame_id").applyInPandas(run, T.StructType([found.schema[c] for c in names]))
 
 
 def suppressed(found: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Greedy suppression of duplicates per frame."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        d = _frame(rows)
-        return _rows(key, d.take(survivors(d.boxes, d.scores, threshold)))
-
-    return found.groupBy("frame_id").applyInPandas(run, SCHEMA)
+    return _per_frame(found, lambda d: d.take(survivors(d.boxes, d.scores, threshold)))
 
 
 def stitched(found: DataFrame, margin: float = 2.0) -> DataFrame:
-    return found.groupBy("frame_id").applyInPandas(lambda key, rows: _rows(key, _frame(rows).stitched(margin)), SCHEMA)
+    return _per_frame(found, lambda d: d.stitched(margin))
 
 
 def reconciled(found: DataFrame, margin: float = 2.0, contained: float = 0.6, threshold: float = 0.5, stitch: bool = True) -> DataFrame:
     """Fragments stitched, boxes that a neighbour saw whole dropped, duplicates suppressed."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        d = _frame(rows)
+    def settle(d: Detections) -> Detections:
         d = (d.stitched(margin) if stitch else d).without_seam_duplicates(contained)
-        return _rows(key, d.take(survivors(d.boxes, d.scores, threshold)))
+        return d.take(survivors(d.boxes, d.scores, threshold))
 
-    return found.groupBy("frame_id").applyInPandas(run, SCHEMA)
+    return _per_frame(found, settle)

@@ -187,12 +187,14 @@ def frame_selection(spark, sf_dir):
 
 
 def simulated_scene(spark, sf_dir):
+    """What can be seen of actors that wait, drive to the right, stand for a while and turn down."""
     p = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("actor_id"), (F.col("p_size") + 5.0).alias("speed"),
-        F.array(*[F.struct((F.col("p_partkey") % 100 + F.lit(a)).cast("double").alias("x"), F.lit(float(b)).alias("y")) for a, b in ((0, 0), (60, 0), (60, 80))]).alias("waypoints"),
-        F.array(F.lit(0.0), F.col("p_size") / 10.0, F.lit(0.0)).alias("rests"),
+        F.array(*[F.struct((F.col("p_partkey") % 1000 + F.lit(a)).cast("double").alias("x"), F.lit(float(b)).alias("y")) for a, b in ((0, 0), (60, 0), (60, 80))]).alias("waypoints"),
+        (F.col("p_partkey") % 4 / 4.0).alias("delay"), F.array(F.struct(F.lit(2.05).alias("begins"), (F.lit(2.05) + F.col("p_partkey") % 3).alias("ends"))).alias("stops"),
     )
-    return tracks.simulated(p, 40, 10.0).select("actor_id", "frame", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("heading", 3).alias("heading"))
+    found = tracks.simulated(p, 60, 10.0).filter("visible")
+    return found.select("actor_id", "frame", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("heading", 3).alias("heading"))
 
 
 QUERIES = {
@@ -277,9 +279,13 @@ ORACLE = {
         "stitch": f"""WITH {_TILED} SELECT frame_id, x1, y1, x2, y2, 1e0 AS score FROM cut WHERE NOT parted
           UNION ALL SELECT frame_id, min(x1), min(y1), max(x2), max(y2), 1e0 FROM cut WHERE parted GROUP BY frame_id""",
         "ground_tiled": f"""WITH {_TILED} SELECT frame_id, l AS x1, low AS y1, least(r, 848) AS x2, low + 20 AS y2, 1e0 AS score FROM d""",
-        "simulated_scene": """WITH a AS (SELECT p_partkey AS actor_id, p_partkey % 100 AS x0, 60 / CAST(p_size + 5 AS DOUBLE) AS first, 80 / CAST(p_size + 5 AS DOUBLE) AS second, 60 / CAST(p_size + 5 AS DOUBLE) + p_size / 10e0 AS leave FROM {part}),
-          f AS (SELECT *, CAST(unnest(range(40)) AS INT) AS frame FROM a)
-          SELECT actor_id, frame, round(x0 + 60 * least(1, frame / 10e0 / first), 6) AS x, round(80 * greatest(0, least(1, (frame / 10e0 - leave) / second)), 6) AS y, CASE WHEN frame / 10e0 >= leave THEN 90e0 ELSE 0e0 END AS heading FROM f""",
+        "simulated_scene": """WITH RECURSIVE a AS (SELECT p_partkey AS id, CAST(p_partkey % 1000 AS DOUBLE) AS x0, CAST(p_size + 5 AS DOUBLE) * 0.1e0 AS step, p_partkey % 4 / 4e0 AS delay, 2.05e0 + p_partkey % 3 AS e FROM {part}),
+          s AS (SELECT id, x0, step, delay, e, -1 AS frame, x0 AS x, 0e0 AS y, 0 AS seg, 0e0 AS h, 0e0 AS t FROM a
+            UNION ALL SELECT id, x0, step, delay, e, frame + 1, CASE WHEN NOT mv THEN x WHEN far <= step THEN x0 + 60 ELSE x + dx / far * step END, CASE WHEN NOT mv THEN y WHEN far <= step THEN ty ELSE y + dy / far * step END,
+              CASE WHEN mv AND far <= step THEN seg + 1 ELSE seg END, CASE WHEN mv THEN degrees(atan2(dy, dx)) ELSE h END, t + 0.1e0
+            FROM (SELECT *, t >= delay AND seg < 2 AND NOT (t >= 2.05e0 AND t < e) AS mv, x0 + 60 - x AS dx, ty - y AS dy, sqrt((x0 + 60 - x) * (x0 + 60 - x) + (ty - y) * (ty - y)) AS far
+              FROM (SELECT *, CASE seg WHEN 0 THEN 0e0 ELSE 80e0 END AS ty FROM s WHERE frame < 59) q) r)
+          SELECT id AS actor_id, CAST(frame AS INT) AS frame, round(x, 6) AS x, round(y, 6) AS y, round(h, 3) AS heading FROM s WHERE frame >= 0 AND x > -30 AND x < 990 AND y > -30 AND y < 630""",
         "box_union": "SELECT clip_id, frame, gt_id, gx1 AS x1, gy1 AS y1, gx1 + dx + 10 AS x2, gy1 + 10 AS y2 FROM {det_boxes}",
         "mask_bbox": "SELECT raster_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS pixels FROM {pixels} WHERE b1 = 3 GROUP BY raster_id",
         "trajectory_phases": f"WITH {_PHASES} SELECT * FROM phases",

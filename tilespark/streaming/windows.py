@@ -36,31 +36,32 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str | None = "1 day"
 def acquisitions(seen: DataFrame, every: int) -> DataFrame:
     """The acquisition loop as a stream of ``clip_id, frame, object_id``: an object gets an identity at the first look at which it is seen.
 
-    State is one list of known objects per clip. Looks arrive in order of frames within a clip.
+    State is the known objects of each clip, as many as the clip has. Looks arrive in order of frames within a clip.
     """
 
     def look(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = list(state.get[0]) if state.exists else []
+        known = dict.fromkeys(state.get[0]) if state.exists else {}
         out = []
         for rows in batches:
             for frame, own in rows[rows["frame"] % every == 0].sort_values(["frame", "object_id"]).groupby("frame", sort=True):
                 for o in own["object_id"].tolist():
                     if o not in known:
-                        known.append(o)
+                        known[o] = None
                         out.append((key[0], o, int(frame), len(known)))
-        state.update((known,))
+        state.update((list(known),))
         yield pd.DataFrame(out, columns=["clip_id", "object_id", "acquired_frame", "track_id"])
 
     return seen.groupBy("clip_id").applyInPandasWithState(look, "clip_id int, object_id int, acquired_frame int, track_id int", "known array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Everything a stream has to say about what is there now, kept as a table in the shared folder."""
+    """Everything a stream has to say about what is there now, kept as a table in the shared folder; a batch that is run again replaces what it wrote."""
     spark = stream.sparkSession
     out, log = shared_path(spark, name), shared_path(spark, f"{name}-log")
-    write: Callable[[DataFrame, int], None] = lambda df, i: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    write: Callable[[DataFrame, int], None] = lambda df, i: df.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={i}")
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    found = spark.read.parquet(out)
+    return found if mode == "complete" else found.drop("batch")
 
 
 # the queries cover the whole table, whatever the order of its files: complete mode keeps all state, so a watermark would only lose rows
