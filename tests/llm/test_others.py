@@ -249,6 +249,19 @@ def test_pipeline_near_duplicates_keep_one(spark, odd_docs):
     assert p.drop_near_duplicates(spark, twins, "").count() == 1
 
 
+def test_pipeline_near_duplicates_lose_no_text(spark, odd_docs):
+    """Texts that share an id, or have none, are documents of their own."""
+    import corpus_pipeline as p
+
+    say = lambda seed: " ".join(f"word{seed}x{j}" for j in range(60))
+    texts = [(3, say(1)), (5, say(1) + " more"), (5, say(2)), (5, say(2)), (None, say(3)), (None, say(3) + " more"), (None, say(2) + " more"), (9, say(3) + " again"), (None, say(4)), (None, None), (None, ""), (7, None)]
+    rows = [(i, t, "en", "a", 1, 0.5, "own", 7, 1) for i, t in texts]
+    kept = p.drop_near_duplicates(spark, spark.createDataFrame(rows, odd_docs.schema), "")
+    assert kept.columns == odd_docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(3, say(1)), (5, say(2)), (9, say(3) + " again"), (None, say(4)), (None, None), (None, ""), (7, None)])
+
+
 def test_pipeline_removes_what_repeats(spark, odd_docs):
     import corpus_pipeline as p
 
@@ -258,6 +271,61 @@ def test_pipeline_removes_what_repeats(spark, odd_docs):
     assert all("shared30" not in r.text and f"own{r.doc_id}x40" in r.text and r.n_chars == len(r.text) for r in out)
 
 
+def test_whole_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a small corpus against plain Python: the classifier as fitted, groups over all pairs, all windows, draws by the targets, the tokenizer itself."""
+    import random
+
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    from tilespark.llm import bpe, mixing, quality
+
+    rng = random.Random(11)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs.filter("doc_id < 90").collect()
+    extra = [(1000 + i, kept[i].text + f" tail{i}", kept[i].lang, rng.choice(["x", "y", None]), 0) for i in range(0, 30, 3)]
+    spark.createDataFrame([tuple(r) for r in kept] + extra, docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = {r.doc_id for r in quality.classify(table, quality.fit(table, spark.read.parquet(f"{tmp_path}/labels.parquet"))).filter("NOT rejected").collect()}
+    rows = {r.doc_id: r for r in table.collect() if r.doc_id in good}
+
+    def shingles(text):
+        w = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, up = {i: shingles(r.text) for i, r in rows.items()}, {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and (both := len(sets[i] & sets[j])) and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    rows = {i: r for i, r in rows.items() if root(i) == i}
+    seen = Counter(b[k : k + 200] for r in rows.values() for b in [(r.text or "").encode()] for k in range(len(b) - 199))
+    texts = {}
+    for i, r in rows.items():
+        b = (r.text or "").encode()
+        gone = np.zeros(len(b), dtype=bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        texts[i] = None if r.text is None else bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+    cut = spark.createDataFrame([(i, t, rows[i].source) for i, t in texts.items()], "doc_id long, text string, source string")
+    drawn = {r.doc_id: r.n_copies for r in mixing.copies(cut).collect()}  # itself held against targets worked out one by one
+    t, want = Tokenizer.from_str(bpe.default_definition()), Counter()
+    for i, text in texts.items():
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want[(i, rows[i].source, len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False))] += drawn[i]
+    got = Counter(map(tuple, p.run(spark, str(tmp_path)).collect()))
+    assert got == +want and len(texts) < len(good) < 100
+
+
 @pytest.mark.parametrize("name", ["op2_warc", "op8_mixing", "op9_chat"])
 def test_sql_agrees(spark, name):
     import duckdb
