@@ -269,5 +269,21 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+d AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, list_sort(s) AS s FROM s),
+-- equal sets are one class
+r AS (SELECT min(doc_id) AS rep, any_value(n) AS n, s FROM d WHERE n > 0 AND doc_id IS NOT NULL GROUP BY s),
+x AS (SELECT rep, n, unnest(s) AS h FROM r),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n + b.n) AS n, count(*) AS k FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT rep AS node, rep AS root FROM r UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),
+m AS (SELECT node, min(root) AS root FROM c GROUP BY node),
+o AS (SELECT d.doc_id, d.n, coalesce(m.root, d.doc_id) AS component FROM d LEFT JOIN r ON r.s = d.s AND d.n > 0 LEFT JOIN m ON m.node = r.rep)
+SELECT doc_id, n AS n_shingles, component AS component_id, doc_id = component AS kept FROM o
+"""
+
 QUERIES = {"op4_neardup": op4_neardup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_neardup": OP4_SQL}
