@@ -326,7 +326,7 @@ def test_whole_pipeline_against_brute_force(spark, tmp_path):
     assert got == +want and len(texts) < len(good) < 100
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op8_mixing", "op9_chat"])
+@pytest.mark.parametrize("name", ["op2_warc", "op4_neardup", "op8_mixing", "op9_chat"])
 def test_sql_agrees(spark, name):
     import duckdb
 
