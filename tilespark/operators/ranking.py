@@ -84,14 +84,29 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - MARGIN)
 
 
+def _meet(scale: int, ids: np.ndarray, m: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
+    """The ``k`` best of a matrix of vectors for every query: ids of the query, scale, ids, scores."""
+    rough = q.astype(m.dtype) @ m.T
+    for i in range(len(q_ids)):
+        near = _best(rough[i], k)
+        exact = np.round(m[near].astype(np.float64) @ q[i].astype(np.float64), 6)
+        best = np.lexsort((ids[near], -exact))[:k]
+        yield np.full(len(best), q_ids[i]), np.full(len(best), scale, np.int32), ids[near[best]], exact[best]
+
+
 def top_packed(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """As :func:`scored` and :func:`top` per (query, scale), by products of packed matrices.
+    """As :func:`scored` and :func:`top` per (query, scale), by products of packed matrices; each meeting of queries and vectors keeps ``k`` of a query.
 
-    Queries are packed as well; blocks of them meet the corpus's blocks row by row, and each meeting keeps ``k`` of a query. So neither queries nor hits are ever
-    gathered: one block of queries is broadcast (by Spark, from its size), many are spread.
+    Up to ``QUERY_BLOCK`` queries, which a bounded look settles, are sent to every task. More are packed as well, and blocks of them meet the corpus's blocks row
+    by row: neither queries nor hits are ever gathered then.
     """
-    asked = queries.select("query_id", "embedding").coalesce(1) if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else queries.select("query_id", "embedding")
-    asked = asked.mapInArrow(_packer("query_id", None), "group int, ids binary, matrix binary, kind string").select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("kind").alias("q_kind"))
+    asked = queries.select("query_id", "embedding")
+    few = asked.limit(QUERY_BLOCK + 1).toArrow().combine_chunks()
+    all_of_them = few.num_rows <= QUERY_BLOCK
+    shipped = None
+    if all_of_them:
+        q = _matrix(few.column("embedding").combine_chunks()) if few.num_rows else np.zeros((0, 0))
+        shipped = blocks.sparkSession.sparkContext.broadcast((few.column("query_id").to_numpy().astype(np.int64), q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
@@ -103,23 +118,24 @@ def top_packed(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         for b in batches:
             for r in range(b.num_rows):
-                group, kind, q_kind = (b.column(c)[r].as_py() for c in ("group", "kind", "q_kind"))
-                ids, matrix, q_ids, q_matrix = (b.column(c)[r].as_buffer() for c in ("ids", "matrix", "q_ids", "q_matrix"))
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                m, q = np.frombuffer(matrix, kind).reshape(len(ids), -1), np.frombuffer(q_matrix, q_kind).reshape(len(q_ids), -1)
-                rough = q.astype(m.dtype) @ m.T
-                for i in range(len(q_ids)):
-                    near = _best(rough[i], k)
-                    exact = np.round(m[near].astype(np.float64) @ q[i].astype(np.float64), 6)
-                    best = near[np.lexsort((ids[near], -exact))[:k]]
-                    score = dict(zip(near.tolist(), exact.tolist(), strict=True))
-                    found.append((np.full(len(best), q_ids[i]), np.full(len(best), group, np.int32), ids[best], np.array([score[x] for x in best.tolist()])))
+                at = lambda c, b=b, r=r: b.column(c)[r]
+                ids = np.frombuffer(at("ids").as_buffer(), np.int64)
+                m = np.frombuffer(at("matrix").as_buffer(), at("kind").as_py()).reshape(len(ids), -1)
+                if shipped is not None:
+                    q_ids, q = shipped.value
+                else:
+                    q_ids = np.frombuffer(at("q_ids").as_buffer(), np.int64)
+                    q = np.frombuffer(at("q_matrix").as_buffer(), at("q_kind").as_py()).reshape(len(q_ids), -1)
+                if len(q_ids):
+                    found += _meet(at("group").as_py(), ids, m, q_ids, q, k)
                 if len(found) > 20_000:
                     yield out()
         yield out()
 
-    hits = blocks.crossJoin(asked).mapInArrow(run, "query_id long, scale int, vec_id long, score double")
-    return top(hits, k, ["query_id", "scale"])
+    if not all_of_them:
+        packed_queries = asked.mapInArrow(_packer("query_id", None), "group int, ids binary, matrix binary, kind string")
+        blocks = blocks.crossJoin(packed_queries.select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("kind").alias("q_kind")))
+    return top(blocks.mapInArrow(run, "query_id long, scale int, vec_id long, score double"), k, ["query_id", "scale"])
 
 
 def top_by_matrix(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
