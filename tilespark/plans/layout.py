@@ -82,7 +82,7 @@ def basemap_blocks(spark, sf_dir):
 def nodata_by_tile(spark, sf_dir):
     """Share of fill (all three bands zero, or nothing) of each 16-pixel tile, over the whole tile."""
     p = table(spark, sf_dir, "pixels")
-    return p.groupBy("raster_id", F.floor(F.col("x") / 16).cast("int").alias("col"), F.floor(F.col("y") / 16).cast("int").alias("row_")).agg(F.round(1.0 - F.count_if("b1 <> 0 OR b2 <> 0 OR b3 <> 0") / F.lit(256.0), 6).alias("nodata"))
+    return p.groupBy("raster_id", F.floor(F.col("x") / 16).cast("int").alias("col"), F.floor(F.col("y") / 16).cast("int").alias("row_")).agg(F.round(1.0 - F.count_if(F.expr("b1 <> 0 OR b2 <> 0 OR b3 <> 0")) / F.lit(256.0), 6).alias("nodata"))
 
 
 def scene_valid_counts(spark, sf_dir):
