@@ -37,7 +37,7 @@ from tilespark.llm.shared import bounded_batches, materialize_buckets, with_fiel
 #: A block of texts is closed at so many distinct words, characters or texts.
 BLOCK_WORDS, BLOCK_CHARS, BLOCK_TEXTS = 400_000, 24_000_000, 50_000
 #: Words with ids that a task packs at a time; characters of output it makes at a time.
-PACKED_WORDS, OUT_CHARS = 200_000, 4_000_000
+PACKED_WORDS, OUT_CHARS = 200_000, 1_000_000
 
 
 class Splitter:
@@ -150,7 +150,7 @@ def _unpacked(raw: bytes) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all().combine_chunks()
 
 
-def blocks_of(docs: DataFrame, definition: str, carry: list[str]) -> DataFrame:
+def blocks_of(docs: DataFrame, definition: str, carry: list[str], block_chars: int) -> DataFrame:
     """One row of every block, in buckets by block: ``block, rows`` (the columns in ``carry`` with each text's number of words, packed), ``codes`` (the numbers
     of its texts' words, packed) and ``words``, its list."""
 
@@ -178,7 +178,7 @@ def blocks_of(docs: DataFrame, definition: str, carry: list[str]) -> DataFrame:
                 codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 lengths.append(len(words))
                 chars += len(t or "")
-                if len(number) >= BLOCK_WORDS or chars >= BLOCK_CHARS or len(lengths) >= BLOCK_TEXTS:
+                if len(number) >= BLOCK_WORDS or chars >= block_chars or len(lengths) >= BLOCK_TEXTS:
                     parts.append(own.take(np.arange(first, i + 1)))
                     yield out()
                     parts, lengths, chars, first, block = [], [], 0, i + 1, block + 1
@@ -257,15 +257,15 @@ def _list(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return n[order], np.array(ids, dtype=object)[order], np.array(said, dtype=object)[order]
 
 
-def encode_decode(docs: DataFrame, definition: str, carry: list[str] | None = None, digests: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, definition: str, carry: list[str] | None = None, digests: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Each row's ids and decoded text: ``n_tokens, ids, decoded`` behind the columns in ``carry``.
 
     ``ids`` are decimal ids joined by one space and ``decoded`` is the text of the pieces. With ``digests`` both are replaced by their
-    SHA-256, ``ids_sha256, decoded_sha256``, before they leave the task.
+    SHA-256, ``ids_sha256, decoded_sha256``, before they leave the task. Smaller blocks (``block_chars``) take less memory and more room on disk.
     """
     carry = carry if carry is not None else ["doc_id"]
     bounded_batches(docs.sparkSession)
-    blocks = blocks_of(docs, definition, carry)
+    blocks = blocks_of(docs, definition, carry, block_chars)
     entries = blocks.select("block", F.posexplode("words").alias("k", "word")).filter(F.col("word").isNotNull()).repartition("word")
     found = entries.join(word_table(entries, definition), "word").select("block", "k", "ids", "said")
     lists = found.mapInArrow(_pack_words, "block long, part binary").groupBy("block").agg(F.collect_list("part").alias("parts"))  # the list of one block
