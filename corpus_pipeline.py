@@ -81,7 +81,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, source, n_tokens, ids, decoded``: token ids, in decimal and joined by a space, and the text of their pieces."""
     carry = [c for c in ("doc_id", "source") if c in docs.columns]
-    return bpe.encode_decode(docs, bpe.default_definition(), carry=carry)
+    return bpe.encode_decode(docs, bpe.default_definition(), carry=carry, block_chars=8_000_000)
 
 
 STAGES = [
