@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilespark.llm import bpe, chat, language, mixing, multi_index, neardup, quality, repeats, simhash, warc
+from tilespark.llm import bpe, chat, language, mixing, multi_index, neardup, quality, repair, repeats, simhash, warc
 
-MODULES = (multi_index, warc, simhash, neardup, repeats, quality, bpe, mixing, chat, language)
+MODULES = (multi_index, warc, simhash, neardup, repeats, quality, bpe, mixing, chat, language, repair)
 
 
 def queries() -> dict:
@@ -16,5 +16,5 @@ def oracle_sql() -> dict:
 
 
 def more() -> dict:
-    """Queries beside the ten operators."""
+    """Queries beside the numbered operators."""
     return dict(simhash.MORE)
