@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilespark.llm import bpe, chat, language, mixing, multi_index, neardup, quality, ranked, repair, repeats, simhash, warc
+from tilespark.llm import bpe, chat, language, mixing, multi_index, neardup, pii, quality, ranked, repair, repeats, simhash, warc
 
-MODULES = (multi_index, warc, simhash, neardup, repeats, quality, bpe, mixing, chat, language, ranked, repair)
+MODULES = (multi_index, warc, simhash, neardup, repeats, quality, bpe, mixing, chat, language, pii, ranked, repair)
 
 
 def queries() -> dict:
