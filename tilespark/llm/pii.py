@@ -433,7 +433,8 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.createDataFrame(labelled(), "text string, spans array<struct<kind: string, start: long, end: long>>")
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), fit(table))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.filter(base, lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
