@@ -241,7 +241,17 @@ def taught(tokens: Tokens, spans: list[tuple[str, int, int]]) -> np.ndarray:
     return out
 
 
-def likelihood(weights, moves, begin, end, features, labels, lengths):
+def by_feature(features: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slot its features, and the places of each, one feature after the other."""
+    found = []
+    for which in features.reshape(-1, features.shape[2]).T:
+        order = np.argsort(which, kind="stable")
+        held, starts = np.unique(which[order], return_index=True)
+        found.append((held, order, starts))
+    return found
+
+
+def likelihood(weights, moves, begin, end, features, labels, lengths, places=None):
     """Mean log-likelihood of labelled sequences, and its gradients; by forward and backward sums over all sequences at once.
 
     ``features`` are rows of weights (sequence, step, slot), 0 behind a sequence's end.
@@ -249,45 +259,47 @@ def likelihood(weights, moves, begin, end, features, labels, lengths):
     n, steps, _ = features.shape
     rows = np.arange(n)
     inside = np.arange(steps) < lengths[:, None]
-    scores = weights[features].sum(axis=2)
-
-    def over(x, axis):
-        top = x.max(axis=axis, keepdims=True)
-        return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
-
-    ahead = np.zeros(scores.shape)
-    ahead[:, 0] = scores[:, 0] + begin
+    scores = sum(weights[features[:, :, slot]] for slot in range(features.shape[2]))
+
+    # chances are scaled to sum to 1 at every step, so that steps are plain products
+    high = scores.max(axis=2)
+    height, move = np.exp(scores - high[..., None]), np.exp(moves)
+    ahead, back, scale = np.zeros(scores.shape), np.zeros(scores.shape), np.ones((n, steps))
+    first = height[:, 0] * np.exp(begin)
+    scale[:, 0] = first.sum(axis=1)
+    ahead[:, 0] = first / scale[:, :1]
     for t in range(1, steps):
-        ahead[:, t] = np.where(inside[:, t, None], over(ahead[:, t - 1, :, None] + moves, 1) + scores[:, t], ahead[:, t - 1])
-    back = np.zeros(scores.shape)
-    back[:, -1] = end
-    for t in range(steps - 2, -1, -1):
-        back[:, t] = np.where(inside[:, t + 1, None], over(moves + (scores[:, t + 1] + back[:, t + 1])[:, None, :], 2), end)
-    total = over(ahead[:, -1] + end, 1)
-    chance = np.exp(ahead + back - total[:, None, None]) * inside[..., None]
+        on = inside[:, t, None]
+        new = np.where(on, (ahead[:, t - 1] @ move) * height[:, t], ahead[:, t - 1])
+        scale[:, t] = np.where(on[:, 0], new.sum(axis=1), 1)
+        ahead[:, t] = new / scale[:, t, None]
+    ends = (ahead[:, -1] * np.exp(end)).sum(axis=1)
+    total = np.log(scale).sum(axis=1) + (high * inside).sum(axis=1) + np.log(ends)
+    back[:, -1] = np.exp(end) / ends[:, None]
+    g_moves = np.zeros(moves.shape)
+    for t in range(steps - 1, 0, -1):
+        on = inside[:, t, None]
+        behind = np.where(on, height[:, t] * back[:, t] / scale[:, t, None], 0)
+        g_moves -= move * (ahead[:, t - 1].T @ behind)
+        np.add.at(g_moves, (labels[inside[:, t], t - 1], labels[inside[:, t], t]), 1)
+        back[:, t - 1] = np.where(on, behind @ move.T, back[:, t])
+    chance = ahead * back * inside[..., None]
     given = np.zeros(scores.shape)
     np.put_along_axis(given, labels[..., None], 1, 2)
     given *= inside[..., None]
     off = given - chance
-    g_moves = np.zeros(moves.shape)
-    for t in range(1, steps):
-        both = np.exp(ahead[:, t - 1, :, None] + moves + (scores[:, t] + back[:, t] - total[:, None])[:, None, :])
-        g_moves -= (both * inside[:, t, None, None]).sum(axis=0)
-        np.add.at(g_moves, (labels[inside[:, t], t - 1], labels[inside[:, t], t]), 1)
     last = lengths - 1
     value = (given * scores).sum() + begin[labels[:, 0]].sum() + end[labels[rows, last]].sum() - total.sum()
     value += sum(moves[labels[inside[:, t], t - 1], labels[inside[:, t], t]].sum() for t in range(1, steps))
     g_weights = np.zeros(weights.shape)
-    flat, which = off.reshape(n * steps, -1), features.reshape(n * steps, -1)
-    for slot in range(which.shape[1]):
-        order = np.argsort(which[:, slot], kind="stable")
-        held, starts = np.unique(which[order, slot], return_index=True)
+    flat = off.reshape(n * steps, -1)
+    for held, order, starts in by_feature(features) if places is None else places:
         g_weights[held] += np.add.reduceat(flat[order], starts, axis=0)
     g_weights[0] = 0
     return value / n, [g / n for g in (g_weights, g_moves, off[:, 0].sum(axis=0), off[rows, last].sum(axis=0))]
 
 
-def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 80, rate: float = 0.15, shrink: float = 2e-4) -> Field:
+def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 60, rate: float = 0.15, shrink: float = 2e-4) -> Field:
     """Weights that make the labelled rows likely: gradient steps scaled by running squares, with weights drawn towards 0."""
     features, labels = [], []
     for text, spans in rows:
@@ -309,8 +321,12 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 80,
     size = len(LABELS)
     values = [np.zeros((len(known) + 1, size)), np.zeros((size, size)), np.zeros(size), np.zeros(size)]
     mean, square = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
+    groups = [(f := which[g, : lengths[g].max()], given[g, : lengths[g].max()], lengths[g], by_feature(f)) for g in padded(lengths.tolist(), 4_000)]
     for k in range(1, rounds + 1):
-        _, slopes = likelihood(*values, which, given, lengths)
+        slopes = [np.zeros_like(v) for v in values]
+        for group in groups:
+            for sum_, g in zip(slopes, likelihood(*values, *group)[1], strict=True):
+                sum_ += g * len(group[2]) / len(lengths)
         for v, m, s, g in zip(values, mean, square, slopes, strict=True):
             g = g - shrink * v
             m += 0.1 * (g - m)
@@ -323,7 +339,7 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 80,
 # the labelled table
 
 
-def labelled(rows: int = 400, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled(rows: int = 300, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """A small labelled table, made by rule: values of each kind in the usual spellings and numbers that are none, among words, apart and close together."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
