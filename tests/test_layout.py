@@ -118,21 +118,6 @@ def test_phases(spark):
     assert tracks.described(p, 10.0).collect()[0].text == "moves east (0.0-3.0s); stationary (3.0-5.9s)."
 
 
-def test_waypoints(spark):
-    rows = [
-        (1, 10.0, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)], 0.0, [(1.5, 2.5)]),
-        (2, 7.0, [(0.0, 0.0), (1.0, 0.0), (1.0, 5.0)], 0.35, []),  # a step that reaches a waypoint ends there
-        (3, 500.0, [(900.0, 0.0), (2000.0, 0.0)], 0.0, None),
-    ]
-    kinds = "actor_id long, speed double, waypoints array<struct<x:double,y:double>>, delay double, stops array<struct<begins:double,ends:double>>"
-    r = {(x.actor_id, x.frame): x for x in tracks.simulated(spark.createDataFrame(rows, kinds), 40, 10.0).collect()}
-    at = lambda a, f: (r[a, f].x, r[a, f].y, r[a, f].heading)
-    assert at(1, 0) == (1.0, 0.0, 0.0) and at(1, 9)[0] == pytest.approx(10.0) and at(1, 10)[0] == pytest.approx(10.0)
-    assert r[1, 15].y == r[1, 24].y and r[1, 25].y == pytest.approx(r[1, 24].y + 1) and r[1, 39].y == 10.0 and r[1, 39].heading == 90.0
-    assert at(2, 3) == (0.0, 0.0, 0.0) and at(2, 4)[0] == pytest.approx(0.7) and at(2, 5) == (1.0, 0.0, 0.0) and at(2, 6)[:2] == pytest.approx((1.0, 0.7))
-    assert r[3, 0].visible and not r[3, 2].visible
-
-
 def test_export_ladder():
     maps = [(4096, 9_000_000), (2048, 3_000_000), (512, 200_000)]
     assert export.fitting(9631, 226, 16 << 20, [384, 256, 128], maps, 1024) == (384, 2048)

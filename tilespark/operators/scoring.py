@@ -12,7 +12,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,34 +193,11 @@ def idf1(boxes: DataFrame, threshold: float = 0.5, greedy: bool = False, frames:
 def grounding(boxes: DataFrame, threshold: float = 0.5, window: int = 30, frames: DataFrame | None = None) -> DataFrame:
     """Per ground truth track: whether and how late a prediction acquired it. Tracks claim in order of their first box; each prediction is
     credited once. The overlap counts on the first frame at or after acquisition where both have a box."""
-    frames = labelled(boxes, frames)
-    in_frames = frames.groupBy("clip_id", "side", "track_id").agg(F.min("frame").alias("first_frame"), F.count(F.lit(1)).alias("boxes"))
-    tracks = boxes.groupBy("clip_id", "side", "track_id").agg(F.min("frame").alias("first_box"), F.min("acquired_frame").alias("acquired"), F.max("ignore").alias("ignore"))
-    known = tracks.join(in_frames, ["clip_id", "side", "track_id"], "left")
-    pred = known.filter("side = 'pred'").select("clip_id", F.col("track_id").alias("pred_id"), "acquired")
-    gt = known.filter("side = 'gt' AND NOT ignore").select("clip_id", F.col("track_id").alias("gt_id"), "first_box", "first_frame", F.coalesce("boxes", F.lit(0)).alias("boxes"))
-    side = lambda s, p: frames.filter(F.col("side") == s).select("clip_id", "frame", F.col("track_id").alias(f"{p}_id"), box(*XY).alias(f"{p}_box"))
-    both = side("gt", "gt").join(side("pred", "pred"), ["clip_id", "frame"]).join(gt, ["clip_id", "gt_id"]).join(pred, ["clip_id", "pred_id"])
-    both = both.filter((F.col("frame") >= F.col("acquired")) & (F.col("acquired") <= F.col("first_frame") + window))
-    checked = both.groupBy("clip_id", "gt_id", "pred_id").agg(F.min_by(iou(F.col("gt_box"), F.col("pred_box")), "frame").alias("iou"), F.first("acquired").alias("acquired"))
-    offers = checked.filter(F.col("iou") >= threshold)
-    asked = gt.join(offers, ["clip_id", "gt_id"], "left")
-
-    def claim(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for (first_box, gt_id), own in rows.groupby(["first_box", "gt_id"], sort=True):
-            free = own[own["pred_id"].notna() & ~own["pred_id"].isin(taken)].sort_values(["iou", "pred_id"], ascending=[False, True])
-            first = own["first_frame"].iloc[0]
-            late = bool(pd.notna(first) and first > window)
-            if len(free):
-                best = free.iloc[0]
-                taken.add(best["pred_id"])
-                out.append((key[0], gt_id, late, True, int(best["pred_id"]), max(0, int(best["acquired"] - first))))
-            else:
-                out.append((key[0], gt_id, late, False, None, None))
-        return pd.DataFrame(out, columns=["clip_id", "gt_id", "late_entry", "grounded", "pred_id", "latency"]).astype({"pred_id": "Int64", "latency": "Int64"})
-
-    return asked.groupBy("clip_id").applyInPandas(claim, "clip_id int, gt_id int, late_entry boolean, grounded boolean, pred_id long, latency long")
+    from tilespark.operators import clips  # which reads the same settled frames
+
+    declared = None if frames is None else frames.groupBy("clip_id").agg(F.collect_set("frame").alias("frames"))
+    found = clips.track_rows(clips.evaluated(boxes, declared, threshold=threshold, window=window))
+    return found.select("clip_id", "gt_id", "late_entry", "grounded", F.col("pred_id").cast("long").alias("pred_id"), "latency")
 
 
 def clip_grounding(tracks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import geometry as g
 from tilespark.functions import text as t
-from tilespark.operators import scoring, tiled, tiling, tracks
+from tilespark.operators import clips, scoring, tiled, tiling, tracks
 from tilespark.sources.views import oracle, table
 
 
@@ -53,10 +53,7 @@ def grounding_recall(spark, sf_dir):
 
 def clip_pooling(spark, sf_dir):
     """Over clips: grounding pooled over targets, MOTA and IDF1 averaged."""
-    b = _boxes(spark, sf_dir)
-    g_, m, i = scoring.clip_grounding(scoring.grounding(b)), scoring.clear_mot(b), scoring.idf1(b)
-    joined = g_.select("clip_id", "total", "grounded").join(m.select("clip_id", "mota"), "clip_id").join(i.select("clip_id", "idf1"), "clip_id")
-    return joined.agg(F.count(F.lit(1)).alias("clips"), F.round(F.sum("grounded") / F.sum("total"), 6).alias("recall"), F.round(F.avg("mota"), 6).alias("mota"), F.round(F.avg("idf1"), 6).alias("idf1"))
+    return _rounded(clips.pooled(clips.evaluated(_boxes(spark, sf_dir))).select("clips", "recall", "mota", "idf1"))
 
 
 def clip_counts(spark, sf_dir):
@@ -75,16 +72,34 @@ def clip_counts(spark, sf_dir):
 
 def clip_report(spark, sf_dir):
     """What a person reads of each clip: grounding, detection and tracking, a line each."""
-    b = _boxes(spark, sf_dir)
-    d, m, i, g_ = scoring.detection(b), scoring.clear_mot(b), scoring.idf1(b), scoring.clip_grounding(scoring.grounding(b))
-    joined = g_.join(d, "clip_id").join(m.select("clip_id", "mota", "motp", "id_switches"), "clip_id").join(i.select("clip_id", "idf1"), "clip_id")
+    scores = clips.evaluated(_boxes(spark, sf_dir))
     three = lambda *names: [F.bround(c, 3) for c in names]
     lines = (
         F.format_string("grounding %d/%d (%d of %d late)", "grounded", "total", "late_grounded", "late_total"),
-        F.format_string("P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn, %d suppressed)", *three("precision", "recall", "f1"), "tp", "fp", "fn", "suppressed"),
+        F.format_string("P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn, %d suppressed)", *three("precision", "recall", "f1"), "tp", "fp", "fn", "pred_boxes_suppressed"),
         F.format_string("MOTA %.3f IDF1 %.3f MOTP %.3f switches %d", *three("mota", "idf1", "motp"), "id_switches"),
     )
-    return joined.select("clip_id", F.concat_ws("\n", *lines).alias("report"))
+    return scores.select("clip_id", F.concat_ws("\n", *lines).alias("report"))
+
+
+def _clips(spark, sf_dir):
+    declared = F.when(F.col("declared"), F.sequence(F.lit(0), F.lit(39)))
+    c = table(spark, sf_dir, "clip_table").withColumn("frames", declared)
+    return c, clips.evaluated(table(spark, sf_dir, "clip_boxes"), c)
+
+
+def clip_scores(spark, sf_dir):
+    """Every declared clip with all its numbers: clips without targets and without boxes have their rows."""
+    return _rounded(_clips(spark, sf_dir)[1].drop("per_track"))
+
+
+def track_scores(spark, sf_dir):
+    """Every scored track: when it was found, and how long its own prediction follows it."""
+    return clips.track_rows(_clips(spark, sf_dir)[1]).drop("match_id")
+
+
+def clip_pooled(spark, sf_dir):
+    return _rounded(clips.pooled(_clips(spark, sf_dir)[1]))
 
 
 def _rounded(df):
@@ -186,20 +201,9 @@ def frame_selection(spark, sf_dir):
     return p.withColumn("stride", stride).filter(F.col("frame") % F.col("stride") == 0).groupBy("user_id").agg(F.max("stride").alias("stride"), F.count(F.lit(1)).alias("frames"))
 
 
-def simulated_scene(spark, sf_dir):
-    """What can be seen of actors that wait, drive to the right, stand for a while and turn down."""
-    p = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("actor_id"), (F.col("p_size") + 5.0).alias("speed"),
-        F.array(*[F.struct((F.col("p_partkey") % 1000 + F.lit(a)).cast("double").alias("x"), F.lit(float(b)).alias("y")) for a, b in ((0, 0), (60, 0), (60, 80))]).alias("waypoints"),
-        (F.col("p_partkey") % 4 / 4.0).alias("delay"), F.array(F.struct(F.lit(2.05).alias("begins"), (F.lit(2.05) + F.col("p_partkey") % 3).alias("ends"))).alias("stops"),
-    )
-    found = tracks.simulated(p, 60, 10.0).filter("visible")
-    return found.select("actor_id", "frame", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("heading", 3).alias("heading"))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (iou_pairs, matched_boxes, ignore_suppression, detection_prf, clear_mot, idf1_counts, idf1, grounding_recall, clip_pooling, clip_counts, clip_report, seam_flags, seam_duplicates, nms, stitch, ground_tiled, box_union, mask_bbox, trajectory_phases, trajectory_text, reacquisition, reacquired_boxes, keyword_match, compass, oriented_boxes, frame_selection, simulated_scene)
+    for f in (iou_pairs, matched_boxes, ignore_suppression, detection_prf, clear_mot, idf1_counts, idf1, grounding_recall, clip_pooling, clip_counts, clip_report, seam_flags, seam_duplicates, nms, stitch, ground_tiled, box_union, mask_bbox, trajectory_phases, trajectory_text, reacquisition, reacquired_boxes, keyword_match, compass, oriented_boxes, frame_selection, clip_scores, track_scores, clip_pooled)
 }
 
 _IOU = "(least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / (200 - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)))"
@@ -241,6 +245,20 @@ i AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER (PARTITION BY u
 ph AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY frame) AS BIGINT) AS phase FROM i),
 phases AS (SELECT user_id, phase, any_value(state) AS state, min(frame) AS start_frame, max(frame1) AS end_frame FROM ph GROUP BY 1, 2)"""
 
+# the same over declared clips: frames that were declared, else those with ground truth
+_DECLARED = """fr AS (SELECT clip_id, CAST(unnest(range(40)) AS INT) AS frame FROM {clip_table} WHERE declared UNION SELECT DISTINCT clip_id, frame FROM {clip_boxes} WHERE side = 'gt' AND clip_id NOT IN (SELECT clip_id FROM {clip_table} WHERE declared)), lab AS (SELECT * FROM {clip_boxes} WHERE (clip_id, frame) IN (SELECT (clip_id, frame) FROM fr))"""
+_CLIPS = f"{_NEAR.replace(_LABELLED, _DECLARED)}, {_SWITCH}, {_CO}, " + _GROUND.replace("SELECT * FROM {boxes} WHERE (clip_id, frame) IN (SELECT (clip_id, frame) FROM {boxes} WHERE side = 'gt')", "SELECT * FROM lab").replace("{boxes}", "{clip_boxes}") + """,
+longest AS (SELECT clip_id, gt_id, CAST(max(frames) AS BIGINT) AS idtp FROM co GROUP BY 1, 2), best AS (SELECT clip_id, CAST(sum(idtp) AS BIGINT) AS idtp FROM longest GROUP BY 1),
+sides AS (SELECT clip_id, count(DISTINCT track_id) FILTER (side = 'gt' AND NOT ignore) AS gt_tracks, count(DISTINCT track_id) FILTER (ignore) AS ignore_tracks, count(DISTINCT track_id) FILTER (side = 'pred') AS pred_tracks FROM {clip_boxes} GROUP BY 1),
+every AS (SELECT c.clip_id, (SELECT count(*) FROM fr WHERE fr.clip_id = c.clip_id) AS labeled_frames, coalesce(s.gt_tracks, 0) AS gt_tracks, coalesce(s.ignore_tracks, 0) AS ignore_tracks, coalesce(n_gt, 0) AS gt_boxes, coalesce(s.pred_tracks, 0) AS pred_tracks,
+  coalesce(n_pred, 0) AS pred_boxes, (SELECT count(*) FROM hidden h WHERE h.clip_id = c.clip_id) AS pred_boxes_suppressed, coalesce(tp.tp, 0) AS tp, coalesce(tp.mean_iou, 0) AS mean_iou, coalesce(sw.id_switches, 0) AS id_switches, coalesce(best.idtp, 0) AS idtp,
+  coalesce(g.total, 0) AS total, coalesce(g.grounded, 0) AS grounded, coalesce(g.initial_total, 0) AS initial_total, coalesce(g.initial_grounded, 0) AS initial_grounded, coalesce(g.late_total, 0) AS late_total, coalesce(g.late_grounded, 0) AS late_grounded, median_latency, max_latency
+  FROM {clip_table} c LEFT JOIN sides s USING (clip_id) LEFT JOIN n USING (clip_id) LEFT JOIN tp USING (clip_id) LEFT JOIN sw USING (clip_id) LEFT JOIN best USING (clip_id) LEFT JOIN ground g USING (clip_id)),
+ratios AS (SELECT *, pred_boxes - tp AS fp, gt_boxes - tp AS fn, tp AS mot_tp, pred_boxes - tp AS mot_fp, gt_boxes - tp AS mot_fn, pred_boxes - idtp AS idfp, gt_boxes - idtp AS idfn,
+  coalesce(tp / CAST(nullif(pred_boxes, 0) AS DOUBLE), 0) AS precision, coalesce(tp / CAST(nullif(gt_boxes, 0) AS DOUBLE), 0) AS recall, coalesce(2e0 * tp / nullif(pred_boxes + gt_boxes, 0), 0) AS f1, mean_iou AS motp,
+  coalesce(1 - (gt_boxes - tp + pred_boxes - tp + id_switches) / CAST(nullif(gt_boxes, 0) AS DOUBLE), 0) AS mota, coalesce(2e0 * idtp / nullif(pred_boxes + gt_boxes, 0), 0) AS idf1, coalesce(idtp / CAST(nullif(pred_boxes, 0) AS DOUBLE), 0) AS idp, coalesce(idtp / CAST(nullif(gt_boxes, 0) AS DOUBLE), 0) AS idr FROM every)"""
+_SIX = ", ".join(f"round({c}, 6) AS {c}" for c in clips.RATIOS)
+
 ORACLE = {
     name: oracle(sql)
     for name, sql in {
@@ -268,6 +286,11 @@ ORACLE = {
             printf('P %.3f R %.3f F1 %.3f (%d tp, %d fp, %d fn, %d suppressed)', round_even(c.tp / CAST(c.tp + c.fp AS DOUBLE), 3), round_even(c.tp / CAST(c.tp + c.fn AS DOUBLE), 3), round_even(2.0e0 * c.tp / (2 * c.tp + c.fp + c.fn), 3), c.tp, c.fp, c.fn, suppressed) || chr(10) ||
             printf('MOTA %.3f IDF1 %.3f MOTP %.3f switches %d', round_even(1 - (c.fn + c.fp + sw.id_switches) / CAST(n.n_gt AS DOUBLE), 3), round_even(2 * idtp / CAST(n.n_gt + n.n_pred AS DOUBLE), 3), round_even(c.mean_iou, 3), sw.id_switches) AS report
           FROM c JOIN n USING (clip_id) JOIN sw USING (clip_id) JOIN best USING (clip_id) JOIN ground USING (clip_id)""",
+        "clip_scores": f"WITH {_CLIPS} SELECT clip_id, {', '.join(clips.COUNTS)}, {_SIX}, median_latency, max_latency FROM ratios",
+        "track_scores": f"""WITH {_CLIPS} SELECT t.clip_id, t.gt_id, '' AS label, (SELECT count(*) FROM lab WHERE lab.clip_id = t.clip_id AND lab.side = 'gt' AND lab.track_id = t.gt_id) AS boxes, coalesce(g.late, false) AS late_entry, coalesce(g.grounded, false) AS grounded,
+          f.pred_id, g.latency, coalesce(l.idtp, 0) AS idtp FROM (SELECT DISTINCT clip_id, track_id AS gt_id FROM {{clip_boxes}} WHERE side = 'gt' AND NOT ignore) t LEFT JOIN g USING (clip_id, gt_id) LEFT JOIN longest l USING (clip_id, gt_id)
+          LEFT JOIN (SELECT clip_id, gt_id, pred_id FROM checked WHERE iou >= 0.5 QUALIFY row_number() OVER (PARTITION BY clip_id, gt_id ORDER BY iou DESC, pred_id) = 1) f USING (clip_id, gt_id)""",
+        "clip_pooled": f"WITH {_CLIPS} SELECT count(*) AS clips, count(*) FILTER (gt_boxes = 0) AS negative_clips, round(sum(grounded) / CAST(sum(total) AS DOUBLE), 6) AS recall, round(avg(mota), 6) AS mota, round(avg(idf1), 6) AS idf1, CAST(coalesce(sum(fp) FILTER (gt_boxes = 0), 0) AS BIGINT) AS negative_fp FROM ratios",
         "seam_flags": f"WITH {_TILED} SELECT frame_id, tile, x1, y1, x2, y2, CAST(CAST(sl AS INT) AS VARCHAR) || '0' || CAST(CAST(sr AS INT) AS VARCHAR) || '0' AS seams FROM flagged",
         "seam_duplicates": f"""WITH {_TILED} SELECT frame_id, tile, x1, x2 FROM flagged d WHERE (sl OR sr) AND EXISTS (SELECT 1 FROM cut o WHERE o.frame_id = d.frame_id AND o.tile <> d.tile AND {_AREA.format("o")} > {_AREA.format("d")}
           AND greatest(0, least(d.x2, o.x2) - greatest(d.x1, o.x1)) * greatest(0, least(d.y2, o.y2) - greatest(d.y1, o.y1)) / ({_AREA.format("d")}) >= 0.6)""",
@@ -279,13 +302,6 @@ ORACLE = {
         "stitch": f"""WITH {_TILED} SELECT frame_id, x1, y1, x2, y2, 1e0 AS score FROM cut WHERE NOT parted
           UNION ALL SELECT frame_id, min(x1), min(y1), max(x2), max(y2), 1e0 FROM cut WHERE parted GROUP BY frame_id""",
         "ground_tiled": f"""WITH {_TILED} SELECT frame_id, l AS x1, low AS y1, least(r, 848) AS x2, low + 20 AS y2, 1e0 AS score FROM d""",
-        "simulated_scene": """WITH RECURSIVE a AS (SELECT p_partkey AS id, CAST(p_partkey % 1000 AS DOUBLE) AS x0, CAST(p_size + 5 AS DOUBLE) * 0.1e0 AS step, p_partkey % 4 / 4e0 AS delay, 2.05e0 + p_partkey % 3 AS e FROM {part}),
-          s AS (SELECT id, x0, step, delay, e, -1 AS frame, x0 AS x, 0e0 AS y, 0 AS seg, 0e0 AS h, 0e0 AS t FROM a
-            UNION ALL SELECT id, x0, step, delay, e, frame + 1, CASE WHEN NOT mv THEN x WHEN far <= step THEN x0 + 60 ELSE x + dx / far * step END, CASE WHEN NOT mv THEN y WHEN far <= step THEN ty ELSE y + dy / far * step END,
-              CASE WHEN mv AND far <= step THEN seg + 1 ELSE seg END, CASE WHEN mv THEN degrees(atan2(dy, dx)) ELSE h END, t + 0.1e0
-            FROM (SELECT *, t >= delay AND seg < 2 AND NOT (t >= 2.05e0 AND t < e) AS mv, x0 + 60 - x AS dx, ty - y AS dy, sqrt((x0 + 60 - x) * (x0 + 60 - x) + (ty - y) * (ty - y)) AS far
-              FROM (SELECT *, CASE seg WHEN 0 THEN 0e0 ELSE 80e0 END AS ty FROM s WHERE frame < 59) q) r)
-          SELECT id AS actor_id, CAST(frame AS INT) AS frame, round(x, 6) AS x, round(y, 6) AS y, round(h, 3) AS heading FROM s WHERE frame >= 0 AND x > -30 AND x < 990 AND y > -30 AND y < 630""",
         "box_union": "SELECT clip_id, frame, gt_id, gx1 AS x1, gy1 AS y1, gx1 + dx + 10 AS x2, gy1 + 10 AS y2 FROM {det_boxes}",
         "mask_bbox": "SELECT raster_id, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS pixels FROM {pixels} WHERE b1 = 3 GROUP BY raster_id",
         "trajectory_phases": f"WITH {_PHASES} SELECT * FROM phases",

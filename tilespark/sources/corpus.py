@@ -64,7 +64,8 @@ def todo(planned: DataFrame, embedded: DataFrame, skipped: DataFrame) -> DataFra
 def read_clips(spark: SparkSession, path: str, side: str) -> DataFrame:
     """Boxes of clip files (JSON): one row per track and frame; a missing acquisition frame is the track's first."""
     raw = spark.read.schema(CLIP).json(path, multiLine=True)
-    each = raw.select("meta.clip_id", "meta.labeled_frames", F.explode("tracks").alias("t"))
+    clip = F.coalesce("meta.clip_id", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    each = raw.select(clip.alias("clip_id"), "meta.labeled_frames", F.explode("tracks").alias("t"))
     rows = each.select("clip_id", "labeled_frames", "t.*").withColumn("_first", F.array_min(F.transform(F.map_keys("boxes"), lambda k: k.cast("int"))))
     boxes = rows.select(
         "clip_id", F.lit(side).alias("side"), F.col("id").alias("track_id"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("ignore", F.lit(False)).alias("ignore"),
@@ -74,6 +75,23 @@ def read_clips(spark: SparkSession, path: str, side: str) -> DataFrame:
     return boxes.select("clip_id", "side", "track_id", "label", "ignore", "acquired_frame", "labeled_frames", F.col("k").cast("int").alias("frame"), *xy)
 
 
+def read_clip_table(spark: SparkSession, path: str) -> DataFrame:
+    """A row of each clip file, with tracks or without: ``clip_id, file, query, fps, num_frames, frames`` (labelled frames, null where none are declared)."""
+    raw = spark.read.schema(CLIP).json(path, multiLine=True)
+    declared = F.array_sort(F.array_distinct("meta.labeled_frames"))
+    clip = F.coalesce("meta.clip_id", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return raw.select(clip.alias("clip_id"), F.input_file_name().alias("file"), F.coalesce("meta.query", F.lit("")).alias("query"), F.coalesce("meta.fps", F.lit(0.0)).alias("fps"), "meta.num_frames", F.when(F.size(declared) > 0, declared).alias("frames"))
+
+
+def read_clip_tracks(spark: SparkSession, path: str, side: str) -> DataFrame:
+    """A row of each track of clip files, with boxes or without: ``clip_id, side, track_id, label, ignore, acquired_frame``."""
+    raw = spark.read.schema(CLIP).json(path, multiLine=True)
+    clip = F.coalesce("meta.clip_id", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    rows = raw.select(clip.alias("clip_id"), F.explode("tracks").alias("t"))
+    first = F.array_min(F.transform(F.map_keys("t.boxes"), lambda k: k.cast("int")))
+    return rows.select("clip_id", F.lit(side).alias("side"), F.col("t.id").alias("track_id"), F.coalesce("t.label", F.lit("")).alias("label"), F.coalesce("t.ignore", F.lit(False)).alias("ignore"), F.coalesce("t.acquired_frame", first, F.lit(0)).alias("acquired_frame"))
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a folder: path, size, time of change; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
