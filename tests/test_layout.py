@@ -2,6 +2,8 @@
 
 import math
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,60 @@ def test_page_round_trip():
         sinks.page("t", {"x": "y" * 100}, 50)
     with pytest.raises(ValueError):
         sinks.packed([300], "uint8")
+
+
+def picture(w, h, bands, dx=0, dy=0):
+    return [[tuple((7 * (x + dx) + 13 * (y + dy) + 5 * b) % 251 for b in range(bands)) for x in range(w)] for y in range(h)]
+
+
+def strips_of(spark, rasters):
+    rows = [(i, y, len(p[0][0]), bytes(v for px in row for v in px)) for i, p in rasters.items() for y, row in enumerate(p)]
+    return spark.createDataFrame(rows, "raster_id int, y int, pixel_bytes int, data binary")
+
+
+def test_strips_compare_every_band_and_byte(spark):
+    inner = picture(10, 70, 3, 2, 1)
+    rasters = {1: picture(20, 90, 3), 2: inner, 4: picture(10, 70, 4, 2, 1), 5: picture(10, 70, 3, 3, 1)}
+    for i, (y, x, b) in enumerate([(0, 0, 1), (69, 9, 2), (33, 4, 0)]):  # one byte of one band, first, last and between
+        p = [list(row) for row in inner]
+        p[y][x] = tuple(v ^ 1 if k == b else v for k, v in enumerate(p[y][x]))
+        rasters[10 + i] = p
+    pairs = spark.createDataFrame([(i, 1, 2, 1) for i in (*rasters, 99) if i != 1] + [(1, 2, 0, 0)], "in_raster_id int, out_raster_id int, dx int, dy int")
+    for first_of in (1, 64, 1000):
+        got = {(r.in_raster_id, r.out_raster_id): (r.strips, r.same) for r in inventory.same_strips(pairs, strips_of(spark, rasters), first_of).collect()}
+        assert got.pop((2, 1)) == (70, True) and len(got) == 7 and not any(same for _, same in got.values())
+
+
+def test_strips_agree_with_pixels(spark):
+    rng = random.Random(3)
+    rows, rasters = [], {}
+    for i in range(40):
+        x0, y0, w, h, = rng.randrange(4), rng.randrange(4), rng.randrange(2, 9), rng.randrange(2, 9)
+        p = picture(w, h, 2, x0, y0)
+        if i % 3 == 0:
+            p[rng.randrange(h)][rng.randrange(w)] = (250, 250)
+        rows.append((i, "g", x0, y0, w, h))
+        rasters[i] = p
+    r = spark.createDataFrame(rows, "raster_id int, grid string, x0 int, y0 int, width int, height int")
+    pixels = spark.createDataFrame([(i, x, y, *px) for i, p in rasters.items() for y, row in enumerate(p) for x, px in enumerate(row)], "raster_id int, x int, y int, b1 int, b2 int")
+    by_pixel, by_strip = ({tuple(x) for x in d.collect()} for d in (inventory.duplicates(r, pixels), inventory.duplicates(r, strips_of(spark, rasters), inventory.same_strips)))
+    assert by_pixel == by_strip and len(by_pixel) > 5
+
+
+def test_a_copy_is_its_source(spark):
+    source = picture(30, 20, 3)
+    def changed(y, x):
+        p = [list(row) for row in source]
+        p[y][x] = (9, 9, 9)
+        return p
+    rasters = {1: source, 2: source, 3: changed(0, 0), 4: changed(8, 13), 5: changed(4, 8), 6: source, 7: picture(30, 19, 3)}
+    heads = [(i, 30, len(p), "utm" if i != 6 else None) for i, p in rasters.items()]
+    pairs = spark.createDataFrame([(1, i) for i in range(2, 9)], "source_id int, copy_id int")
+    found = inventory.copy_check(pairs, spark.createDataFrame(heads, "raster_id int, width int, height int, crs string"), strips_of(spark, rasters), window=4, grid=3)
+    got = {r.copy_id: (r.headers, r.windows, r.differing) for r in found.collect()}
+    # windows begin at 0, 13, 26 and at 0, 8, 16
+    assert {i: got[i] for i in (2, 3, 4, 5, 7)} == {2: (True, 9, 0), 3: (True, 9, 1), 4: (True, 9, 1), 5: (True, 9, 0), 7: (False, 9, 3)}
+    assert not got[6][0] and got[6][2] == 0 and got[8][2] == 9 and not got[8][0]
+    assert inventory.checked_copies(found.filter("copy_id IN (2, 5)")).count() == 2
+    with pytest.raises(Exception, match="copy 3 is not its source 1"):
+        inventory.checked_copies(found.filter("copy_id = 3")).collect()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.functions.geometry import window_starts
+
 #: Distinct values per band that imagery must exceed, and ground resolution (metres) that is indexed.
 LEVELS, GSD = 64, (0.05, 0.15)
 
@@ -55,25 +58,83 @@ def contained(rasters: DataFrame, square: int = SQUARE) -> DataFrame:
 
 
 def same_pixels(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
-    """For candidate pairs, whether every pixel of the inner raster equals the outer's at the offset."""
-    inner = pixels.select(F.col("raster_id").alias("in_raster_id"), "x", "y", F.col("b1").alias("v"))
-    outer = pixels.select(F.col("raster_id").alias("out_raster_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("b1").alias("w"))
+    """For candidate pairs, whether every pixel of the inner raster equals the outer's at the offset, in every band (all columns but id, x and y).
+
+    For sparse pixel tables; rasters whose pixels are all there are compared by :func:`same_strips`.
+    """
+    bands = F.struct(*[c for c in pixels.columns if c not in ("raster_id", "x", "y")])
+    inner = pixels.select(F.col("raster_id").alias("in_raster_id"), "x", "y", bands.alias("v"))
+    outer = pixels.select(F.col("raster_id").alias("out_raster_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), bands.alias("w"))
     at = pairs.join(inner, "in_raster_id").withColumn("ox", F.col("x") + F.col("dx")).withColumn("oy", F.col("y") + F.col("dy"))
     return at.join(outer, ["out_raster_id", "ox", "oy"], "left").groupBy("in_raster_id", "out_raster_id").agg(F.count(F.lit(1)).alias("pixels"), F.bool_and(F.coalesce(F.col("v") == F.col("w"), F.lit(False))).alias("same"))
 
 
-def duplicates(rasters: DataFrame, pixels: DataFrame) -> DataFrame:
+#: Every so many rows one is compared first; pairs that differ there are never read in full.
+FIRST_OF = 64
+
+
+def same_strips(pairs: DataFrame, strips: DataFrame, first_of: int = FIRST_OF) -> DataFrame:
+    """For candidate pairs (``in_raster_id, out_raster_id, dx, dy``), whether the inner raster's bytes are the outer's at the offset.
+
+    Strips are rows of pixels: ``raster_id, y, pixel_bytes, data`` with all bands of a pixel side by side. A strip meets the one strip of the other raster that it
+    lies on and is compared as a range of bytes, so a band more, another depth or a differing byte in any band ends it. One strip of ``first_of`` is compared
+    first, and only pairs that agree there are compared in full. A pair whose inner raster has no strips is not the same.
+    """
+    inner = strips.select(F.col("raster_id").alias("in_raster_id"), "y", F.col("pixel_bytes").alias("in_bytes"), F.col("data").alias("v"))
+    outer = strips.select(F.col("raster_id").alias("out_raster_id"), F.col("y").alias("oy"), F.col("pixel_bytes").alias("out_bytes"), F.col("data").alias("w"))
+
+    def compared(some: DataFrame, own: DataFrame) -> DataFrame:
+        at = some.join(own, "in_raster_id").withColumn("oy", F.col("y") + F.col("dy"))
+        part = F.substring(F.col("w"), (F.col("dx") * F.col("out_bytes") + 1).cast("int"), F.length("v"))
+        equal = (F.col("in_bytes") == F.col("out_bytes")) & (part == F.col("v"))
+        return at.join(outer, ["out_raster_id", "oy"], "left").groupBy("in_raster_id", "out_raster_id").agg(F.count(F.lit(1)).alias("strips"), F.bool_and(F.coalesce(equal, F.lit(False))).alias("same"))
+
+    hopeful = compared(pairs, inner.filter(F.col("y") % first_of == 0)).filter("same").select("in_raster_id", "out_raster_id")
+    whole = compared(pairs.join(hopeful, ["in_raster_id", "out_raster_id"], "left_semi"), inner)
+    return pairs.select("in_raster_id", "out_raster_id").join(whole, ["in_raster_id", "out_raster_id"], "left").select("in_raster_id", "out_raster_id", F.coalesce("strips", F.lit(0)).alias("strips"), F.coalesce("same", F.lit(False)).alias("same"))
+
+
+def duplicates(rasters: DataFrame, pixels: DataFrame, compare: Callable[[DataFrame, DataFrame], DataFrame] = same_pixels) -> DataFrame:
     """``raster_id, duplicate_of``: rasters whose pixels all lie in a larger one of their group (of equal sizes: one of a smaller id).
 
     The original is the largest that is not itself a duplicate. Lying inside with equal pixels is transitive, so one that no raster holds is always among
-    a duplicate's verified holders, and no chain has to be followed.
+    a duplicate's verified holders, and no chain has to be followed. ``compare`` is :func:`same_pixels` or, with a table of strips, :func:`same_strips`.
     """
-    held = same_pixels(contained(rasters), pixels).filter("same").select(F.col("in_raster_id").alias("raster_id"), "out_raster_id")
+    held = compare(contained(rasters), pixels).filter("same").select(F.col("in_raster_id").alias("raster_id"), "out_raster_id")
     ends = held.join(held.select(F.col("raster_id").alias("out_raster_id")).distinct(), "out_raster_id", "left_anti")
     area = rasters.select(F.col("raster_id").alias("out_raster_id"), (F.col("width").cast("long") * F.col("height")).alias("area"))
     return ends.join(area, "out_raster_id").groupBy("raster_id").agg(F.min(F.struct((-F.col("area")).alias("a"), F.col("out_raster_id").alias("id"))).alias("first")).select("raster_id", F.col("first.id").alias("duplicate_of"))
 
 
+def copy_check(copies_: DataFrame, headers: DataFrame, strips: DataFrame, window: int = 256, grid: int = 5) -> DataFrame:
+    """Whether a written copy is its source: ``source_id, copy_id, headers`` (all columns of the headers agree), ``windows`` and ``differing`` (of up to ``grid`` x ``grid``
+    windows of ``window`` pixels, spread over the raster with its corners).
+
+    A strip is read once for all windows that lie on it. Windows of rasters whose headers differ in size are those of the source.
+    """
+    facts = [c for c in headers.columns if c != "raster_id"]
+    side = lambda name: headers.select(F.col("raster_id").alias(f"{name}_id"), *[F.col(c).alias(f"{name}_{c}") for c in facts])
+    agree = reduce(and_, [F.col(f"source_{c}").eqNullSafe(F.col(f"copy_{c}")) for c in facts])
+    known = copies_.join(side("source"), "source_id").join(side("copy"), "copy_id", "left").select(
+        "source_id", "copy_id", agree.alias("headers"), F.col("source_width").alias("width"), F.col("source_height").alias("height"),
+        window_starts(F.col("source_width"), window, grid).alias("xs"), window_starts(F.col("source_height"), window, grid).alias("ys"),
+    )
+    of = lambda name: strips.select(F.col("raster_id").alias(f"{name}_id"), "y", F.col("pixel_bytes").alias(f"{name}_bytes"), F.col("data").alias(f"{name}_data"))
+    reach = lambda start: (F.col("y") >= start) & (F.col("y") < start + window)
+    on = known.join(of("source"), "source_id").withColumn("at", F.filter("ys", reach)).filter(F.size("at") > 0)
+    cut = lambda name, x: F.substring(F.col(f"{name}_data"), x * F.col(f"{name}_bytes") + 1, F.least(F.lit(window), F.col("width") - x) * F.col(f"{name}_bytes"))
+    differs = F.filter("xs", lambda x: ~F.coalesce((cut("source", x) == cut("copy", x)) & (F.col("source_bytes") == F.col("copy_bytes")), F.lit(False)))
+    bad = on.join(of("copy"), ["copy_id", "y"], "left").select("source_id", "copy_id", "at", F.explode(differs).alias("left")).select("source_id", "copy_id", "left", F.explode("at").alias("top"))
+    wrong = bad.distinct().groupBy("source_id", "copy_id").agg(F.count(F.lit(1)).alias("differing"))
+    return known.join(wrong, ["source_id", "copy_id"], "left").select("source_id", "copy_id", "headers", (F.size("xs") * F.size("ys")).alias("windows"), F.coalesce("differing", F.lit(0)).alias("differing"))
+
+
+def checked_copies(found: DataFrame) -> DataFrame:
+    """The rows of :func:`copy_check`, raising where a copy is not its source."""
+    what = F.format_string("copy %s is not its source %s: headers agree %s, %d of %d windows differ", F.col("copy_id").cast("string"), F.col("source_id").cast("string"), F.col("headers").cast("string"), "differing", "windows")
+    return found.withColumn("headers", F.when(F.col("headers") & (F.col("differing") == 0), True).otherwise(F.raise_error(what).cast("boolean")))
+
+
 def tree_digest(files: DataFrame, path: str, facts: list[str]) -> DataFrame:
     """One digest of a tree: of the digests of 256 path groups, each over its files in order; no task holds the whole list."""
     line = F.concat_ws("|", F.col(path).cast("string"), *[F.col(c).cast("string") for c in facts])

@@ -184,6 +184,38 @@ def raster_duplicates(spark, sf_dir):
     return r.join(found, "raster_id", "left").select("raster_id", "duplicate_of", reason.alias("reason"))
 
 
+def _crops(spark, sf_dir):
+    """Rasters cut from one picture for each brand, as strips of three bands; every fifth has one pixel of band 2 changed."""
+    p = table(spark, sf_dir, "part")
+    r = p.select(
+        F.col("p_partkey").alias("raster_id"), F.col("p_brand").alias("grid"), (F.col("p_partkey") % 7 * 4).alias("x0"), (F.col("p_partkey") % 5 * 4).alias("y0"), (F.col("p_partkey") % 11 * 4 + 8).alias("width"),
+        (F.col("p_partkey") % 13 * 4 + 8).alias("height"),
+    )
+    rows = r.select("raster_id", "x0", "y0", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"))
+    changed = lambda k: (F.col("raster_id") % 5 == 0) & (F.col("y") == F.col("raster_id") % 8) & (k == F.col("raster_id") % 7 * 3 + 1)
+    value = lambda k: ((F.col("x0") + F.floor(k / 3)) * 7 + (F.col("y0") + F.col("y")) * 13 + k % 3 * 5 + changed(k).cast("int")) % 251
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("width") * 3 - 1), lambda k: F.lpad(F.hex(value(k).cast("long")), 2, "0")), ""))
+    return r, rows.select("raster_id", "y", F.lit(3).alias("pixel_bytes"), data.alias("data"))
+
+
+def crop_duplicates(spark, sf_dir):
+    """Rasters that are copies or crops of larger ones, by strips over all bands: one that differs in a single pixel of band 2 is none."""
+    r, strips = _crops(spark, sf_dir)
+    return inventory.duplicates(r, strips, inventory.same_strips)
+
+
+def copy_check(spark, sf_dir):
+    """Copies of rasters, of which some have another header and some a changed pixel, in or beside the windows that are compared."""
+    r, strips = _crops(spark, sf_dir)
+    odd = F.col("raster_id") % 9
+    byte = F.col("raster_id") % F.col("width") * 3 + 2  # the last band of a pixel
+    flipped = F.concat(F.substring(F.col("data"), F.lit(1), byte.cast("int")), F.unhex(F.lit("FF")), F.substring(F.col("data"), (byte + 2).cast("int"), F.length("data")))
+    other = strips.join(r.select("raster_id", "width", "height"), "raster_id").select((-1 - F.col("raster_id")).alias("raster_id"), "y", "pixel_bytes", F.when((odd == 4) & (F.col("y") == F.col("raster_id") % F.col("height")), flipped).otherwise(F.col("data")).alias("data"))
+    headers = r.select("raster_id", "width", "height", "grid").unionByName(r.select((-1 - F.col("raster_id")).alias("raster_id"), "width", "height", F.when(odd == 5, F.lit(None)).otherwise(F.col("grid")).alias("grid")))
+    pairs = r.select(F.col("raster_id").alias("source_id"), (-1 - F.col("raster_id")).alias("copy_id"))
+    return inventory.copy_check(pairs, headers, strips.unionByName(other), window=4, grid=3)
+
+
 def path_keys(spark, sf_dir):
     """Path keys, areas and dates from paths with either separator."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(".\\area"), (F.col("p_partkey") % 5).cast("string"), F.lit("//"), F.col("p_brand"), F.lit("\\2024-01-0"), (1 + F.col("p_partkey") % 9).cast("string"), F.when(F.col("p_size") % 2 == 0, ".TIF").otherwise(".jp2")).alias("path"))
@@ -193,7 +225,7 @@ def path_keys(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (scene_valid_counts, first_tiles, georeferenced, tile_plan, tile_counts, tile_id_roundtrip, valid_tiles, overlap_tile_origins, sample_windows, check_offsets, read_amplification, tile_bbox_mercator, shared_edges, basemap_blocks, nodata_by_tile, pixel_rule, band_distinct_levels, inventory_counts, gsd_by_crs, geodesic_check, content_duplicates, tree_digest, contained_rasters, equal_pixels, raster_duplicates, path_keys)
+    for f in (scene_valid_counts, first_tiles, georeferenced, tile_plan, tile_counts, tile_id_roundtrip, valid_tiles, overlap_tile_origins, sample_windows, check_offsets, read_amplification, tile_bbox_mercator, shared_edges, basemap_blocks, nodata_by_tile, pixel_rule, band_distinct_levels, inventory_counts, gsd_by_crs, geodesic_check, content_duplicates, tree_digest, contained_rasters, equal_pixels, raster_duplicates, crop_duplicates, copy_check, path_keys)
 }
 
 _SCALED = "scaled AS (SELECT *, unnest([448, 224, 112]) AS scale FROM {scenes})"
@@ -278,7 +310,7 @@ ORACLE = {
         "contained_rasters": """WITH r AS (SELECT p_partkey AS raster_id, p_brand || '/' || p_size AS grid, p_partkey % 7 * 64 AS x0, p_partkey % 5 * 64 AS y0, p_partkey % 11 * 64 + 128 AS width, p_partkey % 13 * 64 + 128 AS height FROM {part})
           SELECT a.raster_id AS in_raster_id, b.raster_id AS out_raster_id, a.x0 - b.x0 AS dx, a.y0 - b.y0 AS dy FROM r a JOIN r b ON a.grid = b.grid AND a.x0 >= b.x0 AND a.y0 >= b.y0 AND a.x0 + a.width <= b.x0 + b.width AND a.y0 + a.height <= b.y0 + b.height
           WHERE a.width * a.height < b.width * b.height OR (a.width * a.height = b.width * b.height AND a.raster_id > b.raster_id)""",
-        "equal_pixels": """SELECT a.raster_id AS in_raster_id, CAST(a.raster_id + 1 AS INT) AS out_raster_id, count(*) AS pixels, bool_and(coalesce(a.b1 = b.b1, false)) AS same
+        "equal_pixels": """SELECT a.raster_id AS in_raster_id, CAST(a.raster_id + 1 AS INT) AS out_raster_id, count(*) AS pixels, bool_and(coalesce(a.b1 = b.b1 AND a.b2 = b.b2 AND a.b3 = b.b3, false)) AS same
           FROM {pixels} a LEFT JOIN {pixels} b ON b.raster_id = a.raster_id + 1 AND a.x = b.x AND a.y = b.y GROUP BY 1, 2""",
         "raster_duplicates": f"""WITH {_LEVELS}, k AS (SELECT *, {_KIND} AS kind FROM {{scenes}}),
           r AS (SELECT p_partkey AS raster_id, p_brand || '/' || p_size AS grid, p_partkey % 7 * 64 AS x0, p_partkey % 5 * 64 AS y0, p_partkey % 11 * 64 + 128 AS width, p_partkey % 13 * 64 + 128 AS height, kind, levels.reason AS pixel,
@@ -286,10 +318,22 @@ ORACLE = {
           c AS (SELECT * FROM r WHERE pixel IS NULL AND kind <> 'none'),
           pairs AS (SELECT a.raster_id AS i, b.raster_id AS o, a.x0 - b.x0 AS dx, a.y0 - b.y0 AS dy, b.width * b.height AS area FROM c a JOIN c b ON a.grid = b.grid AND a.x0 >= b.x0 AND a.y0 >= b.y0 AND a.x0 + a.width <= b.x0 + b.width AND a.y0 + a.height <= b.y0 + b.height
             WHERE a.width * a.height < b.width * b.height OR (a.width * a.height = b.width * b.height AND a.raster_id > b.raster_id)),
-          held AS (SELECT i, o, area FROM pairs JOIN {{pixels}} p ON p.raster_id = i LEFT JOIN {{pixels}} q ON q.raster_id = o AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY i, o, area HAVING bool_and(coalesce(p.b1 = q.b1, false))),
+          held AS (SELECT i, o, area FROM pairs JOIN {{pixels}} p ON p.raster_id = i LEFT JOIN {{pixels}} q ON q.raster_id = o AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY i, o, area HAVING bool_and(coalesce(p.b1 = q.b1 AND p.b2 = q.b2 AND p.b3 = q.b3, false))),
           one AS (SELECT i, arg_min(o, (-area, o)) AS duplicate_of FROM held WHERE o NOT IN (SELECT i FROM held) GROUP BY i)
           SELECT raster_id, duplicate_of, CASE WHEN pixel IS NOT NULL THEN pixel WHEN kind = 'none' THEN 'not_georeferenced' WHEN duplicate_of IS NOT NULL THEN 'duplicate'
             WHEN gsd IS NULL OR NOT gsd BETWEEN 0.05 AND 0.15 THEN 'gsd_out_of_range' END AS reason FROM r LEFT JOIN one ON i = raster_id""",
+        # untouched pixels of one picture are equal wherever crops overlap, so a pair differs where a change of one lies on the other and is not shared
+        "crop_duplicates": """WITH r AS (SELECT p_partkey AS id, p_brand AS grid, p_partkey % 7 * 4 AS x0, p_partkey % 5 * 4 AS y0, p_partkey % 11 * 4 + 8 AS w, p_partkey % 13 * 4 + 8 AS h,
+            CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 7 * 4 + p_partkey % 7 END AS cx, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 5 * 4 + p_partkey % 8 END AS cy FROM {part}),
+          q AS (SELECT *, CASE WHEN id % 7 < w THEN cx END AS tx, CASE WHEN id % 7 < w THEN cy END AS ty FROM r),
+          held AS (SELECT a.id AS i, b.id AS o, b.w * b.h AS area FROM q a JOIN q b ON a.grid = b.grid AND a.x0 >= b.x0 AND a.y0 >= b.y0 AND a.x0 + a.w <= b.x0 + b.w AND a.y0 + a.h <= b.y0 + b.h
+            WHERE (a.w * a.h < b.w * b.h OR (a.w * a.h = b.w * b.h AND a.id > b.id))
+              AND (a.tx IS NULL OR (a.tx = b.tx AND a.ty = b.ty) IS TRUE) AND (b.tx IS NULL OR NOT (b.tx BETWEEN a.x0 AND a.x0 + a.w - 1 AND b.ty BETWEEN a.y0 AND a.y0 + a.h - 1) OR (a.tx = b.tx AND a.ty = b.ty) IS TRUE))
+          SELECT i AS raster_id, arg_min(o, (-area, o)) AS duplicate_of FROM held WHERE o NOT IN (SELECT i FROM held) GROUP BY i""",
+        "copy_check": """WITH r AS (SELECT p_partkey AS id, p_partkey % 11 * 4 + 8 AS w, p_partkey % 13 * 4 + 8 AS h FROM {part}),
+          s AS (SELECT *, list_distinct([0, CAST(round_even((w - 4) / 2e0, 0) AS INT), w - 4]) AS xs, list_distinct([0, CAST(round_even((h - 4) / 2e0, 0) AS INT), h - 4]) AS ys FROM r)
+          SELECT id AS source_id, -1 - id AS copy_id, id % 9 <> 5 AS headers, CAST(len(xs) * len(ys) AS INT) AS windows,
+            CASE WHEN id % 9 = 4 THEN len(list_filter(xs, lambda x: id % w BETWEEN x AND x + 3)) * len(list_filter(ys, lambda y: id % h BETWEEN y AND y + 3)) ELSE 0 END AS differing FROM s""",
         "path_keys": """WITH k AS (SELECT p_partkey, 'area' || p_partkey % 5 || '/' || p_brand || '/2024-01-0' || (1 + p_partkey % 9) || CASE WHEN p_size % 2 = 0 THEN '.TIF' ELSE '.jp2' END AS key, 'area' || p_partkey % 5 AS aoi, p_size, '2024-01-0' || (1 + p_partkey % 9) AS d FROM {part})
           SELECT p_partkey, key, aoi, CASE WHEN p_size % 2 = 0 THEN d ELSE 'unknown' END AS acq_date FROM k""",
     }.items()
