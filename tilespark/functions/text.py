@@ -66,3 +66,18 @@ def keyword_match(query: str, label: Column) -> Column:
     """Number of the query's words in a label."""
     q = [w for w in {w.strip(".,").lower() for w in query.split()} if w]
     return F.size(F.array_intersect(F.array(*[F.lit(w) for w in sorted(q)]), words(label)))
+
+
+def slug(text: Column) -> Column:
+    """Lower-case letters and digits of a text, joined by underscores."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def model_label(model: Column, dim: Column) -> Column:
+    """What a model is called where it is offered: ``name · 768-d``; the name alone where the dimension is unknown."""
+    return F.when(dim.isNull(), model).otherwise(F.concat(model, F.lit(" \u00b7 "), dim.cast("string"), F.lit("-d")))
+
+
+def thumbnail_side(asked: Column, least: int = 16, most: int = 512) -> Column:
+    """The side of a thumbnail: what was asked for within bounds."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), asked))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,9 +135,24 @@ def checked_copies(found: DataFrame) -> DataFrame:
     return found.withColumn("headers", F.when(F.col("headers") & (F.col("differing") == 0), True).otherwise(F.raise_error(what).cast("boolean")))
 
 
-def tree_digest(files: DataFrame, path: str, facts: list[str]) -> DataFrame:
-    """One digest of a tree: of the digests of 256 path groups, each over its files in order; no task holds the whole list."""
+def tree_digest(files: DataFrame, path: str, facts: list[str], most: int = 4_096) -> DataFrame:
+    """One digest of a tree: groups of files by a hash of their path, each digested in the order of paths, and digests of groups of digests above them.
+
+    The depth follows from the number of files, so that a group has about ``most`` files at any size; nothing depends on how rows are partitioned.
+    """
     line = F.concat_ws("|", F.col(path).cast("string"), *[F.col(c).cast("string") for c in facts])
-    grouped = files.select(F.substring(F.md5(F.col(path).cast("string").cast("binary")), 1, 2).alias("g"), F.lpad(F.col(path).cast("string"), 20, "0").alias("o"), line.alias("l"))
+    depth, n = 2, files.count()
+    while 16**depth * most < n:
+        depth += 1
+    grouped = files.select(F.substring(F.md5(F.col(path).cast("string").cast("binary")), 1, depth).alias("g"), F.lpad(F.col(path).cast("string"), 20, "0").alias("o"), line.alias("l"))
     each = grouped.groupBy("g").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]), "\n").cast("binary"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("digest"), F.sum("n").alias("files"))
+    above = lambda rows, g: rows.groupBy(g.alias("g")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("d"), F.sum("n").alias("n"))
+    while depth > 2:
+        depth -= 1
+        each = above(each, F.substring("g", 1, depth))
+    return above(each, F.lit("")).select(F.col("d").alias("digest"), F.col("n").alias("files"))
+
+
+def under(files: DataFrame, path: str, prefixes: list[str]) -> DataFrame:
+    """Files whose path begins with one of the prefixes: a filter that reaches the scan."""
+    return files.filter(reduce(or_, [F.startswith(F.col(path), F.lit(p)) for p in prefixes], F.lit(False)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import text as t
 from tilespark.functions.vectors import dot, norm
-from tilespark.operators import export, ranking
+from tilespark.operators import bakeoff, export, inventory, packing, ranking
 from tilespark.sources import corpus as src
 from tilespark.sources.views import oracle, table
 
@@ -49,6 +49,49 @@ def gram_matrix(spark, sf_dir):
     return spark.createDataFrame(at, "i int, j int, v double").select("i", "j", F.round("v", 6).alias("v"))
 
 
+def export_columns(spark, sf_dir):
+    """The packed columns of an export, unpacked again: codes under one scale, sources by first occurrence, windows and boxes."""
+    codes = export.coded(table(spark, sf_dir, "vec_corpus").select("vec_id", "embedding")).select("vec_id", "codes")
+    g = table(spark, sf_dir, "tile_grid").withColumn("source", F.concat_ws("/", "aoi", "acq_date"))
+    sources = packing.first_seen(g, "source", "vec_id")
+    tiles = packing.in_scale(g.join(codes, "vec_id").join(sources, "source").withColumns({"px_x": F.col("col") * F.col("scale"), "px_y": F.col("row_") * F.col("scale")}), "vec_id")
+    back = packing.unpacked_columns(packing.packed_columns(tiles, 100), 100)
+    total = F.aggregate("codes", F.lit(0).cast("long"), lambda s, x: s + x)
+    return back.select("scale", "at", "src", "px_x", "px_y", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")], total.alias("code_sum"), F.get("codes", F.lit(0)).cast("int").alias("first_code"))
+
+
+def query_codes(spark, sf_dir):
+    """Codes of precomputed queries under a scale of their own."""
+    q = export.coded(table(spark, sf_dir, "user_queries"))
+    return q.select("query_id", F.round("scale_", 9).alias("scale_"), F.aggregate("codes", F.lit(0).cast("long"), lambda s, x: s + x).alias("code_sum"))
+
+
+def _candidates(spark, sf_dir):
+    """Two candidates: the vectors as they are, and their first half."""
+    both = lambda df: df.withColumn("candidate", F.lit("whole")).unionByName(df.withColumns({"candidate": F.lit("half"), "embedding": F.slice("embedding", 1, 32)}))
+    return bakeoff.bake_off(both(table(spark, sf_dir, "vec_corpus").select("vec_id", "scale", "embedding")), both(table(spark, sf_dir, "user_queries")))
+
+
+def bake_off_top(spark, sf_dir):
+    return _candidates(spark, sf_dir)[0]
+
+
+def bake_off_spread(spark, sf_dir):
+    return _candidates(spark, sf_dir)[1]
+
+
+def files_under(spark, sf_dir):
+    """Scenes of two areas, by the beginning of their paths."""
+    return inventory.under(table(spark, sf_dir, "scenes"), "path", ["area1/", "area5/Brand#2"]).select("scene_id", "path")
+
+
+def labels_and_sides(spark, sf_dir):
+    """Names that are shown and stored, and thumbnails within bounds."""
+    p = table(spark, sf_dir, "part")
+    dim = F.when(F.col("p_size") % 3 != 0, F.col("p_size") * 16)
+    return p.select("p_partkey", t.slug(F.col("p_type")).alias("slug"), t.model_label(F.col("p_brand"), dim).alias("label"), t.thumbnail_side(F.col("p_size") * 16).cast("int").alias("side"))
+
+
 def lexical_nearest(spark, sf_dir):
     """The ten phrases nearest in words, with a score above zero."""
     p = table(spark, sf_dir, "phrases").select("phrase", "category", t.lexical_similarity(F.lit("small red bolt"), F.col("phrase")).alias("score"))
@@ -125,7 +168,7 @@ def near_pairs_by_label(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (int8_roundtrip, topk_overlap, pca_overlap, export_background, gram_matrix, lexical_nearest, phrase_filter, phrase_categories, parse_boxes, html_block, query_cleanup, resume_todo, vector_checks, vector_norms, mixed_model_check, stale_export, near_pairs_by_label)
+    for f in (int8_roundtrip, topk_overlap, pca_overlap, export_background, export_columns, query_codes, bake_off_top, bake_off_spread, files_under, labels_and_sides, gram_matrix, lexical_nearest, phrase_filter, phrase_categories, parse_boxes, html_block, query_cleanup, resume_todo, vector_checks, vector_norms, mixed_model_check, stale_export, near_pairs_by_label)
 }
 
 _V = "CAST({0}embedding AS DOUBLE[])"
@@ -145,6 +188,20 @@ ORACLE = {
           ta AS ({_TOP.format("a")}), tb AS ({_TOP.format("b")})
           SELECT ta.query_id, ta.scale, round(count(tb.vec_id) / CAST(least(count(*), 10) AS DOUBLE), 6) AS overlap FROM ta LEFT JOIN tb ON ta.query_id = tb.query_id AND ta.scale = tb.scale AND ta.vec_id = tb.vec_id GROUP BY 1, 2""",
         "export_background": f"WITH {_SMALL} SELECT query_id, scale, max(round(list_dot_product(v, CAST(q.embedding AS DOUBLE[])), 6)) AS top1 FROM small, {{bg_queries}} q GROUP BY 1, 2",
+        "export_columns": f"""WITH s AS (SELECT vec_id, embedding, {_PEAK.format("{vec_corpus}")} AS s FROM {{vec_corpus}}), c AS (SELECT vec_id, {_CODE.format("", "s")} AS codes FROM s), src AS (SELECT source, row_number() OVER (ORDER BY f) - 1 AS src FROM (SELECT aoi || '/' || acq_date AS source, min(vec_id) AS f FROM {{tile_grid}} GROUP BY 1) x)
+          SELECT scale, row_number() OVER (PARTITION BY scale ORDER BY vec_id) - 1 AS at, src, CAST(col * scale AS INT) AS px_x, CAST(row_ * scale AS INT) AS px_y, round(CAST(CAST(min_lon AS FLOAT) AS DOUBLE), 4) AS min_lon, round(CAST(CAST(min_lat AS FLOAT) AS DOUBLE), 4) AS min_lat,
+            round(CAST(CAST(max_lon AS FLOAT) AS DOUBLE), 4) AS max_lon, round(CAST(CAST(max_lat AS FLOAT) AS DOUBLE), 4) AS max_lat, CAST(list_sum(codes) AS BIGINT) AS code_sum, CAST(codes[1] AS INT) AS first_code
+          FROM {{tile_grid}} g JOIN c USING (vec_id) JOIN src ON src.source = g.aoi || '/' || g.acq_date""",
+        "query_codes": f"WITH s AS (SELECT query_id, embedding, {_PEAK.format('{user_queries}')} AS s FROM {{user_queries}}) SELECT query_id, round(s, 9) AS scale_, CAST(list_sum({_CODE.format('', 's')}) AS BIGINT) AS code_sum FROM s",
+        "bake_off_top": """WITH a AS (SELECT 'whole' AS candidate, query_id, scale, vec_id, round(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM {vec_corpus} c, {user_queries} q
+            UNION ALL SELECT 'half', query_id, scale, vec_id, round(list_dot_product(CAST(c.embedding[1:32] AS DOUBLE[]), CAST(q.embedding[1:32] AS DOUBLE[])), 6) FROM {vec_corpus} c, {user_queries} q),
+          b AS (SELECT candidate, query_id, CAST(scale AS VARCHAR) AS scope, vec_id, score FROM a UNION ALL SELECT candidate, query_id, 'all', vec_id, score FROM a)
+          SELECT candidate, query_id, scope, CAST(rank AS INT) AS rank, vec_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY candidate, query_id, scope ORDER BY score DESC, vec_id) AS rank FROM b) r WHERE rank <= 5""",
+        "bake_off_spread": """WITH a AS (SELECT 'whole' AS candidate, query_id, list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM {vec_corpus} c, {user_queries} q
+            UNION ALL SELECT 'half', query_id, list_dot_product(CAST(c.embedding[1:32] AS DOUBLE[]), CAST(q.embedding[1:32] AS DOUBLE[])) FROM {vec_corpus} c, {user_queries} q)
+          SELECT candidate, query_id, count(*) AS n, round(min(score), 4) AS score_min, round(max(score), 4) AS score_max, round(avg(score), 4) AS score_mean FROM a GROUP BY 1, 2""",
+        "files_under": "SELECT scene_id, path FROM {scenes} WHERE path LIKE 'area1/%' OR path LIKE 'area5/Brand#2%'",
+        "labels_and_sides": """SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS slug, p_brand || CASE WHEN p_size % 3 <> 0 THEN ' ' || chr(183) || ' ' || (p_size * 16) || '-d' ELSE '' END AS label, CAST(greatest(16, least(512, p_size * 16)) AS INT) AS side FROM {part}""",
         "gram_matrix": "WITH d AS (SELECT unnest(range(0, 64)) AS k) SELECT CAST(a.k AS INT) AS i, CAST(b.k AS INT) AS j, round(avg(CAST(embedding[a.k + 1] AS DOUBLE) * CAST(embedding[b.k + 1] AS DOUBLE)), 6) AS v FROM {embeddings}, d a, d b GROUP BY 1, 2",
         "lexical_nearest": """WITH p AS (SELECT *, string_split(lower(phrase), ' ') AS w, ['small', 'red', 'bolt'] AS q FROM {phrases}),
           s AS (SELECT phrase, category, CASE WHEN contains(lower(phrase), 'small red bolt') THEN 10 ELSE 0 END + list_sum(list_transform(q, lambda a: list_sum(list_transform(w, lambda b: CASE WHEN a = b THEN 3e0 WHEN contains(a, b) OR contains(b, a) THEN 0.5e0 ELSE 0e0 END)))) AS score FROM p)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import geometry as g
 from tilespark.functions import text as t
-from tilespark.operators import inventory, tiling
+from tilespark.operators import inventory, packing, tiling
 from tilespark.sources.views import oracle, table
 
 
@@ -204,6 +204,15 @@ def crop_duplicates(spark, sf_dir):
     return inventory.duplicates(r, strips, inventory.same_strips)
 
 
+def tile_windows(spark, sf_dir):
+    """Digests of every tile's pixels, cut from strips and padded over the right and lower edge."""
+    r, strips = _crops(spark, sf_dir)
+    steps = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1, F.lit(16).cast("long"))
+    tiles = r.select("raster_id", F.lit(16).alias("scale"), F.explode(steps("width")).alias("px_x"), "height").select("raster_id", "scale", "px_x", F.explode(steps("height")).alias("px_y"))
+    tiles = tiles.withColumn("tile_id", F.concat_ws("_", "raster_id", "px_x", "px_y"))
+    return packing.tile_bytes(strips, tiles).select("tile_id", F.length("data").cast("long").alias("bytes"), F.md5("data").alias("digest"))
+
+
 def copy_check(spark, sf_dir):
     """Copies of rasters, of which some have another header and some a changed pixel, in or beside the windows that are compared."""
     r, strips = _crops(spark, sf_dir)
@@ -225,7 +234,7 @@ def path_keys(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (scene_valid_counts, first_tiles, georeferenced, tile_plan, tile_counts, tile_id_roundtrip, valid_tiles, overlap_tile_origins, sample_windows, check_offsets, read_amplification, tile_bbox_mercator, shared_edges, basemap_blocks, nodata_by_tile, pixel_rule, band_distinct_levels, inventory_counts, gsd_by_crs, geodesic_check, content_duplicates, tree_digest, contained_rasters, equal_pixels, raster_duplicates, crop_duplicates, copy_check, path_keys)
+    for f in (scene_valid_counts, first_tiles, georeferenced, tile_plan, tile_counts, tile_id_roundtrip, valid_tiles, overlap_tile_origins, sample_windows, check_offsets, read_amplification, tile_bbox_mercator, shared_edges, basemap_blocks, nodata_by_tile, pixel_rule, band_distinct_levels, inventory_counts, gsd_by_crs, geodesic_check, content_duplicates, tree_digest, contained_rasters, equal_pixels, raster_duplicates, crop_duplicates, tile_windows, copy_check, path_keys)
 }
 
 _SCALED = "scaled AS (SELECT *, unnest([448, 224, 112]) AS scale FROM {scenes})"
@@ -330,6 +339,11 @@ ORACLE = {
             WHERE (a.w * a.h < b.w * b.h OR (a.w * a.h = b.w * b.h AND a.id > b.id))
               AND (a.tx IS NULL OR (a.tx = b.tx AND a.ty = b.ty) IS TRUE) AND (b.tx IS NULL OR NOT (b.tx BETWEEN a.x0 AND a.x0 + a.w - 1 AND b.ty BETWEEN a.y0 AND a.y0 + a.h - 1) OR (a.tx = b.tx AND a.ty = b.ty) IS TRUE))
           SELECT i AS raster_id, arg_min(o, (-area, o)) AS duplicate_of FROM held WHERE o NOT IN (SELECT i FROM held) GROUP BY i""",
+        "tile_windows": """WITH r AS (SELECT p_partkey AS id, p_partkey % 7 * 4 AS x0, p_partkey % 5 * 4 AS y0, p_partkey % 11 * 4 + 8 AS w, p_partkey % 13 * 4 + 8 AS h FROM {part}),
+          t AS (SELECT *, unnest(range(0, w, 16)) AS px FROM r), u AS (SELECT *, unnest(range(0, h, 16)) AS py FROM t), k AS (SELECT *, unnest(range(768)) AS k FROM u),
+          v AS (SELECT id, px, py, k, px + (k % 48) // 3 AS x, py + k // 48 AS y, k % 3 AS b, w, h, x0, y0 FROM k),
+          c AS (SELECT *, CASE WHEN x >= w OR y >= h THEN 0 ELSE ((x0 + x) * 7 + (y0 + y) * 13 + b * 5 + CASE WHEN id % 5 = 0 AND y = id % 8 AND x = id % 7 AND b = 1 THEN 1 ELSE 0 END) % 251 END AS value FROM v)
+          SELECT id || '_' || px || '_' || py AS tile_id, count(*) AS bytes, md5(unhex(string_agg(printf('%02x', CAST(value AS INT)), '' ORDER BY k))) AS digest FROM c GROUP BY id, px, py""",
         "copy_check": """WITH r AS (SELECT p_partkey AS id, p_partkey % 11 * 4 + 8 AS w, p_partkey % 13 * 4 + 8 AS h FROM {part}),
           s AS (SELECT *, list_distinct([0, CAST(round_even((w - 4) / 2e0, 0) AS INT), w - 4]) AS xs, list_distinct([0, CAST(round_even((h - 4) / 2e0, 0) AS INT), h - 4]) AS ys FROM r)
           SELECT id AS source_id, -1 - id AS copy_id, id % 9 <> 5 AS headers, CAST(len(xs) * len(ys) AS INT) AS windows,
