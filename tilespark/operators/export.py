@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from tilespark.functions.vectors import dequantised, largest, quantised
 
 
-def second_moment(corpus: DataFrame) -> tuple[np.ndarray, int]:
-    """``X'X / n`` without centring: a matrix of fixed size from each batch, added up; only those reach the driver."""
+def gram(corpus: DataFrame) -> DataFrame:
+    """``i, j, v``: ``X'X / n`` without centring, from a matrix of fixed size a task and one aggregation."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
@@ -23,19 +23,24 @@ def second_moment(corpus: DataFrame) -> tuple[np.ndarray, int]:
                 x = np.asarray(b.column("embedding").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1)
                 total, n = x.T @ x + (0 if total is None else total), n + len(x)
         if n:
-            at = np.arange(total.size)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()), pa.array(np.full(total.size, n))], ["at", "v", "n"])
+            i, j = np.divmod(np.arange(total.size), len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel()), pa.array(np.full(total.size, n))], ["i", "j", "v", "n"])
 
-    rows = corpus.select("embedding").mapInArrow(partial, "at long, v double, n long").groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy("at").collect()
+    return corpus.select("embedding").mapInArrow(partial, "i int, j int, v double, n long").groupBy("i", "j").agg((F.sum("v") / F.sum("n")).alias("v"))
+
+
+def second_moment(corpus: DataFrame) -> np.ndarray:
+    """:func:`gram` as a matrix: as many numbers as a vector has, squared, whatever the number of vectors."""
+    rows = gram(corpus).orderBy("i", "j").collect()
     if not rows:
         raise ValueError("no vectors")
     dim = int(len(rows) ** 0.5)
-    return np.array([r["v"] for r in rows]).reshape(dim, dim) / rows[0]["n"], rows[0]["n"]
+    return np.array([r["v"] for r in rows]).reshape(dim, dim)
 
 
 def basis(corpus: DataFrame, dim: int) -> np.ndarray:
     """The ``dim`` leading directions of the second moment, a row each, largest component positive."""
-    values, vectors = np.linalg.eigh(second_moment(corpus)[0])
+    values, vectors = np.linalg.eigh(second_moment(corpus))
     rows = vectors[:, np.argsort(-values)[:dim]].T
     return rows * np.sign(rows[np.arange(len(rows)), np.abs(rows).argmax(1)])[:, None]
 

@@ -27,11 +27,14 @@ MARGIN = 1e-4
 def scored(corpus: DataFrame, queries: DataFrame, carry: list[str]) -> DataFrame:
     """``query_id, *carry, score`` of every vector for every query; the score is rounded so that equal vectors rank by id.
 
-    Queries are sent to every task up to ``QUERY_BLOCK`` of them, which a bounded look settles; for more, Spark chooses, and :func:`top_packed` is the better way.
+    Queries are sent to every task, ``QUERY_BLOCK`` of them at most, which the plan itself checks: more of them raise when it runs, and :func:`top_packed`, which meets them
+    by blocks, is the way for those.
     """
-    asked = queries.select("query_id", F.col("embedding").alias("_q"))
-    few = queries.select("query_id").limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-    return corpus.crossJoin(F.broadcast(asked) if few else asked).select("query_id", *carry, F.round(dot(F.col("embedding"), F.col("_q")), 6).alias("score"))
+    asked = queries.select("query_id", F.col("embedding").alias("_q")).limit(QUERY_BLOCK + 1)
+    room = asked.agg(F.count(F.lit(1)).alias("_asked"))
+    fits = F.when(F.col("_asked") > QUERY_BLOCK, F.raise_error(F.lit(f"more than {QUERY_BLOCK} queries: use top_packed"))).otherwise(F.lit(True))
+    few = asked.crossJoin(F.broadcast(room)).filter(fits.cast("boolean")).drop("_asked")  # one row beside at most a block
+    return corpus.crossJoin(F.broadcast(few)).select("query_id", *carry, F.round(dot(F.col("embedding"), F.col("_q")), 6).alias("score"))
 
 
 def top(rows: DataFrame, k: int, within: list[str], tie: str = "vec_id") -> DataFrame:

@@ -44,9 +44,7 @@ def export_background(spark, sf_dir):
 
 
 def gram_matrix(spark, sf_dir):
-    m, n = export.second_moment(table(spark, sf_dir, "embeddings"))
-    at = [(i, j, float(m[i, j])) for i in range(len(m)) for j in range(len(m))]
-    return spark.createDataFrame(at, "i int, j int, v double").select("i", "j", F.round("v", 6).alias("v"))
+    return export.gram(table(spark, sf_dir, "embeddings")).select("i", "j", F.round("v", 6).alias("v"))
 
 
 def export_columns(spark, sf_dir):
@@ -163,7 +161,7 @@ def near_pairs_by_label(spark, sf_dir):
     """Mean cosine of each label's vectors to the label's first."""
     e = table(spark, sf_dir, "embeddings")
     lead = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("lead"))
-    return e.join(F.broadcast(lead), "label").groupBy("label").agg(F.round(F.avg(dot(F.col("embedding"), F.col("lead"))), 6).alias("mean_cosine"))
+    return e.join(lead, "label").groupBy("label").agg(F.round(F.avg(dot(F.col("embedding"), F.col("lead"))), 6).alias("mean_cosine"))
 
 
 QUERIES = {

@@ -54,19 +54,30 @@ def acquisitions(seen: DataFrame, every: int) -> DataFrame:
     return seen.groupBy("clip_id").applyInPandasWithState(look, "clip_id int, object_id int, acquired_frame int, track_id int", "known array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Everything a stream has to say about what is there now, kept as a table in the shared folder; a batch that is run again replaces what it wrote."""
+def run_to_end(stream: DataFrame, mode: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Everything a stream has to say about what is there now, kept as a table in the shared folder; a batch that is run again replaces what it wrote.
+
+    In update mode, which needs the result's ``keys``, a batch writes only what it changed, so that writing grows with the input; complete mode rewrites the result for every
+    batch, and is left to session windows, which Spark does not update.
+    """
     spark = stream.sparkSession
     out, log = shared_path(spark, name), shared_path(spark, f"{name}-log")
+    if mode == "update":
+        # a batch writes what it changed; of a key the last word counts
+        write = lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(out)
+        rest = [c for c in rows.columns if c not in (*keys, "batch")]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_")).select(*keys, "_.*")
     write: Callable[[DataFrame, int], None] = lambda df, i: df.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={i}")
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
     found = spark.read.parquet(out)
     return found if mode == "complete" else found.drop("batch")
 
 
-# the queries cover the whole table, whatever the order of its files: complete mode keeps all state, so a watermark would only lose rows
+# the queries cover the whole table, whatever the order of its files: both modes keep all state, so a watermark would only lose rows
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = run_to_end(windowed_counts(event_stream(spark, f"{sf_dir}/event[s].parquet"), late=None), "complete", "windows")
+    found = run_to_end(windowed_counts(event_stream(spark, f"{sf_dir}/event[s].parquet"), late=None), "update", "windows", ("w", "event_type"))
     return found.select(F.unix_timestamp("w.start").alias("start_s"), "event_type", "n", "total")
 
 
