@@ -47,6 +47,21 @@ def test_whole_search_is_exact(spark):
         assert np.allclose([x[2] for x in sorted(found)], [s for _, s in want[q]], atol=1e-12)
 
 
+def test_very_large_and_very_small_vectors(spark):
+    """A vector's size does not count, down to the smallest numbers and up to the largest."""
+    rng = random.Random(9)
+    plain = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(150)]
+    factor = {0: 1e200, 50: 1e-200, 100: 1e-300, 3: 1e307, 4: 5e-300, 7: 1e250, 9: 1e-250}
+    index = multi_index.MultiIndex(spark.createDataFrame([(i, [x * factor.get(i, 1.0) for x in v]) for i, v in plain], "vec_id long, embedding array<double>"), k=4, share=1.0)
+    got = {}
+    for r in index.search(index.rows.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = brute(plain)
+    assert got.keys() == want.keys() == {0, 50, 100}
+    for q, found in got.items():
+        assert [x[1] for x in sorted(found)] == [v for v, _ in want[q]] and np.allclose([x[2] for x in sorted(found)], [s for _, s in want[q]], atol=1e-12)
+
+
 def test_recall(spark):
     found = {}
     for r in multi_index.op1_multi_index(spark, SF).collect():

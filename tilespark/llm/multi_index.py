@@ -15,7 +15,7 @@ Work: ``share`` of all pairs of queries and vectors: a third to a half where vec
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, have no id, or have another length than most take no
 part; a row repeated with the same id counts once; ties go to the smaller id; fewer than ``top`` candidates give fewer
-rows; an empty table gives an empty result; other columns are ignored, whatever their names.
+rows; very large and very small components count like any others; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +45,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     return typed.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0))
 
 
+def of_like_size(v: np.ndarray) -> np.ndarray:
+    """Vectors divided by a power of two each, so that their largest component is about 1: cosines stay what they are to the bit, and no square overflows or vanishes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0))[1][:, None])
+
+
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1), 0)
 
@@ -124,7 +129,7 @@ class MultiIndex:
         sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("vec").toPandas()
         self.half = self.dim // 2
         if self.dim:
-            x = np.array(sample["vec"].tolist())
+            x = of_like_size(np.array(sample["vec"].tolist()))
             x /= np.linalg.norm(x, axis=1)[:, None]
             self.c1, self.c2 = k_means(x[:, : self.half], k), k_means(x[:, self.half :], k, seed=2)
             if share is None:
@@ -138,7 +143,7 @@ class MultiIndex:
             for b in batches:
                 if not b.num_rows:
                     continue
-                v = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                v = of_like_size(b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
                 u = v / np.linalg.norm(v, axis=1)[:, None]
                 cell = _distances(u[:, :half], c1).argmin(1) * len(c2) + _distances(u[:, half:], c2).argmin(1)
                 packed = pa.array([r.tobytes() for r in v], pa.binary())
