@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import geometry as g
 from tilespark.functions import text as t
-from tilespark.operators import inventory, packing, tiling
+from tilespark.operators import grids, inventory, packing, tiling
 from tilespark.sources.views import oracle, table
 
 
@@ -144,6 +144,31 @@ def geodesic_check(spark, sf_dir):
     return s.select("scene_id", F.round(across, 9).alias("across_m"), F.round(along, 9).alias("along_m"), (F.abs((across + along) / 2 - rule) / rule > 0.015).alias("raises"))
 
 
+def _located(spark, sf_dir):
+    """Scenes in two systems, turned and with pixels that are not square."""
+    s = table(spark, sf_dir, "scenes").filter("scene_id % 3 <> 2")
+    geographic = F.col("scene_id") % 3 == 1
+    px = F.when(geographic, F.col("px") / 100_000).otherwise(F.col("px"))
+    turn = F.col("scene_id") % 5 / 50.0
+    corner = lambda deg, metres: F.when(geographic, F.lit(deg) + F.col("lat") / 10).otherwise(F.lit(metres) + F.col("lat") * 1000)
+    transform = F.array(px, px * turn, corner(30.0, 3_785_000.0), px * turn, -px * 1.25, corner(25.0, 3_630_000.0))
+    return s.select("scene_id", F.when(geographic, "geographic").otherwise("mercator").alias("kind"), F.lit(None).cast("int").alias("zone"), F.lit(None).cast("boolean").alias("south"), F.when(F.col("scene_id") % 7 != 0, transform).alias("transform"), "width", "height")
+
+
+def ground_resolution(spark, sf_dir):
+    """Metres on the ground on both axes, by rule and on the ellipsoid; the plan raises where they are apart."""
+    found = grids.ground_resolution(_located(spark, sf_dir))
+    return found.select("scene_id", "kind", *[F.round(c, 7).alias(c) for c in ("centre_lon", "centre_lat", "gsd_x", "gsd_y", "gsd", "geodesic")])
+
+
+def affine_boxes(spark, sf_dir):
+    """Boxes of the planned tiles of 448 pixels on turned grids, and how many edges they share with the next tile to the right."""
+    s = _located(spark, sf_dir).filter("transform IS NOT NULL")
+    plan = s.select("scene_id", F.lit(448).alias("scale"), F.explode(F.sequence(F.lit(0), g.planned(F.col("height"), F.lit(448)) - 1)).alias("row_"), "width").withColumn("col", F.explode(F.sequence(F.lit(0), g.planned(F.col("width"), F.lit(448)) - 1)))
+    boxes = grids.tile_boxes(plan, s)
+    return boxes.select("scene_id", "col", "row_", *[F.round(c, 9).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
+
+
 def content_duplicates(spark, sf_dir):
     """Documents whose content an earlier one has."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
@@ -234,7 +259,7 @@ def path_keys(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (scene_valid_counts, first_tiles, georeferenced, tile_plan, tile_counts, tile_id_roundtrip, valid_tiles, overlap_tile_origins, sample_windows, check_offsets, read_amplification, tile_bbox_mercator, shared_edges, basemap_blocks, nodata_by_tile, pixel_rule, band_distinct_levels, inventory_counts, gsd_by_crs, geodesic_check, content_duplicates, tree_digest, contained_rasters, equal_pixels, raster_duplicates, crop_duplicates, tile_windows, copy_check, path_keys)
+    for f in (scene_valid_counts, first_tiles, georeferenced, tile_plan, tile_counts, tile_id_roundtrip, valid_tiles, overlap_tile_origins, sample_windows, check_offsets, read_amplification, tile_bbox_mercator, shared_edges, basemap_blocks, nodata_by_tile, pixel_rule, band_distinct_levels, inventory_counts, gsd_by_crs, geodesic_check, ground_resolution, affine_boxes, content_duplicates, tree_digest, contained_rasters, equal_pixels, raster_duplicates, crop_duplicates, tile_windows, copy_check, path_keys)
 }
 
 _SCALED = "scaled AS (SELECT *, unnest([448, 224, 112]) AS scale FROM {scenes})"
@@ -271,6 +296,12 @@ def _utm_sql() -> str:
             CASE WHEN crs LIKE '%UTM%' THEN round(degrees(chi {lat}), 9) END AS lat FROM c"""
 
 
+_LOCATED = """s AS (SELECT scene_id, scene_id % 3 = 1 AS deg, lat, width, height, CASE WHEN scene_id % 3 = 1 THEN px / 100000 ELSE px END AS p, scene_id % 5 / 50e0 AS turn FROM {scenes} WHERE scene_id % 3 <> 2),
+a AS (SELECT *, CASE WHEN deg THEN 30 + lat / 10 ELSE 3785000 + lat * 1000 END AS x0, CASE WHEN deg THEN 25 + lat / 10 ELSE 3630000 + lat * 1000 END AS y0 FROM s)"""
+_LON, _LAT = "CASE WHEN deg THEN {0} ELSE degrees({0} / 6378137) END", "CASE WHEN deg THEN {0} ELSE degrees(atan(sinh({0} / 6378137))) END"
+_E2 = "(1 / 298.257223563e0 * (2 - 1 / 298.257223563e0))"
+_METRES = f"sqrt(pow(6378137 / sqrt(1 - {_E2} * pow(sin(radians(clat)), 2)) * cos(radians(clat)) * radians({{0}}), 2) + pow(6378137 * (1 - {_E2}) / pow(1 - {_E2} * pow(sin(radians(clat)), 2), 1.5e0) * radians({{1}}), 2))"
+
 ORACLE = {
     name: oracle(sql)
     for name, sql in {
@@ -314,6 +345,16 @@ ORACLE = {
           m AS (SELECT *, 6378137e0 / w * cos(radians(lat)) * (pi() / 180) * step AS across, 6378137e0 * (1 - 0.0066943799901413165e0) / (w * w * w) * (pi() / 180) * step * cos(radians(lat)) AS along, px * cos(radians(lat)) AS rule FROM w)
           SELECT scene_id, round(across, 9) AS across_m, round(along, 9) AS along_m, abs((across + along) / 2 - rule) / rule > 0.015 AS raises FROM m""",
         "content_duplicates": "SELECT doc_id, canonical_id AS duplicate_of FROM {docs_content} WHERE canonical_id <> doc_id",
+        "ground_resolution": f"""WITH {_LOCATED}, c AS (SELECT *, p * (width / 2e0) + p * turn * (height / 2e0) + x0 AS x, p * turn * (width / 2e0) - p * 1.25e0 * (height / 2e0) + y0 AS y FROM a WHERE scene_id % 7 <> 0),
+          d AS (SELECT *, {_LON.format("x")} AS clon, {_LAT.format("y")} AS clat FROM c),
+          m AS (SELECT *, {_METRES.format("(" + _LON.format("(x + p)") + " - clon)", "0")} AS gx, {_METRES.format("0", "(" + _LAT.format("(y + p * 1.25e0)") + " - clat)")} AS gy FROM d),
+          r AS (SELECT *, CASE WHEN deg THEN gx ELSE p * cos(radians(clat)) END AS gsd_x, CASE WHEN deg THEN gy ELSE p * 1.25e0 * cos(radians(clat)) END AS gsd_y FROM m)
+          SELECT a.scene_id, CASE WHEN a.deg THEN 'geographic' ELSE 'mercator' END AS kind, round(clon, 7) AS centre_lon, round(clat, 7) AS centre_lat, round(gsd_x, 7) AS gsd_x, round(gsd_y, 7) AS gsd_y, round((gsd_x + gsd_y) / 2, 7) AS gsd, round((gx + gy) / 2, 7) AS geodesic
+          FROM a LEFT JOIN r USING (scene_id)""",
+        "affine_boxes": f"""WITH {_LOCATED}, t AS (SELECT *, CAST(unnest(range(CAST(ceil(width / 448e0) AS INT))) AS INT) AS col FROM a WHERE scene_id % 7 <> 0), u AS (SELECT *, CAST(unnest(range(CAST(ceil(height / 448e0) AS INT))) AS INT) AS row_ FROM t),
+          k AS (SELECT *, unnest([0, 1, 0, 1]) AS i, unnest([0, 0, 1, 1]) AS j FROM u),
+          q AS (SELECT *, p * ((col + i) * 448) + p * turn * ((row_ + j) * 448) + x0 AS x, p * turn * ((col + i) * 448) - p * 1.25e0 * ((row_ + j) * 448) + y0 AS y FROM k)
+          SELECT scene_id, col, row_, round(min({_LON.format("x")}), 9) AS min_lon, round(min({_LAT.format("y")}), 9) AS min_lat, round(max({_LON.format("x")}), 9) AS max_lon, round(max({_LAT.format("y")}), 9) AS max_lat FROM q GROUP BY scene_id, col, row_""",
         "tree_digest": """WITH f AS (SELECT substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS g, lpad(CAST(doc_id AS VARCHAR), 20, '0') AS o, concat_ws('|', CAST(doc_id AS VARCHAR), CAST(n_chars AS VARCHAR), lang) AS l FROM {documents}),
           e AS (SELECT g, sha256(string_agg(l, chr(10) ORDER BY o, l)) AS d, count(*) AS n FROM f GROUP BY g) SELECT sha256(string_agg(d, '' ORDER BY g, d)) AS digest, CAST(sum(n) AS BIGINT) AS files FROM e""",
         "contained_rasters": """WITH r AS (SELECT p_partkey AS raster_id, p_brand || '/' || p_size AS grid, p_partkey % 7 * 64 AS x0, p_partkey % 5 * 64 AS y0, p_partkey % 11 * 64 + 128 AS width, p_partkey % 13 * 64 + 128 AS height FROM {part})
