@@ -199,3 +199,16 @@ def test_a_copy_is_its_source(spark):
     assert inventory.checked_copies(found.filter("copy_id IN (2, 5)")).count() == 2
     with pytest.raises(Exception, match="copy 3 is not its source 1"):
         inventory.checked_copies(found.filter("copy_id = 3")).collect()
+
+
+def test_containment_at_every_size(spark):
+    rng = random.Random(12)
+    rows = [(0, "g", -70_000, -70_000, 200_000, 200_000), (1, "g", 0, 0, 1, 1), (2, "g", -1, -1, 1, 1), (3, "h", 0, 0, 1, 1)]
+    for i in range(4, 300):
+        side = 2 ** rng.randrange(12)
+        x, y = rng.randrange(-2000, 2000) // 8 * 8, rng.randrange(-2000, 2000) // 8 * 8
+        rows.append((i, rng.choice("gh"), x, y, rng.choice([side, max(1, side - 1), side + 1]), rng.choice([side, max(1, side // 3)])))
+    r = spark.createDataFrame([(i, g_, x, y, w, h) for i, g_, x, y, w, h in rows], "raster_id int, grid string, x0 int, y0 int, width int, height int").repartition(4)
+    want = {(a[0], b[0], a[2] - b[2], a[3] - b[3]) for a in rows for b in rows if a[1] == b[1] and a[0] != b[0] and a[2] >= b[2] and a[3] >= b[3] and a[2] + a[4] <= b[2] + b[4] and a[3] + a[5] <= b[3] + b[5] and (a[4] * a[5], -a[0]) < (b[4] * b[5], -b[0])}
+    got = [tuple(x) for x in inventory.contained(r).collect()]
+    assert len(want) > 200 and len(got) == len(set(got)) and set(got) == want

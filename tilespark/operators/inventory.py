@@ -38,23 +38,24 @@ def copies(rows: DataFrame, ident: str, content: list[str], first: list[Column])
     return joined.filter(F.col("duplicate_of") != F.col(ident))
 
 
-#: Pixels on a side of the squares by which rasters of one grid are brought together.
-SQUARE = 4096
-
-
-def contained(rasters: DataFrame, square: int = SQUARE) -> DataFrame:
+def contained(rasters: DataFrame) -> DataFrame:
     """Pairs of rasters of one group (system, pixel size, bands) of which one lies wholly inside the other at whole-pixel offsets.
 
-    A raster lies where its first pixel does, and is looked for in every square that the other covers: only rasters that share ground meet.
+    Squares come in levels, each twice as wide as the one below. A raster is listed at the level whose squares are as wide as it is, in the four squares at most that
+    it covers there, and is looked for by those that may lie inside: they ask with the square of their first pixel at each level of their group from their own upwards.
+    So a raster has a few rows whatever its size.
     """
     a, b = (rasters.select("grid", *[F.col(c).alias(f"{p}_{c}") for c in ("raster_id", "x0", "y0", "width", "height")]) for p in ("in", "out"))
-    cell = lambda x: F.floor(x / square).cast("long")
-    a = a.withColumn("sx", cell(F.col("in_x0"))).withColumn("sy", cell(F.col("in_y0")))
+    level = lambda p: F.length(F.bin((F.greatest(F.col(f"{p}_width"), F.col(f"{p}_height")) - 1).cast("long")))
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), "level")).cast("long")
+    b = b.withColumn("level", level("out"))
     covers = lambda c, n: F.sequence(cell(F.col(f"out_{c}")), cell(F.col(f"out_{c}") + F.col(f"out_{n}") - 1))
-    b = b.withColumn("sx", F.explode(covers("x0", "width"))).withColumn("sy", F.explode(covers("y0", "height")))
+    listed = b.withColumn("sx", F.explode(covers("x0", "width"))).withColumn("sy", F.explode(covers("y0", "height")))
+    levels = b.select("grid", "level").distinct()  # some thirty a group at most
+    asks = a.withColumn("own", level("in")).join(levels, "grid").filter("level >= own").drop("own").withColumn("sx", cell(F.col("in_x0"))).withColumn("sy", cell(F.col("in_y0")))
     inside = (F.col("in_x0") >= F.col("out_x0")) & (F.col("in_y0") >= F.col("out_y0")) & (F.col("in_x0") + F.col("in_width") <= F.col("out_x0") + F.col("out_width")) & (F.col("in_y0") + F.col("in_height") <= F.col("out_y0") + F.col("out_height"))
     smaller = (F.col("in_width") * F.col("in_height") < F.col("out_width") * F.col("out_height")) | ((F.col("in_width") * F.col("in_height") == F.col("out_width") * F.col("out_height")) & (F.col("in_raster_id") > F.col("out_raster_id")))
-    return a.join(b, ["grid", "sx", "sy"]).filter(inside & smaller).select("in_raster_id", "out_raster_id", (F.col("in_x0") - F.col("out_x0")).alias("dx"), (F.col("in_y0") - F.col("out_y0")).alias("dy"))
+    return asks.join(listed, ["grid", "level", "sx", "sy"]).filter(inside & smaller).select("in_raster_id", "out_raster_id", (F.col("in_x0") - F.col("out_x0")).alias("dx"), (F.col("in_y0") - F.col("out_y0")).alias("dy"))
 
 
 def same_pixels(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
