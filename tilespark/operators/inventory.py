@@ -54,7 +54,8 @@ def contained(rasters: DataFrame) -> DataFrame:
     levels = b.select("grid", "level").distinct()  # some thirty a group at most
     asks = a.withColumn("own", level("in")).join(levels, "grid").filter("level >= own").drop("own").withColumn("sx", cell(F.col("in_x0"))).withColumn("sy", cell(F.col("in_y0")))
     inside = (F.col("in_x0") >= F.col("out_x0")) & (F.col("in_y0") >= F.col("out_y0")) & (F.col("in_x0") + F.col("in_width") <= F.col("out_x0") + F.col("out_width")) & (F.col("in_y0") + F.col("in_height") <= F.col("out_y0") + F.col("out_height"))
-    smaller = (F.col("in_width") * F.col("in_height") < F.col("out_width") * F.col("out_height")) | ((F.col("in_width") * F.col("in_height") == F.col("out_width") * F.col("out_height")) & (F.col("in_raster_id") > F.col("out_raster_id")))
+    area = lambda p: F.col(f"{p}_width").cast("long") * F.col(f"{p}_height")
+    smaller = (area("in") < area("out")) | ((area("in") == area("out")) & (F.col("in_raster_id") > F.col("out_raster_id")))
     return asks.join(listed, ["grid", "level", "sx", "sy"]).filter(inside & smaller).select("in_raster_id", "out_raster_id", (F.col("in_x0") - F.col("out_x0")).alias("dx"), (F.col("in_y0") - F.col("out_y0")).alias("dy"))
 
 
