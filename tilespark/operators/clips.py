@@ -13,6 +13,7 @@ from statistics import median
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,19 +40,24 @@ def _settled(boxes: DataFrame, threshold: float, ground: float, greedy: bool) ->
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for frame, rows in zip(batch["frame"].to_pylist(), batch["b"].to_pylist(), strict=True):
-                gt, pred = [r for r in rows if r["gt"]], [r for r in rows if not r["gt"]]
-                overlap = iou_matrix(*(np.array([[r[c] for c in XY] for r in side]).reshape(-1, 4) for side in (gt, pred)))
-                pairs = [(gt[i]["id"], pred[j]["id"], float(overlap[i, j]), gt[i]["ignore"]) for i, j in np.argwhere(overlap >= min(threshold, ground))]
+            lists, out = batch["b"], []
+            flat, cuts = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
+            is_gt, ignored, ids, acquired = (pc.fill_null(flat.field(c), z).to_numpy(zero_copy_only=False) for c, z in (("gt", False), ("ignore", False), ("id", 0), ("acquired", 0)))
+            xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in XY], axis=1) if len(flat) else np.zeros((0, 4))
+            named = lambda some: [dict(zip(("gt_id", "pred_id", "iou"), p, strict=True)) for p in some]
+            for frame, lo, hi in zip(batch["frame"].to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                gt, pred = lo + np.flatnonzero(is_gt[lo:hi]), lo + np.flatnonzero(~is_gt[lo:hi])
+                overlap, aside = iou_matrix(xy[gt], xy[pred]), ignored[gt]
+                g_ids, p_ids = ids[gt].tolist(), ids[pred].tolist()
+                rows, columns = np.nonzero(overlap >= min(threshold, ground))
+                pairs = [(g_ids[i], p_ids[j], float(overlap[i, j]), bool(aside[i])) for i, j in zip(rows.tolist(), columns.tolist(), strict=True)]
                 scored = [p[:3] for p in pairs if not p[3]]
                 matched = _solved([p for p in scored if p[2] >= threshold], greedy)
                 hidden = {p[1] for p in pairs if p[3] and p[2] >= threshold} - {p[1] for p in matched}
-                named = lambda some: [dict(zip(("gt_id", "pred_id", "iou"), p, strict=True)) for p in some]
                 out.append({
-                    "frame": frame, "has_gt": bool(gt), "n_gt": sum(not r["ignore"] for r in gt), "n_pred": len(pred) - len(hidden), "near": named(p for p in scored if p[2] >= threshold and p[1] not in hidden),
-                    "over": named(p for p in scored if p[2] >= ground), "tp": len(matched), "iou": sum(p[2] for p in matched), "hidden": len(hidden), "gt": [r["id"] for r in gt if not r["ignore"]],
-                    "ignored": [r["id"] for r in gt if r["ignore"]], "pred": [{"id": r["id"], "acquired": r["acquired"]} for r in pred],
+                    "frame": frame, "has_gt": len(gt) > 0, "n_gt": int((~aside).sum()), "n_pred": len(pred) - len(hidden), "near": named(p for p in scored if p[2] >= threshold and p[1] not in hidden),
+                    "over": named(p for p in scored if p[2] >= ground), "tp": len(matched), "iou": sum(p[2] for p in matched), "hidden": len(hidden), "gt": [g for g, x in zip(g_ids, aside, strict=True) if not x],
+                    "ignored": [g for g, x in zip(g_ids, aside, strict=True) if x], "pred": [{"id": p, "acquired": q} for p, q in zip(p_ids, acquired[pred].tolist(), strict=True)],
                 })
             yield pa.RecordBatch.from_arrays([batch["clip_id"], pa.array(out, _FRAME_ARROW)], ["clip_id", "f"])
 
