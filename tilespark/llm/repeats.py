@@ -6,16 +6,18 @@ put aside before anything is sorted:
 1. Each window of ``length`` bytes has an anchor: the place in it whose next ``GRAM`` bytes hash least, the first of equals. Windows with
    equal bytes have equal anchors at equal places, so only windows with equal anchors can be equal. The windows of one anchor are consecutive; they
    and their bytes are the anchor's cell, about one cell for 80 bytes.
-2. Cells are counted by (anchor, cell) hash with partial aggregation. Cells that occur twice are repeated as a whole: that settles copies and the inside of
-   long passages, however many there are. Anchors with several different cells are left: the borders of passages, and edits.
-3. One of each of those cells goes, with its bytes, to a shard chosen by its anchor, and the shard's suffix array (two-stage sorting, see ``suffix_array``)
-   with adjacent common prefixes shows the windows that occur twice. Every window lies in one cell, so it is never compared with itself.
-4. An anchor with more than ``HOT`` different cells would make its shard unbounded: its windows are counted one by one, by
+2. Anchors that occur once are put aside. Of the cells of the others one of each kind (anchor and cell hash) goes with its bytes and its multiplicity, the number
+   of its places, to a shard chosen by its anchor: a passage with thousands of copies is sorted once.
+3. The shard's suffix array (two-stage sorting, see ``suffix_array``) with adjacent common prefixes decides: suffixes that agree over ``length`` bytes are one
+   string, which occurs as often as the multiplicities of their cells add up to. Strings that occur twice are spans of their kinds, and a join gives them to all
+   places. Every window lies in one cell, so it is never compared with itself.
+4. An anchor with more than ``HOT`` kinds would make its shard unbounded: its windows are added up one by one, by
    128-bit hash, in an aggregation over all tasks. That is exact as well.
 
-Documents are told apart by a hash of id and text, and runs of removed bytes are joined back by it: rows that share an id, or have none, do not meet.
+Documents are told apart by id and a hash of id and text (by two hashes, where there is no id), and runs of removed bytes are joined back by them: rows that
+share an id, or have none, do not meet.
 
-Cells and windows are equal by hash here (64 bits within an anchor's 64, and 128 bits), borders by their bytes: that is exact up to collisions of hashes.
+Cells of a kind are equal by hash (64 bits within an anchor's 64), strings of different kinds by their bytes: that is exact up to collisions of hashes.
 
 Defined cases: null text is empty; texts shorter than ``length`` keep all; a row repeated with the same id and text repeats everything in it; rows with
 one id and different texts are different documents, those without an id too; an empty table gives an empty result; other
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilespark.llm.shared import bounded_batches, join_small, materialize, partitions, remove, with_fields
@@ -41,9 +43,8 @@ U = np.uint64
 GRAM, SHARD_BYTES, HOT, PIECE_BYTES = 40, 500_000, 4_000, 400_000
 #: Stands behind every cell in a shard; no UTF-8 text holds it.
 SEPARATOR = 0xFF
-NO_ID = -(1 << 63)
 #: How the cells wanted of a document are packed.
-WANTED = np.dtype([("anchor", "<i8"), ("hot", "?"), ("first", "<i8"), ("many", "<i4")])
+WANTED = np.dtype([("anchor", "<i8"), ("cell", "<i8"), ("n", "<i8"), ("hot", "?"), ("first", "<i8"), ("many", "<i4")])
 
 _rng = np.random.default_rng(19700101)
 _BYTES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
@@ -111,7 +112,8 @@ def cells(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) ->
 def _own_names(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Id, text and the hash that tells documents apart, behind carried columns; names set apart from any that documents have."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(*carry, F.coalesce(doc_id, F.lit(NO_ID)).alias("_doc"), F.xxhash64(doc_id, text).alias("_doc_key"), text.alias("_doc_text"))
+    named = F.coalesce(doc_id, F.xxhash64(F.lit("no id"), text))
+    return docs.select(*carry, named.alias("_doc"), F.xxhash64(doc_id, text).alias("_doc_key"), text.alias("_doc_text"))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, int, bytes]]]:
@@ -174,12 +176,12 @@ def _long_cells(rows, length: int) -> Iterator[pa.RecordBatch]:
             lo += int(first[-1])
 
 
-def _spans(ids, keys, starts, ends) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x, dtype=np.int64)) for x in (ids, keys, starts, ends)], ["id", "key", "start", "end"])
+def _spans(anchors, kinds, starts, ends) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x, dtype=np.int64)) for x in (anchors, kinds, starts, ends)], ["anchor", "cell", "from", "to"])
 
 
 def _shard_spans(length: int):
-    """Windows that occur twice in a shard, as spans of bytes; rows come sorted by shard."""
+    """Strings that occur twice in a shard, as spans of bytes of the kinds that hold them; rows come sorted by shard."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         parts = [np.frombuffer(r[3], dtype=np.uint8) for r in rows]
@@ -192,24 +194,26 @@ def _shard_spans(length: int):
         ends = np.repeat(begin + sizes - 1, sizes)
         windows = np.arange(len(text)) + length <= ends
         order = suffix_array(text, length)
-        order = order[windows[order]]
-        same = common_prefixes(text, order, length) >= length
-        twice = same | np.concatenate([same[1:], [False]])
-        places = np.sort(order[twice].astype(np.int64))
+        order = order[windows[order]].astype(np.int64)
+        anchors, kinds, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in (0, 1, 2))
+        # neighbours that share the whole length are one string; its places are those of all cells that hold it
+        opens = common_prefixes(text, order, length) < length
+        opens[:1] = True
+        owner = np.searchsorted(begin, order, side="right") - 1
+        occurs = np.add.reduceat(n[owner], np.flatnonzero(opens)) if len(order) else n[:0]
+        places = np.sort(order[occurs[np.cumsum(opens) - 1] > 1])
         owner = np.searchsorted(begin, places, side="right") - 1
         if not len(places):
             return _spans([], [], [], [])
         opens = np.flatnonzero(np.concatenate([[True], (np.diff(places) > 1) | (np.diff(owner) > 0)]))
         last = np.concatenate([opens[1:], [len(places)]]) - 1
         own = owner[opens]
-        first = np.array([r[2] for r in rows], dtype=np.int64)[own] - begin[own]
-        ids, keys = np.array([r[0] for r in rows], dtype=np.int64)[own], np.array([r[1] for r in rows], dtype=np.int64)[own]
-        return _spans(ids, keys, first + places[opens], first + places[last] + length)
+        return _spans(anchors[own], kinds[own], places[opens] - begin[own], places[last] + length - begin[own])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "id", "key", "first", "bytes")]
+            columns = [batch.column(c).to_pylist() for c in ("shard", "anchor", "cell", "n", "bytes")]
             for s, *row in zip(*columns, strict=True):
                 if s != shard:
                     if rows:
@@ -223,7 +227,7 @@ def _shard_spans(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """``id, key, start, end``: spans of bytes to remove, as they are found (they may overlap); ``id`` is doc_id, or NO_ID for null, ``key`` the hash of id and text."""
+    """``id, key, start, end``: spans of bytes to remove, as they are found (they may overlap); ``id`` is doc_id, or a hash for null, ``key`` the hash of id and text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = _own_names(docs, [])
@@ -231,17 +235,15 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     again = materialize(found.join(materialize(anchors, "anchors"), "anchor"), "cells-again")
     remove(found)
-    occurrence = F.xxhash64("id", "key", "at")
-    kinds = materialize(again.groupBy("anchor", "cell").agg(F.count(F.lit(1)).alias("n"), F.min(occurrence).alias("chosen")), "kinds")
-    mixed = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "mixed")
-    counted = join_small(again, kinds, ["anchor", "cell"], "inner")
+    # one place of each kind, whichever comes first: all have the same bytes
+    some = [F.first(c).alias(c) for c in ("id", "key", "at")]
+    kinds = materialize(again.groupBy("anchor", "cell").agg(F.count(F.lit(1)).alias("n"), *some), "kinds")
+    crowded = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > HOT).select("anchor", F.lit(True).alias("crowded")), "crowded")
     first, many = F.shiftright("at", 20), F.col("at").bitwiseAND(F.lit((1 << 20) - 1))
-    copied = materialize(counted.filter("n > 1").select("id", "key", first.alias("start"), (first + many + (length - 1)).alias("end")), "copied")
-    one_each = join_small(counted.filter(F.col("chosen") == occurrence), mixed, "anchor", "inner").dropDuplicates(["anchor", "cell"])
-    borders = one_each.select("id", "key", "anchor", "kinds", first.alias("first"), many.alias("many"))
+    cell = F.struct("anchor", "cell", "n", F.coalesce("crowded", F.lit(False)).alias("hot"), first.alias("first"), many.alias("many"))
 
     # the bytes of those cells, from the documents that have them
-    wanted = borders.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", (F.col("kinds") > HOT).alias("hot"), "first", "many")).alias("w"))
+    wanted = join_small(kinds, crowded, "anchor", "left").groupBy("id", "key").agg(F.collect_list(cell).alias("w"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,15 +258,15 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     holders = docs.join(wanted, ["_doc", "_doc_key"]).select("_doc", "_doc_key", "_doc_text", "wanted")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "key", "anchor", "hot", "first", "bytes"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+        names = ["anchor", "cell", "n", "hot", "bytes"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
             rows, held = [], 0
             for run in _texts(batch):
-                for i, doc_id, key, raw in run:
-                    for anchor, is_hot, first, n in np.frombuffer(batch.column("wanted")[i].as_py(), dtype=WANTED).tolist():
-                        part = raw[first : first + n + length - 1]
-                        rows.append((doc_id, key, anchor, is_hot, first, part))
+                for i, _, _, raw in run:
+                    for anchor, cell, n, is_hot, first, windows in np.frombuffer(batch.column("wanted")[i].as_py(), dtype=WANTED).tolist():
+                        part = raw[first : first + windows + length - 1]
+                        rows.append((anchor, cell, n, is_hot, part))
                         held += len(part)
                     if held > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -272,17 +274,14 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    # repeated rows hold a cell twice: it is one place
-    parts = holders.mapInArrow(take, "id long, key long, anchor long, hot boolean, first long, bytes binary")
-    parts = materialize(parts, "parts")
+    parts = materialize(holders.mapInArrow(take, "anchor long, cell long, n long, hot boolean, bytes binary"), "parts")
     usual = parts.filter(~F.col("hot"))
     size = usual.agg(F.sum(F.length("bytes"))).collect()[0][0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    # a cell found twice in one place stands once; repeated rows were counted before and are settled
+    # rows that repeat a document bring its cells again: each kind stands once
     dealt = usual.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    dealt = dealt.repartition(max(partitions(spark), min(shards, 10_000)), "shard").dropDuplicates(["shard", "id", "key", "first"]).sortWithinPartitions("shard")
-    sorted_out = dealt.select("shard", "id", "key", "first", "bytes").mapInArrow(_shard_spans(length), "id long, key long, start long, end long")
-    spans = copied.unionByName(sorted_out)
+    dealt = dealt.repartition(max(partitions(spark), min(shards, 10_000)), "shard").dropDuplicates(["shard", "anchor", "cell"]).sortWithinPartitions("shard")
+    spans = dealt.select("shard", "anchor", "cell", "n", "bytes").mapInArrow(_shard_spans(length), "anchor long, cell long, from long, to long")
 
     hot = parts.filter("hot")
     if hot.limit(1).count():
@@ -292,17 +291,22 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 for i in range(batch.num_rows):
                     raw = np.frombuffer(batch.column("bytes")[i].as_py(), dtype=np.uint8)
                     h = [Rolling(raw, w).windows(length).view(np.int64) for w in (0, 1)]
-                    n = len(h[0])
-                    same = [np.full(n, batch.column(c)[i].as_py(), dtype=np.int64) for c in ("id", "key")]
-                    at = batch.column("first")[i].as_py() + np.arange(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, at, h[0], h[1])], ["id", "key", "start", "h1", "h2"])
-
-        single = hot.dropDuplicates(["id", "key", "first"]).select("id", "key", "first", "bytes").repartition(partitions(spark))
-        hashed = materialize(single.mapInArrow(windows, "id long, key long, start long, h1 long, h2 long"), "windows")
-        twice = materialize(hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"), "twice")
-        more = join_small(hashed, twice, ["h1", "h2"], "inner").select("id", "key", "start", (F.col("start") + length).alias("end"))
-        spans = spans.unionByName(more)
-    return spans
+                    m = len(h[0])
+                    same = [np.full(m, batch.column(c)[i].as_py(), dtype=np.int64) for c in ("anchor", "cell", "n")]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, np.arange(m), h[0], h[1])], ["anchor", "cell", "n", "from", "h1", "h2"])
+
+        single = hot.dropDuplicates(["anchor", "cell"]).select("anchor", "cell", "n", "bytes").repartition(partitions(spark))
+        hashed = materialize(single.mapInArrow(windows, "anchor long, cell long, n long, from long, h1 long, h2 long"), "windows")
+        twice = materialize(hashed.groupBy("h1", "h2").agg(F.sum("n").alias("places")).filter("places > 1").select("h1", "h2"), "twice")
+        # a cell has few windows; those that follow one another are one span
+        of_kind = Window.partitionBy("anchor", "cell").orderBy("from")
+        more = join_small(hashed, twice, ["h1", "h2"], "inner").withColumn("run", F.col("from") - F.row_number().over(of_kind))
+        more = more.groupBy("anchor", "cell", "run").agg(F.min("from").alias("from"), (F.max("from") + length).alias("to"))
+        spans = spans.unionByName(more.drop("run"))
+
+    # what was found for a kind holds at all its places
+    spans = materialize(spans, "kind-spans")
+    return join_small(again, spans, ["anchor", "cell"], "inner").select("id", "key", (first + F.col("from")).alias("start"), (first + F.col("to")).alias("end"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
