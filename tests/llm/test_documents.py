@@ -271,10 +271,31 @@ def test_neighbours_are_named(spark, docs):
         rows.append((100 * i + 1, " ".join(text)))
     rows += [(r.doc_id + 10_000_000, r.text) for r in docs.collect() if r.doc_id is not None] + [(None, rows[0][1]), (7, rows[0][1])]
     got = Counter(map(tuple, simhash.neighbours(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 100 == 0).collect()))
-    prints = [(i, int(fingerprint(t), 16)) for i, t in rows]
-    want = {(i, j, (a ^ b).bit_count()) for i, a in prints if i is not None and i % 100 == 0 for j, b in prints if j != i and (a ^ b).bit_count() <= simhash.RADIUS}
+    prints = {(i, fingerprint(t)) for i, t in rows}
+    ids = defaultdict(set)
+    for i, p in prints:
+        ids[p].add(i)
+    name = {p: min((i for i in of if i is not None), default=None) for p, of in ids.items()}
+    apart = lambda p, q: (int(p, 16) ^ int(q, 16)).bit_count()
+    asked = [p for p, of in ids.items() if any(i is not None and i % 100 == 0 for i in of)]
+    want = {(i, name[p], 0, p) for i, p in prints} | {(name[p], name[q], apart(p, q), q) for p in asked for q in ids if 0 < apart(p, q) <= simhash.RADIUS}
     assert got == Counter(want)
-    assert sum((100 * i, 100 * i + 1) in {x[:2] for x in got} for i in range(1, 41)) >= 38
+    of_class = {(r[0], r[1]) for r in got}
+    assert sum((min(100 * i, name[fingerprint(rows[2 * i - 2][1])]), 100 * i + 1) in of_class for i in range(1, 41)) >= 38
+
+
+@pytest.mark.parametrize("near", [0, 1, 2, 14, 15, 16])
+def test_wide_search_is_whole(spark, near):
+    rng = np.random.default_rng(near)
+    base = [int.from_bytes(rng.bytes(16), "big") for _ in range(150)]
+    other = list(dict.fromkeys(b ^ sum(1 << int(x) for x in rng.choice(128, near, replace=False)) for b in base))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = lambda x: (signed(x >> 64), signed(x & (1 << 64) - 1))
+    q = spark.createDataFrame([(i, *halves(b)) for i, b in enumerate(base)], "q long, qa long, qb long")
+    e = spark.createDataFrame([(i, *halves(b)) for i, b in enumerate(other)], "e long, fa long, fb long")
+    got = [(r.q, r.e, r.distance) for r in simhash.search_wide(q, e).collect()]
+    assert sorted(got) == sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(base) for j, b in enumerate(other) if (a ^ b).bit_count() <= simhash.RADIUS)
+    assert len(got) == (150 if near <= simhash.RADIUS else 0)
 
 
 # token ids

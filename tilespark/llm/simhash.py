@@ -12,8 +12,8 @@ for every block, led by that block, all of them are found by equality on (table,
 Equal fingerprints are one entry with a count.
 
 One changed word moves about 10 of 128 bits in a text of 100 words, and fewer in longer ones, so near copies are looked for within ``RADIUS`` bits. There
-blocks that agree would be too short to tell anything apart; of 8 blocks of 16 bits one differs by one bit at most, so a query asks every
-table for its block and the 16 blocks a bit away.
+blocks that agree would be too short to tell anything apart; of 6 blocks of 21 or 22 bits one differs by two bits at most, so a query asks every
+table for its block and all blocks up to two bits away. Documents of one fingerprint are a class with one representative, and only representatives are paired.
 
 Defined cases: null text is empty; words are separated by space and 0x09-0x0D; equal texts have equal fingerprints; repeated rows are rows of their
 own; null ids come after all others, in descending order of a hash of their text; a single document is its own next; an empty table gives an empty result; other columns are ignored,
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ CHUNK = 16_000
 BUCKET_ROWS, BUCKETS = 2_000, 65_536
 FIELDS = 0x0001000100010001
 HALVES = 0x0000FFFF0000FFFF
-#: Bits within which near copies are looked for, and blocks of a fingerprint then; a block may differ in RADIUS // WIDE_BLOCKS bits.
-RADIUS, WIDE_BLOCKS = 15, 8
+#: Bits within which near copies are looked for, and widths of the blocks of each half of a fingerprint then.
+RADIUS, WIDE = 15, (22, 21, 21)
 EMPTY = " \t\n\x0b\f\r"
 
 
@@ -121,21 +122,31 @@ def search(queries: DataFrame, entries: DataFrame, radius: int = 3) -> DataFrame
 
 
 def search_wide(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """``qa, qb, fa, fb, distance``: all distinct entries (``fa, fb``) within ``RADIUS`` bits of each distinct query (``qa, qb``)."""
-    block = lambda a, b, k: F.shiftrightunsigned(a if k < 4 else b, 48 - 16 * (k % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    apart = lambda k: F.bit_count(block("qa", "qb", k).bitwiseXOR(block("fa", "fb", k)))
-    flips = F.array(*[F.lit(x) for x in (0, *(1 << i for i in range(16)))])
+    """Columns of both and ``distance``: all entries (``fa, fb``, distinct) within ``RADIUS`` bits of each query (``qa, qb``, distinct)."""
+    widths = WIDE * 2
+    off = RADIUS // len(widths)
+
+    def block(a: str, b: str, k: int) -> Column:
+        i = k % len(WIDE)
+        below = 64 - sum(WIDE[: i + 1])
+        return F.shiftrightunsigned(a if k < len(WIDE) else b, below).bitwiseAND(F.lit((1 << WIDE[i]) - 1)).cast("int")
+
+    def flips(width: int) -> Column:
+        """All changes of up to ``off`` bits."""
+        return F.array(*[F.lit(sum(1 << i for i in some)) for n in range(off + 1) for some in combinations(range(width), n)])
 
     def tables(rows: DataFrame, a: str, b: str) -> DataFrame:
-        led = F.array(*[F.struct(F.lit(k).alias("t"), block(a, b, k).alias("key")) for k in range(WIDE_BLOCKS)])
-        return rows.select(a, b, F.explode(led).alias("_e")).select(a, b, "_e.t", "_e.key")
+        led = F.array(*[F.struct(F.lit(k).alias("t"), block(a, b, k).alias("key")) for k in range(len(widths))])
+        return rows.select("*", F.explode(led).alias("_e")).select(*rows.columns, "_e.t", "_e.key")
 
-    q = tables(queries.select("qa", "qb").distinct(), "qa", "qb").select("qa", "qb", "t", "key", F.explode(flips).alias("_flip"))
-    q = q.select("qa", "qb", "t", F.col("key").bitwiseXOR(F.col("_flip")).alias("key"))
-    e = tables(entries.select("fa", "fb").distinct(), "fa", "fb")
+    apart = lambda k: F.bit_count(block("qa", "qb", k).bitwiseXOR(block("fa", "fb", k)))
+    wide = F.col("t").isin([k for k, w in enumerate(widths) if w == max(widths)])
+    q = tables(queries, "qa", "qb").select("*", F.explode(F.when(wide, flips(max(widths))).otherwise(flips(min(widths)))).alias("_flip"))
+    q = q.select(*queries.columns, "t", F.col("key").bitwiseXOR(F.col("_flip")).alias("key"))
+    e = tables(entries, "fa", "fb")
     distance = F.bit_count(F.col("qa").bitwiseXOR(F.col("fa"))) + F.bit_count(F.col("qb").bitwiseXOR(F.col("fb")))
-    first = reduce(lambda x, y: x & y, [(q["t"] <= k) | (apart(k) > 1) for k in range(WIDE_BLOCKS)])
-    return q.join(e, (q["t"] == e["t"]) & (q["key"] == e["key"]) & (distance <= RADIUS) & first).select("qa", "qb", "fa", "fb", distance.alias("distance"))
+    first = reduce(lambda x, y: x & y, [(q["t"] <= k) | (apart(k) > off) for k in range(len(widths))])
+    return q.join(e, (q["t"] == e["t"]) & (q["key"] == e["key"]) & (distance <= RADIUS) & first).select(*queries.columns, *entries.columns, distance.alias("distance"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -216,20 +227,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbours(docs: DataFrame, asked: Column) -> DataFrame:
-    """``doc_id, near_id, distance``: for each id that is asked for, the ids of all other documents whose fingerprints are within ``RADIUS`` bits.
+    """``doc_id, near_id, distance, near_print``: documents that share a fingerprint are a class, named by its smallest id (null if none has one) and its fingerprint.
 
-    An id that rows repeat is named once for every distance at which it is found. A document without an id is found, as null, and never asked for.
+    Every document has a row of distance 0 that names its class. Every class with an id that is asked for has a row for each other class within ``RADIUS``
+    bits, from the one's smallest id to the other's. What is near a document is therefore the members of its class, of the classes its class names, and no
+    others; copies are not paired. Rows equal in id and fingerprint are one document. One without an id is found, but does not make its class be asked for.
     """
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_n", F.monotonically_increasing_id())
     prints = materialize(fingerprints(numbered, ["doc_id", "_n"]).select("doc_id", "fa", "fb").distinct(), "prints")
-    wanted = prints.filter(F.col("doc_id").isNotNull() & asked).select("doc_id", F.col("fa").alias("qa"), F.col("fb").alias("qb"))
-    hits = search_wide(wanted, prints)
-    found = prints.withColumnRenamed("doc_id", "near_id").join(hits, ["fa", "fb"])
-    return wanted.join(found, ["qa", "qb"]).filter(~F.col("doc_id").eqNullSafe(F.col("near_id"))).select("doc_id", "near_id", "distance").distinct()
+    wanted = F.coalesce(F.col("doc_id").isNotNull() & asked, F.lit(False))
+    classes = materialize(prints.groupBy("fa", "fb").agg(F.min("doc_id").alias("near_id"), F.max(wanted).alias("asked")), "classes")
+    queries = classes.filter("asked").select(F.col("near_id").alias("doc_id"), F.col("fa").alias("qa"), F.col("fb").alias("qb"))
+    links = search_wide(queries, classes.select("near_id", "fa", "fb")).filter("distance > 0")
+    members = prints.join(classes, ["fa", "fb"]).withColumn("distance", F.lit(0))
+    return members.unionByName(links, allowMissingColumns=True).select("doc_id", "near_id", "distance", shown("f").alias("near_print"))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The near copies of every hundredth id."""
+    """The classes of all documents, and what is near those that hold a hundredth id."""
     return neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), F.col("doc_id") % 100 == 0)
 
 
