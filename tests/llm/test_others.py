@@ -215,7 +215,7 @@ def test_chat_of_nothing(spark):
 
 def test_catalogue():
     names = [n.split("_")[0] for n in catalog.queries()]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14))
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
