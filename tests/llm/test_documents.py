@@ -504,3 +504,77 @@ def test_label_model_learns_accuracies():
     model = quality.LabelModel(patterns, n.astype(float), v.shape[1])
     assert model.accuracy[0].mean() > model.accuracy[1].mean() > model.accuracy[2].mean()
     assert ((model.posterior(v) > 0.5) == truth).mean() > 0.95
+
+
+def test_label_model_by_plain_loops():
+    """Expectation-maximisation, row by row and class by class."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 3, (90, quality.N_HEURISTICS + 1))
+    v[:40] = np.where(v[:40] == quality.BAD, quality.GOOD, v[:40])
+    patterns, n = np.unique(quality.pattern(v), return_counts=True)
+    model = quality.LabelModel(patterns, n.astype(float), v.shape[1], rounds=25)
+    meant, M = [*quality.LABELLERS.values(), None], quality.LabelModel
+    start = [[M.FOUND if meant[j] == k or (meant[j] is None and k) else M.BLAMED for j in range(v.shape[1])] for k in range(4)]
+    blame, share, pseudo = [list(x) for x in start], list(M.SHARES), M.PRIOR * len(v) + 1
+
+    def chances(row):
+        p = list(share)
+        for k in range(4):
+            for j, x in enumerate(row):
+                p[k] *= blame[k][j] if x == quality.BAD else 1 - blame[k][j] if x == quality.GOOD else 1
+        return [x / sum(p) for x in p]
+
+    for _ in range(25):
+        each = [chances(row) for row in v]
+        for k in range(4):
+            for j in range(v.shape[1]):
+                bad = sum(e[k] for e, row in zip(each, v, strict=True) if row[j] == quality.BAD) + pseudo * start[k][j]
+                good = sum(e[k] for e, row in zip(each, v, strict=True) if row[j] == quality.GOOD) + pseudo * (1 - start[k][j])
+                blame[k][j] = bad / (bad + good)
+        share = [(sum(e[k] for e in each) + pseudo * M.SHARES[k]) / (len(v) + pseudo) for k in range(4)]
+    assert np.allclose(model.chance[:, :, 1], blame) and np.allclose(model.share, share)
+    assert np.allclose(model.posterior(v), [1 - chances(row)[0] for row in v])
+
+
+def test_lessons_by_plain_counts(spark):
+    """Words of toxic documents and odds of trigrams, counted one document at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    worst = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    lessons = quality.teach(docs, worst)
+    held, size, grams = {"toxic": Counter(), "other": Counter()}, Counter(), {"low": Counter(), "clean": Counter()}
+    for r in docs.join(worst, "doc_id").collect():
+        raw = (r.text or "").encode()
+        side = "toxic" if r.toxic == 1 else "other"
+        held[side].update(set(raw.translate(quality._SPLIT).split()))
+        size[side] += 1
+        if r.toxic == 0:
+            c = [int(quality._CLASS[b]) for b in raw]
+            grams["low" if r.quality == 0 else "clean"].update(zip(c, c[1:], c[2:], strict=False))
+    want, t, o = [], size["toxic"], size["other"]
+    for w, a in held["toxic"].items():
+        b = held["other"][w]
+        g = 2 * sum(x * np.log(x / (n * (a + b) / (t + o))) for x, n in ((a, t), (b, o)) if x)
+        if (a + 0.5) / (t + 1) >= quality.TIMES * (b + 0.5) / (o + 1) and g >= quality.EVIDENCE:
+            want.append(w)
+    assert len(want) > 5 and set(lessons.words.tolist()) == set(quality.word_hashes(want)[0].tolist())
+    total = {k: sum(x.values()) + quality.TRIGRAMS for k, x in grams.items()}
+    odds = [np.log((grams["low"][g] + 1) / total["low"]) - np.log((grams["clean"][g] + 1) / total["clean"]) for g in np.ndindex(8, 8, 8)]
+    assert np.allclose(lessons.odds, odds)
+
+
+def test_quality_query(spark):
+    """The registered query: scores worked out one column at a time; labellers that differ in what they are worth; most toxic documents of every language go."""
+    got = {r.doc_id: r for r in quality.op6_quality(spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    c = quality.fit(docs, labels)
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[::7]:
+        columns = quality.features(*quality.measure([r.text], c.lessons))[0]
+        words = len(columns) - len(quality.STATISTICS)
+        z = float(c.weights[-1]) + sum(float(c.weights[x]) * (1 / max(1, words) ** 0.5 if k < words else 1.0) for k, x in enumerate(columns))
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-z))) < 1e-4 and got[r.doc_id].rejected == (got[r.doc_id].score >= quality.REJECT)
+    assert np.ptp(c.model.accuracy) > 0.05
+    toxic = [r.doc_id for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 AND t = 1").collect()]
+    assert sum(got[i].rejected for i in toxic) >= 0.7 * len(toxic)
