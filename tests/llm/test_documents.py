@@ -578,3 +578,37 @@ def test_quality_query(spark):
     assert np.ptp(c.model.accuracy) > 0.05
     toxic = [r.doc_id for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 AND t = 1").collect()]
     assert sum(got[i].rejected for i in toxic) >= 0.7 * len(toxic)
+
+
+def test_language_query_by_plain_sets(spark):
+    """The registered query against kernels of Python sets, and ridge regression by least squares."""
+    got = {r.doc_id: r for r in language.op10_language(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    fitted = sorted((r.lang, r.h, r.text) for r in language.sample(docs).collect())
+    names = sorted({x for x, _, _ in fitted})
+    marks = [t for x in names for t in [t for y, _, t in fitted if y == x][: 160 // len(names)]]
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        s, before = " ", None
+        for c in letters:
+            if c != " " or before != " ":
+                s += c
+            before = c
+        s += " "
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    seen = set().union(*map(grams, marks))
+    held = [grams(t) for t in marks]
+    kernel = lambda texts: np.array([[len(g & m) / (max(1, len(g)) * max(1, len(m))) ** 0.5 for m in held] for g in (grams(t) & seen for t in texts)])
+    values, vectors = np.linalg.eigh(kernel(marks))
+    root = (vectors / np.sqrt(np.maximum(values, 1e-12)))[:, values > 1e-6 * values[-1]]
+    x = np.hstack([kernel([t for _, _, t in fitted]) @ root, np.ones((len(fitted), 1))])
+    y = np.array([[1.0 if a == b else -1.0 for b in names] for a, _, _ in fitted])
+    w = np.linalg.lstsq(np.vstack([x, (1e-3 * len(x)) ** 0.5 * np.eye(x.shape[1])]), np.vstack([y, np.zeros((x.shape[1], len(names)))]), rcond=None)[0]
+    rows = [r for r in docs.collect() if r.text and any(map(str.isalpha, r.text))]
+    f = np.hstack([kernel([r.text for r in rows]) @ root, np.ones((len(rows), 1))]) @ w
+    e = np.exp(4 * f)
+    assert len(got) == docs.count() and len(rows) > 150
+    for r, a, b in zip(rows, f, e / e.sum(1, keepdims=True), strict=True):
+        assert got[r.doc_id].lang_pred == names[a.argmax()] and abs(got[r.doc_id].score - b.max()) < 2e-3
