@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,18 +55,34 @@ def seam_duplicates(found: DataFrame, contained: float = 0.6) -> DataFrame:
 
 
 def _per_frame(found: DataFrame, settle: Callable[[Detections], Detections]) -> DataFrame:
-    """``frame_id, x1..y2, score`` and extra columns of what is left of each frame's detections, in the order of tile and place."""
-    more = [c for c in found.columns if c not in ("frame_id", "tile", "score", "seams", *FIELDS)]
-    names = ["frame_id", *FIELDS, "score", *more]
+    """``frame_id, x1..y2, score`` and extra columns of what is left of each frame's detections, in the order of tile, place and score (highest first).
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["tile", *FIELDS])
-        seen = Detections(ordered[FIELDS].to_numpy(float), ordered["score"].to_numpy(float), ordered["tile"].to_numpy(), np.array(ordered["seams"].tolist(), dtype=bool).reshape(-1, 4))
-        left = settle(seen)
-        kept = ordered.iloc[left.source][["frame_id", *more]].reset_index(drop=True)
-        return pd.concat([kept, pd.DataFrame(left.boxes, columns=FIELDS)], axis=1).assign(score=left.scores)[names]
+    A frame's detections travel as one array; a batch of frames is sorted and written at once, so that only ``settle`` is called once a frame.
+    """
+    more = [c for c in found.columns if c not in ("frame_id", "tile", "score", "seams", *FIELDS)]
+    schema = T.StructType([found.schema[c] for c in ("frame_id", *FIELDS, "score", *more)])
+    own = F.struct("tile", *FIELDS, "score", "seams", F.struct(*[F.col(f"`{c}`") for c in more] or [F.lit(None).alias("nothing")]).alias("more"))
 
-    return found.groupBy("frame_id").applyInPandas(run, T.StructType([found.schema[c] for c in names]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = to_arrow_schema(schema)
+        for b in batches:
+            lists = b.column("found")
+            flat, owner = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            rows = pa.table([pa.array(owner), *[flat.field(c) for c in ("tile", *FIELDS, "score")]], names=["owner", "tile", *FIELDS, "score"])
+            order = pc.sort_indices(rows, sort_keys=[*((c, "ascending") for c in ("owner", "tile", *FIELDS)), ("score", "descending")])
+            rows, flat = rows.take(order), flat.take(order)
+            boxes = np.stack([rows[c].to_numpy().astype(float) for c in FIELDS], axis=1)
+            scores, seen = rows["score"].to_numpy().astype(float), flat.field("seams").flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            tiles = np.unique(rows["tile"].to_numpy(), return_inverse=True)[1]
+            ends = np.searchsorted(owner, np.arange(len(lists) + 1))  # owners ascend, before sorting and after
+            left = [settle(Detections(boxes[i:j], scores[i:j], tiles[i:j], seen[i:j], np.arange(i, j))) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            source = np.concatenate([d.source for d in left]) if left else np.zeros(0, dtype=np.int64)
+            columns = [b.column("frame_id").take(pa.array(owner[source])), *np.concatenate([d.boxes for d in left]).T, np.concatenate([d.scores for d in left])] if left else [pa.array([])] * 6
+            rest = flat.field("more").take(pa.array(source))
+            columns += [rest.field(i) for i in range(len(more))]
+            yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(f.type) for c, f in zip(columns, wanted, strict=True)], schema=wanted)
+
+    return found.groupBy("frame_id").agg(F.collect_list(own).alias("found")).mapInArrow(run, schema)
 
 
 def suppressed(found: DataFrame, threshold: float = 0.5) -> DataFrame:
