@@ -81,3 +81,8 @@ def model_label(model: Column, dim: Column) -> Column:
 def thumbnail_side(asked: Column, least: int = 16, most: int = 512) -> Column:
     """The side of a thumbnail: what was asked for within bounds."""
     return F.greatest(F.lit(least), F.least(F.lit(most), asked))
+
+
+def number_type(device: Column, major: Column) -> Column:
+    """The type a model computes in: half precision on accelerators (``cuda``), by the major number of their capability; whole precision elsewhere."""
+    return F.when(device != "cuda", F.lit("float32")).when(major >= 8, F.lit("bfloat16")).when(major < 8, F.lit("float16"))

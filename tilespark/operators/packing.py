@@ -115,3 +115,14 @@ def tile_bytes(strips: DataFrame, tiles: DataFrame) -> DataFrame:
     line = lambda y: F.rpad(F.hex(F.coalesce(F.element_at(F.col("_m"), y.cast("int")), F.lit(b""))), 2 * F.col("_width"), F.lit("0"))
     lines = F.transform(F.sequence(F.col("px_y"), F.col("px_y") + F.col("scale") - 1), line)
     return whole.withColumns({"_m": by_y, "_width": width}).select("tile_id", F.unhex(F.array_join(lines, "")).alias("data"))
+
+
+def opening_phrases(areas: DataFrame, phrases: DataFrame, chosen: DataFrame, fallback: str) -> DataFrame:
+    """``aoi, phrase, at``: the phrase each area opens with, ``chosen`` (``aoi, phrase``) for it or the fallback, and its place among ``phrases`` (``at, phrase``).
+
+    A phrase that is not offered ends the query: a page would open with nothing. Repeated areas are one, as are repeated phrases (the first place counts).
+    """
+    first = phrases.groupBy("phrase").agg(F.min("at").alias("at"))
+    opens = areas.select("aoi").distinct().join(chosen.groupBy("aoi").agg(F.min("phrase").alias("phrase")), "aoi", "left").withColumn("phrase", F.coalesce("phrase", F.lit(fallback)))
+    absent = F.raise_error(F.concat(F.lit("not among the phrases: "), F.col("phrase")))
+    return opens.join(first, "phrase", "left").select("aoi", "phrase", F.when(F.col("at").isNull(), absent.cast("int")).otherwise(F.col("at").cast("int")).alias("at"))

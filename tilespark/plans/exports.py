@@ -90,6 +90,22 @@ def labels_and_sides(spark, sf_dir):
     return p.select("p_partkey", t.slug(F.col("p_type")).alias("slug"), t.model_label(F.col("p_brand"), dim).alias("label"), t.thumbnail_side(F.col("p_size") * 16).cast("int").alias("side"))
 
 
+def opening_phrases(spark, sf_dir):
+    """Nations as areas: each opens with the first type of the parts of its size, where that is no multiple of three."""
+    types = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("phrase")).agg(F.min("p_partkey").alias("at"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("aoi"), "n_nationkey")
+    sized = table(spark, sf_dir, "part").filter("p_size % 3 <> 0").groupBy("p_size").agg(F.min("p_type").alias("phrase"))
+    chosen = nations.join(sized, F.col("n_nationkey") == F.col("p_size")).select("aoi", "phrase")
+    return packing.opening_phrases(nations, types, chosen, types.agg(F.min("phrase")).first()[0])
+
+
+def number_types(spark, sf_dir):
+    """Suppliers as machines: every third has no accelerator."""
+    s = table(spark, sf_dir, "supplier")
+    device = F.when(F.col("s_suppkey") % 3 == 0, "cpu").otherwise("cuda")
+    return s.select("s_suppkey", t.number_type(device, F.col("s_nationkey") % 10 + 1).alias("kind"))
+
+
 def lexical_nearest(spark, sf_dir):
     """The ten phrases nearest in words, with a score above zero."""
     p = table(spark, sf_dir, "phrases").select("phrase", "category", t.lexical_similarity(F.lit("small red bolt"), F.col("phrase")).alias("score"))
@@ -166,7 +182,7 @@ def near_pairs_by_label(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (int8_roundtrip, topk_overlap, pca_overlap, export_background, export_columns, query_codes, bake_off_top, bake_off_spread, files_under, labels_and_sides, gram_matrix, lexical_nearest, phrase_filter, phrase_categories, parse_boxes, html_block, query_cleanup, resume_todo, vector_checks, vector_norms, mixed_model_check, stale_export, near_pairs_by_label)
+    for f in (int8_roundtrip, topk_overlap, pca_overlap, export_background, export_columns, query_codes, bake_off_top, bake_off_spread, files_under, labels_and_sides, opening_phrases, number_types, gram_matrix, lexical_nearest, phrase_filter, phrase_categories, parse_boxes, html_block, query_cleanup, resume_todo, vector_checks, vector_norms, mixed_model_check, stale_export, near_pairs_by_label)
 }
 
 _V = "CAST({0}embedding AS DOUBLE[])"
@@ -200,6 +216,9 @@ ORACLE = {
           SELECT candidate, query_id, count(*) AS n, round(min(score), 4) AS score_min, round(max(score), 4) AS score_max, round(avg(score), 4) AS score_mean FROM a GROUP BY 1, 2""",
         "files_under": "SELECT scene_id, path FROM {scenes} WHERE path LIKE 'area1/%' OR path LIKE 'area5/Brand#2%'",
         "labels_and_sides": """SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS slug, p_brand || CASE WHEN p_size % 3 <> 0 THEN ' ' || chr(183) || ' ' || (p_size * 16) || '-d' ELSE '' END AS label, CAST(greatest(16, least(512, p_size * 16)) AS INT) AS side FROM {part}""",
+        "opening_phrases": """WITH ph AS (SELECT p_type AS phrase, min(p_partkey) AS "at" FROM {part} GROUP BY 1), c AS (SELECT n_nationkey, min(p_type) AS phrase FROM {nation} JOIN {part} ON p_size = n_nationkey AND p_size % 3 <> 0 GROUP BY 1)
+          SELECT aoi, phrase, CAST(ph."at" AS INT) AS "at" FROM (SELECT n_name AS aoi, coalesce(c.phrase, (SELECT min(phrase) FROM ph)) AS phrase FROM {nation} n LEFT JOIN c ON c.n_nationkey = n.n_nationkey) o JOIN ph USING (phrase)""",
+        "number_types": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'float32' WHEN s_nationkey % 10 + 1 >= 8 THEN 'bfloat16' ELSE 'float16' END AS kind FROM {supplier}",
         "gram_matrix": "WITH d AS (SELECT unnest(range(0, 64)) AS k) SELECT CAST(a.k AS INT) AS i, CAST(b.k AS INT) AS j, round(avg(CAST(embedding[a.k + 1] AS DOUBLE) * CAST(embedding[b.k + 1] AS DOUBLE)), 6) AS v FROM {embeddings}, d a, d b GROUP BY 1, 2",
         "lexical_nearest": """WITH p AS (SELECT *, string_split(lower(phrase), ' ') AS w, ['small', 'red', 'bolt'] AS q FROM {phrases}),
           s AS (SELECT phrase, category, CASE WHEN contains(lower(phrase), 'small red bolt') THEN 10 ELSE 0 END + list_sum(list_transform(q, lambda a: list_sum(list_transform(w, lambda b: CASE WHEN a = b THEN 3e0 WHEN contains(a, b) OR contains(b, a) THEN 0.5e0 ELSE 0e0 END)))) AS score FROM p)

@@ -27,3 +27,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="tilespark-")
         spark.conf.set("tilespark.shared.dir", root)
     return f"{root.rstrip('/')}/tilespark/{name}-{uuid.uuid4().hex}"
+
+
+def setting(spark: SparkSession, name: str, default: str | None = None) -> str:
+    """The session's ``tilespark.<name>`` (as ``data.root``, ``index.root``); without a default it has to be set, and an empty value is none."""
+    value = spark.conf.get(f"tilespark.{name}", None) or default
+    if value is None:
+        raise ValueError(f"set tilespark.{name}, as with --conf tilespark.{name}=...")
+    return value
