@@ -169,6 +169,37 @@ def test_repeats_without_ids(spark):
     assert len(groups) == 100
 
 
+@pytest.mark.parametrize("hot", [4_000, 0])
+def test_repeats_of_short_periods_are_rows_by_run(spark, monkeypatch, hot):
+    """Periodic text has a cell for each period, at period 1 for each byte; the places of a kind travel as runs."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    own = lambda i: " ".join(f"own{i}x{j * j}" for j in range(40))
+    periods = ["y", "Is onhe. ", "".join(map(chr, range(40, 120))) * 2 + "z", "".join(map(chr, range(40, 121))) * 2, own("p")[:300]]
+    texts = [own(i) + periods[i % 5] * (3_000 // len(periods[i % 5])) + own(-i - 1) for i in range(25)]
+    texts += ["k" * n for n in (199, 200)] + ["m" * 201, "no. " * 50, "go. " * 51 + own("a") + "go. " * 60]  # in one document, or only there
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    want = []
+    for k, t in enumerate(texts):
+        gone = np.zeros(len(t) + 1, dtype=bool)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        want.append((k, len(t), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), sha("".join(x for x, g in zip(t, gone) if not g).encode())))
+    assert sorted(map(tuple, repeats.without_repeats(docs, digests=True).collect())) == want
+    short = docs.filter("doc_id % 5 < 2 AND doc_id < 25")
+    assert repeats.repeated_spans(short).count() <= 5 * short.count()
+
+
+def test_runs_of_cells_keep_every_window():
+    period = b"Is onhe. "
+    for text in (period * 1_900_000, (period * 400_000 + bytes(range(65, 91)) * 20) * 5):  # stretches of texts of 16 MB and more
+        rows = np.concatenate([np.stack([b.column(c).to_numpy() for c in ("at", "times")], axis=1) for b in repeats._long_cells([(0, 3, 4, text)], 200)])
+        first, many, times = rows[:, 0] >> 20, rows[:, 0] & ((1 << 20) - 1), rows[:, 1]
+        assert first[0] == 0 and (first[1:] == (first + many * times)[:-1]).all() and (first + many * times)[-1] == len(text) - 199
+        assert len(rows) < 1_000
+
+
 def test_repeats_of_nothing(no_docs):
     assert repeats.without_repeats(no_docs).collect() == []
 

@@ -5,12 +5,14 @@ put aside before anything is sorted:
 
 1. Each window of ``length`` bytes has an anchor: the place in it whose next ``GRAM`` bytes hash least, the first of equals. Windows with
    equal bytes have equal anchors at equal places, so only windows with equal anchors can be equal. The windows of one anchor are consecutive; they
-   and their bytes are the anchor's cell, about one cell for 80 bytes.
+   and their bytes are the anchor's cell, about one cell for 80 bytes. Text of a short period makes a cell for each period, all of one kind: cells of one kind that
+   follow one another in a document are one row with the number of ``times``.
 2. Anchors that occur once are put aside. Of the cells of the others one of each kind (anchor and cell hash) goes with its bytes and its multiplicity, the number
    of its places, to a shard chosen by its anchor: a passage with thousands of copies is sorted once.
 3. The shard's suffix array (two-stage sorting, see ``suffix_array``) with adjacent common prefixes decides: suffixes that agree over ``length`` bytes are one
    string, which occurs as often as the multiplicities of their cells add up to. Strings that occur twice are spans of their kinds, and a join gives them to all
-   places. Every window lies in one cell, so it is never compared with itself.
+   places, one row for cells that follow one another: a kind that does so occurs twice, so its span is the whole cell, and those of its neighbours touch. Every window
+   lies in one cell, so it is never compared with itself.
 4. An anchor with more than ``HOT`` kinds would make its shard unbounded: its windows are added up one by one, by
    128-bit hash, in an aggregation over all tasks. That is exact as well.
 
@@ -149,14 +151,19 @@ def _find_cells(length: int):
                     continue
                 ids, keys = (np.array([r[c] for r in rows], dtype=np.int64) for c in (1, 2))
                 doc, first, many, anchor, cell = cells(*_joined([r[3] for r in rows]), length)
-                yield _cell_rows(ids[doc], keys[doc], first, many, anchor, cell)
+                yield _cell_rows(ids, keys, doc, first, many, anchor, cell)
 
     return run
 
 
-def _cell_rows(ids, keys, first, many, anchor, cell) -> pa.RecordBatch:
-    columns = [ids, keys, first << 20 | many, anchor.view(np.int64), cell.view(np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["id", "key", "at", "anchor", "cell"])
+def _cell_rows(ids, keys, doc, first, many, anchor, cell) -> pa.RecordBatch:
+    """A row for each run of cells of one kind in a document, which follow one another without a gap."""
+    same = (doc[1:] == doc[:-1]) & (anchor[1:] == anchor[:-1]) & (cell[1:] == cell[:-1])
+    opens = np.flatnonzero(np.concatenate([[True], ~same])[: len(doc)])
+    times = np.diff(np.concatenate([opens, [len(doc)]]))
+    doc, at = doc[opens], (first << 20 | many)[opens]
+    columns = [ids[doc], keys[doc], at, times, anchor[opens].view(np.int64), cell[opens].view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype=np.int64)) for c in columns], ["id", "key", "at", "times", "anchor", "cell"])
 
 
 def _long_cells(rows, length: int) -> Iterator[pa.RecordBatch]:
@@ -170,7 +177,7 @@ def _long_cells(rows, length: int) -> Iterator[pa.RecordBatch]:
             _, first, many, anchor, cell = cells(part, np.array([0]), np.array([len(part)]), length)
             last = lo + step >= len(raw)
             n = len(first) if last else len(first) - 1
-            yield _cell_rows(np.full(n, ids), np.full(n, keys), first[:n] + lo, many[:n], anchor[:n], cell[:n])
+            yield _cell_rows(np.array([ids]), np.array([keys]), np.zeros(n, dtype=np.int64), first[:n] + lo, many[:n], anchor[:n], cell[:n])
             if last:
                 break
             lo += int(first[-1])
@@ -231,13 +238,13 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = _own_names(docs, [])
-    found = materialize(docs.mapInArrow(_find_cells(length), "id long, key long, at long, anchor long, cell long"), "cells")
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    found = materialize(docs.mapInArrow(_find_cells(length), "id long, key long, at long, times long, anchor long, cell long"), "cells")
+    anchors = found.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor")
     again = materialize(found.join(materialize(anchors, "anchors"), "anchor"), "cells-again")
     remove(found)
     # one place of each kind, whichever comes first: all have the same bytes
     some = [F.first(c).alias(c) for c in ("id", "key", "at")]
-    kinds = materialize(again.groupBy("anchor", "cell").agg(F.count(F.lit(1)).alias("n"), *some), "kinds")
+    kinds = materialize(again.groupBy("anchor", "cell").agg(F.sum("times").alias("n"), *some), "kinds")
     crowded = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > HOT).select("anchor", F.lit(True).alias("crowded")), "crowded")
     first, many = F.shiftright("at", 20), F.col("at").bitwiseAND(F.lit((1 << 20) - 1))
     cell = F.struct("anchor", "cell", "n", F.coalesce("crowded", F.lit(False)).alias("hot"), first.alias("first"), many.alias("many"))
@@ -304,9 +311,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
         more = more.groupBy("anchor", "cell", "run").agg(F.min("from").alias("from"), (F.max("from") + length).alias("to"))
         spans = spans.unionByName(more.drop("run"))
 
-    # what was found for a kind holds at all its places
+    # what was found for a kind holds at all its places; in a run the last cell's end is the end
     spans = materialize(spans, "kind-spans")
-    return join_small(again, spans, ["anchor", "cell"], "inner").select("id", "key", (first + F.col("from")).alias("start"), (first + F.col("to")).alias("end"))
+    last = first + (F.col("times") - 1) * many
+    return join_small(again, spans, ["anchor", "cell"], "inner").select("id", "key", (first + F.col("from")).alias("start"), (last + F.col("to")).alias("end"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
