@@ -53,12 +53,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = neardup.near_duplicates(docs.select(h.alias("doc_id"), "text"), k=5, percent=80).groupBy(F.col("doc_id").alias("_h"))
     seen = materialize(found.agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component")).filter("n > 1 OR _h <> component"), "flags")
     linked = seen.filter("_h <> component").select("_h", "component")
-    members = materialize(linked.unionByName(linked.select(F.col("component").alias("_h"), "component")).distinct(), "members")
+    members = materialize(linked.unionByName(linked.select(F.col("component").alias("_h"), "component")).distinct(), "members", of=seen)
     named = join_small(docs.select(h.alias("_h"), F.col("doc_id").cast("long").alias("_id")), members, "_h", "inner")
     stays = named.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("nobody"), "_id", "_h")).alias("s")).select("component", F.col("s._h").alias("_stays"))
-    gone = materialize(members.join(stays, "component").filter("_h <> _stays").select(F.col("_h").alias("_gone")), "gone")
+    gone = materialize(members.join(stays, "component").filter("_h <> _stays").select(F.col("_h").alias("_gone")), "gone", of=members)
     left = join_small(docs, gone, h == F.col("_gone"), "left_anti")
-    repeated = materialize(seen.filter("n > 1").select(F.col("_h").alias("_again")), "again")
+    repeated = materialize(seen.filter("n > 1").select(F.col("_h").alias("_again")), "again", of=seen)
     if not repeated.limit(1).count():
         return left
     packed = _packed(left).withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"), "text"))

@@ -137,6 +137,21 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_small_tables_are_few_files(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(x) for x in names]
+    try:
+        for name, value in zip(names, ("32", "false"), strict=True):
+            spark.conf.set(name, value)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(0, 1000, 2)], "a long, b long")
+        found = connected_components(edges)
+        assert len(found.inputFiles()) == 1  # and not one for each of 32 partitions
+        assert {(r.node, r.component) for r in found.collect()} == {(i, i - i % 2) for i in range(1000)}
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
 # repeated passages
 
 

@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of ``edges`` (``a, b``, longs); a component is named by its smallest node.
 
     A node's least neighbour is found with partial aggregation and joined to its edges from a written table, so that adaptive execution can
-    split the edges of a node that has very many. Each round is written to the shared folder, which cuts the lineage.
+    split the edges of a node that has very many. Each round is written to the shared folder, which cuts the lineage, in as many files as its edges need.
     """
     now = materialize(edges.select("a", "b").filter("a <> b").mapInArrow(contract, "a long, b long").distinct(), "edges")
     state = None
@@ -69,13 +69,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         state = (row["n"], row["s"])
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", of=now)
         large = join_small(both.filter("b > a"), least, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         # small star: every node links its smaller neighbours and itself to the least of them
-        large = materialize(large.distinct(), "large")
-        down = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = materialize(large.distinct(), "large", of=now)
+        down = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least", of=now)
         small = join_small(large, down, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        following = materialize(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        following = materialize(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), "edges", of=now)
         for old in (now, least, large, down):
             remove(old)
         now = following

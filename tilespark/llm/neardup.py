@@ -215,18 +215,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lean = materialize(signatures(docs, k, percent / 100), "signatures")
     with_set = lean.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes", of=lean)
     reps = with_set.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select("doc_id", F.explode("keys").alias("key"))
-    reps = materialize(reps, "bands")
-    buckets = materialize(reps.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least"), "buckets")
+    reps = materialize(reps, "bands", of=lean)
+    buckets = materialize(reps.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least"), "buckets", of=reps)
     stars = join_small(reps, buckets, "key", "inner").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    candidates = materialize(connected_components(stars), "candidates")
+    candidates = materialize(connected_components(stars), "candidates", of=reps)
 
     members = join_small(lean.select(F.col("doc_id").alias("node"), "n_shingles").filter("node is not null"), candidates, "node", "inner")
     members = members.groupBy("node", "component").agg(F.max("n_shingles").alias("n"))
-    weigh = materialize(members.groupBy("component").agg(F.sum("n").alias("hashes")), "component-sizes")
+    weigh = materialize(members.groupBy("component").agg(F.sum("n").alias("hashes")), "component-sizes", of=candidates)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("hashes") / F.lit(BLOCK_HASHES))).cast("int")
-    placed = materialize(join_small(candidates, weigh.select("component", blocks.alias("blocks")), "component", "inner"), "placed")
+    placed = materialize(join_small(candidates, weigh.select("component", blocks.alias("blocks")), "component", "inner"), "placed", of=candidates)
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return rows.select(F.concat_ws(":", F.lit(seed), "component", block).alias("task"), F.lit(0).alias("side"), F.lit(True).alias("within"), "doc_id", "set")
 
     edges = materialize(searched(dealt(sets, 1).unionByName(dealt(sets.filter("blocks > 1"), 2)), percent), "links")
-    labels = materialize(connected_components(edges), "labels")
+    labels = materialize(connected_components(edges), "labels", of=edges)
 
     large = sets.filter("blocks > 1").drop("blocks")
     if large.limit(1).count():
@@ -254,12 +254,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if several.limit(1).count():
             unsettled = materialize(join_small(named, several, "component", "inner"), "unsettled-sets")
             edges = materialize(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links_between(unsettled, percent)), "links")
-            labels = materialize(connected_components(edges), "labels")
+            labels = materialize(connected_components(edges), "labels", of=edges)
 
     # a class belongs to its representative's component; most classes are one document that is linked with nothing
     linked = labels.filter("component <> node").select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     final = classes.join(linked, "rep", "left").filter((F.col("n") > 1) | F.col("component_id").isNotNull())
-    final = materialize(final.select("digest", F.coalesce("component_id", "rep").alias("component_id")), "final")
+    final = materialize(final.select("digest", F.coalesce("component_id", "rep").alias("component_id")), "final", of=classes)
     out = join_small(lean.select("doc_id", "n_shingles", "digest"), final, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -40,9 +40,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    ``of`` names a written table that bounds its size: a file is then written for each MiB of that table at most, not for every partition. A file costs a
+    local file system a process or more that sets its mode, started as a copy of the executor.
+    """
     spark = df.sparkSession
+    if of is not None and (files := 1 + (table_bytes(of) >> 20)) < partitions(spark):
+        df = df.coalesce(files)
     path = new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
