@@ -366,3 +366,25 @@ def test_lineage_is_cut_in_the_shared_folder(spark):
 
     df = materialize(spark.range(10).select(F.col("id").alias("weird na`me")), "t")
     assert df.count() == 10 and table_bytes(df) > 0
+
+
+def test_tasks_give_back_what_they_freed():
+    import re
+    from pathlib import Path
+
+    from tilespark.llm.shared import tidy
+
+    def megabytes():
+        return int(re.search(r"\nRssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    kept = []
+
+    def run(batches):
+        held = [bytes(5000) for _ in range(40_000)]  # 200 MB, in pieces that are kept when freed
+        kept.append(bytes(5000))  # behind them
+        yield from batches
+        del held
+
+    before = megabytes()
+    assert list(tidy(run)(iter([1, 2]))) == [1, 2]
+    assert megabytes() - before < 60

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tilespark.llm.shared import bounded_batches, materialize_buckets, with_fields
+from tilespark.llm.shared import bounded_batches, materialize_buckets, tidy, with_fields
 
 #: A block of texts is closed at so many distinct words, characters or texts.
 BLOCK_WORDS, BLOCK_CHARS, BLOCK_TEXTS = 400_000, 24_000_000, 50_000
@@ -189,7 +189,7 @@ def blocks_of(docs: DataFrame, definition: str, carry: list[str], block_chars: i
 
     # names of carried columns are set aside: any may clash
     lean = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(carry)], F.lit(True).alias("_row"), F.col("text").alias("_text"))
-    return materialize_buckets(lean.mapInArrow(code, "block long, rows binary, codes array<binary>, words array<string>"), "bpe-blocks", "block")
+    return materialize_buckets(lean.mapInArrow(tidy(code), "block long, rows binary, codes array<binary>, words array<string>"), "bpe-blocks", "block")
 
 
 def word_table(words: DataFrame, definition: str) -> DataFrame:
@@ -211,7 +211,7 @@ def word_table(words: DataFrame, definition: str) -> DataFrame:
     vocabulary = spark.createDataFrame(list(enumerate(pieces)), "id int, piece string")  # a fixed size
     # from here on by hash of the word: tokens of a word are put together, and the word is joined, without another shuffle
     first = words.groupBy("word").agg(F.min(F.struct("block", "k")).alias("first"))
-    encoded = first.mapInArrow(encode, "word string, ids array<int>").repartition("word")
+    encoded = first.mapInArrow(tidy(encode), "word string, ids array<int>").repartition("word")
     tokens = encoded.select("word", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(vocabulary), "id", "left")
     in_order = tokens.groupBy("word").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece")))).alias("t"))
     joined = lambda c: F.array_join(F.transform("t", lambda x: x[c].cast("string")), " ")
@@ -268,7 +268,7 @@ def encode_decode(docs: DataFrame, definition: str, carry: list[str] | None = No
     blocks = blocks_of(docs, definition, carry, block_chars)
     entries = blocks.select("block", F.posexplode("words").alias("k", "word")).filter(F.col("word").isNotNull()).repartition("word")
     found = entries.join(word_table(entries, definition), "word").select("block", "k", "ids", "said")
-    lists = found.mapInArrow(_pack_words, "block long, part binary").groupBy("block").agg(F.collect_list("part").alias("parts"))  # the list of one block
+    lists = found.mapInArrow(tidy(_pack_words), "block long, part binary").groupBy("block").agg(F.collect_list("part").alias("parts"))  # the list of one block
     met = blocks.select("block", "rows", "codes").join(lists, "block", "left")
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
 
@@ -293,7 +293,7 @@ def encode_decode(docs: DataFrame, definition: str, carry: list[str] | None = No
                         yield pa.RecordBatch.from_arrays(kept + columns, carry + names)
                         made, first, chars = [], k + 1, 0
 
-    return met.select("rows", "codes", "parts").mapInArrow(finish, with_fields(docs, carry, f"n_tokens long, {names[1]} string, {names[2]} string"))
+    return met.select("rows", "codes", "parts").mapInArrow(tidy(finish), with_fields(docs, carry, f"n_tokens long, {names[1]} string, {names[2]} string"))
 
 
 def decode(encoded: DataFrame, definition: str) -> DataFrame:

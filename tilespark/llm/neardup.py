@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilespark.llm.components import Forest, connected_components
-from tilespark.llm.shared import bounded_batches, join_small, materialize, partitions
+from tilespark.llm.shared import bounded_batches, join_small, materialize, partitions, tidy
 from tilespark.llm.shingles import band_keys, bands_for, shingle_sets, sketches
 
 #: Hashes a block holds, about; a component up to this size is searched in one go. Texts hashed at a time, in characters.
@@ -74,7 +74,7 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                     ["doc_id", "n_shingles", "digest", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(sign), "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def links_within(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, int]]:
@@ -166,7 +166,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def searched(rows: DataFrame, percent: int) -> DataFrame:
     """Spanning edges of the links of each task of ``task, side, within, doc_id, set``."""
     dealt = rows.select("task", "side", "within", "doc_id", "set").repartition(max(partitions(rows.sparkSession), 2), "task").sortWithinPartitions("task", "side")
-    return dealt.mapInArrow(_search(percent), "a long, b long")
+    return dealt.mapInArrow(tidy(_search(percent)), "a long, b long")
 
 
 def possible(sets: DataFrame, percent: int) -> DataFrame:
@@ -174,7 +174,7 @@ def possible(sets: DataFrame, percent: int) -> DataFrame:
 
     Hashes are counted by partial aggregation and joined back; no pair is made.
     """
-    hashes = sets.mapInArrow(_hashes, "component long, label long, giant long, doc_id long, size long, h long")
+    hashes = sets.mapInArrow(tidy(_hashes), "component long, label long, giant long, doc_id long, size long, h long")
     often = hashes.groupBy("component", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = hashes.join(often, ["component", "h"])
     # hashes that nobody shares come first and find nothing: they only use up places
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*own, pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], ["doc_id", "component", "blocks", "set"])
 
     of_members = join_small(docs, placed.withColumnRenamed("node", "doc_id"), "doc_id", "inner")
-    of_reps = of_members.select("doc_id", "component", "blocks", "text").mapInArrow(to_sets, "doc_id long, component long, blocks int, set binary").filter(F.length("set") > 0)
+    of_reps = of_members.select("doc_id", "component", "blocks", "text").mapInArrow(tidy(to_sets), "doc_id long, component long, blocks int, set binary").filter(F.length("set") > 0)
     sets = materialize(of_reps, "sets")
 
     def dealt(rows: DataFrame, seed: int) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilespark.llm.shared import bounded_batches, join_small, materialize, with_fields
+from tilespark.llm.shared import bounded_batches, join_small, materialize, tidy, with_fields
 from tilespark.llm.shingles import word_hashes
 
 #: Documents the scorer is trained on, about; hashed word features; score from which a document is rejected.
@@ -307,7 +307,7 @@ def teach(docs: DataFrame, worst: DataFrame) -> Lessons:
     if not sizes:
         return Lessons()
     texts = join_small(docs.select("h", "text"), chosen, "h", "inner").groupBy("h", "kind").agg(F.first("text").alias("text"))
-    parts = texts.select("kind", "text").mapInArrow(_parts, "sort int, part long, kind string, n long")
+    parts = texts.select("kind", "text").mapInArrow(tidy(_parts), "sort int, part long, kind string, n long")
     kinds = ("clean", "low", "toxic")
     of = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds]
     counted = materialize(parts.groupBy("sort", "part").agg(*of), "parts")
@@ -357,7 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame | None) -> Classifier:
         worst = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
         lessons = teach(docs, worst)
     sized = docs.select("doc_id", "h", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), "text")
-    voted = materialize(sized.mapInArrow(_vote(lessons), "doc_id long, h long, size long, votes long"), "votes")
+    voted = materialize(sized.mapInArrow(tidy(_vote(lessons)), "doc_id long, h long, size long, votes long"), "votes")
     if worst is not None:
         voted = voted.join(worst, "doc_id", "left")
         bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
@@ -379,7 +379,7 @@ def fit(docs: DataFrame, labels: DataFrame | None) -> Classifier:
     side = F.col("bad") >= 0.5
     chosen = materialize(_bounded(chosen.withColumn("side", side), "side", FIT_ROWS, FIT_CHARACTERS // 2).select("h", "bad"), "sample")
     # equal rows are one, before anything comes to the driver
-    fitted = docs.join(F.broadcast(chosen), "h").mapInArrow(_extract(lessons), "h long, bad double, row binary").groupBy("h", "bad").agg(F.min("row").alias("row"))
+    fitted = docs.join(F.broadcast(chosen), "h").mapInArrow(tidy(_extract(lessons)), "h long, bad double, row binary").groupBy("h", "bad").agg(F.min("row").alias("row"))
     sample = fitted.toArrow().sort_by("h")
     rows = [np.frombuffer(r, dtype=np.int32) for r in sample.column("row").to_pylist()]
     if not rows:
@@ -403,7 +403,7 @@ def classify(docs: DataFrame, classifier: Classifier, carry: list[str] | None =
                 own = [batch.column(c).slice(first, len(texts)) for c in carry]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(weak), pa.array(score), pa.array(score >= REJECT)], [*carry, "weak_label", "score", "rejected"])
 
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, with_fields(docs, carry, "weak_label double, score double, rejected boolean"))
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(tidy(run), with_fields(docs, carry, "weak_label double, score double, rejected boolean"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

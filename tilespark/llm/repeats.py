@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilespark.llm.shared import bounded_batches, join_small, materialize, partitions, remove, with_fields
+from tilespark.llm.shared import bounded_batches, join_small, materialize, partitions, remove, tidy, with_fields
 from tilespark.llm.shingles import mix
 from tilespark.llm.suffix_array import common_prefixes, suffix_array
 
@@ -238,7 +238,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = _own_names(docs, [])
-    found = materialize(docs.mapInArrow(_find_cells(length), "id long, key long, at long, times long, anchor long, cell long"), "cells")
+    found = materialize(docs.mapInArrow(tidy(_find_cells(length)), "id long, key long, at long, times long, anchor long, cell long"), "cells")
     anchors = found.groupBy("anchor").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor")
     again = materialize(found.join(materialize(anchors, "anchors"), "anchor"), "cells-again")
     remove(found)
@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                 rows[c] = inner.field(c).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array([rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["_doc", "_doc_key", "wanted"])
 
-    wanted = materialize(wanted.mapInArrow(pack, "_doc long, _doc_key long, wanted binary"), "wanted")
+    wanted = materialize(wanted.mapInArrow(tidy(pack), "_doc long, _doc_key long, wanted binary"), "wanted")
     holders = docs.join(wanted, ["_doc", "_doc_key"]).select("_doc", "_doc_key", "_doc_text", "wanted")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,14 +281,14 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    parts = materialize(holders.mapInArrow(take, "anchor long, cell long, n long, hot boolean, bytes binary"), "parts")
+    parts = materialize(holders.mapInArrow(tidy(take), "anchor long, cell long, n long, hot boolean, bytes binary"), "parts")
     usual = parts.filter(~F.col("hot"))
     size = usual.agg(F.sum(F.length("bytes"))).collect()[0][0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     # rows that repeat a document bring its cells again: each kind stands once
     dealt = usual.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     dealt = dealt.repartition(max(partitions(spark), min(shards, 10_000)), "shard").dropDuplicates(["shard", "anchor", "cell"]).sortWithinPartitions("shard")
-    spans = dealt.select("shard", "anchor", "cell", "n", "bytes").mapInArrow(_shard_spans(length), "anchor long, cell long, from long, to long")
+    spans = dealt.select("shard", "anchor", "cell", "n", "bytes").mapInArrow(tidy(_shard_spans(length)), "anchor long, cell long, from long, to long")
 
     hot = parts.filter("hot")
     if hot.limit(1).count():
@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*same, np.arange(m), h[0], h[1])], ["anchor", "cell", "n", "from", "h1", "h2"])
 
         single = hot.dropDuplicates(["anchor", "cell"]).select("anchor", "cell", "n", "bytes").repartition(partitions(spark))
-        hashed = materialize(single.mapInArrow(windows, "anchor long, cell long, n long, from long, h1 long, h2 long"), "windows")
+        hashed = materialize(single.mapInArrow(tidy(windows), "anchor long, cell long, n long, from long, h1 long, h2 long"), "windows")
         twice = materialize(hashed.groupBy("h1", "h2").agg(F.sum("n").alias("places")).filter("places > 1").select("h1", "h2"), "twice")
         # a cell has few windows; those that follow one another are one span
         of_kind = Window.partitionBy("anchor", "cell").orderBy("from")
@@ -343,7 +343,7 @@ def without_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None
             packed = [merged(rows[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(packed, pa.binary())], ["_doc", "_doc_key", "_doc_spans"])
 
-    per_row = materialize(collected.mapInArrow(pack, "_doc long, _doc_key long, _doc_spans binary"), "spans")
+    per_row = materialize(collected.mapInArrow(tidy(pack), "_doc long, _doc_key long, _doc_spans binary"), "spans")
     joined = join_small(_own_names(docs, carry), per_row, ["_doc", "_doc_key"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +362,7 @@ def without_repeats(docs: DataFrame, length: int = 200, carry: list[str] | None
                 yield pa.RecordBatch.from_arrays([*columns, *made], [*carry, "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"])
 
     fields = with_fields(docs, carry, f"n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digests else 'kept'} string")
-    return joined.select(*carry, "_doc", "_doc_key", "_doc_text", "_doc_spans").mapInArrow(cut, fields)
+    return joined.select(*carry, "_doc", "_doc_key", "_doc_text", "_doc_spans").mapInArrow(tidy(cut), fields)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
