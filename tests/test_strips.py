@@ -3,7 +3,7 @@
 import random
 
 
-from tilespark.operators import inventory
+from tilespark.operators import inventory, packing
 from tilespark.plans import layout
 
 
@@ -54,3 +54,32 @@ def test_copies_of_any_table_of_strips(spark):
         spark.createDataFrame(pairs, "source_id int, copy_id int"), spark.createDataFrame(heads, "raster_id int, width int, height int"), spark.createDataFrame(strips, "raster_id int, y int, pixel_bytes int, data binary").repartition(5), window=3, grid=3
     )
     assert {r.source_id: (r.windows, r.differing) for r in found.collect()} == want and 10 < sum(d > 0 for _, d in want.values())
+
+
+def test_tiles_are_cut_where_strips_lie(spark, small):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    for most in (before, "-1"):
+        spark.conf.set(name, most)
+        try:
+            exchanges = nodes(layout.tile_windows(spark, small), "Exchange")
+        finally:
+            spark.conf.set(name, before)
+        assert len(exchanges) > 2 and not any(x in ("data", "part", "rows", "_row", "_rows") for names in exchanges for x in names)
+
+
+def test_tiles_of_any_table_of_strips(spark):
+    rng = random.Random(5)
+    strips, tiles, want = [], [], {}
+    for i, (w, h, depth) in enumerate([(700, 9, 2), (5, 40, 1), (40, 3, 3), (300, 300, 1)]):
+        rows = {y: bytes(rng.randrange(256) for _ in range(w * depth)) for y in range(h) if i != 1 or y % 7 != 3}
+        strips += [(i, y, depth, b) for y, b in rows.items()]
+        for k in range(25):  # at any place, some over the edges, some beyond them
+            side, x, y = rng.choice([1, 4, 30, 260]), rng.randrange(w + 5), rng.randrange(h + 5)
+            tiles.append((f"{i}/{k}", i, side, x, y))
+            want[f"{i}/{k}"] = b"".join(rows.get(y + n, b"")[x * depth : (x + side) * depth].ljust(side * depth, b"\0") for n in range(side))
+    tiles.append(("none", 9, 3, 0, 0))
+    want["none"] = bytes(9)
+    found = packing.tile_bytes(spark.createDataFrame(strips, "raster_id int, y int, pixel_bytes int, data binary").repartition(5), spark.createDataFrame(tiles, "tile_id string, raster_id int, scale int, px_x int, px_y int"))
+    got = [(r.tile_id, bytes(r.data)) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == want

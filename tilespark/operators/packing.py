@@ -13,6 +13,8 @@ from tilespark.session import shared_path
 
 #: Rows of a scale that share one packed row.
 PIECE = 65_536
+#: Tiles that begin within so many pixels (or their own side) are cut from the strips together.
+NEAR = 256
 #: Packed columns and their types, in the order in which they are written; all little-endian.
 KINDS = {"codes": "<i1", "src": "<u4", "px_x": "<i4", "px_y": "<i4", "min_lon": "<f4", "min_lat": "<f4", "max_lon": "<f4", "max_lat": "<f4"}
 
@@ -101,20 +103,30 @@ def unpacked_columns(packed: DataFrame, piece: int = PIECE) -> DataFrame:
 def tile_bytes(strips: DataFrame, tiles: DataFrame) -> DataFrame:
     """``tile_id, data``: the pixels of every tile as one binary, zeros where it reaches over the raster's right or lower edge.
 
-    Strips are rows of pixels (``raster_id, y, pixel_bytes, data``), tiles are squares (``tile_id, raster_id, scale, px_x, px_y``). A tile asks for the strips it lies on and
-    takes a range of bytes from each, so no row is ever a pixel; a tile without any strip is zeros.
+    Strips are rows of pixels (``raster_id, y, pixel_bytes, data``), tiles are squares (``tile_id, raster_id, scale, px_x, px_y``). Tiles that begin near each other in one row
+    of tiles ask together: where strips of their raster lie, a range of bytes is taken from each for all of them, so no row is ever a pixel. A tile without any strip is zeros.
     """
-    asked = tiles.select("tile_id", "raster_id", "scale", "px_x", F.explode(F.sequence(F.col("px_y"), F.col("px_y") + F.col("scale") - 1)).alias("y"))
-    own = F.substring(F.col("data"), (F.col("px_x") * F.col("pixel_bytes") + 1).cast("int"), (F.col("scale") * F.col("pixel_bytes")).cast("int"))
-    joined = asked.join(strips, ["raster_id", "y"]).select("tile_id", F.col("y").cast("int").alias("y"), own.alias("part"))
-    together = joined.groupBy("tile_id").agg(F.collect_list(F.struct("y", "part")).alias("rows"))  # at most ``scale`` rows
+    long = lambda c: F.col(c).cast("long")
+    near = F.floor(long("px_x") / F.greatest(long("scale"), F.lit(NEAR)))
+    asked = tiles.groupBy("raster_id", "scale", "px_y", near.alias("_near")).agg(F.min("px_x").alias("_left"), F.max(long("px_x") + F.col("scale")).alias("_right"), F.collect_list(F.struct("tile_id", "px_x")).alias("_tiles"))
     depth = strips.groupBy("raster_id").agg(F.max("pixel_bytes").alias("_bytes"))
-    whole = tiles.select("tile_id", "raster_id", "scale", "px_y").join(depth, "raster_id", "left").join(together, "tile_id", "left")
-    width = (F.col("scale") * F.coalesce("_bytes", F.lit(1))).cast("int")
-    by_y = F.map_from_entries(F.coalesce("rows", F.array().cast("array<struct<y:int,part:binary>>")))
-    line = lambda y: F.rpad(F.hex(F.coalesce(F.element_at(F.col("_m"), y.cast("int")), F.lit(b""))), 2 * F.col("_width"), F.lit("0"))
-    lines = F.transform(F.sequence(F.col("px_y"), F.col("px_y") + F.col("scale") - 1), line)
-    return whole.withColumns({"_m": by_y, "_width": width}).select("tile_id", F.unhex(F.array_join(lines, "")).alias("data"))
+    asked = asked.join(depth, "raster_id", "left").withColumn("_bytes", F.coalesce("_bytes", F.lit(1)))
+    own, other = strips.withColumnRenamed("raster_id", "_raster"), asked.hint("shuffle_hash")  # strips are not sorted; what asks is small beside them
+    on = (F.col("_raster") == F.col("raster_id")) & (F.col("y") >= F.col("px_y")) & (F.col("y") < long("px_y") + F.col("scale"))
+    part = F.substring("data", (F.col("_left") * F.col("pixel_bytes") + 1).cast("int"), ((F.col("_right") - F.col("_left")) * F.col("pixel_bytes")).cast("int"))
+    met = own.join(other, on, "right").select("raster_id", "scale", "px_y", "_near", "_left", "_bytes", "_tiles", F.when(F.col("y").isNotNull(), F.struct(F.col("y").cast("int").alias("y"), "pixel_bytes", part.alias("part"))).alias("_row"))
+    # a row of tiles has at most ``scale`` strips
+    rows = met.groupBy("raster_id", "scale", "px_y", "_near").agg(F.first("_left").alias("_left"), F.first("_bytes").alias("_bytes"), F.first("_tiles").alias("_tiles"), F.sort_array(F.collect_list("_row")).alias("_rows"))
+    each = rows.withColumn("_tile", F.explode("_tiles")).withColumns({"_width": (F.col("scale") * F.col("_bytes")).cast("int"), "_n": F.size("_rows")})
+    cut = lambda r: F.substring(r["part"], ((F.col("_tile.px_x") - F.col("_left")) * r["pixel_bytes"] + 1).cast("int"), (F.col("scale") * r["pixel_bytes"]).cast("int"))
+    padded = lambda data: F.rpad(F.hex(data), 2 * F.col("_width"), F.lit("0"))
+    whole = lambda lines: F.unhex(F.rpad(F.array_join(lines, ""), (2 * F.col("_width") * F.col("scale")).cast("int"), F.lit("0")))
+    ys = F.transform("_rows", lambda r: r["y"])
+    follow = (F.size(F.array_distinct(ys)) == F.col("_n")) & ((F.col("_n") == 0) | (F.element_at(ys, -1) == F.col("px_y") + F.col("_n") - 1))
+    by_y = F.map_from_entries(F.transform("_rows", lambda r: F.struct(r["y"], cut(r))))  # some are missing; one that is there twice ends the query
+    line = lambda y: F.coalesce(F.element_at(by_y, y.cast("int")), F.lit(b""))
+    plain, gaps = F.transform("_rows", lambda r: padded(cut(r))), F.transform(F.sequence(F.col("px_y"), F.col("px_y") + F.col("scale") - 1), lambda y: padded(line(y)))
+    return each.select(F.col("_tile.tile_id").alias("tile_id"), F.when(follow, whole(plain)).otherwise(whole(gaps)).alias("data"))
 
 
 def opening_phrases(areas: DataFrame, phrases: DataFrame, chosen: DataFrame, fallback: str) -> DataFrame:
