@@ -83,3 +83,36 @@ def test_tiles_of_any_table_of_strips(spark):
     found = packing.tile_bytes(spark.createDataFrame(strips, "raster_id int, y int, pixel_bytes int, data binary").repartition(5), spark.createDataFrame(tiles, "tile_id string, raster_id int, scale int, px_x int, px_y int"))
     got = [(r.tile_id, bytes(r.data)) for r in found.collect()]
     assert len(got) == len(want) and dict(got) == want
+
+
+def test_rasters_without_pixels_make_no_pairs(spark):
+    rasters = spark.createDataFrame([(i, "g", 0, 0, 4, 4) for i in range(200)], "raster_id int, grid string, x0 int, y0 int, width int, height int")
+    pixels = spark.createDataFrame([(i, x, y, i % 3) for i in range(0, 200, 20) for x in range(4) for y in range(4)], "raster_id int, x int, y int, b1 int")
+    seen = []
+
+    def compare(pairs, own):
+        seen.append(pairs.count())
+        return inventory.same_pixels(pairs, own)
+
+    found = {tuple(r) for r in inventory.duplicates(rasters, pixels, compare).collect()}
+    assert seen == [45] and found == {(i, min(j for j in range(0, 200, 20) if j % 3 == i % 3)) for i in range(60, 200, 20)}
+
+
+def test_pixels_that_hold_are_those_that_are_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    value = lambda x, y: (3 * x + 5 * y + x * y) % 7
+    rasters = [(i, rng.choice("gh"), rng.randrange(4), rng.randrange(4), rng.randrange(1, 7), rng.randrange(1, 7)) for i in range(80)]
+    pixels = [(i, x, y, value(x0 + x, y0 + y) + (rng.random() < 0.01), None if rng.random() < 0.002 else 1) for i, _, x0, y0, w, h in rasters for x in range(w) for y in range(h) if i % 9 and (i % 4 or rng.random() < 0.9)]
+    r = spark.createDataFrame(rasters, "raster_id int, grid string, x0 int, y0 int, width int, height int")
+    p = spark.createDataFrame(pixels, "raster_id int, x int, y int, b1 int, b2 int").repartition(3)
+    pairs = inventory.contained(r)
+    want = {tuple(x) for x in inventory.same_pixels(pairs, p).filter("same").collect()}
+    for most in (inventory.FEW, 0):
+        monkeypatch.setattr(inventory, "FEW", most)
+        assert {tuple(x) for x in inventory.held_pixels(pairs, p).collect()} == want and len(want) > 30
+    area = {i: w * h for i, _, _, _, w, h in rasters}
+    holders = {}
+    for i, o, *_ in want:
+        holders.setdefault(i, []).append(o)
+    ends = {i: min((-area[o], o) for o in found if o not in holders)[1] for i, found in holders.items()}
+    assert {tuple(x) for x in inventory.duplicates(r, p).collect()} == set(ends.items())
