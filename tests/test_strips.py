@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 
 from tilespark.operators import inventory, packing
 from tilespark.plans import layout
@@ -116,3 +117,50 @@ def test_pixels_that_hold_are_those_that_are_the_same(spark, monkeypatch):
         holders.setdefault(i, []).append(o)
     ends = {i: min((-area[o], o) for o in found if o not in holders)[1] for i, found in holders.items()}
     assert {tuple(x) for x in inventory.duplicates(r, p).collect()} == set(ends.items())
+
+
+def test_equal_crops_make_no_pairs(spark, monkeypatch, tmp_path):
+    step = 5005 * 8  # rasters of one place, size and content
+    keys = [k + step * i for k in (7, 5) for i in range(200)]
+    spark.createDataFrame([(k, "b") for k in keys], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    pairs = []
+    for name in ("contained", "_compared"):
+        old = getattr(inventory, name, None)
+
+        def spy(*args, name=name, old=old):
+            found = old(*args)
+            pairs.append((found if name == "contained" else args[0]).count())
+            return found
+
+        monkeypatch.setattr(inventory, name, spy, raising=False)
+    found = {tuple(r) for r in layout.crop_duplicates(spark, str(tmp_path)).collect()}
+    assert sum(pairs) < 10 and found == {(k, keys[0] if k % step == 7 else 5) for k in keys if k not in (5, 7)}
+
+
+def some_crops(rng, n, odd):
+    """Crops of pictures with changed pixels; where ``odd``, also strips that are missing, short, longer than the header says or there twice."""
+    value = lambda g, x, y: bytes((7 * x + 13 * y + 5 * b + ord(g)) % 11 for b in range(2))
+    sizes = [(i, rng.choice("gh"), rng.randrange(-6, 6), rng.randrange(-6, 6), rng.choice([1, 3, 6, 9, 14]) if odd else rng.randrange(6, 15), rng.choice([1, 4, 6, 9]) if odd else rng.randrange(6, 12)) for i in range(n)]
+    strips = []
+    for i, g, x0, y0, w, h in sizes:
+        changes = {(rng.choice([x0, 0, x0 + w - 1, 3]), rng.choice([y0, 0, y0 + h - 1, 2])) for _ in range(rng.choice([0, 0, 1, 1, 2, 12]))}
+        for y in range(h):
+            row = b"".join(value(g, x, y0 + y) if (x, y0 + y) not in changes else b"\x63\x63" for x in range(x0, x0 + w))
+            luck = rng.random() if odd and i % 5 == 0 else 1
+            if luck < 0.03:
+                continue
+            row = row[:-1] if luck < 0.06 else row + value(g, x0 + w, y0 + y) if luck < 0.2 else row
+            strips += [(i, y, 2, row)] * (2 if 0.2 < luck < 0.3 else 1)
+    return sizes, strips
+
+
+@pytest.mark.parametrize(("seed", "odd", "marks", "tried"), [(1, False, 6, 64), (2, False, 2, 1), (3, True, 6, 64), (4, True, 1, 1), (5, False, 6, 1)])
+def test_many_crops_are_as_all_their_pairs(spark, monkeypatch, seed, odd, marks, tried):
+    monkeypatch.setattr(inventory, "MARKS", marks)
+    monkeypatch.setattr(inventory, "TRIED", tried)
+    sizes, strips = some_crops(random.Random(seed), 250, odd)
+    r = spark.createDataFrame(sizes, "raster_id int, grid string, x0 int, y0 int, width int, height int")
+    s = spark.createDataFrame(strips, "raster_id int, y int, pixel_bytes int, data binary").repartition(3)
+    want = {tuple(x) for x in inventory.duplicates(r, s, lambda pairs, own: inventory.same_strips(pairs, own, 1)).collect()}
+    got = [tuple(x) for x in inventory.duplicate_strips(r, s).collect()]
+    assert len(want) > 40 and len(got) == len(set(got)) and set(got) == want
